@@ -5,18 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm import decontamination, mixing, sharding, topk, url_filter
+from visitloom.llm import decontamination, language_id, mixing, sharding, token_files, topk, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    told = language_id.identify(docs.select("doc_id", "text"), language_id.learn(docs), keep=["doc_id"])
+    held_out = ~language_id.admitted(F.col("doc_id"))
+    return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.map_keys("mixture").alias("languages"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = mixing.mix(_table(spark, sf_dir, "documents"))
     return told.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return token_files.encode_and_read_back(_table(spark, sf_dir, "documents"), tokenizer)
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
@@ -47,7 +62,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op5_topk, op6_url_filter, op8_sharding, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_mixing, op4_token_files, op5_topk, op6_url_filter, op8_sharding, op9_decontamination)}
 
 _SIZES = r"""
 sizes AS (

@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from visitloom.llm.common import Scratch
+from visitloom.session import ship
 
 ROWS = 8192
 QUERIES = 1024
@@ -48,6 +49,7 @@ def _weights(vecs, scale: float) -> np.ndarray:
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, rows: int = ROWS, queries: int = QUERIES, scratch: Scratch | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k best candidates."""
+    ship(vectors.sparkSession)
     scratch = scratch or Scratch(vectors.sparkSession, "topk")
     usable_rows = scratch.save(usable(vectors), "vectors")
     asked = usable_rows.where(is_query).dropDuplicates(["id"])
