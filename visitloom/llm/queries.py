@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm import decontamination, language_id, mixing, sharding, token_files, topk, url_filter
+from visitloom.llm import decontamination, language_id, mixing, sharding, token_files, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_mixing, op4_token_files, op5_topk, op6_url_filter, op8_sharding, op9_decontamination)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.learn(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    told = toxicity.score(docs, lexicon, keep=["doc_id"])
+    held_out = ~toxicity.admitted(F.col("doc_id"))
+    return told.select("doc_id", held_out.alias("held_out"), "score", "predicted", "hits")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_mixing, op4_token_files, op5_topk, op6_url_filter, op8_sharding, op9_decontamination, op10_toxicity)}
 
 _SIZES = r"""
 sizes AS (
