@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm import decontamination, language_id, mixing, sharding, token_files, topk, toxicity, url_filter
+from visitloom.llm import decontamination, language_id, mixing, near_dedup, sharding, token_files, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.map_keys("mixture").alias("languages"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = mixing.mix(_table(spark, sf_dir, "documents"))
     return told.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
@@ -70,7 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out.alias("held_out"), "score", "predicted", "hits")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_mixing, op4_token_files, op5_topk, op6_url_filter, op8_sharding, op9_decontamination, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_mixing, op4_token_files, op5_topk, op6_url_filter, op8_sharding, op9_decontamination, op10_toxicity)}
 
 _SIZES = r"""
 sizes AS (
@@ -80,6 +84,30 @@ sizes AS (
 )"""
 
 ORACLE_SQL = {
+    "op2_near_dedup": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+sh AS (
+  SELECT DISTINCT doc_id, hash(list_slice(w, s, s + 4), least(len(w), 5)) AS g
+  FROM words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(s) WHERE len(w) > 0
+),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+both_of AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+),
+links AS (
+  SELECT a, b FROM both_of JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, seen) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.node, ways.b FROM reach JOIN ways ON reach.seen = ways.a
+),
+comp AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN comp ON comp.node = d.doc_id
+""",
     "op3_mixing": f"""
 WITH {_SIZES},
 totals AS (
