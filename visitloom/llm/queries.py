@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm import decontamination, language_id, mixing, near_dedup, sharding, token_files, topk, toxicity, url_filter
+from visitloom.llm import decontamination, language_id, line_dedup, mixing, near_dedup, sharding, token_files, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,13 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = line_dedup.removed_lines(_table(spark, sf_dir, "documents"))
+    return told.select(
+        "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed")
+    )
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = sharding.shard(_table(spark, sf_dir, "documents"))
     return told.select(
@@ -74,7 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out.alias("held_out"), "score", "predicted", "hits")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_mixing, op4_token_files, op5_topk, op6_url_filter, op8_sharding, op9_decontamination, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_mixing, op4_token_files, op5_topk, op6_url_filter, op7_line_dedup, op8_sharding, op9_decontamination, op10_toxicity)}
 
 _SIZES = r"""
 sizes AS (
@@ -184,6 +191,27 @@ fit AS (
   FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
 )
 SELECT parts.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fit USING (page_id)
+""",
+    "op7_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, l AS line_no,
+         list_sort(list_distinct(list_filter(regexp_split_to_array(lower(string_split(text, chr(10))[l + 1]), '[\x20\x09\x0B-\x0D]'), lambda w: w <> ''))) AS w
+  FROM documents, unnest(range(len(string_split(text, chr(10))))) t(l) WHERE text IS NOT NULL
+),
+cls AS (SELECT w, min((doc_id, line_no)) AS pos, len(w) AS n FROM lines WHERE len(w) > 0 GROUP BY w),
+toks AS (SELECT pos, n, unnest(w) AS t FROM cls),
+pairs AS (
+  SELECT x.pos AS later FROM toks x JOIN toks y ON x.t = y.t AND y.pos < x.pos AND 10 * least(x.n, y.n) >= 9 * greatest(x.n, y.n)
+  GROUP BY x.pos, y.pos, x.n, y.n HAVING count(*) * 19 >= (x.n + y.n) * 9
+),
+goes AS (SELECT DISTINCT later FROM pairs),
+judged AS (
+  SELECT l.doc_id, l.line_no, len(l.w) > 0 AND ((l.doc_id, l.line_no) <> c.pos OR c.pos IN (SELECT later FROM goes)) AS gone
+  FROM lines l LEFT JOIN cls c ON l.w = c.w
+)
+SELECT doc_id, count(DISTINCT line_no) AS n_lines, count(DISTINCT line_no) FILTER (gone) AS n_removed,
+       coalesce(string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) FILTER (gone), '') AS removed
+FROM judged GROUP BY doc_id
 """,
     "op9_decontamination": r"""
 WITH b AS (
