@@ -76,3 +76,10 @@ def drop_clashing(df: DataFrame, *names: str) -> DataFrame:
     """Without the input columns whose names the operator itself adds: its own columns win."""
     added = {n.lower() for n in names}
     return df.drop(*[c for c in df.columns if c.lower() in added])
+
+
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """The input with clashing columns renamed, and the columns that restore it afterwards."""
+    added = {n.lower() for n in names}
+    renamed = {c: f"_aside_{c}" for c in df.columns if c.lower() in added}
+    return df.withColumnsRenamed(renamed), [F.col(renamed.get(c, c)).alias(c) for c in df.columns]

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import drop_clashing, fold_az, split_words
+from visitloom.llm.common import aside, drop_clashing, fold_az, split_words
 
 #: Everything in ASCII but digits and lower-case letters separates words (after folding A-Z).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -24,6 +24,7 @@ RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 RAW_SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Windows are broadcast only below this many estimated bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 64 << 20
+ADDED = ("n_words", "hit_words", "items", "contaminated", "hit_doc", "hit_key", "text_key")
 
 
 def normalised_words(text: Column) -> Column:
@@ -83,8 +84,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> Da
         ).alias("hit_words"),
         F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"),
     )
-    docs = drop_clashing(documents, "n_words", "hit_words", "items", "contaminated", "hit_doc", "hit_key")
-    docs = docs.withColumn("n_words", F.coalesce(F.when(F.col("text").isNull(), 0), F.size(normalised_words(F.col("text")))).cast("long"))
+    docs = drop_clashing(documents, *ADDED)
+    docs = docs.withColumn("n_words", F.when(F.col("text").isNull(), 0).otherwise(F.size(normalised_words(F.col("text")))).cast("long"))
     same = docs["doc_id"].eqNullSafe(per_doc["hit_doc"]) & (F.xxhash64(docs["text"]) == per_doc["hit_key"])
     out = docs.join(per_doc, same, "left").drop("hit_doc", "hit_key")
     return (
@@ -96,18 +97,20 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> Da
 
 def remove_documents(documents: DataFrame, benchmark: DataFrame, n: int = 10, max_share: float = 0.0) -> DataFrame:
     """Documents whose share of hit words is at most ``max_share``, with their own columns."""
-    told = contamination(documents, benchmark, n)
+    docs, own = aside(documents, *ADDED)
+    told = contamination(docs, benchmark, n)
     share = F.size("hit_words") / F.greatest(F.col("n_words"), F.lit(1))
-    return told.where(share <= max_share).select(*[told[c] for c in documents.columns])
+    return told.where(share <= max_share).select(*own)
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """All documents, hit words cut out of their texts together with the separators after them."""
-    told = contamination(documents, benchmark, n)
+    docs, own = aside(documents, *ADDED)
+    told = contamination(docs, benchmark, n)
     pieces = F.regexp_extract_all(
         F.col("text"), F.lit(f"(?:^{RAW_SEPARATOR}+)?{RAW_WORD}+{RAW_SEPARATOR}*"), F.lit(0)
     )
     kept = F.array_except(F.sequence(F.lit(1), F.col("n_words").cast("int")), F.col("hit_words"))
     cut = F.array_join(F.transform(kept, lambda p: F.element_at(pieces, p)), "")
     text = F.when(F.col("contaminated"), cut).otherwise(F.col("text"))
-    return told.withColumn("text", text).select(*documents.columns)
+    return told.withColumn("text", text).select(*own)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from visitloom.llm.common import drop_clashing
+from visitloom.llm.common import aside, drop_clashing
 from visitloom.session import ship
 
 BUCKETS = 1 << 15
@@ -259,5 +259,6 @@ def identify(documents: DataFrame, model: Model | None, keep: list[str] | None =
 
 def keep_identified(documents: DataFrame, least: float = 0.4) -> DataFrame:
     """Documents in which one language holds at least ``least`` of the mixture; own columns only."""
-    told = identify(documents, learn(documents))
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*documents.columns)
+    docs, own = aside(documents, "lang_pred", "score", "mixture")
+    told = identify(docs, learn(documents))
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*own)

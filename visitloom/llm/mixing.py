@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import Scratch, drop_clashing, word_count
+from visitloom.llm.common import Scratch, aside, word_count
 
 WEIGHTS = (3, 1, 2)
 BINS = 4096
@@ -133,7 +133,7 @@ def mixed_documents(documents: DataFrame, scratch: Scratch | None = None, **how)
     """The mix itself: each document row as often as it is taken, with the columns of documents."""
     told = mix(documents, scratch=scratch, **how).groupBy("doc_id", "source").agg(F.max("repeats").alias("repeats"))
     told = told.select(F.col("doc_id").alias("mix_doc"), F.col("source").alias("mix_source"), "repeats")
-    docs = drop_clashing(documents, "mix_doc", "mix_source", "repeats")
+    docs, own = aside(documents, "mix_doc", "mix_source", "repeats", "copy")
     same = docs["doc_id"].eqNullSafe(told["mix_doc"]) & docs["source"].eqNullSafe(told["mix_source"])
     out = docs.join(told.where(F.col("repeats") > 0), same)
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*documents.columns)
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*own)
