@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from visitloom.plans import activity, catalogue, merging, text, timeline, visits  # noqa: F401
+from visitloom.plans.base import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
