@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from visitloom.plans import activity, catalogue, merging, text, timeline, visits  # noqa: F401
+from visitloom.plans import activity, catalogue, merging, surface, text, timeline, visits  # noqa: F401
 from visitloom.plans.base import QUERIES, SQL
 
 

@@ -105,7 +105,7 @@ def credited_pulls(spark, d):
     return T.credited(p, p.where("segment_id % 2 = 0")).select("pull_id", "credited", "success")
 
 
-_LINES = """WITH lines AS (SELECT user_id AS log, event_id AS line_no, epoch_ms(ts) AS at_ms, event_type, value, month(ts) AS m, CASE WHEN event_id % 7 = 0 THEN 1 WHEN event_id % 5 = 0 THEN 12 ELSE 6 END AS month FROM events)"""
+_LINES = """WITH lines AS (SELECT user_id AS log, event_id AS line_no, (epoch_us(ts) // 1000) AS at_ms, event_type, value, month(ts) AS m, CASE WHEN event_id % 7 = 0 THEN 1 WHEN event_id % 5 = 0 THEN 12 ELSE 6 END AS month FROM events)"""
 
 
 def _lines(spark, d):
@@ -132,7 +132,7 @@ def thinned_ticks(spark, d):
     return T.thinned(_lines(spark, d), "log", "line_no").select("log", "line_no")
 
 
-@query("""WITH RECURSIVE p AS (SELECT user_id AS log, epoch_ms(ts) AS at_ms, event_id, event_type AS place, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+@query("""WITH RECURSIVE p AS (SELECT user_id AS log, (epoch_us(ts) // 1000) AS at_ms, event_id, event_type AS place, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS n FROM events),
 f(log, n, event_id, kept, last_at, last_place) AS (SELECT log, n, event_id, true, at_ms, place FROM p WHERE n = 1 UNION ALL
 SELECT p.log, p.n, p.event_id, p.at_ms - last_at >= 86400000 OR p.place <> last_place,
 CASE WHEN p.at_ms - last_at >= 86400000 OR p.place <> last_place THEN p.at_ms ELSE last_at END, CASE WHEN p.at_ms - last_at >= 86400000 OR p.place <> last_place THEN p.place ELSE last_place END
