@@ -10,10 +10,10 @@ someone shares.
 
 Texts with equal sets are one class and enter once, so groups of copies cost nothing. Every
 bucket first proposes its smallest member against the others; verified links are joined into
-components. Buckets that still hold several components then compare the members of different
-components by their sketches, in blocks of bounded size, and what remains possible is
-verified on full sets. No pair of different components in a bucket is left out, and a hot
-bucket that is one component costs no pairs.
+components. Where texts of different components still meet, blocks of bounded size compare
+them by their sketches and sizes, and what remains possible is counted on full sets in the same
+blocks. No pair of different components that meets in a table is left out; a bucket that is one
+component costs no pairs, and two components that are linked once are not compared further.
 
 Defined results: null texts and texts without words are linked with nothing; rows with equal
 doc_id are one document; rows without doc_id are linked with nothing, kept, and have a null
@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +39,9 @@ HALF = 2
 HASHES = 2 * COLLECTIONS * HALF
 #: Of 48 minhashes so many agree at a similarity of 0.75 but for a probability of 1e-5.
 AGREE = 22
-BLOCK = 512
+BLOCK = 256
+#: Up to so many ids are broadcast to pick texts; beyond that the join shuffles.
+BROADCAST_IDS = 1_000_000
 NUM, DEN = 75, 100
 
 _MULT = mix(np.arange(1001, 1001 + HASHES, dtype=np.uint64)) | np.uint64(1)
@@ -86,7 +87,7 @@ def _group_key(collection: int, i: int) -> Column:
     return F.substring("sketch", at, 4 * HALF)
 
 
-def _possible(na: Column, nb: Column) -> Column:
+def _sizes_allow(na: Column, nb: Column) -> Column:
     """Sizes alone allow the similarity."""
     return F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM
 
@@ -95,44 +96,126 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets reach the similarity."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    told = pairs.join(left, "a").join(right, "b").withColumn("both", both)
+    told = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
     return told.where(F.col("both") * DEN >= (F.size("sa") + F.size("sb") - F.col("both")) * NUM).select("a", "b")
 
 
 def _candidate_sets(documents: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """Full sets of the documents with these ids."""
-    texts = documents.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = documents.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     return texts.mapInArrow(lambda it: _sets(it, k), "doc_id long, set array<long>")
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of one bucket and different labels that sketches and sizes leave possible."""
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, second = pdf["x"].iloc[0], pdf["y"].iloc[0]
-        left = pdf[pdf["block"] == first].sort_values("rep")
-        right = left if first == second else pdf[pdf["block"] == second].sort_values("rep")
-        out = {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)}
-        if len(left) and len(right):
-            sketch = [np.frombuffer(b"".join(t["sketch"]), np.uint32).reshape(len(t), HASHES) for t in (left, right)]
-            agree = np.zeros((len(left), len(right)), np.uint8)
-            for i in range(HASHES):
-                agree += sketch[0][:, i, None] == sketch[1][None, :, i]
-            n = [t["n"].to_numpy() for t in (left, right)]
-            low, high = np.minimum(n[0][:, None], n[1]), np.maximum(n[0][:, None], n[1])
-            good = (agree >= AGREE) & (low * DEN >= high * NUM)
-            good &= left["label"].to_numpy()[:, None] != right["label"].to_numpy()
-            i, j = np.nonzero(np.triu(good, 1) if first == second else good)
-            a, b = left["rep"].to_numpy()[i], right["rep"].to_numpy()[j]
-            out = {"a": np.minimum(a, b), "b": np.maximum(a, b)}
-        return pd.DataFrame(out)
-
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members of each first-key bucket in pairs of blocks (x, y), so that a task's work is bounded.
+
+    Buckets of two are left out: their only pair was tried in the first round.
+    """
+    sized = members.groupBy("first").agg(F.count("*").alias("members"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+    sized = sized.where("l0 <> l1 and members > 2").select("first", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sized, "first").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
-    return dealt.groupBy("key", "x", "y").applyInPandas(compare, "a long, b long")
+    return dealt.select("first", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "i", "block", "rep", "label", "n", "sketch")
+
+
+def _together(df: DataFrame) -> DataFrame:
+    """Rows of a group (first, x, y) one after another in one partition."""
+    return df.repartition("first", "x", "y").sortWithinPartitions("first", "x", "y", "rep")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The groups of sorted batches; only a group cut by the end of a batch is held over."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in ("first", "x", "y")])
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+            key = tuple(keys[lo])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _numbers(group: pa.Table, name: str) -> np.ndarray:
+    return group.column(name).to_numpy()
+
+
+def _possible(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the left block, of the right block, and which of their pairs may still be links.
+
+    Those of different components that meet in a table whose first key is this bucket's, and
+    in no table of an earlier first key (so each pair comes up once), and that sketches and
+    sizes leave possible.
+    """
+    x, y, i = (group.column(c)[0].as_py() for c in ("x", "y", "i"))
+    block, n, label = _numbers(group, "block"), _numbers(group, "n"), _numbers(group, "label")
+    left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint32).reshape(len(group), HASHES)
+    equal = sketch[left][:, None, :] == sketch[right][None, :, :]
+    whole = equal.reshape(len(left), len(right), 2 * COLLECTIONS, HALF).all(axis=3)
+    good = whole[:, :, COLLECTIONS:].any(axis=2) & ~whole[:, :, :i].any(axis=2) & (equal.sum(axis=2) >= AGREE)
+    low, high = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
+    good &= (low * DEN >= high * NUM) & (label[left][:, None] != label[right])
+    return left, right, np.triu(good, 1) if x == y else good
+
+
+_ASKED = pa.schema([("first", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("rep", pa.int64()), ("label", pa.int64()), ("partners", pa.list_(pa.int64()))])
+
+
+def _open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of two blocks that have possible pairs, the left ones with their partners."""
+    out: list[tuple] = []
+    for group in _groups(batches):
+        left, right, good = _possible(group)
+        if good.any():
+            rep, label = _numbers(group, "rep"), _numbers(group, "label")
+            key = tuple(group.column(c)[0].as_py() for c in ("first", "x", "y"))
+            asks = {left[k]: rep[right[good[k]]] for k in np.flatnonzero(good.any(axis=1))}
+            asks = {k: asks.get(k, []) for k in dict.fromkeys([*asks, *right[good.any(axis=0)]])}
+            out += [(*key, rep[k], label[k], v) for k, v in asks.items()]
+        if len(out) >= 2_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ASKED.types, strict=True)], schema=_ASKED)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ASKED.types, strict=True)], schema=_ASKED)
+
+
+def _confirmed(group: pa.Table) -> list[tuple[int, int]]:
+    """Links among the pairs of two blocks, counted on full sets; one for two components is enough."""
+    rep, label = _numbers(group, "rep").tolist(), _numbers(group, "label").tolist()
+    # sets are sorted as the unsigned hashes that they are
+    sets = {r: v.values.to_numpy().view(np.uint64) for r, v in zip(rep, group.column("set"), strict=True)}
+    of = dict(zip(rep, label, strict=True))
+    out, linked = [], set()
+    for a, partners in zip(rep, group.column("partners").to_pylist(), strict=True):
+        todo = [b for b in partners if (of[a], of[b]) not in linked]
+        if not todo:
+            continue
+        mine, theirs = sets[a], [sets[b] for b in todo]
+        size = np.array([len(t) for t in theirs])
+        flat = np.concatenate(theirs)
+        at = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+        both = np.add.reduceat((mine[at] == flat).astype(np.int64), np.cumsum(size) - size)
+        for k in np.flatnonzero(both * DEN >= (len(mine) + size - both) * NUM):
+            pair = (of[a], of[todo[k]])
+            if pair not in linked:
+                linked |= {pair, pair[::-1]}
+                out.append((min(a, todo[k]), max(a, todo[k])))
+    return out
+
+
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for group in _groups(batches):
+        if found := _confirmed(group):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, scratch: Scratch | None = None) -> DataFrame:
@@ -150,42 +233,40 @@ def near_duplicates(documents: DataFrame, k: int = 5, scratch: Scratch | None =
     )
 
     # the tables: (key, rep), for texts that share a first key with another text
-    first = classes.select("rep", F.explode(F.array(*[F.xxhash64(F.lit(i), _group_key(0, i)) for i in range(COLLECTIONS)])).alias("first"))
+    firsts = F.array(*[F.xxhash64(F.lit(i), _group_key(0, i)) for i in range(COLLECTIONS)])
+    first = classes.select("rep", F.posexplode(firsts).alias("i", "first"))
     shared = first.groupBy("first").agg(F.count("*").alias("c")).where("c > 1").select("first")
-    live = first.join(shared, "first", "left_semi").join(classes.select("rep", "sketch"), "rep")
+    live = scratch.save(first.join(shared, "first", "left_semi"), "live")
     second = F.array(*[F.xxhash64(F.col("first"), F.lit(j), _group_key(1, j)) for j in range(COLLECTIONS)])
-    table = scratch.save(live.select("rep", F.explode(second).alias("key")), "table")
-    buckets = table.groupBy("key").agg(
-        F.min("rep").alias("least"), F.count("*").alias("members"),
-        F.sum(F.xxhash64("rep") % (1 << 40)).alias("mark"), F.bit_xor(F.xxhash64("rep")).alias("mark2"),
-    ).where("members > 1")
-    # one bucket of those that hold the same members
+    table = live.join(classes.select("rep", "sketch"), "rep").select("rep", F.explode(second).alias("key"))
+    table = scratch.save(table, "table")
     buckets = scratch.save(
-        buckets.groupBy("members", "mark", "mark2").agg(F.min("key").alias("key"), F.min("least").alias("least")), "buckets"
+        table.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("c")).where("c > 1").select("key", "least"), "buckets"
     )
 
+    # every bucket's smallest member against the others
     sizes = classes.select("rep", "n")
-    stars = table.join(buckets.select("key", "least"), "key").where(F.col("rep") != F.col("least"))
-    stars = stars.select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stars.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a")
+    met = table.join(buckets, "key").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+    met = scratch.save(met, "met")
+    stars = met.where("a <> b").join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a")
     stars = stars.join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-    stars = scratch.save(stars.where(_possible(F.col("na"), F.col("nb"))).select("a", "b"), "stars")
-    ids = table.join(buckets.select("key"), "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    sets = scratch.save(_candidate_sets(docs, ids, k), "sets")
+    stars = scratch.save(stars.where(_sizes_allow(F.col("na"), F.col("nb"))).select("a", "b"), "stars")
+    sets = scratch.save(_candidate_sets(docs, scratch.save(met.select(F.col("b").alias("doc_id")).distinct(), "ids"), k), "sets")
+    scratch.drop("table", "buckets", "met", "ids")
     links = scratch.save(_verified(stars, sets), "links-1")
-    labels = components(links, scratch, "first")
-    labels = scratch.save(labels, "labels-1")
+    labels = scratch.save(components(links, scratch, "first"), "labels-1")
 
     # buckets that still hold several components
-    members = table.join(buckets.select("key", "members"), "key")
-    members = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    members = scratch.save(members, "members")
-    mixed = members.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("key")
-    rest = members.join(mixed, "key", "left_semi").join(classes.select("rep", "n", "sketch"), "rep")
-    pairs = _cross_pairs(rest).distinct().join(stars, ["a", "b"], "left_anti")
-    more = scratch.save(_verified(pairs, sets), "links-2")
+    known = classes.select("rep", "n", "sketch").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    members = live.join(known.withColumn("label", F.coalesce("label", "rep")), "rep")
+    asked = _together(_dealt(members)).mapInArrow(
+        _open_members, "first long, x int, y int, rep long, label long, partners array<long>"
+    )
+    asked = scratch.save(asked, "asked")
+    more = _together(asked.join(sets.withColumnRenamed("doc_id", "rep"), "rep")).mapInArrow(_confirm, "a long, b long")
+    more = scratch.save(more, "links-2")
     merged = scratch.save(components(links.unionByName(more), scratch, "second"), "labels-2")
-    scratch.drop("table", "buckets", "stars", "sets", "members", "links-1", "links-2", "labels-1")
+    scratch.drop("live", "stars", "sets", "asked", "links-1", "links-2", "labels-1")
 
     own = classes.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select(
         "n", "f1", "f2", F.coalesce("label", "rep").alias("component_id")
