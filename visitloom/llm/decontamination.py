@@ -86,8 +86,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> Da
     )
     docs = drop_clashing(documents, *ADDED)
     docs = docs.withColumn("n_words", F.when(F.col("text").isNull(), 0).otherwise(F.size(normalised_words(F.col("text")))).cast("long"))
-    same = docs["doc_id"].eqNullSafe(per_doc["hit_doc"]) & (F.xxhash64(docs["text"]) == per_doc["hit_key"])
-    out = docs.join(per_doc, same, "left").drop("hit_doc", "hit_key")
+    # hashed before the join, so that a text nobody asks for does not move
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
+    same = docs["doc_id"].eqNullSafe(per_doc["hit_doc"]) & (docs["text_key"] == per_doc["hit_key"])
+    out = docs.join(per_doc, same, "left").drop("hit_doc", "hit_key", "text_key")
     return (
         out.withColumn("hit_words", F.coalesce("hit_words", F.array().cast("array<int>")))
         .withColumn("items", F.coalesce("items", F.array().cast("array<string>")))

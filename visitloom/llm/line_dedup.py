@@ -4,7 +4,7 @@ A line is the set of its words. Tokens of a line are ordered by rarity, the coun
 from a sketch over all words of all texts (SKETCH counters, so rarity costs no join). Two lines
 of similarity T or more share a token within their prefixes, the |x| - ceil(T|x|) + 1 rarest
 tokens each; candidates meet there, if lengths, the positions of the shared token and the
-Hamming distance of 64-bit set signatures allow the similarity, all within the join. Survivors
+Hamming distance of 128-bit set signatures allow the similarity, all within the join. Survivors
 are verified on their full token sets. Lines with equal sets are one class and enter the join
 once. A line goes if an earlier line (by doc_id, then line number) is similar to it.
 
@@ -26,6 +26,11 @@ SKETCH = 1 << 16
 #: Similarity as a fraction.
 NUM, DEN = 9, 10
 HASH_BITS = 50
+#: Columns of the 128-bit signature: a token sets one bit in one of them.
+SIGNATURE = ("even", "odd")
+#: Up to so many ids or rows a side is broadcast, else the join shuffles.
+BROADCAST_PLACES = 2_000_000
+BROADCAST_ROWS = 400_000
 
 
 def _words(line: Column) -> Column:
@@ -71,58 +76,116 @@ def _earlier(a: str, b: str) -> Column:
     )
 
 
+def _signature() -> list[Column]:
+    """Bits of a line's tokens: the distance of two signatures is at most that of the sets."""
+
+    def part(k: int) -> Column:
+        def add(acc: Column, t: Column) -> Column:
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
+            return F.when(t.bitwiseAND(64) == 64 * k, acc.bitwiseOR(bit)).otherwise(acc)
+
+        return F.aggregate("tokens", F.lit(0).cast("long"), add)
+
+    return [part(k).alias(name) for k, name in enumerate(SIGNATURE)]
+
+
+def _near(x: str, y: str) -> Column:
+    """Lengths, the shared token's positions and the signatures allow the similarity of x and y."""
+    xn, yn = F.col(f"{x}.n"), F.col(f"{y}.n")
+    total = xn + yn
+    rest = F.least(xn - F.col(f"{x}.i"), yn - F.col(f"{y}.i"))
+    apart = sum(F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in SIGNATURE)
+    return (
+        (F.least(xn, yn) * DEN >= F.greatest(xn, yn) * NUM)
+        & (rest * (NUM + DEN) >= total * NUM)
+        & (apart * (NUM + DEN) <= total * (DEN - NUM))
+    )
+
+
+def _place(of: str) -> Column:
+    return F.struct(F.col(f"{of}.doc_id").alias("doc_id"), F.col(f"{of}.line_no").alias("line_no"))
+
+
+def _token_sets(docs: DataFrame, places: DataFrame, ranks: Column) -> DataFrame:
+    """(at, tokens, n) of the lines at these places, read from the texts again."""
+    wanted = places.distinct().groupBy("at.doc_id").agg(F.collect_list("at.line_no").alias("wanted"))
+    few = places.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES
+    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id")
+    # only the wanted lines of a text become rows
+    lines = texts.select("doc_id", F.split("text", "\n").alias("all"), F.explode("wanted").alias("line_no"))
+    lines = lines.select("doc_id", "line_no", F.get("all", F.col("line_no")).alias("line")).where("line is not null")
+    return _tokens(lines, ranks).select(F.struct("doc_id", "line_no").alias("at"), "tokens", "n")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Places of lines that full token sets show similar to the earlier line of a pair."""
+    both = F.size(F.array_intersect("a.tokens", "b.tokens"))
+    told = pairs.join(sets.alias("a"), F.col("later") == F.col("a.at")).join(sets.alias("b"), F.col("earlier") == F.col("b.at"))
+    return told.where(both * (NUM + DEN) >= (F.col("a.n") + F.col("b.n")) * NUM).select(F.col("later").alias("at")).distinct()
+
+
 def removed_lines(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, n_lines, removed) of each document with lines; removed lists line numbers from 0."""
+    """(doc_id, n_lines, removed) of each document with lines; removed lists line numbers from 0.
+
+    Only whether an earlier similar line exists matters. So each token's first line is tried
+    against the others first, which settles groups of copies without their pairs; lines that this
+    leaves open, and that have further candidates, then meet all of them.
+    """
     scratch = scratch or Scratch(documents.sparkSession, "lines")
     docs = documents.select("doc_id", "text")
     ranks = _rarity(docs)
     told = _tokens(_lines(docs), ranks)
     prefix = F.col("n") - F.expr(f"(n * {NUM} + {DEN - 1}) div {DEN}").cast("int") + 1
-    bits = F.aggregate("tokens", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
     lines = scratch.save(
         told.select(
             "doc_id", "line_no", "n", F.xxhash64("tokens").alias("c1"), F.xxhash64("tokens", F.lit(1)).alias("c2"),
-            F.when(F.col("n") > 0, F.slice("tokens", F.lit(1), prefix)).alias("prefix"), bits.alias("bits"),
+            F.when(F.col("n") > 0, F.slice("tokens", F.lit(1), prefix)).alias("prefix"), *_signature(),
         ),
         "lines",
     )
+    # a class of equal lines stands for all of them by its first line
     classes = lines.where("n > 0").groupBy("c1", "c2").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")
-    )
-    rows = classes.select("at.doc_id", "at.line_no", "n", "bits", F.posexplode("prefix").alias("i", "key"))
-    x, y = rows.alias("x"), rows.alias("y")
-    total = F.col("x.n") + F.col("y.n")
-    near = (
-        (F.col("x.key") == F.col("y.key"))
-        & _earlier("y", "x")
-        & (F.least("x.n", "y.n") * DEN >= F.greatest("x.n", "y.n") * NUM)
-        & ((1 + F.least(F.col("x.n") - F.col("x.i") - 1, F.col("y.n") - F.col("y.i") - 1)) * (NUM + DEN) >= total * NUM)
-        & (F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits"))) * (NUM + DEN) <= total * (DEN - NUM))
+        F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), *[F.first(b).alias(b) for b in SIGNATURE]
     )
-    pairs = x.join(y, near).select(
-        F.struct("x.doc_id", "x.line_no").alias("later"), F.struct("y.doc_id", "y.line_no").alias("earlier")
+    classes = scratch.save(classes.select("at.doc_id", "at.line_no", "n", *SIGNATURE, "prefix"), "classes")
+    places = scratch.save(lines.select("doc_id", "line_no", "n").distinct(), "places")
+    scratch.drop("lines")
+
+    rows = classes.select("doc_id", "line_no", "n", *SIGNATURE, F.posexplode("prefix").alias("i", "key"))
+    by_key = rows.repartition("key")  # one exchange for what follows
+    heads = by_key.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "n", *SIGNATURE, "i")).alias("h"))
+    x = by_key.join(heads, "key").select("key", "doc_id", "line_no", "n", *SIGNATURE, "i", "h").alias("x")
+    first = x.where(_earlier("h", "x") & _near("x", "h")).select(
+        F.lit("first").alias("kind"), _place("x").alias("later"), _place("h").alias("earlier"), "key", "n", *SIGNATURE, "i"
     )
-    pairs = scratch.save(pairs.distinct(), "pairs")
-
-    ends = pairs.select(F.col("later").alias("at")).unionByName(pairs.select(F.col("earlier").alias("at"))).distinct()
-    ends = ends.select("at.doc_id", "at.line_no")
-    texts = docs.join(ends.select("doc_id").distinct(), "doc_id", "left_semi")
-    wanted = _lines(texts).join(ends, ["doc_id", "line_no"], "left_semi")
-    sets = scratch.save(_tokens(wanted, ranks).select(F.struct("doc_id", "line_no").alias("at"), "tokens", "n"), "sets")
-    both = F.size(F.array_intersect("a.tokens", "b.tokens"))
-    same = pairs.join(sets.alias("a"), F.col("later") == F.col("a.at")).join(sets.alias("b"), F.col("earlier") == F.col("b.at"))
-    same = same.where(both * (NUM + DEN) >= (F.col("a.n") + F.col("b.n")) * NUM)
-    goes = scratch.save(same.select(F.col("later.doc_id").alias("doc_id"), F.col("later.line_no").alias("line_no")).distinct(), "goes")
-    scratch.drop("pairs", "sets")
+    further = x.join(
+        by_key.alias("y"),
+        (F.col("x.key") == F.col("y.key")) & _earlier("y", "x") & _near("x", "y") & (_place("y") != _place("h")),
+        "left_semi",
+    ).select(F.lit("further").alias("kind"), _place("x").alias("later"), F.lit(None).cast("struct<doc_id: bigint, line_no: int>").alias("earlier"), "key", "n", *SIGNATURE, "i")
+    met = scratch.save(first.unionByName(further), "met")
+
+    pairs = met.where("kind = 'first'").select("later", "earlier").distinct()
+    sets = scratch.save(_token_sets(docs, pairs.select(F.explode(F.array("later", "earlier")).alias("at")), ranks), "sets")
+    gone = scratch.save(_similar(pairs, sets), "gone")
+
+    left = met.where("kind = 'further'").join(gone.withColumnRenamed("at", "later"), "later", "left_anti")
+    left = scratch.save(left.select("later.doc_id", "later.line_no", "key", "n", *SIGNATURE, "i"), "left")
+    few = left.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    y = rows.alias("y")
+    rest = (F.broadcast(left) if few else left).alias("x").join(y, (F.col("x.key") == F.col("y.key")) & _earlier("y", "x") & _near("x", "y"))
+    rest = rest.select(_place("x").alias("later"), _place("y").alias("earlier")).distinct()
+    rest = scratch.save(rest.join(pairs, ["later", "earlier"], "left_anti"), "rest")
+    more = _token_sets(docs, rest.select(F.explode(F.array("later", "earlier")).alias("at")), ranks)
+    goes = scratch.save(gone.unionByName(_similar(rest, scratch.save(more, "more"))).select("at.doc_id", "at.line_no").distinct(), "goes")
+    scratch.drop("met", "sets", "gone", "left", "rest", "more")
 
-    firsts = lines.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
-    firsts = firsts.select(F.col("at.doc_id"), F.col("at.line_no"))
     # of a class only the first line stays, unless an earlier line is similar to it
-    stays = firsts.join(goes, ["doc_id", "line_no"], "left_anti").withColumn("stays", F.lit(True))
-    judged = lines.select("doc_id", "line_no", "n").join(stays, ["doc_id", "line_no"], "left")
-    gone = (F.col("n") > 0) & F.col("stays").isNull()
-    return judged.distinct().groupBy("doc_id").agg(
-        F.countDistinct("line_no").alias("n_lines"), F.array_sort(F.collect_set(F.when(gone, F.col("line_no")))).alias("removed")
+    stays = classes.select("doc_id", "line_no").join(goes, ["doc_id", "line_no"], "left_anti").withColumn("stays", F.lit(True))
+    judged = places.join(stays, ["doc_id", "line_no"], "left")
+    out = (F.col("n") > 0) & F.col("stays").isNull()
+    return judged.groupBy("doc_id").agg(
+        F.countDistinct("line_no").alias("n_lines"), F.array_sort(F.collect_set(F.when(out, F.col("line_no")))).alias("removed")
     )
 
 
