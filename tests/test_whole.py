@@ -33,3 +33,43 @@ def test_summaries_merge_every_visit(spark, tmp_path):
         want[actor] = (seconds + value * 10, level, [*places, place])
     got = registry.queries()["merged_summaries"](spark, _events(tmp_path, events))
     assert rows(got, "actor", "seconds", "level", "places") == sorted((a, s, v, ",".join(p)) for a, (s, v, p) in want.items())
+
+
+def _loot(value):
+    return int(value * 100)
+
+
+def test_readings_points_and_gold_take_every_row(spark, tmp_path):
+    kinds = ("view", "purchase", "error", "click")
+    events = [(i, i % 6, kinds[i * 5 % 7 % 4], 1000 + i * 37 % 900, i * 13 % 97, i) for i in range(1, 400)]
+    d = _events(tmp_path, events)
+    base = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp())
+    q = registry.queries()
+
+    readings = defaultdict(list)
+    for i, actor, place, s, value, _ in events:
+        readings[actor, place].append((base + s + value * 10, 0, _loot(value)))
+        readings[actor, place].append((base + s + 86400 * (i % 3 - 1), 1, value))
+    fresh = {k: max(v) for k, v in readings.items()}
+    assert rows(q["freshest_reading"](spark, d), "actor", "pot", "at", "depth", "total") == sorted((*k, *v) for k, v in fresh.items())
+    pots = {}
+    for (actor, pot), (at, _, total) in fresh.items():
+        pots.setdefault(pot, []).append((at, -actor, total))
+    want = [(p, max(v)[2] if p in ("purchase", "error") else sum(x[2] for x in v), min(x[0] for x in v), len(v)) for p, v in pots.items()]
+    assert rows(q["one_pot_rollup"](spark, d), "pot", "total", "oldest", "n_readings") == sorted(want)
+
+    bought = [e for e in events if e[2] == "purchase"]
+    gold = sum(_loot(e[4]) for e in events) + sum(e[4] * 10 for e in bought)
+    oldest = min([base + e[3] + e[4] * 10 for e in events] + [base + e[3] for e in bought])
+    assert rows(q["account_gold"](spark, d), "gold", "oldest", "n_readings") == [(gold, oldest, len(events) + len(bought))]
+
+    lo, hi = min(e[3] for e in bought), max(e[3] + e[4] * 10 for e in bought)
+    assert rows(q["bounded_points"](spark, d)) == sorted((e[0],) for e in events if e[2] == "view" and lo <= e[3] <= hi)
+
+
+def test_outer_join_reads_both_tables_whole(spark, tmp_path):
+    _write(tmp_path, "customer", {"c_custkey": pa.array([1, 2, 3, 4], pa.int64())})
+    d = _write(tmp_path, "orders", {"o_orderkey": pa.array([1, 2, 3, 4], pa.int64()), "o_custkey": pa.array([1, 1, 2, 9], pa.int64())})
+    got = registry.queries()["outer_join"](spark, d).fillna(-1)
+    want = [(1, 1, "both"), (1, 2, "both"), (2, 3, "both"), (3, -1, "customer"), (4, -1, "customer"), (-1, 4, "order")]
+    assert rows(got, "c_custkey", "o_orderkey", "side") == sorted(want)

@@ -27,7 +27,7 @@ deep AS (SELECT user_id AS actor, event_type AS pot, floor(value)::BIGINT AS tot
 
 def _readings(spark, d):
     shallow = visits(spark, d).select("actor", F.col("place").alias("pot"), F.col("loot").alias("total"), F.col("ended_at").alias("at"))
-    e = table(spark, d, "events").where("event_id % 2 = 0")
+    e = table(spark, d, "events")
     at = F.unix_seconds(F.col("ts").cast("timestamp")) + 86400 * (F.col("event_id") % 3 - 1)
     deep = e.select(F.col("user_id").alias("actor"), F.col("event_type").alias("pot"), F.floor("value").cast("long").alias("total"), at.alias("at"))
     return shallow, deep
@@ -67,8 +67,8 @@ SELECT sum(gold)::BIGINT AS gold, min("at") AS oldest, count(*) AS n_readings FR
 def account_gold(spark, d):
     v = visits(spark, d)
     return L.account_gold(
-        v.where("visit_id % 10 = 0").select(F.col("loot").alias("gold"), F.col("ended_at").alias("at")),
-        v.where("visit_id = 1").select(F.col("seconds").alias("gold"), F.col("started_at").alias("at")),
+        v.select(F.col("loot").alias("gold"), F.col("ended_at").alias("at")),
+        v.where("place = 'purchase'").select(F.col("seconds").alias("gold"), F.col("started_at").alias("at")),
     )
 
 

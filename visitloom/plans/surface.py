@@ -60,8 +60,8 @@ def sql_surface(spark, d):
 @query("""SELECT c_custkey, o_orderkey, CASE WHEN c_custkey IS NULL THEN 'order' WHEN o_orderkey IS NULL THEN 'customer' ELSE 'both' END AS side
 FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) c FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 3 = 0) o ON c_custkey = o_custkey""")
 def outer_join(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 2 = 0").select("c_custkey")
-    o = table(spark, d, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey")
+    c = table(spark, d, "customer").select("c_custkey")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     side = F.when(F.col("c_custkey").isNull(), "order").when(F.col("o_orderkey").isNull(), "customer").otherwise("both")
     return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "full").select("c_custkey", "o_orderkey", side.alias("side"))
 

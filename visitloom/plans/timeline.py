@@ -59,7 +59,7 @@ def compact_unanchored(spark, d):
 @query(f"""WITH {VISITS}, e AS (SELECT min(started_at) AS lo, max(ended_at) AS hi FROM visits WHERE place = 'purchase' AND visit_id % 50 = 0)
 SELECT visit_id AS point_id FROM visits, e WHERE place = 'view' AND started_at BETWEEN lo AND hi""")
 def bounded_points(spark, d):
-    s = visits(spark, d).where("place = 'purchase' and visit_id % 50 = 0").select(F.col("started_at").alias("lo"), F.col("ended_at").alias("hi"))
+    s = visits(spark, d).where("place = 'purchase'").select(F.col("started_at").alias("lo"), F.col("ended_at").alias("hi"))
     return R.bounded(_points(spark, d, "view"), s).select("point_id")
 
 
