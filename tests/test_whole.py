@@ -1,12 +1,14 @@
 """Registered queries do the whole job: held against plain Python on small fixtures."""
 
 import datetime as dt
+import random
 from collections import defaultdict
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from conftest import rows
 
+from visitloom.operators import timeline as T
 from visitloom.plans import registry
 
 
@@ -73,3 +75,25 @@ def test_outer_join_reads_both_tables_whole(spark, tmp_path):
     got = registry.queries()["outer_join"](spark, d).fillna(-1)
     want = [(1, 1, "both"), (1, 2, "both"), (2, 3, "both"), (3, -1, "customer"), (4, -1, "customer"), (-1, 4, "order")]
     assert rows(got, "c_custkey", "o_orderkey", "side") == sorted(want)
+
+
+def test_ends_close_the_newest_open_start(spark):
+    rng = random.Random(5)
+    marks = [(0, k, e, i, 100 + i, "SSEE"[i], bool(i % 2)) for k, e in (("x", None), ("y", 1)) for i in range(4)]
+    for log in range(1, 9):
+        marks += [(log, "x", rng.randrange(2), i, 100 + i, rng.choice("SSE" if log % 2 else "SEE"), rng.random() < 0.5) for i in range(40)]
+    opened, want = defaultdict(list), {}
+    for log, kind, enc, line, at, mark, ok in sorted(marks, key=lambda m: m[3]):
+        stack = opened[log, kind, enc]
+        if mark == "S":
+            want[log, kind, enc, line] = (at, None, None)
+            stack.append(line)
+        elif stack:
+            line = stack.pop()
+            want[log, kind, enc, line] = (want[log, kind, enc, line][0], at, ok)
+        else:
+            want[log, kind, enc, line] = (None, at, ok)
+    data = [(*m[:5], {"S": "START", "E": "END"}[m[5]], m[6]) for m in marks]
+    got = T.folded_fights(spark.createDataFrame(data, "log int, kind string, encounter_id int, line_no int, at long, mark string, success boolean"))
+    assert {tuple(r)[:4]: tuple(r)[4:] for r in got.select("log", "kind", "encounter_id", "line_no", "started_at", "ended_at", "success").collect()} == want
+    assert got.count() == len(want)

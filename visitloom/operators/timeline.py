@@ -104,19 +104,24 @@ def folded_fights(marks: DataFrame, by: str = "log") -> DataFrame:
     """Fights out of START and END marks: (log, kind, encounter_id, started_at, ended_at, success).
 
     Per log, kind and encounter an END closes the newest open START before it; an END without
-    START stands by its end alone, a START without END stays open. Each START counts the marks
-    so that the matching pair of a balanced run falls in one island, without leaving SQL.
+    START stands by its end alone, a START without END stays open. Marks nest: the depth is the
+    running sum of START = 1 and END = -1, floored at zero by taking off its running minimum. An
+    END that makes a new minimum finds nothing open; the others follow their START at one depth.
     """
     w = W.partitionBy(by, "kind", "encounter_id").orderBy("line_no")
-    before, after = F.lag("mark").over(w), F.lead("mark").over(w)
-    told = marks.withColumns({
-        "_next": after, "_prev": before, "_end": F.lead("at").over(w), "_ok": F.lead("success").over(w),
-    })
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    step = F.when(F.col("mark") == "START", 1).otherwise(-1)
+    told = marks.where("mark in ('START', 'END')").withColumn("_sum", F.sum(step).over(so_far))
+    told = told.withColumn("_low", F.least(F.min("_sum").over(so_far), F.lit(0)))
+    told = told.withColumn("_orphan", (F.col("mark") == "END") & (F.col("_low") < F.coalesce(F.lag("_low").over(w), F.lit(0))))
+    told = told.withColumn("_depth", F.col("_sum") - F.col("_low") + (F.col("mark") == "END").cast("int"))
+    pair = W.partitionBy(by, "kind", "encounter_id", "_orphan", "_depth").orderBy("line_no")
+    told = told.withColumns({"_next": F.lead("mark").over(pair), "_end": F.lead("at").over(pair), "_ok": F.lead("success").over(pair)})
     starts = told.where("mark = 'START'").select(
         by, "kind", "encounter_id", "line_no", F.col("at").alias("started_at"),
         F.when(F.col("_next") == "END", F.col("_end")).alias("ended_at"), F.when(F.col("_next") == "END", F.col("_ok")).alias("success"),
     )
-    orphans = told.where("mark = 'END' and not (_prev <=> 'START')").select(
+    orphans = told.where("_orphan").select(
         by, "kind", "encounter_id", "line_no", F.lit(None).cast(marks.schema["at"].dataType).alias("started_at"), F.col("at").alias("ended_at"), "success"
     )
     return starts.unionByName(orphans)
