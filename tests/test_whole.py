@@ -8,6 +8,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from conftest import rows
 
+from visitloom.operators import catalogue as C
+from visitloom.operators import sessions as S
 from visitloom.operators import timeline as T
 from visitloom.plans import registry
 
@@ -97,3 +99,28 @@ def test_ends_close_the_newest_open_start(spark):
     got = T.folded_fights(spark.createDataFrame(data, "log int, kind string, encounter_id int, line_no int, at long, mark string, success boolean"))
     assert {tuple(r)[:4]: tuple(r)[4:] for r in got.select("log", "kind", "encounter_id", "line_no", "started_at", "ended_at", "success").collect()} == want
     assert got.count() == len(want)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_few_are_ranked_in_two_levels(spark):
+    data = [(i % 3 or None, i * 37 % 500, i) for i in range(1000)]
+    got = C.first_few(spark.createDataFrame(data, "g int, k int, id int"), "g", ["k", "id"], "id", 4)
+    want = {g: [i for _, i in sorted((k, i) for h, k, i in data if h == g)[:4]] for g in (None, 1, 2)}
+    assert {r["_by"]: r["few"] for r in got.collect()} == want
+
+
+def test_no_group_is_gathered_whole(spark, sf_dir):
+    for name in ("points_by_category", "shape_siblings", "retention_piles"):
+        plan = _plan(registry.queries()[name](spark, sf_dir))
+        assert "collect_set" not in plan and plan.count("WindowGroupLimit") >= 2 and "_salt" in plan, name
+
+
+def test_session_cast_gathers_places_and_not_visits(spark):
+    data = [(1, 7, 100 + i, 101 + i, i, ("b", "a", None, "")[i % 4], 2, i % 9, 3) for i in range(40)] + [(1, 8, 5, 6, 99, None, 1, None, None)]
+    s = spark.createDataFrame(data, "session_no int, actor int, started_at int, ended_at int, visit_id int, place string, seconds int, level int, loot int")
+    got = S.session_cast(s, ("loot",))
+    assert "min(struct(started_at" in _plan(got)
+    assert [tuple(r) for r in got.select("actor", "seconds", "n_visits", "level", "places", "loot").orderBy("actor").collect()] == [(7, 80, 40, 8, "b,a", 120), (8, 1, 1, None, "", None)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from visitloom.functions.scalars import hunt
+from visitloom.operators.catalogue import first_few
 
 # Difficulties by which runs are recognised, and how much of a level counts as levelling.
 KEYSTONE_DIFFICULTY = 8
@@ -92,9 +93,9 @@ def retention_plan(logs: DataFrame, cursors: DataFrame, days: int, now: int) ->
 
 def piles(plan: DataFrame, most: int = 10) -> DataFrame:
     """Count, bytes and first names of each verdict."""
-    return plan.groupBy("verdict").agg(
-        F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.slice(F.array_sort(F.collect_list(F.struct("modified_at", "name"))), 1, most).alias("_f")
-    ).select("verdict", "n", "bytes", F.transform("_f", lambda x: x["name"]).alias("first_names"))
+    counts = plan.groupBy("verdict").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    few = first_few(plan, "verdict", ["modified_at", "name"], "name", most)
+    return counts.join(few, F.col("verdict").eqNullSafe(F.col("_by"))).select("verdict", "n", "bytes", F.col("few").alias("first_names"))
 
 
 def census_verdict(complete: Column, counted: Column, held: Column) -> tuple[Column, Column]:

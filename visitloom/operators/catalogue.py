@@ -9,6 +9,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ANY = 0xFFFF
+SALTS = 64
+
+
+def first_few(rows: DataFrame, by: str, order: list[str], value: str, most: int) -> DataFrame:
+    """For each group the values of its first ``most`` rows, as (_by, few).
+
+    Rows are ranked within salted parts of a group, then what is left of the parts among itself,
+    so no task orders or gathers a whole group.
+    """
+    left = rows.select(F.col(by).alias("_by"), F.struct(*order).alias("_order"), F.col(value).alias("_value"))
+    left = left.withColumn("_salt", F.pmod(F.xxhash64("_order", "_value"), F.lit(SALTS)))
+    for keys in (["_by", "_salt"], ["_by"]):
+        left = left.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy("_order", "_value"))).where(F.col("_rank") <= most)
+    few = F.array_sort(F.collect_list(F.struct("_rank", "_value")))
+    return left.groupBy("_by").agg(F.transform(few, lambda x: x["_value"]).alias("few"))
 
 
 def held_and_missing(catalogue: DataFrame, held: DataFrame, key: str) -> DataFrame:
@@ -20,13 +35,15 @@ def held_and_missing(catalogue: DataFrame, held: DataFrame, key: str) -> DataFra
 def by_category(catalogue: DataFrame, held: DataFrame, key: str, category: str, points: str, title: str, worst: int = 5) -> DataFrame:
     """For each category held and total counts and points, and the missing worth most first."""
     told = held_and_missing(catalogue, held, key)
-    lost = F.struct((-F.col(points)).alias("k"), F.col(title).alias("t"), F.col(key).alias("id"))
-    ordered = F.slice(F.array_sort(F.collect_list(F.when(~F.col("held"), lost))), 1, worst)
-    return told.groupBy(category).agg(
+    lost = told.where(~F.col("held")).withColumn("_k", -F.col(points))
+    few = first_few(lost, category, ["_k", title, key], key, worst)
+    counts = told.groupBy(category).agg(
         F.count_if("held").alias("held"), F.count("*").alias("total"),
         F.coalesce(F.sum(F.when(F.col("held"), F.col(points))), F.lit(0)).alias("held_points"), F.sum(points).alias("total_points"),
-        F.array_join(F.transform(ordered, lambda x: x["id"].cast("string")), ",").alias("missing"),
     )
+    both = counts.join(few, F.col(category).eqNullSafe(F.col("_by")), "left")
+    missing = F.coalesce(F.array_join(F.transform("few", lambda x: x.cast("string")), ","), F.lit(""))
+    return both.withColumn("missing", missing).drop("_by", "few")
 
 
 def points_earned(held: DataFrame, catalogue: DataFrame, key: str, worth: str, recorded: str) -> DataFrame:
@@ -102,7 +119,9 @@ def grid(rows: DataFrame, columns: DataFrame, states: DataFrame, keys: list[str]
 
 def siblings(rows: DataFrame, key: str, shape: str) -> DataFrame:
     """For each key how many others share its shape, and the smallest other."""
-    low = rows.groupBy(shape).agg(F.count("*").alias("_n"), F.slice(F.array_sort(F.collect_set(key)), 1, 2).alias("_low"))
+    few = first_few(rows.where(F.col(key).isNotNull()).select(shape, key).distinct(), shape, [key], key, 2)
+    counts = rows.groupBy(shape).agg(F.count("*").alias("_n"))
+    low = counts.join(few, F.col(shape) == F.col("_by"), "left").select(shape, "_n", F.col("few").alias("_low"))
     told = rows.join(low, shape)
     other = F.when(F.get("_low", F.lit(0)) == F.col(key), F.get("_low", F.lit(1))).otherwise(F.get("_low", F.lit(0)))
     return told.select(key, shape, (F.col("_n") - 1).alias("n_siblings"), other.alias("first_sibling"))

@@ -63,13 +63,19 @@ def session_totals(sessions: DataFrame, sums: tuple[str, ...] = (), by: tuple[st
 
 
 def session_cast(sessions: DataFrame, sums: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each actor of a session, places in first-seen order and levels by maximum."""
-    seen = F.array_sort(F.collect_list(F.struct("started_at", "ended_at", "visit_id", "place")))
-    return sessions.groupBy("session_no", "actor").agg(
+    """One row for each actor of a session, places in first-seen order and levels by maximum.
+
+    Visits are summed by place first, so that only an actor's distinct places are gathered.
+    """
+    per_place = sessions.groupBy("session_no", "actor", "place").agg(
+        F.min(F.struct("started_at", "ended_at", "visit_id")).alias("first"), F.sum("seconds").alias("seconds"), F.count("*").alias("n"), F.max("level").alias("level"), *[F.sum(c).alias(c) for c in sums]
+    )
+    named = F.when(F.col("place").isNotNull() & (F.col("place") != ""), F.struct("first", "place"))
+    return per_place.groupBy("session_no", "actor").agg(
         F.sum("seconds").alias("seconds"),
-        F.count("*").alias("n_visits"),
+        F.sum("n").alias("n_visits"),
         F.max("level").alias("level"),
-        F.array_join(F.array_distinct(F.filter(F.transform(seen, lambda s: s["place"]), lambda p: p.isNotNull() & (p != ""))), ",").alias("places"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(named)), lambda s: s["place"]), ",").alias("places"),
         *[F.sum(c).alias(c) for c in sums],
     )
 
