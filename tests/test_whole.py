@@ -124,3 +124,11 @@ def test_session_cast_gathers_places_and_not_visits(spark):
     got = S.session_cast(s, ("loot",))
     assert "min(struct(started_at" in _plan(got)
     assert [tuple(r) for r in got.select("actor", "seconds", "n_visits", "level", "places", "loot").orderBy("actor").collect()] == [(7, 80, 40, 8, "b,a", 120), (8, 1, 1, None, "", None)]
+
+
+def test_roots_are_found_twelve_steps_up(spark, tmp_path):
+    ids = [4**k for k in range(12)]
+    d = _write(tmp_path, "part", {
+        "p_partkey": pa.array(ids, pa.int64()), "p_brand": ["b"] * 12, "p_type": ["t"] * 12, "p_size": pa.array([1] * 12, pa.int64()),
+    })
+    assert rows(registry.queries()["unique_roots"](spark, d), "root", "subject", "leaf") == [(1, "t", 1)]

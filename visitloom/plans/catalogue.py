@@ -212,7 +212,7 @@ def hierarchy_path(spark, d):
 @query(_TREE + """ SELECT root, min(p_type) AS subject, min(l.id) AS leaf FROM last l JOIN part ON p_partkey = l.id WHERE r = 1 GROUP BY root HAVING count(DISTINCT p_type) = 1""")
 def unique_roots(spark, d):
     leaves = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_partkey").alias("leaf"), F.col("p_type").alias("subject"))
-    return C.unique_roots(leaves, _tree(spark, d), 8)
+    return C.unique_roots(leaves, _tree(spark, d))
 
 
 @query(_TREE + """, s AS (SELECT l.id, root, p_size % 3 AS mask, p_size AS ord FROM last l JOIN part ON p_partkey = l.id WHERE r = 1)
