@@ -14,7 +14,7 @@ from visitloom.llm.common import Scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language can be told, or none holds 40% of the mixture."""
+    """Drops documents in which no language can be told."""
     return language_id.keep_identified(docs)
 
 

@@ -257,8 +257,8 @@ def identify(documents: DataFrame, model: Model | None, keep: list[str] | None =
     return docs.mapInArrow(answer, schema)
 
 
-def keep_identified(documents: DataFrame, least: float = 0.4) -> DataFrame:
-    """Documents in which one language holds at least ``least`` of the mixture; own columns only."""
+def keep_identified(documents: DataFrame) -> DataFrame:
+    """Documents with a language in the selected set, however many share it; own columns only."""
     docs, own = aside(documents, "lang_pred", "score", "mixture")
     told = identify(docs, learn(documents))
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*own)
+    return told.where((F.col("lang_pred") != "und") & (F.size("mixture") > 0)).select(*own)
