@@ -9,7 +9,8 @@ entry and without those inside an exception, are summed, normalised by its lengt
 into a probability by a logistic curve fitted on the same rows.
 
 Labels are learned from at most MAX_LABELLED rows, taken in hash order of their ids (the
-bounded sample the contract allows); scoring reads every whole text.
+bounded sample the contract allows); that sample alone bounds the lexicon and the exceptions,
+of which none are cut. Scoring reads every whole text.
 
 Defined results: null and empty texts score as texts without hits; without labels of both
 kinds every score is the share of toxic labels (0 without labels); repeated rows score alike;
@@ -33,8 +34,6 @@ from visitloom.llm.common import drop_clashing
 from visitloom.session import ship
 
 MAX_LABELLED = 20_000
-MAX_ENTRIES = 4_000
-MAX_EXCEPTIONS = 1_000
 LEAST_WEIGHT = 2.5
 BEGINNINGS = (4, 5, 6, 7, 8)
 THRESHOLD = 0.7
@@ -209,9 +208,8 @@ def learn(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1.0)) - F.log((F.col("clean") + 0.5) / (good + 1.0))
     counted = _counted(rows, lambda t: _entries(set(t.split())), "entry string, toxic long, clean long")
     heavy = counted.where((F.col("toxic") >= least) & (odds >= LEAST_WEIGHT)).withColumn("weight", odds)
-    heavy = heavy.orderBy((F.col("weight") * F.log1p("toxic")).desc(), "entry").limit(2 * MAX_ENTRIES)
     entries = _pruned([(r["entry"], r["toxic"], r["clean"], r["weight"]) for r in heavy.collect()])
-    lexicon = Lexicon(dict(sorted(entries.items(), key=lambda x: (-x[1], x[0]))[:MAX_ENTRIES]))
+    lexicon = Lexicon(dict(sorted(entries.items(), key=lambda x: (-x[1], x[0]))))
 
     def phrases(folded: str) -> set[str]:
         out = set()
@@ -225,7 +223,7 @@ def learn(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
         return out
 
     around = _counted(rows, phrases, "entry string, toxic long, clean long")
-    excused = around.where((F.col("clean") >= 3) & (F.col("toxic") == 0)).orderBy(F.col("clean").desc(), "entry").limit(MAX_EXCEPTIONS)
+    excused = around.where((F.col("clean") >= 3) & (F.col("toxic") == 0)).orderBy(F.col("clean").desc(), "entry")
     lexicon = Lexicon(lexicon.weights, tuple(r["entry"] for r in excused.collect()))
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +246,7 @@ def score(documents: DataFrame, lexicon: Lexicon, keep: list[str] | None = None)
     ship(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     kept, text = [docs.columns.index(c) for c in keep], docs.columns.index("text")
-    held = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most MAX_ENTRIES + MAX_EXCEPTIONS entries
+    held = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by the words of max_labelled rows
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = held.value
