@@ -132,3 +132,16 @@ def test_roots_are_found_twelve_steps_up(spark, tmp_path):
         "p_partkey": pa.array(ids, pa.int64()), "p_brand": ["b"] * 12, "p_type": ["t"] * 12, "p_size": pa.array([1] * 12, pa.int64()),
     })
     assert rows(registry.queries()["unique_roots"](spark, d), "root", "subject", "leaf") == [(1, "t", 1)]
+
+
+def test_sorts_place_every_row(spark, tmp_path):
+    rng = random.Random(2)
+    names = {i: rng.choice(["", "Ab", "ab c", "zed", "Ma"]) + rng.choice(["", "x", "Y"]) for i in range(700)}
+    _write(tmp_path, "part", {"p_partkey": pa.array(list(names), pa.int64()), "p_name": list(names.values())})
+    segment = {i: rng.choice(["A", "B", None]) for i in range(80)}
+    d = _write(tmp_path, "customer", {"c_custkey": pa.array(list(segment), pa.int64()), "c_mktsegment": list(segment.values()), "c_acctbal": [1.0] * 80})
+    q = registry.queries()
+    want = sorted(names, key=lambda i: (names[i] == "", names[i].lower(), i))
+    assert [tuple(r) for r in q["named_first"](spark, d).select("p_partkey", "place").collect()] == [(i, k + 1) for k, i in enumerate(want)]
+    told = [r["c_custkey"] for r in q["column_sort"](spark, d).collect()]
+    assert told == sorted(segment, key=lambda i: ({"B": 0, "A": 1, None: 2}[segment[i]], i))

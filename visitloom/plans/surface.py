@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from visitloom.functions import scalars as X
 from visitloom.operators import nest as N
+from visitloom.operators import search as Q
 from visitloom.plans.base import VISITS, query
 from visitloom.sources.tables import register, table, visits
 
@@ -18,13 +18,13 @@ def third_page(spark, d):
 
 @query("""SELECT p_partkey, row_number() OVER (ORDER BY p_name = '' , lower(p_name), p_partkey)::INT AS place FROM part ORDER BY place LIMIT 100""")
 def named_first(spark, d):
-    top = table(spark, d, "part").orderBy(F.col("p_name") == "", F.lower("p_name"), "p_partkey").limit(100).select("p_partkey", "p_name")
-    return top.withColumn("place", F.row_number().over(W.orderBy(F.col("p_name") == "", F.lower("p_name"), "p_partkey"))).drop("p_name")
+    parts = table(spark, d, "part").select("p_partkey", "p_name")
+    return Q.placed(parts, [F.col("p_name") == "", F.lower("p_name"), F.col("p_partkey")]).drop("p_name").orderBy("place")
 
 
 @query("""SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment DESC NULLS LAST, c_custkey LIMIT 30""")
 def column_sort(spark, d):
-    return table(spark, d, "customer").orderBy(F.col("c_mktsegment").desc_nulls_last(), F.col("c_custkey").asc()).limit(30).select("c_custkey", "c_mktsegment", "c_acctbal")
+    return table(spark, d, "customer").orderBy(F.col("c_mktsegment").desc_nulls_last(), F.col("c_custkey").asc()).select("c_custkey", "c_mktsegment", "c_acctbal")
 
 
 @query("""WITH RECURSIVE n(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM n WHERE i < 150) SELECT i::INT AS i, (i * i)::INT AS sq FROM n""")
