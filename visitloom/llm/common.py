@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,12 +31,15 @@ class Scratch:
     """Tables written in the shared folder to cut lineage; they survive lost executors.
 
     ``save`` writes a DataFrame as Parquet and returns a fresh reader of it. ``drop`` deletes
-    a table that nothing will read again.
+    a table that nothing will read again. What an operator returns may still read its last
+    tables, so these stay until ``close``, which the caller of an operator can call on a
+    scratch of its own, or until the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        atexit.register(self._at_exit)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -45,11 +49,24 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(self.path(name))
+
+    def close(self) -> None:
+        """Delete all that is left; nothing made from this scratch can be read afterwards."""
+        atexit.unregister(self._at_exit)
+        self._delete(self.root)
+
+    def _delete(self, where: str) -> None:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _at_exit(self) -> None:
+        try:
+            self._delete(self.root)
+        except Exception:  # the session and its JVM may be gone already
+            pass
 
 
 def fold_az(col: Column) -> Column:
