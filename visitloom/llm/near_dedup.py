@@ -12,12 +12,21 @@ Texts with equal sets are one class and enter once, so groups of copies cost not
 bucket first proposes its smallest member against the others; verified links are joined into
 components. Where texts of different components still meet, blocks of bounded size compare
 them by their sketches and sizes, and what remains possible is counted on full sets in the same
-blocks. No pair of different components that meets in a table is left out; a bucket that is one
-component costs no pairs, and two components that are linked once are not compared further.
-
-Defined results: null texts and texts without words are linked with nothing; rows with equal
-doc_id are one document; rows without doc_id are linked with nothing, kept, and have a null
-component; an empty table gives an empty result.
+blocks. A first key that more than a block of open texts share is dealt by the full table keys
+instead, so that a hot half of a key makes no block pairs of its own. No pair of different
+components that meets in a table is left out; a bucket that is one component costs no pairs,
+and two components that are linked once are not compared further.
+
+Which side of a join is broadcast is left to Spark, which knows the sizes of the tables saved
+here; tables are saved before joins by a key that may be hot, so that adaptive execution can
+split them.
+
+Defined results: null texts and texts without words are linked with nothing; rows without
+doc_id are linked with nothing, kept, and have a null component; rows that repeat a doc_id with
+the same text are one document; with different texts each row is judged by its own text, under
+the smallest doc_id that its text reaches; ties need no rule, since links are exact; a very
+long text is hashed whole, in memory proportional to its length; other columns are not read,
+so names cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,8 +49,6 @@ HASHES = 2 * COLLECTIONS * HALF
 #: Of 48 minhashes so many agree at a similarity of 0.75 but for a probability of 1e-5.
 AGREE = 22
 BLOCK = 256
-#: Up to so many ids are broadcast to pick texts; beyond that the join shuffles.
-BROADCAST_IDS = 1_000_000
 NUM, DEN = 75, 100
 
 _MULT = mix(np.arange(1001, 1001 + HASHES, dtype=np.uint64)) | np.uint64(1)
@@ -67,8 +74,8 @@ def _profiles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             flat = sketch.tobytes()
             width = 4 * HASHES
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(size), pa.array(f1), pa.array(f2), pa.array([flat[i * width : (i + 1) * width] for i in range(n)], pa.binary())],
-                ["doc_id", "n", "f1", "f2", "sketch"],
+                [part.column(0), part.column(2), pa.array(size), pa.array(f1), pa.array(f2), pa.array([flat[i * width : (i + 1) * width] for i in range(n)], pa.binary())],
+                ["doc_id", "text_key", "n", "f1", "f2", "sketch"],
             )
 
 
@@ -78,7 +85,7 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             doc, s = shingle_sets(part.column(1), k)
             offsets = np.searchsorted(doc, np.arange(len(part) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(s.view(np.int64)))], ["doc_id", "set"]
+                [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(s.view(np.int64)))], ["rep", "set"]
             )
 
 
@@ -87,6 +94,11 @@ def _group_key(collection: int, i: int) -> Column:
     return F.substring("sketch", at, 4 * HALF)
 
 
+def _second_keys() -> Column:
+    """The full keys of all tables that begin with the first key, one for each j."""
+    return F.array(*[F.xxhash64(F.col("first"), F.lit(j), _group_key(1, j)) for j in range(COLLECTIONS)])
+
+
 def _sizes_allow(na: Column, nb: Column) -> Column:
     """Sizes alone allow the similarity."""
     return F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM
@@ -94,34 +106,48 @@ def _sizes_allow(na: Column, nb: Column) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose full sets reach the similarity."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
+    left = sets.select(F.col("rep").alias("a"), F.col("set").alias("sa"))
+    right = sets.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
     told = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
     return told.where(F.col("both") * DEN >= (F.size("sa") + F.size("sb") - F.col("both")) * NUM).select("a", "b")
 
 
-def _candidate_sets(documents: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """Full sets of the documents with these ids."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = documents.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    return texts.mapInArrow(lambda it: _sets(it, k), "doc_id long, set array<long>")
+def _candidate_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(rep, set): full sets of the texts at (doc_id, text_key)."""
+    texts = docs.join(wanted, ["doc_id", "text_key"]).select("rep", "text")
+    return texts.mapInArrow(lambda it: _sets(it, k), "rep long, set array<long>")
+
+
+def _several(members: DataFrame, key: str) -> DataFrame:
+    """Buckets that hold several components, with their sizes; buckets of two were tried in the first round."""
+    sized = members.groupBy(key).agg(F.count("*").alias("members"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+    return sized.where("l0 <> l1 and members > 2").select(key, "members")
 
 
-def _dealt(members: DataFrame) -> DataFrame:
-    """Members of each first-key bucket in pairs of blocks (x, y), so that a task's work is bounded.
+def _dealt(live: DataFrame, labels: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Members of buckets with several components, in pairs of blocks (x, y) that bound a task's work.
 
-    Buckets of two are left out: their only pair was tried in the first round.
+    A bucket is a first key; one with more than BLOCK members is dealt by its full keys, one for
+    each ``j``, instead.
     """
-    sized = members.groupBy("first").agg(F.count("*").alias("members"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-    sized = sized.where("l0 <> l1 and members > 2").select("first", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sized, "first").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    named = live.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    named = scratch.save(named.select("first", "i", "rep", F.coalesce("label", "rep").alias("label")), "named")
+    sized = scratch.save(_several(named, "first"), "sized")
+    still = scratch.save(named.join(sized, "first"), "open")
+    cool = still.where(F.col("members") <= BLOCK).select(F.col("first").alias("key"), F.lit(-1).alias("j"), "i", "rep", "label", "members")
+    hot = still.where(F.col("members") > BLOCK).drop("members").join(classes.select("rep", "sketch"), "rep")
+    hot = scratch.save(hot.select("i", "rep", "label", F.posexplode(_second_keys()).alias("j", "key")), "hot")
+    crowded = scratch.save(_several(hot, "key"), "crowded")
+    dealt = scratch.save(cool.unionByName(hot.join(crowded, "key")), "dealt").join(classes.select("rep", "n", "sketch"), "rep")
+    dealt = dealt.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("first", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "i", "block", "rep", "label", "n", "sketch")
+    return dealt.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "i", "j", "block", "rep", "label", "n", "sketch")
 
 
 def _together(df: DataFrame) -> DataFrame:
-    """Rows of a group (first, x, y) one after another in one partition."""
-    return df.repartition("first", "x", "y").sortWithinPartitions("first", "x", "y", "rep")
+    """Rows of a group (key, x, y) one after another in one partition."""
+    return df.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "rep")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -131,7 +157,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     for batch in batches:
         if not len(batch):
             continue
-        keys = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in ("first", "x", "y")])
+        keys = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "x", "y")])
         cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(batch)], strict=True):
             key = tuple(keys[lo])
@@ -151,23 +177,25 @@ def _numbers(group: pa.Table, name: str) -> np.ndarray:
 def _possible(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of the left block, of the right block, and which of their pairs may still be links.
 
-    Those of different components that meet in a table whose first key is this bucket's, and
-    in no table of an earlier first key (so each pair comes up once), and that sketches and
-    sizes leave possible.
+    Those of different components that meet in a table of this bucket's first key (in table
+    ``j`` if the bucket is a full key), and in no earlier table (so each pair comes up once),
+    and that sketches and sizes leave possible.
     """
-    x, y, i = (group.column(c)[0].as_py() for c in ("x", "y", "i"))
+    x, y, i, j = (group.column(c)[0].as_py() for c in ("x", "y", "i", "j"))
     block, n, label = _numbers(group, "block"), _numbers(group, "n"), _numbers(group, "label")
     left, right = np.flatnonzero(block == x), np.flatnonzero(block == y)
     sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint32).reshape(len(group), HASHES)
     equal = sketch[left][:, None, :] == sketch[right][None, :, :]
     whole = equal.reshape(len(left), len(right), 2 * COLLECTIONS, HALF).all(axis=3)
-    good = whole[:, :, COLLECTIONS:].any(axis=2) & ~whole[:, :, :i].any(axis=2) & (equal.sum(axis=2) >= AGREE)
+    second = whole[:, :, COLLECTIONS:]
+    met = second.any(axis=2) if j < 0 else second[:, :, j] & ~second[:, :, :j].any(axis=2)
+    good = met & ~whole[:, :, :i].any(axis=2) & (equal.sum(axis=2) >= AGREE)
     low, high = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
     good &= (low * DEN >= high * NUM) & (label[left][:, None] != label[right])
     return left, right, np.triu(good, 1) if x == y else good
 
 
-_ASKED = pa.schema([("first", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("rep", pa.int64()), ("label", pa.int64()), ("partners", pa.list_(pa.int64()))])
+_ASKED = pa.schema([("key", pa.int64()), ("x", pa.int32()), ("y", pa.int32()), ("rep", pa.int64()), ("label", pa.int64()), ("partners", pa.list_(pa.int64()))])
 
 
 def _open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +205,7 @@ def _open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         left, right, good = _possible(group)
         if good.any():
             rep, label = _numbers(group, "rep"), _numbers(group, "label")
-            key = tuple(group.column(c)[0].as_py() for c in ("first", "x", "y"))
+            key = tuple(group.column(c)[0].as_py() for c in ("key", "x", "y"))
             asks = {left[k]: rep[right[good[k]]] for k in np.flatnonzero(good.any(axis=1))}
             asks = {k: asks.get(k, []) for k in dict.fromkeys([*asks, *right[good.any(axis=0)]])}
             out += [(*key, rep[k], label[k], v) for k, v in asks.items()]
@@ -218,27 +246,24 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
 
-def near_duplicates(documents: DataFrame, k: int = 5, scratch: Scratch | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row."""
-    spark = documents.sparkSession
-    ship(spark)
-    scratch = scratch or Scratch(spark, "near")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _judged(documents: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, text_key, n, component_id) of each row."""
+    ship(documents.sparkSession)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     profiles = scratch.save(
-        docs.mapInArrow(lambda it: _profiles(it, k), "doc_id long, n long, f1 long, f2 long, sketch binary"), "profiles"
+        docs.mapInArrow(lambda it: _profiles(it, k), "doc_id long, text_key long, n long, f1 long, f2 long, sketch binary"), "profiles"
     )
     told = profiles.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = scratch.save(
-        told.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")), "classes"
-    )
+    # a class is known by a number of its own, since texts that differ may share a doc_id
+    classes = told.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("sketch").alias("sketch"))
+    classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("rep"), "at.*", "n", "f1", "f2", "sketch"), "classes")
 
     # the tables: (key, rep), for texts that share a first key with another text
     firsts = F.array(*[F.xxhash64(F.lit(i), _group_key(0, i)) for i in range(COLLECTIONS)])
     first = classes.select("rep", F.posexplode(firsts).alias("i", "first"))
-    shared = first.groupBy("first").agg(F.count("*").alias("c")).where("c > 1").select("first")
+    shared = scratch.save(first.groupBy("first").agg(F.count("*").alias("c")).where("c > 1").select("first"), "shared")
     live = scratch.save(first.join(shared, "first", "left_semi"), "live")
-    second = F.array(*[F.xxhash64(F.col("first"), F.lit(j), _group_key(1, j)) for j in range(COLLECTIONS)])
-    table = live.join(classes.select("rep", "sketch"), "rep").select("rep", F.explode(second).alias("key"))
+    table = live.join(classes.select("rep", "sketch"), "rep").select("rep", F.explode(_second_keys()).alias("key"))
     table = scratch.save(table, "table")
     buckets = scratch.save(
         table.groupBy("key").agg(F.min("rep").alias("least"), F.count("*").alias("c")).where("c > 1").select("key", "least"), "buckets"
@@ -251,36 +276,49 @@ def near_duplicates(documents: DataFrame, k: int = 5, scratch: Scratch | None =
     stars = met.where("a <> b").join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a")
     stars = stars.join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
     stars = scratch.save(stars.where(_sizes_allow(F.col("na"), F.col("nb"))).select("a", "b"), "stars")
-    sets = scratch.save(_candidate_sets(docs, scratch.save(met.select(F.col("b").alias("doc_id")).distinct(), "ids"), k), "sets")
-    scratch.drop("table", "buckets", "met", "ids")
+    wanted = met.select(F.col("b").alias("rep")).distinct().join(classes.select("rep", "doc_id", "text_key"), "rep")
+    sets = scratch.save(_candidate_sets(docs, scratch.save(wanted, "wanted"), k), "sets")
+    scratch.drop("shared", "table", "buckets", "met", "wanted")
     links = scratch.save(_verified(stars, sets), "links-1")
     labels = scratch.save(components(links, scratch, "first"), "labels-1")
 
     # buckets that still hold several components
-    known = classes.select("rep", "n", "sketch").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    members = live.join(known.withColumn("label", F.coalesce("label", "rep")), "rep")
-    asked = _together(_dealt(members)).mapInArrow(
-        _open_members, "first long, x int, y int, rep long, label long, partners array<long>"
+    asked = _together(_dealt(live, labels, classes, scratch)).mapInArrow(
+        _open_members, "key long, x int, y int, rep long, label long, partners array<long>"
     )
     asked = scratch.save(asked, "asked")
-    more = _together(asked.join(sets.withColumnRenamed("doc_id", "rep"), "rep")).mapInArrow(_confirm, "a long, b long")
+    more = _together(asked.join(sets, "rep")).mapInArrow(_confirm, "a long, b long")
     more = scratch.save(more, "links-2")
-    merged = scratch.save(components(links.unionByName(more), scratch, "second"), "labels-2")
-    scratch.drop("live", "stars", "sets", "asked", "links-1", "links-2", "labels-1")
+    merged = components(links.unionByName(more), scratch, "second")
 
-    own = classes.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "n", "f1", "f2", F.coalesce("label", "rep").alias("component_id")
-    )
-    with_words = told.select("doc_id", "n", "f1", "f2").join(own, ["n", "f1", "f2"])
-    without = profiles.where((F.col("n") == 0) | F.col("doc_id").isNull()).select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    out = with_words.select("doc_id", "n", "component_id").unionByName(without)
-    return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id",
-        F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
-    )
+    # a component is known by its smallest doc_id
+    named = classes.select("rep", "doc_id", "n", "f1", "f2").join(merged.withColumnRenamed("node", "rep"), "rep", "left")
+    named = scratch.save(named.withColumn("label", F.coalesce("label", "rep")), "labels-2")
+    scratch.drop("live", "stars", "sets", "named", "sized", "open", "hot", "crowded", "dealt", "asked", "links-1", "links-2", "labels-1")
+    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    own = scratch.save(named.join(least, "label").select("n", "f1", "f2", "component_id"), "components")
+    scratch.drop("classes", "labels-2")
+    with_words = told.select("doc_id", "text_key", "n", "f1", "f2").join(own, ["n", "f1", "f2"]).drop("f1", "f2")
+    without = profiles.where((F.col("n") == 0) | F.col("doc_id").isNull())
+    return with_words.unionByName(without.select("doc_id", "text_key", "n", F.col("doc_id").alias("component_id")))
+
+
+def _kept() -> Column:
+    return F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+
+
+def near_duplicates(documents: DataFrame, k: int = 5, scratch: Scratch | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row."""
+    judged = _judged(documents, k, scratch or Scratch(documents.sparkSession, "near"))
+    return judged.select("doc_id", F.col("n").alias("n_shingles"), "component_id", _kept().alias("kept"))
 
 
 def keep_one(documents: DataFrame, k: int = 5, scratch: Scratch | None = None) -> DataFrame:
-    """Documents without those that repeat a smaller document's text nearly; own columns only."""
-    gone = near_duplicates(documents, k, scratch).where(~F.col("kept")).select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    """Documents without those that repeat a smaller document's text nearly; own columns only.
+
+    Rows that repeat the document kept, in id and text, all stay.
+    """
+    gone = _judged(documents, k, scratch or Scratch(documents.sparkSession, "near")).where(~_kept())
+    gone = gone.select(F.col("doc_id").alias("gone_doc"), F.col("text_key").alias("gone_text")).distinct()
+    here = (F.col("doc_id").cast("long") == F.col("gone_doc")) & (F.xxhash64("text") == F.col("gone_text"))
+    return documents.join(gone, here, "left_anti")
