@@ -5,17 +5,27 @@ from a sketch over all words of all texts (SKETCH counters, so rarity costs no j
 of similarity T or more share a token within their prefixes, the |x| - ceil(T|x|) + 1 rarest
 tokens each; candidates meet there, if lengths, the positions of the shared token and the
 Hamming distance of 128-bit set signatures allow the similarity, all within the join. Survivors
-are verified on their full token sets. Lines with equal sets are one class and enter the join
-once. A line goes if an earlier line (by doc_id, then line number) is similar to it.
-
-Defined results: null texts have no lines; lines without words never match; equal rows of one
-doc_id count once, different rows of one doc_id share their line numbers; rows without doc_id
-are left as they are; an empty table gives an empty result; clashing columns are replaced.
+are verified on their words. Lines with equal sets are one class, known by two independent
+64-bit hashes of tokens and of words, and enter the join once; lines of fewer than NUM / (DEN -
+NUM) words can only equal each other and do not enter it. A line goes if an earlier line (by
+doc_id, then line number) is similar to it.
+
+A prefix token that HOT lines or more may share is not a key by itself: prefixes that are one
+token longer share at least two tokens, so such a token is joined in pairs with each other
+token of the longer prefix. Hot tokens are found by a sketch of counters, which both sides of a
+pair read alike. Which side of a join is broadcast is left to Spark, which knows the sizes of
+the tables saved here.
+
+Defined results: null texts have no lines; lines without words never match; of equal lines the
+first stays; equal rows of one doc_id count once, different rows of one doc_id share their line
+numbers; rows without doc_id are left as they are; an empty table gives an empty result;
+clashing columns are replaced; a very long text is split and exploded whole within its task.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,12 +35,13 @@ from visitloom.llm.common import Scratch, drop_clashing
 SKETCH = 1 << 16
 #: Similarity as a fraction.
 NUM, DEN = 9, 10
+#: Shorter lines are similar to no line but their equals.
+LEAST_WORDS = NUM // (DEN - NUM)
 HASH_BITS = 50
 #: Columns of the 128-bit signature: a token sets one bit in one of them.
 SIGNATURE = ("even", "odd")
-#: Up to so many ids or rows a side is broadcast, else the join shuffles.
-BROADCAST_PLACES = 2_000_000
-BROADCAST_ROWS = 400_000
+#: A token of so many lines' prefixes is joined in pairs with other tokens.
+HOT = 20_000
 
 
 def _words(line: Column) -> Column:
@@ -65,8 +76,8 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 
 def _tokens(lines: DataFrame, ranks: Column) -> DataFrame:
-    told = lines.select("doc_id", "line_no", _ordered(_words(F.col("line")), ranks).alias("tokens"))
-    return told.withColumn("n", F.size("tokens"))
+    told = lines.select("doc_id", "line_no", _words(F.col("line")).alias("words"))
+    return told.select("*", _ordered(F.col("words"), ranks).alias("tokens"), F.size("words").alias("n"))
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -86,7 +97,7 @@ def _signature() -> list[Column]:
 
         return F.aggregate("tokens", F.lit(0).cast("long"), add)
 
-    return [part(k).alias(name) for k, name in enumerate(SIGNATURE)]
+    return [part(k) for k in range(len(SIGNATURE))]
 
 
 def _near(x: str, y: str) -> Column:
@@ -106,20 +117,50 @@ def _place(of: str) -> Column:
     return F.struct(F.col(f"{of}.doc_id").alias("doc_id"), F.col(f"{of}.line_no").alias("line_no"))
 
 
-def _token_sets(docs: DataFrame, places: DataFrame, ranks: Column) -> DataFrame:
-    """(at, tokens, n) of the lines at these places, read from the texts again."""
+def _hot_tokens(classes: DataFrame) -> Callable[[Column], Column]:
+    """Whether a token falls to a counter that HOT lines' prefixes reach."""
+    counts = classes.select(F.explode("prefix").alias("t")).groupBy(F.col("t").bitwiseAND(SKETCH - 1).cast("int").alias("at")).count()
+    hot = [r["at"] for r in counts.where(F.col("count") >= HOT).collect()]  # SKETCH rows at most
+    flags = ["0"] * SKETCH
+    for at in hot:
+        flags[at] = "1"
+    table = F.split(F.lit(",".join(flags)), ",").cast("array<int>")
+    return lambda t: F.get(table, t.bitwiseAND(SKETCH - 1).cast("int")) == 1 if hot else F.lit(False)
+
+
+def _keys(classes: DataFrame) -> DataFrame:
+    """Lines by their keys: a prefix token, or a pair of a hot one and another of the longer prefix.
+
+    ``i`` is the token's position, of a pair that of its later token less one, so that in both
+    cases n - i bounds what a line shares if nothing rarer is shared.
+    """
+    is_hot = _hot_tokens(classes)
+    line = [*("doc_id", "line_no", "n"), *SIGNATURE]
+    told = classes.select(*line, "prefix", "longer", F.posexplode("prefix").alias("i", "token")).withColumn("hot", is_hot(F.col("token")))
+    single = told.where(~F.col("hot")).select(*line, "i", F.col("token").alias("key"))
+    other = told.where("hot").select(*line, "prefix", "i", "token", F.posexplode("longer").alias("k", "other"))
+    # a pair of two hot prefix tokens comes up from both; its earlier token speaks for it
+    twice = (F.col("k") < F.col("i")) & is_hot(F.col("other"))
+    pair = other.where((F.col("k") != F.col("i")) & ~twice).select(
+        *line, (F.greatest("i", "k") - 1).alias("i"), F.xxhash64(F.least("token", "other"), F.greatest("token", "other")).alias("key")
+    )
+    return single.unionByName(pair)
+
+
+def _word_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(at, words, n) of the lines at these places, read from the texts again."""
     wanted = places.distinct().groupBy("at.doc_id").agg(F.collect_list("at.line_no").alias("wanted"))
-    few = places.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id")
+    texts = docs.join(wanted, "doc_id")
     # only the wanted lines of a text become rows
     lines = texts.select("doc_id", F.split("text", "\n").alias("all"), F.explode("wanted").alias("line_no"))
     lines = lines.select("doc_id", "line_no", F.get("all", F.col("line_no")).alias("line")).where("line is not null")
-    return _tokens(lines, ranks).select(F.struct("doc_id", "line_no").alias("at"), "tokens", "n")
+    told = lines.select(F.struct("doc_id", "line_no").alias("at"), _words(F.col("line")).alias("words"))
+    return told.withColumn("n", F.size("words"))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Places of lines that full token sets show similar to the earlier line of a pair."""
-    both = F.size(F.array_intersect("a.tokens", "b.tokens"))
+    """Places of lines that their words show similar to the earlier line of a pair."""
+    both = F.size(F.array_intersect("a.words", "b.words"))
     told = pairs.join(sets.alias("a"), F.col("later") == F.col("a.at")).join(sets.alias("b"), F.col("earlier") == F.col("b.at"))
     return told.where(both * (NUM + DEN) >= (F.col("a.n") + F.col("b.n")) * NUM).select(F.col("later").alias("at")).distinct()
 
@@ -136,22 +177,23 @@ def removed_lines(documents: DataFrame, scratch: Scratch | None = None) -> DataF
     ranks = _rarity(docs)
     told = _tokens(_lines(docs), ranks)
     prefix = F.col("n") - F.expr(f"(n * {NUM} + {DEN - 1}) div {DEN}").cast("int") + 1
+    joins = F.col("n") >= LEAST_WORDS
     lines = scratch.save(
         told.select(
-            "doc_id", "line_no", "n", F.xxhash64("tokens").alias("c1"), F.xxhash64("tokens", F.lit(1)).alias("c2"),
-            F.when(F.col("n") > 0, F.slice("tokens", F.lit(1), prefix)).alias("prefix"), *_signature(),
+            "doc_id", "line_no", "n", F.xxhash64("tokens").alias("c1"), F.xxhash64(F.lit(1), F.sort_array("words")).alias("c2"),
+            F.when(joins, F.slice("tokens", F.lit(1), prefix + 1)).alias("longer"), *[F.when(joins, b).alias(n) for n, b in zip(SIGNATURE, _signature(), strict=True)],
         ),
         "lines",
     )
     # a class of equal lines stands for all of them by its first line
     classes = lines.where("n > 0").groupBy("c1", "c2").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), *[F.first(b).alias(b) for b in SIGNATURE]
+        F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("n").alias("n"), F.first("longer").alias("longer"), *[F.first(b).alias(b) for b in SIGNATURE]
     )
-    classes = scratch.save(classes.select("at.doc_id", "at.line_no", "n", *SIGNATURE, "prefix"), "classes")
+    classes = scratch.save(classes.select("at.doc_id", "at.line_no", "n", *SIGNATURE, "longer"), "classes")
     places = scratch.save(lines.select("doc_id", "line_no", "n").distinct(), "places")
     scratch.drop("lines")
 
-    rows = classes.select("doc_id", "line_no", "n", *SIGNATURE, F.posexplode("prefix").alias("i", "key"))
+    rows = _keys(classes.where(joins).withColumn("prefix", F.slice("longer", F.lit(1), prefix)))
     by_key = rows.repartition("key")  # one exchange for what follows
     heads = by_key.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "n", *SIGNATURE, "i")).alias("h"))
     x = by_key.join(heads, "key").select("key", "doc_id", "line_no", "n", *SIGNATURE, "i", "h").alias("x")
@@ -166,17 +208,16 @@ def removed_lines(documents: DataFrame, scratch: Scratch | None = None) -> DataF
     met = scratch.save(first.unionByName(further), "met")
 
     pairs = met.where("kind = 'first'").select("later", "earlier").distinct()
-    sets = scratch.save(_token_sets(docs, pairs.select(F.explode(F.array("later", "earlier")).alias("at")), ranks), "sets")
+    sets = scratch.save(_word_sets(docs, pairs.select(F.explode(F.array("later", "earlier")).alias("at"))), "sets")
     gone = scratch.save(_similar(pairs, sets), "gone")
 
     left = met.where("kind = 'further'").join(gone.withColumnRenamed("at", "later"), "later", "left_anti")
     left = scratch.save(left.select("later.doc_id", "later.line_no", "key", "n", *SIGNATURE, "i"), "left")
-    few = left.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     y = rows.alias("y")
-    rest = (F.broadcast(left) if few else left).alias("x").join(y, (F.col("x.key") == F.col("y.key")) & _earlier("y", "x") & _near("x", "y"))
+    rest = left.alias("x").join(y, (F.col("x.key") == F.col("y.key")) & _earlier("y", "x") & _near("x", "y"))
     rest = rest.select(_place("x").alias("later"), _place("y").alias("earlier")).distinct()
     rest = scratch.save(rest.join(pairs, ["later", "earlier"], "left_anti"), "rest")
-    more = _token_sets(docs, rest.select(F.explode(F.array("later", "earlier")).alias("at")), ranks)
+    more = _word_sets(docs, rest.select(F.explode(F.array("later", "earlier")).alias("at")))
     goes = scratch.save(gone.unionByName(_similar(rest, scratch.save(more, "more"))).select("at.doc_id", "at.line_no").distinct(), "goes")
     scratch.drop("met", "sets", "gone", "left", "rest", "more")
 
