@@ -1,13 +1,16 @@
 """Benchmark decontamination with a broadcast set of test n-grams [native].
 
 The windows of all benchmark items, ``n`` words each (an item with fewer words is one
-window), form a hash set that is broadcast after a check of its size. The scan slides a
-window over the words of each document, probes the set with a 64-bit hash of the window and
-verifies each probe hit word by word inside the join. Everything is DataFrame functions.
+window), form a hash set that is broadcast after a check of its size. One scan slides windows
+of every length that occurs over the words of each document, probes the set with a 64-bit hash
+of the window and verifies each probe hit word by word inside the join. A set over
+BROADCAST_BYTES is not broadcast: then only positions and window hashes are shuffled to the
+set, and what hits is verified on the texts afterwards. Everything is DataFrame functions.
 
 Defined results: null text has no words; empty benchmark means no hits; a window may occur
-in several items and counts for each; repeated rows get the same result each; input columns
-that clash with result columns are replaced.
+in several items and counts for each; repeated rows get the same result each; ties cannot
+arise; a very long text is split and its windows are exploded whole within its task; input
+columns that clash with result columns are replaced.
 """
 
 from __future__ import annotations
@@ -41,37 +44,45 @@ def test_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
     return grouped.withColumn("key", F.xxhash64("window"))
 
 
-def find_hits(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+def find_hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Verified occurrences: (doc_id, text_key, start, len, items), start counted from 1."""
     windows = test_windows(benchmark, n)
     facts = windows.groupBy("len").agg(
         F.count("*").alias("rows"),
         F.sum(F.length(F.array_join("window", "  ")) * 2 + F.length(F.array_join("items", "  ")) * 2 + 200).alias("bytes"),
     ).collect()  # at most n rows
-    fits = sum(r["bytes"] for r in facts) <= BROADCAST_BYTES
+    lengths = sorted(r["len"] for r in facts) or [n]
     docs = documents.select(
         "doc_id", F.xxhash64("text").alias("text_key"), normalised_words(F.col("text")).alias("words")
     )
-    found = None
-    for length in sorted(r["len"] for r in facts) or [n]:
-        last = F.size("words") - length + 1
-        at = docs.select(
-            "doc_id", "text_key", "words",
-            # outer: an inner explode makes Spark infer a filter that splits every text twice
-            F.explode_outer(F.when(last >= 1, F.sequence(F.lit(1), last))).alias("start"),
-        )
-        side = windows.where(F.col("len") == length)
-        side = F.broadcast(side) if fits else side
-        gram = F.slice("words", F.col("start"), F.lit(length))
-        hit = at.join(side, (F.xxhash64(gram) == F.col("key")) & (gram == F.col("window")))
-        hit = hit.select("doc_id", "text_key", "start", "len", "items")
-        found = hit if found is None else found.unionByName(hit)
-    return found
-
-
-def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+    at = _positions(docs, lengths)
+    gram = F.slice("words", F.col("start"), F.col("size"))
+    if sum(r["bytes"] for r in facts) <= broadcast_bytes:
+        hit = at.join(F.broadcast(windows), (F.xxhash64(gram) == F.col("key")) & (gram == F.col("window")))
+        return hit.select("doc_id", "text_key", "start", "len", "items")
+    hit = _probes(at).join(windows, "key").select(F.col("doc_id").alias("hit_doc"), F.col("text_key").alias("hit_key"), "start", "size", "len", "window", "items")
+    same = F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("text_key") == F.col("hit_key"))
+    return docs.join(hit.where("size = len"), same).where(gram == F.col("window")).select("doc_id", "text_key", "start", "len", "items")
+
+
+def _probes(at: DataFrame) -> DataFrame:
+    """Where each window stands and its hash; what is shuffled where the set is not broadcast."""
+    gram = F.slice("words", F.col("start"), F.col("size"))
+    return at.select("doc_id", "text_key", "start", "size", F.xxhash64(gram).alias("key"))
+
+
+def _positions(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """Documents with a row for each window, of each of these lengths, that their words hold."""
+    sizes = [F.lit(x) for x in lengths]
+    sized = docs.withColumn("size", sizes[0] if len(sizes) == 1 else F.explode(F.array(*sizes)))
+    last = F.size("words") - F.col("size") + 1
+    # outer: an inner explode makes Spark infer a filter that splits every text twice
+    return sized.withColumn("start", F.explode_outer(F.when(last >= 1, F.sequence(F.lit(1), last))))
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, n: int = 10, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Each document row with n_words, hit_words (array of word positions), items, contaminated."""
-    hits = find_hits(documents, benchmark, n)
+    hits = find_hits(documents, benchmark, n, broadcast_bytes)
     # Per document only; sets, so repeated rows of one document change nothing.
     per_doc = hits.groupBy("doc_id", "text_key").agg(
         F.collect_set(F.struct("start", "len")).alias("spans"), F.collect_set("items").alias("items")
