@@ -8,15 +8,22 @@ tolerance of its target, and the rest descend into the candidate's interval. Whe
 alone holds more than the tolerance (a hot group of copies), probing goes on within that key
 by doc_id, so no group can overfill a shard. Only then do rows move, once.
 
-The driver sees at most (shards - 1) * 2**BITS sums a round, whatever the input.
+A shard is numbered in cells, ranges of the key of about CELL rows, and a cell that a hot group
+fills in parts dealt by doc_id. Cells and parts are counted first, so a row's slot is its number
+within its part plus the rows of the parts before, and no shard needs to fit in one task.
 
-Defined results: null text counts no bytes; an empty table gives no shards; repeated rows
-stay together; a text larger than a shard's share fills its shard beyond the share, since
-rows are never cut; clashing columns are replaced.
+The driver sees at most (shards - 1) * 2**BITS sums a round, whatever the input; what is
+broadcast are the counts of at most 2**MAX_CELL_BITS + shards cells.
+
+Defined results: null text counts no bytes; an empty table gives no shards; equal texts (ties of
+the key) are ordered by doc_id, nulls first, and repeated rows stay together; a text larger than
+a shard's share fills its shard beyond the share, since rows are never cut; clashing columns are
+replaced.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from itertools import accumulate
 
@@ -31,6 +38,9 @@ BITS = 10
 #: A splitter may miss its target by this part of a shard.
 TOLERANCE = 0.005
 OVERHEAD = 16
+#: Rows of a shard are numbered in cells of about so many.
+CELL = 100_000
+MAX_CELL_BITS = 16
 
 
 def text_key(text: Column) -> Column:
@@ -135,16 +145,35 @@ def shard_column(marks: list[tuple[int, int | None]]) -> Column:
     return at
 
 
-def shard(documents: DataFrame, shards: int = 40, tolerance: float = TOLERANCE, scratch: Scratch | None = None) -> DataFrame:
-    """Documents with size, text_crc32, shard and slot; the rows move once, into their shards."""
+def _offsets(placed: DataFrame, scratch: Scratch, cell_rows: int) -> DataFrame:
+    """(shard, cell, parts, part, before): the cells' parts and the rows of the shard before each."""
+    cells = placed.groupBy("shard", "cell").agg(F.count("*").alias("rows"))
+    cells = scratch.save(cells.select("shard", "cell", F.ceil(F.col("rows") / cell_rows).cast("int").alias("parts")), "cells")
+    known = placed.join(F.broadcast(cells), ["shard", "cell"])  # at most 2**MAX_CELL_BITS + shards rows
+    parts = known.groupBy("shard", "cell", "parts", _part().alias("part")).agg(F.count("*").alias("rows"))
+    before = W.partitionBy("shard").orderBy("cell", "part").rowsBetween(W.unboundedPreceding, -1)
+    # a row for about cell_rows rows
+    return scratch.save(parts.select("shard", "cell", "parts", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before")), "offsets")
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.col("parts")).cast("int")
+
+
+def shard(documents: DataFrame, shards: int = 40, tolerance: float = TOLERANCE, cell_rows: int = CELL, scratch: Scratch | None = None) -> DataFrame:
+    """Documents with size, text_crc32, shard and slot; the rows move once, into their cells."""
     scratch = scratch or Scratch(documents.sparkSession, "shard")
-    docs = drop_clashing(documents, "size", "text_crc32", "shard", "slot", "key")
+    docs = drop_clashing(documents, "size", "text_crc32", "shard", "slot", "key", "cell", "part", "parts", "before")
     keyed = docs.select("*", byte_size(F.col("text")).alias("size"), text_key(F.col("text")).alias("key"))
     sizes = scratch.save(keyed.select("key", F.col("doc_id").cast("long").alias("doc_id"), "size"), "sizes")
     marks = splitters(sizes, shards, tolerance)
-    scratch.drop("sizes")
-    placed = keyed.withColumn("shard", shard_column(marks)).withColumn(
-        "text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    )
-    inside = W.partitionBy("shard").orderBy("key", F.col("doc_id").asc_nulls_first())
-    return placed.withColumn("slot", (F.row_number().over(inside) - 1).cast("long")).drop("key")
+    bits = min(MAX_CELL_BITS, max(1, math.ceil(sizes.count() / cell_rows)).bit_length())
+    where = {"shard": shard_column(marks), "cell": F.shiftright("key", KEY_BITS - bits).cast("int")}
+    offsets = _offsets(sizes.withColumns(where), scratch, cell_rows)
+    scratch.drop("sizes", "cells")
+    cells = offsets.select("shard", "cell", "parts").distinct()  # at most 2**MAX_CELL_BITS + shards rows
+    placed = keyed.withColumns(where).withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    placed = placed.join(F.broadcast(cells), ["shard", "cell"]).withColumn("part", _part())
+    inside = W.partitionBy("shard", "cell", "part").orderBy("key", F.col("doc_id").asc_nulls_first())
+    numbered = placed.withColumn("number", F.row_number().over(inside) - 1).join(offsets.drop("parts"), ["shard", "cell", "part"])
+    return numbered.select(*docs.columns, "size", "text_crc32", "shard", (F.col("number") + F.col("before")).cast("long").alias("slot"))
