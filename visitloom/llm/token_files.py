@@ -8,19 +8,23 @@ memory-mapped file gives any sequence or mask without a copy. Files get their fi
 when complete, and the name depends on the partition alone: a task that runs again after a
 lost executor replaces its own file.
 
-Encoding is memoised by word. The vocabulary never merges across the pieces into which its own
-rule splits a text, so the tokenizers library encodes each piece once and later occurrences are
-looked up. Texts beyond Latin letters and printable ASCII are split only before a space that a
+Encoding is memoised by word. A byte-level vocabulary never merges across the pieces into which
+its own rule splits a text, so the tokenizers library encodes each piece once and later
+occurrences are looked up; this holds for files that state that rule and no normaliser, and any
+other file's texts are encoded whole. Texts beyond Latin letters and printable ASCII are split only before a space that a
 visible character follows, where a piece begins whatever stands around; texts that hold an added
 token are encoded whole.
 
 Defined results: null text is empty and yields the end id alone; null ids come first; rows
-with equal ids keep each its own entry; an empty table writes no files; further columns are
-not read.
+with equal ids keep each its own entry, in the order of a hash of their texts, which also parts
+them between tasks if one id is on very many rows; an empty table writes no files; further
+columns are not read, so names cannot clash; a very long text is encoded whole and its ids lie
+across as many sequences as they need.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -63,6 +67,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = _dtype(self.tokenizer.get_vocab_size())
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_pieces = _splits_as_known(self.tokenizer)
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -74,7 +79,7 @@ class Encoder:
 
     def _pieces(self, text: str) -> list[str]:
         """Pieces of a text whose ids, one after another, are the ids of the text."""
-        if any(a in text for a in self.added):
+        if not self.by_pieces or any(a in text for a in self.added):
             return [text]
         if not self._not_plain.search(text):
             return self._plain_pieces.findall(text)
@@ -105,6 +110,16 @@ class Encoder:
         return [np.frombuffer(b"".join(map(look.__getitem__, ws)), self.dtype) for ws in pieces]
 
 
+def _splits_as_known(tokenizer) -> bool:
+    """Whether the file states the byte-level splitting rule that ``Encoder`` knows, and nothing else."""
+    stated = json.loads(tokenizer.to_str())
+    rule = stated.get("pre_tokenizer") or {}
+    known = rule.get("type") == "ByteLevel" and rule.get("use_regex", True) and not rule.get("add_prefix_space")
+    plain = not any(stated.get(k) for k in ("normalizer", "post_processor", "truncation", "padding"))
+    # added tokens that strip spaces around them or match within a normalised text are found whole only
+    return known and plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in stated.get("added_tokens", []))
+
+
 class _File:
     """One file of sequences and its index, while they are written."""
 
@@ -174,8 +189,8 @@ def _dtype(vocabulary: int):
 def write(documents: DataFrame, tokenizer: str, folder: str, length: int = SEQUENCE, end: int = END) -> DataFrame:
     """Write the files; returns their manifest rows (name, docs, tokens). ``folder`` is a URI."""
     ship(documents.sparkSession)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.at(tokenizer)
