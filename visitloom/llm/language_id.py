@@ -1,8 +1,9 @@
 """Language identification by multilingual mixture inference.
 
 Training counts byte trigrams of each language over every labelled document that the rule
-admits; grams are hashed to ``BUCKETS`` buckets, so what reaches the driver is languages x
-BUCKETS counts whatever the input (more than MAX_LANGUAGES labels raise an error).
+admits; grams are hashed to ``BUCKETS`` buckets, so what reaches the driver is at most languages
+x BUCKETS counts whatever the number of documents, and the model that is broadcast is a quarter
+of a megabyte a language.
 
 For a document, expectation-maximisation finds the proportions of all languages that best
 explain its grams. The set of languages is then grown in the order of those proportions as
@@ -11,9 +12,10 @@ PENALTY * log(grams). Since the full mixture bounds what any set can reach, most
 are settled by one comparison. The prediction is the largest proportion within the set.
 
 Defined results: null texts, and texts without a letter, are ``und`` with score 0; ties go to
-the smaller language name; if nothing could be learned every text is ``und``; texts are read
-whole, in pieces, so a very long text needs memory for its own bytes and bounded counts;
-repeated rows are answered alike; clashing columns are replaced.
+the smaller language name; if nothing could be learned every text is ``und``; rows without
+doc_id are answered and never learned from; texts are read whole, in pieces, so a very long text
+needs memory for its own bytes and bounded counts; repeated rows are answered alike; clashing
+columns are replaced.
 """
 
 from __future__ import annotations
@@ -31,7 +33,6 @@ from visitloom.llm.common import aside, drop_clashing
 from visitloom.session import ship
 
 BUCKETS = 1 << 15
-MAX_LANGUAGES = 256
 #: Likelihood gain that a further language must bring, in units of log(number of grams).
 PENALTY = 3.0
 ROUNDS = 12
@@ -127,8 +128,6 @@ def _count_languages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             flat = np.bincount(index[doc] * BUCKETS + bucket, count, len(names) * BUCKETS)
             for k, name in enumerate(names):
                 totals[name] = totals.get(name, 0) + flat[k * BUCKETS : (k + 1) * BUCKETS].astype(np.int64)
-            if len(totals) > MAX_LANGUAGES:
-                raise ValueError(f"more than {MAX_LANGUAGES} languages in one task")
     for name, counts in totals.items():
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays(
@@ -202,10 +201,8 @@ def learn(documents: DataFrame) -> Model | None:
     rows = documents.where(admitted(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = rows.select("lang", "text").mapInArrow(_count_languages, "lang string, bucket int, n long")
     summed = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = summed.limit((MAX_LANGUAGES + 1) * BUCKETS).toArrow()
+    table = summed.toArrow()  # languages x BUCKETS rows at most
     names = sorted(set(table.column("lang").to_pylist()))
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not names:
         return None
     matrix = np.zeros((len(names), BUCKETS))

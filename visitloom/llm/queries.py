@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     told = language_id.identify(docs.select("doc_id", "text"), language_id.learn(docs), keep=["doc_id"])
-    held_out = ~language_id.admitted(F.col("doc_id"))
+    held_out = F.coalesce(~language_id.admitted(F.col("doc_id")), F.lit(False))  # a null id has no remainder
     return told.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.map_keys("mixture").alias("languages"))
 
 
@@ -77,7 +77,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = toxicity.learn(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     told = toxicity.score(docs, lexicon, keep=["doc_id"])
-    held_out = ~toxicity.admitted(F.col("doc_id"))
+    held_out = F.coalesce(~toxicity.admitted(F.col("doc_id")), F.lit(False))  # a null id has no remainder
     return told.select("doc_id", held_out.alias("held_out"), "score", "predicted", "hits")
 
 

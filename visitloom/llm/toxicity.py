@@ -2,19 +2,22 @@
 
 Texts are folded first: case, full-width letters, letters of other scripts that look Latin,
 and digits or signs that stand for letters inside words (``l``, ``1`` and ``|`` all become
-``i``). The lexicon is learned from labelled rows: whole words and word beginnings weigh the
-log-odds of toxic against clean documents that hold them. Phrases around a lexicon word that
+``i``). The lexicon is learned from labelled rows: whole words of any length, and beginnings of
+BEGINNINGS letters, weigh the log-odds of toxic against clean documents that hold them. Phrases around a lexicon word that
 only clean documents use become exceptions. A document's hits, each word by its heaviest
 entry and without those inside an exception, are summed, normalised by its length, and turned
 into a probability by a logistic curve fitted on the same rows.
 
 Labels are learned from at most MAX_LABELLED rows, taken in hash order of their ids (the
-bounded sample the contract allows); that sample alone bounds the lexicon and the exceptions,
-of which none are cut. Scoring reads every whole text.
+bounded sample the contract allows) and joined with their texts once; that sample alone bounds
+the lexicon and the exceptions, of which none are cut. Scoring reads every whole text.
 
 Defined results: null and empty texts score as texts without hits; without labels of both
-kinds every score is the share of toxic labels (0 without labels); repeated rows score alike;
-clashing columns are replaced.
+kinds every score is the share of toxic labels (0 without labels); a document labelled both ways
+counts for both; rows without doc_id are scored and never learned from; of entries that begin at
+one place the heaviest counts, and equal weights (a tie) count once; repeated rows score alike;
+a very long text is folded and matched whole within its task; an empty table gives an empty
+result; clashing columns are replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from visitloom.llm.common import drop_clashing
+from visitloom.llm.common import Scratch, drop_clashing
 from visitloom.session import ship
 
 MAX_LABELLED = 20_000
@@ -71,7 +74,7 @@ def admitted(doc_id: Column) -> Column:
 
 def _entries(words: set[str]) -> set[str]:
     """Lexicon candidates of a document: `` word `` and `` begin``."""
-    out = {f" {w} " for w in words if 3 <= len(w) <= 40}
+    out = {f" {w} " for w in words}
     for w in words:
         for n in BEGINNINGS:
             if len(w) > n:
@@ -191,7 +194,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, ...]
     return tuple(float(v) for v in w)
 
 
-def learn(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Lexicon:
+def learn(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, scratch: Scratch | None = None) -> Lexicon:
     """Lexicon, exceptions and curve, from the admitted labelled rows."""
     spark = documents.sparkSession
     ship(spark)
@@ -199,10 +202,13 @@ def learn(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
     sample = usable.select("doc_id", "toxic").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_labelled)
     # a bounded side: max_labelled rows of two numbers
     rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
+    scratch = scratch or Scratch(spark, "toxic")
+    rows = scratch.save(rows, "labelled")  # read three times, each text of the sample once a pass
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad, good = n.get(1, 0), n.get(0, 0)
     if not bad or not good:
         prior = bad / (bad + good) if bad + good else 0.0
+        scratch.drop("labelled")
         return Lexicon(curve=(float(np.log(prior + 1e-12) - np.log(1 - prior + 1e-12)), 0.0, 0.0))
     least = 2 if bad < 100 else 4 if bad < 500 else 6
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1.0)) - F.log((F.col("clean") + 0.5) / (good + 1.0))
@@ -235,6 +241,7 @@ def learn(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABEL
             )
 
     told = rows.mapInArrow(points, "toxic int, a double, b double").toArrow()  # max_labelled rows
+    scratch.drop("labelled")
     x = np.column_stack([told.column("a").to_numpy(), told.column("b").to_numpy()])
     return Lexicon(lexicon.weights, lexicon.exceptions, _fit(x, told.column("toxic").to_numpy().astype(float)))
 
