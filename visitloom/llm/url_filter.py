@@ -10,12 +10,15 @@ column expressions over bit arrays alone; no join touches the pages.
 
 Size bound: level 0 uses a false-positive rate of sqrt(1/2) * listed / unlisted and later
 levels 1/2, so each level holds at most about the number of listed keys, with
-log2(universe / listed) bits each at level 0. ``MAX_BITS`` is checked; more listed keys than
-that allows raise an error.
+log2(universe / listed) bits each at level 0. A level's bits are one literal of the plan, at
+most ``MAX_BITS``; longer lists, and keys that hashing can't part within MAX_LEVELS, are looked
+up by a shuffled join of the universe instead, exact too.
 
 Defined results: null urls and urls without ``://`` have empty host and path and fit no rule;
-no fitting rule means allow; an empty rule list allows all; repeated rows are answered alike;
-clashing columns are replaced.
+no fitting rule means allow; an empty rule list allows all; of rules that are the same key the
+last one counts, and of two fitting keys of one length (a tie) the greater by code point; a very
+long url asks for no more keys than a short one; an empty table gives an empty result; repeated
+rows are answered alike; clashing columns are replaced.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-MAX_BITS = 1 << 26
+MAX_BITS = 1 << 23
 MAX_LEVELS = 64
 WORD = 62  # bits used of each long
 
@@ -64,7 +67,8 @@ def _bit(key: Column, salt: int, j: int, bits: int) -> Column:
 
 def passes(key: Column, level: Level) -> Column:
     """Whether a level lets a key pass."""
-    words = F.array(*[F.lit(w).cast("long") for w in level.words])
+    # one foldable literal; an array of literals would be an expression for each word
+    words = F.split(F.lit(",".join(map(str, level.words))), ",").cast("array<bigint>")
     out = F.lit(True)
     for j in range(level.hashes):
         at = _bit(key, level.salt, j, level.bits)
@@ -73,6 +77,10 @@ def passes(key: Column, level: Level) -> Column:
     return out
 
 
+class TooLong(ValueError):
+    """The listed keys do not fit a cascade of the bound asked for."""
+
+
 class Cascade:
     """Exact membership of ``listed`` keys among the keys of ``universe``."""
 
@@ -80,24 +88,28 @@ class Cascade:
         self.levels = levels
 
     @classmethod
-    def build(cls, listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS) -> Cascade:
-        """Both have one column ``key`` of distinct keys; ``universe`` is read once a level."""
-        inside = listed.select("key").distinct()
-        outside = universe.join(inside, "key", "left_anti")  # at build time; asking needs no join
+    def build(cls, listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS, scratch: Scratch | None = None, name: str = "cascade") -> Cascade:
+        """Both have one column ``key``, of distinct keys; what a level lets pass is saved for the next."""
+        scratch = scratch or Scratch(universe.sparkSession, "urls")
+        inside = scratch.save(listed.select("key").distinct(), f"{name}-in")
+        outside = scratch.save(universe.join(inside, "key", "left_anti"), f"{name}-out")  # at build time; asking needs no join
         n_in, n_out = inside.count(), outside.count()
+        made = [f"{name}-in", f"{name}-out"]
         levels: list[Level] = []
         encode, against, size, rate = inside, outside, n_in, min(0.5, math.sqrt(0.5) * n_in / max(n_out, 1))
-        while size:
-            if len(levels) >= MAX_LEVELS:
-                raise ValueError("the cascade does not end: keys share all their hash values")
-            bits = max(WORD, math.ceil(size * math.log2(1 / max(rate, 1e-12)) / math.log(2)))
-            if bits > max_bits:
-                raise ValueError(f"{size} keys need {bits} bits, over the bound of {max_bits}")
-            level = cls._level(encode, bits, max(1, round(math.log2(1 / max(rate, 1e-12)))), len(levels))
-            levels.append(level)
-            # what passes wrongly is encoded next, and asked against what this level encoded
-            encode, against = against.where(passes(F.col("key"), level)), encode
-            size, rate = encode.count(), 0.5
+        try:
+            while size:
+                bits = max(WORD, math.ceil(size * math.log2(1 / max(rate, 1e-12)) / math.log(2)))
+                if bits > max_bits or len(levels) >= MAX_LEVELS:
+                    raise TooLong(f"{size} keys at level {len(levels)} need {bits} bits, over the bound of {max_bits}")
+                levels.append(cls._level(encode, bits, max(1, round(math.log2(1 / max(rate, 1e-12)))), len(levels)))
+                # what passes wrongly is encoded next, and asked against what this level encoded
+                wrong = scratch.save(against.where(passes(F.col("key"), levels[-1])), f"{name}-{len(levels)}")
+                made.append(f"{name}-{len(levels)}")
+                encode, against = wrong, encode
+                size, rate = encode.count(), 0.5
+        finally:
+            scratch.drop(*made)
         return cls(levels)
 
     @staticmethod
@@ -131,10 +143,19 @@ def candidate_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) ->
     return F.array_compact(F.array(*one))
 
 
-def judge(pages: DataFrame, rules=RULES, default: str = "allow", scratch: Scratch | None = None) -> DataFrame:
+def _rule_table(pages: DataFrame, rules) -> DataFrame:
+    """(key, verdict) of each distinct rule."""
+    last = {h + p: v for v, h, p in rules}
+    return pages.sparkSession.createDataFrame(list(last.items()), "key string, verdict string")
+
+
+def _longest(keys: Column) -> Column:
+    return F.array_max(F.transform(keys, lambda k: F.struct(F.char_length(k).alias("n"), k.alias("k"))))["k"]
+
+
+def judge(pages: DataFrame, rules=RULES, default: str = "allow", max_bits: int = MAX_BITS, scratch: Scratch | None = None) -> DataFrame:
     """Pages with host, path, rule and verdict. The longest fitting rule wins; its text is the key."""
     scratch = scratch or Scratch(pages.sparkSession, "urls")
-    spark = pages.sparkSession
     docs = drop_clashing(pages, "host", "path", "rule", "verdict")
     docs = docs.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     if not rules:
@@ -142,13 +163,27 @@ def judge(pages: DataFrame, rules=RULES, default: str = "allow", scratch: Scratc
     shapes = sorted({(h.count(".") + 1, len(p)) for _, h, p in rules}, key=lambda s: (-s[0], -s[1]))
     keys = candidate_keys(F.col("host"), F.col("path"), shapes)
     universe = scratch.save(docs.select(F.explode(keys).alias("key")).distinct(), "universe")
-    make = lambda verdicts: spark.createDataFrame([(h + p,) for v, h, p in rules if v in verdicts], "key string")
-    every = {v for v, _, _ in rules}
-    listed = Cascade.build(make(every), universe)
-    blocked = Cascade.build(make({"block"}), universe)
-    scratch.drop("universe")
-    fits = F.filter(keys, lambda k: listed.contains(k))
-    longest = F.array_max(F.transform(fits, lambda k: F.struct(F.char_length(k).alias("n"), k.alias("k"))))["k"]
-    docs = docs.withColumn("rule", longest)
+    table = _rule_table(pages, rules)
+    try:
+        listed = Cascade.build(table, universe, max_bits, scratch, "listed")
+        # only listed keys are asked for their verdict
+        present = scratch.save(universe.join(table, "key"), "present")
+        blocked = Cascade.build(table.where("verdict = 'block'"), present.select("key"), max_bits, scratch, "blocked")
+    except TooLong:
+        return _joined(docs, keys, universe, table, default, scratch)
+    scratch.drop("universe", "present")
+    docs = docs.withColumn("rule", _longest(F.filter(keys, lambda k: listed.contains(k))))
     verdict = F.when(F.col("rule").isNull(), default).otherwise(F.when(blocked.contains(F.col("rule")), "block").otherwise("allow"))
     return docs.withColumn("verdict", verdict)
+
+
+def _joined(docs: DataFrame, keys: Column, universe: DataFrame, table: DataFrame, default: str, scratch: Scratch) -> DataFrame:
+    """The same answer for lists beyond a cascade: distinct (host, path) ask the list by a join."""
+    places = docs.select("host", "path").distinct().select("host", "path", F.explode(keys).alias("key"))
+    found = scratch.save(universe.join(table, "key"), "found")
+    best = places.join(found, "key").groupBy("host", "path").agg(
+        F.max(F.struct(F.char_length("key").alias("n"), "key", "verdict")).alias("best")
+    )
+    best = scratch.save(best.select("host", "path", F.col("best.key").alias("rule"), F.col("best.verdict").alias("verdict")), "best")
+    out = docs.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
+    return out.select(*docs.columns, "rule", "verdict")
