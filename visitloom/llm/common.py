@@ -69,6 +69,20 @@ class Scratch:
             pass
 
 
+#: A side of a join is broadcast below this many estimated bytes.
+BROADCAST_BYTES = 16 << 20
+
+
+def small_side(saved: DataFrame, width: int) -> DataFrame:
+    """A saved table as the side of a join that is asked, its rows taking about ``width`` bytes.
+
+    It is broadcast if its counted rows stay within BROADCAST_BYTES. Beyond that the join is a
+    shuffled hash join built on this side, so that texts on the other side need no sort.
+    """
+    rows = BROADCAST_BYTES // width
+    return F.broadcast(saved) if saved.limit(rows + 1).count() <= rows else saved.hint("shuffle_hash")
+
+
 def fold_az(col: Column) -> Column:
     """Lower-case A-Z and nothing else.
 

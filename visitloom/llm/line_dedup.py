@@ -5,16 +5,17 @@ from a sketch over all words of all texts (SKETCH counters, so rarity costs no j
 of similarity T or more share a token within their prefixes, the |x| - ceil(T|x|) + 1 rarest
 tokens each; candidates meet there, if lengths, the positions of the shared token and the
 Hamming distance of 128-bit set signatures allow the similarity, all within the join. Survivors
-are verified on their words. Lines with equal sets are one class, known by two independent
-64-bit hashes of tokens and of words, and enter the join once; lines of fewer than NUM / (DEN -
-NUM) words can only equal each other and do not enter it. A line goes if an earlier line (by
+are verified on their words. Lines with equal words in one order are one class, known by two
+independent 64-bit hashes of tokens and of words, and enter the join once; equal sets in another
+order are found by the join as any similar line is. Lines of fewer than NUM / (DEN - NUM) words can
+only equal each other and do not enter the join, so their order does not count. A line goes if an earlier line (by
 doc_id, then line number) is similar to it.
 
 A prefix token that HOT lines or more may share is not a key by itself: prefixes that are one
 token longer share at least two tokens, so such a token is joined in pairs with each other
 token of the longer prefix. Hot tokens are found by a sketch of counters, which both sides of a
-pair read alike. Which side of a join is broadcast is left to Spark, which knows the sizes of
-the tables saved here.
+pair read alike. Texts are read again by a side that is broadcast within a checked size, and else
+by a shuffled hash join.
 
 Defined results: null texts have no lines; lines without words never match; of equal lines the
 first stays; equal rows of one doc_id count once, different rows of one doc_id share their line
@@ -30,7 +31,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import Scratch, drop_clashing
+from visitloom.llm.common import Scratch, drop_clashing, small_side
 
 SKETCH = 1 << 16
 #: Similarity as a fraction.
@@ -147,10 +148,10 @@ def _keys(classes: DataFrame) -> DataFrame:
     return single.unionByName(pair)
 
 
-def _word_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
+def _word_sets(docs: DataFrame, places: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(at, words, n) of the lines at these places, read from the texts again."""
     wanted = places.distinct().groupBy("at.doc_id").agg(F.collect_list("at.line_no").alias("wanted"))
-    texts = docs.join(wanted, "doc_id")
+    texts = docs.join(small_side(scratch.save(wanted, name), 48), "doc_id")
     # only the wanted lines of a text become rows
     lines = texts.select("doc_id", F.split("text", "\n").alias("all"), F.explode("wanted").alias("line_no"))
     lines = lines.select("doc_id", "line_no", F.get("all", F.col("line_no")).alias("line")).where("line is not null")
@@ -180,7 +181,7 @@ def removed_lines(documents: DataFrame, scratch: Scratch | None = None) -> DataF
     joins = F.col("n") >= LEAST_WORDS
     lines = scratch.save(
         told.select(
-            "doc_id", "line_no", "n", F.xxhash64("tokens").alias("c1"), F.xxhash64(F.lit(1), F.sort_array("words")).alias("c2"),
+            "doc_id", "line_no", "n", F.xxhash64("tokens").alias("c1"), F.xxhash64(F.lit(1), F.when(joins, F.col("words")).otherwise(F.sort_array("words"))).alias("c2"),
             F.when(joins, F.slice("tokens", F.lit(1), prefix + 1)).alias("longer"), *[F.when(joins, b).alias(n) for n, b in zip(SIGNATURE, _signature(), strict=True)],
         ),
         "lines",
@@ -208,18 +209,18 @@ def removed_lines(documents: DataFrame, scratch: Scratch | None = None) -> DataF
     met = scratch.save(first.unionByName(further), "met")
 
     pairs = met.where("kind = 'first'").select("later", "earlier").distinct()
-    sets = scratch.save(_word_sets(docs, pairs.select(F.explode(F.array("later", "earlier")).alias("at"))), "sets")
+    sets = scratch.save(_word_sets(docs, pairs.select(F.explode(F.array("later", "earlier")).alias("at")), scratch, "wanted-1"), "sets")
     gone = scratch.save(_similar(pairs, sets), "gone")
 
     left = met.where("kind = 'further'").join(gone.withColumnRenamed("at", "later"), "later", "left_anti")
     left = scratch.save(left.select("later.doc_id", "later.line_no", "key", "n", *SIGNATURE, "i"), "left")
     y = rows.alias("y")
-    rest = left.alias("x").join(y, (F.col("x.key") == F.col("y.key")) & _earlier("y", "x") & _near("x", "y"))
+    rest = small_side(left, 80).alias("x").join(y, (F.col("x.key") == F.col("y.key")) & _earlier("y", "x") & _near("x", "y"))
     rest = rest.select(_place("x").alias("later"), _place("y").alias("earlier")).distinct()
     rest = scratch.save(rest.join(pairs, ["later", "earlier"], "left_anti"), "rest")
-    more = _word_sets(docs, rest.select(F.explode(F.array("later", "earlier")).alias("at")))
+    more = _word_sets(docs, rest.select(F.explode(F.array("later", "earlier")).alias("at")), scratch, "wanted-2")
     goes = scratch.save(gone.unionByName(_similar(rest, scratch.save(more, "more"))).select("at.doc_id", "at.line_no").distinct(), "goes")
-    scratch.drop("met", "sets", "gone", "left", "rest", "more")
+    scratch.drop("met", "sets", "gone", "left", "rest", "more", "wanted-1", "wanted-2")
 
     # of a class only the first line stays, unless an earlier line is similar to it
     stays = classes.select("doc_id", "line_no").join(goes, ["doc_id", "line_no"], "left_anti").withColumn("stays", F.lit(True))
