@@ -17,9 +17,9 @@ instead, so that a hot half of a key makes no block pairs of its own. No pair of
 components that meets in a table is left out; a bucket that is one component costs no pairs,
 and two components that are linked once are not compared further.
 
-Which side of a join is broadcast is left to Spark, which knows the sizes of the tables saved
-here; tables are saved before joins by a key that may be hot, so that adaptive execution can
-split them.
+Texts are fetched by a side that is broadcast within a checked size and else by a shuffled hash
+join; other broadcasts are left to Spark, which knows the sizes of the tables saved here. Tables
+are saved before joins by a key that may be hot, so that adaptive execution can split them.
 
 Defined results: null texts and texts without words are linked with nothing; rows without
 doc_id are linked with nothing, kept, and have a null component; rows that repeat a doc_id with
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import Scratch
+from visitloom.llm.common import Scratch, small_side
 from visitloom.llm.components import components
 from visitloom.llm.shingles import chunks, mix, shingle_sets
 from visitloom.session import ship
@@ -114,7 +114,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _candidate_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(rep, set): full sets of the texts at (doc_id, text_key)."""
-    texts = docs.join(wanted, ["doc_id", "text_key"]).select("rep", "text")
+    texts = docs.join(small_side(wanted, 48), ["doc_id", "text_key"]).select("rep", "text")
     return texts.mapInArrow(lambda it: _sets(it, k), "rep long, set array<long>")
 
 
