@@ -26,9 +26,8 @@ clashing columns are replaced; a very long text is split and exploded whole with
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from visitloom.llm.common import Scratch, drop_clashing, small_side
@@ -42,7 +41,7 @@ HASH_BITS = 50
 #: Columns of the 128-bit signature: a token sets one bit in one of them.
 SIGNATURE = ("even", "odd")
 #: A token of so many lines' prefixes is joined in pairs with other tokens.
-HOT = 20_000
+HOT = 50_000
 
 
 def _words(line: Column) -> Column:
@@ -118,15 +117,10 @@ def _place(of: str) -> Column:
     return F.struct(F.col(f"{of}.doc_id").alias("doc_id"), F.col(f"{of}.line_no").alias("line_no"))
 
 
-def _hot_tokens(classes: DataFrame) -> Callable[[Column], Column]:
-    """Whether a token falls to a counter that HOT lines' prefixes reach."""
+def _hot_counters(classes: DataFrame) -> list[int]:
+    """Counters, by the low bits of a token, that HOT lines' prefixes reach."""
     counts = classes.select(F.explode("prefix").alias("t")).groupBy(F.col("t").bitwiseAND(SKETCH - 1).cast("int").alias("at")).count()
-    hot = [r["at"] for r in counts.where(F.col("count") >= HOT).collect()]  # SKETCH rows at most
-    flags = ["0"] * SKETCH
-    for at in hot:
-        flags[at] = "1"
-    table = F.split(F.lit(",".join(flags)), ",").cast("array<int>")
-    return lambda t: F.get(table, t.bitwiseAND(SKETCH - 1).cast("int")) == 1 if hot else F.lit(False)
+    return [r["at"] for r in counts.where(F.col("count") >= HOT).collect()]  # SKETCH rows at most
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -135,17 +129,25 @@ def _keys(classes: DataFrame) -> DataFrame:
     ``i`` is the token's position, of a pair that of its later token less one, so that in both
     cases n - i bounds what a line shares if nothing rarer is shared.
     """
-    is_hot = _hot_tokens(classes)
-    line = [*("doc_id", "line_no", "n"), *SIGNATURE]
-    told = classes.select(*line, "prefix", "longer", F.posexplode("prefix").alias("i", "token")).withColumn("hot", is_hot(F.col("token")))
-    single = told.where(~F.col("hot")).select(*line, "i", F.col("token").alias("key"))
-    other = told.where("hot").select(*line, "prefix", "i", "token", F.posexplode("longer").alias("k", "other"))
+    line = ["doc_id", "line_no", "n", *SIGNATURE]
+    hot = _hot_counters(classes)
+    if not hot:
+        return classes.select(*line, F.posexplode("prefix").alias("i", "key"))
+    flags = ["0"] * SKETCH
+    for at in hot:
+        flags[at] = "1"
+    table = F.split(F.lit(",".join(flags)), ",").cast("array<int>")  # one foldable literal
+    is_hot = lambda t: F.get(table, t.bitwiseAND(SKETCH - 1).cast("int")) == 1
+    told = classes.select(*line, "longer", F.posexplode("prefix").alias("i", "token"))
+    others = F.when(is_hot(F.col("token")), F.sequence(F.lit(0), F.size("longer") - 1)).otherwise(F.array(F.lit(-1)))
+    told = told.select("*", F.explode(others).alias("k")).withColumn("other", F.get("longer", F.col("k")))
     # a pair of two hot prefix tokens comes up from both; its earlier token speaks for it
-    twice = (F.col("k") < F.col("i")) & is_hot(F.col("other"))
-    pair = other.where((F.col("k") != F.col("i")) & ~twice).select(
-        *line, (F.greatest("i", "k") - 1).alias("i"), F.xxhash64(F.least("token", "other"), F.greatest("token", "other")).alias("key")
+    twice = (F.col("k") >= 0) & ((F.col("k") == F.col("i")) | ((F.col("k") < F.col("i")) & is_hot(F.col("other"))))
+    pair = F.xxhash64(F.least("token", "other"), F.greatest("token", "other"))
+    alone = F.col("k") < 0
+    return told.where(~twice).select(
+        *line, F.when(alone, F.col("i")).otherwise(F.greatest("i", "k") - 1).alias("i"), F.when(alone, F.col("token")).otherwise(pair).alias("key")
     )
-    return single.unionByName(pair)
 
 
 def _word_sets(docs: DataFrame, places: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -196,8 +198,8 @@ def removed_lines(documents: DataFrame, scratch: Scratch | None = None) -> DataF
 
     rows = _keys(classes.where(joins).withColumn("prefix", F.slice("longer", F.lit(1), prefix)))
     by_key = rows.repartition("key")  # one exchange for what follows
-    heads = by_key.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "n", *SIGNATURE, "i")).alias("h"))
-    x = by_key.join(heads, "key").select("key", "doc_id", "line_no", "n", *SIGNATURE, "i", "h").alias("x")
+    head = F.first(F.struct("doc_id", "line_no", "n", *SIGNATURE, "i")).over(W.partitionBy("key").orderBy("doc_id", "line_no"))
+    x = by_key.withColumn("h", head).alias("x")
     first = x.where(_earlier("h", "x") & _near("x", "h")).select(
         F.lit("first").alias("kind"), _place("x").alias("later"), _place("h").alias("earlier"), "key", "n", *SIGNATURE, "i"
     )
