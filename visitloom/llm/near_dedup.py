@@ -246,6 +246,25 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
 
+def _numbered(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """Classes with ``rep``, a number of their own, and whether texts that differ share a doc_id.
+
+    A class is known by its smallest doc_id, so that the first document of a bucket is the one that
+    the others are compared with; where several classes have the same, one keeps it and the others
+    get numbers that are no doc_id.
+    """
+    twice = classes.groupBy("doc_id").agg(F.count("*").alias("c"), F.min("text_key").alias("keeps")).where("c > 1")
+    twice = scratch.save(twice.select(F.col("doc_id").alias("twice"), "keeps"), "twice")
+    if not twice.limit(1).count():
+        return classes.withColumn("rep", F.col("doc_id")), False
+    ends = classes.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    free = F.monotonically_increasing_id()
+    free = F.lit(ends["hi"] + 1) + free if ends["hi"] < 1 << 61 else F.lit(ends["lo"] - 1) - free
+    told = classes.join(twice, classes["doc_id"] == twice["twice"], "left")
+    keeps = F.col("twice").isNull() | (F.col("text_key") == F.col("keeps"))
+    return scratch.save(told.select(F.when(keeps, F.col("doc_id")).otherwise(free).alias("rep"), *classes.columns), "classes"), True
+
+
 def _judged(documents: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """(doc_id, text_key, n, component_id) of each row."""
     ship(documents.sparkSession)
@@ -254,9 +273,8 @@ def _judged(documents: DataFrame, k: int, scratch: Scratch) -> DataFrame:
         docs.mapInArrow(lambda it: _profiles(it, k), "doc_id long, text_key long, n long, f1 long, f2 long, sketch binary"), "profiles"
     )
     told = profiles.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    # a class is known by a number of its own, since texts that differ may share a doc_id
     classes = told.groupBy("n", "f1", "f2").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("sketch").alias("sketch"))
-    classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("rep"), "at.*", "n", "f1", "f2", "sketch"), "classes")
+    classes, shared_ids = _numbered(scratch.save(classes.select("at.*", "n", "f1", "f2", "sketch"), "found"), scratch)
 
     # the tables: (key, rep), for texts that share a first key with another text
     firsts = F.array(*[F.xxhash64(F.lit(i), _group_key(0, i)) for i in range(COLLECTIONS)])
@@ -291,13 +309,14 @@ def _judged(documents: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     more = scratch.save(more, "links-2")
     merged = components(links.unionByName(more), scratch, "second")
 
-    # a component is known by its smallest doc_id
+    # a component is known by its smallest doc_id, which its label is if classes are known by theirs
     named = classes.select("rep", "doc_id", "n", "f1", "f2").join(merged.withColumnRenamed("node", "rep"), "rep", "left")
     named = scratch.save(named.withColumn("label", F.coalesce("label", "rep")), "labels-2")
-    scratch.drop("live", "stars", "sets", "named", "sized", "open", "hot", "crowded", "dealt", "asked", "links-1", "links-2", "labels-1")
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    own = scratch.save(named.join(least, "label").select("n", "f1", "f2", "component_id"), "components")
-    scratch.drop("classes", "labels-2")
+    scratch.drop("live", "stars", "sets", "named", "sized", "open", "hot", "crowded", "dealt", "asked", "links-1", "links-2", "labels-1", "found", "classes")
+    own = named.withColumnRenamed("label", "component_id")
+    if shared_ids:
+        own = named.join(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label")
+    own = own.select("n", "f1", "f2", "component_id")
     with_words = told.select("doc_id", "text_key", "n", "f1", "f2").join(own, ["n", "f1", "f2"]).drop("f1", "f2")
     without = profiles.where((F.col("n") == 0) | F.col("doc_id").isNull())
     return with_words.unionByName(without.select("doc_id", "text_key", "n", F.col("doc_id").alias("component_id")))
