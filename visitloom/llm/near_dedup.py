@@ -13,7 +13,7 @@ bucket first proposes its smallest member against the others; verified links are
 components. Where texts of different components still meet, blocks of bounded size compare
 them by their sketches and sizes, and what remains possible is counted on full sets in the same
 blocks. A first key that more than a block of open texts share is dealt by the full table keys
-instead, so that a hot half of a key makes no block pairs of its own. No pair of different
+instead, where that takes fewer rows, so that a hot half of a key makes no block pairs of its own. No pair of different
 components that meets in a table is left out; a bucket that is one component costs no pairs,
 and two components that are linked once are not compared further.
 
@@ -127,18 +127,25 @@ def _several(members: DataFrame, key: str) -> DataFrame:
 def _dealt(live: DataFrame, labels: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """Members of buckets with several components, in pairs of blocks (x, y) that bound a task's work.
 
-    A bucket is a first key; one with more than BLOCK members is dealt by its full keys, one for
-    each ``j``, instead.
+    A bucket is a first key. One with more than BLOCK members is dealt by its full keys, one for
+    each ``j``, instead, if the full keys that hold several components take fewer rows than the
+    pairs of blocks of the first key would; where none does, nothing is left to compare.
     """
     named = live.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     named = scratch.save(named.select("first", "i", "rep", F.coalesce("label", "rep").alias("label")), "named")
     sized = scratch.save(_several(named, "first"), "sized")
     still = scratch.save(named.join(sized, "first"), "open")
-    cool = still.where(F.col("members") <= BLOCK).select(F.col("first").alias("key"), F.lit(-1).alias("j"), "i", "rep", "label", "members")
-    hot = still.where(F.col("members") > BLOCK).drop("members").join(classes.select("rep", "sketch"), "rep")
-    hot = scratch.save(hot.select("i", "rep", "label", F.posexplode(_second_keys()).alias("j", "key")), "hot")
+    hot = still.where(F.col("members") > BLOCK).join(classes.select("rep", "sketch"), "rep")
+    hot = scratch.save(hot.select("first", "i", "rep", "label", F.col("members").alias("all"), F.posexplode(_second_keys()).alias("j", "key")), "hot")
     crowded = scratch.save(_several(hot, "key"), "crowded")
-    dealt = scratch.save(cool.unionByName(hot.join(crowded, "key")), "dealt").join(classes.select("rep", "n", "sketch"), "rep")
+    full = scratch.save(hot.join(crowded, "key"), "full")
+    rows = lambda m: F.col(m) * F.ceil(F.col(m) / BLOCK)
+    dear = full.groupBy("first", "all").agg(F.sum(F.ceil(F.col("members") / BLOCK)).alias("rows")).where(F.col("rows") >= rows("all"))
+    dear = scratch.save(dear.select("first"), "dear")
+    by_first = still.where(F.col("members") <= BLOCK).unionByName(still.where(F.col("members") > BLOCK).join(dear, "first", "left_semi"))
+    by_first = by_first.select(F.col("first").alias("key"), F.lit(-1).alias("j"), "i", "rep", "label", "members")
+    by_full = full.join(dear, "first", "left_anti").select("key", "j", "i", "rep", "label", "members")
+    dealt = scratch.save(by_first.unionByName(by_full), "dealt").join(classes.select("rep", "n", "sketch"), "rep")
     dealt = dealt.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -312,7 +319,7 @@ def _judged(documents: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     # a component is known by its smallest doc_id, which its label is if classes are known by theirs
     named = classes.select("rep", "doc_id", "n", "f1", "f2").join(merged.withColumnRenamed("node", "rep"), "rep", "left")
     named = scratch.save(named.withColumn("label", F.coalesce("label", "rep")), "labels-2")
-    scratch.drop("live", "stars", "sets", "named", "sized", "open", "hot", "crowded", "dealt", "asked", "links-1", "links-2", "labels-1", "found", "classes")
+    scratch.drop("live", "stars", "sets", "named", "sized", "open", "hot", "crowded", "full", "dear", "dealt", "asked", "links-1", "links-2", "labels-1", "found", "classes")
     own = named.withColumnRenamed("label", "component_id")
     if shared_ids:
         own = named.join(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "label")
