@@ -26,6 +26,7 @@ clashing columns are replaced; a very long text is split and exploded whole with
 from __future__ import annotations
 
 import math
+from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -197,7 +198,9 @@ def removed_lines(documents: DataFrame, scratch: Scratch | None = None) -> DataF
     scratch.drop("lines")
 
     rows = _keys(classes.where(joins).withColumn("prefix", F.slice("longer", F.lit(1), prefix)))
-    by_key = rows.repartition("key")  # one exchange for what follows
+    # none is null; said here, so that all that follows has the same filters and shares one exchange
+    known = [F.col(c).isNotNull() for c in ("key", "doc_id", "line_no", "n", "i", *SIGNATURE)]
+    by_key = rows.where(reduce(Column.__and__, known)).repartition("key")
     head = F.first(F.struct("doc_id", "line_no", "n", *SIGNATURE, "i")).over(W.partitionBy("key").orderBy("doc_id", "line_no"))
     x = by_key.withColumn("h", head).alias("x")
     first = x.where(_earlier("h", "x") & _near("x", "h")).select(
