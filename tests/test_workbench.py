@@ -1,6 +1,10 @@
+import threading
+import time
+
 import pytest
 
 from visitloom import workbench as WB
+from visitloom.plans.recipes import RECIPES, register_history
 
 
 @pytest.fixture(scope="module")
@@ -30,10 +34,72 @@ def test_cells():
     assert WB.cell(float("nan")) is None and WB.cell(b"abc") == "⟨3 bytes⟩" and len(WB.cell("x" * 5000)) == 2001
 
 
+ENDLESS = "SELECT count(*) FROM range(10000000) a, range(10000000) b WHERE (a.id * b.id) % 7 = 1"
+
+
+def _active(spark):
+    tracker = spark.sparkContext.statusTracker()
+    return len(tracker.getActiveJobsIds())
+
+
 def test_timeout(view):
-    with pytest.raises(WB.Refused, match="Stopped"):
-        WB.ask(view, "SELECT count(*) FROM range(10000000) a, range(10000000) b WHERE (a.id * b.id) % 7 = 1", seconds=1.0)
+    began = time.monotonic()
+    with pytest.raises(WB.Refused, match="Stopped after 1 seconds"):
+        WB.ask(view, ENDLESS, seconds=1.0)
+    assert time.monotonic() - began < 5
+    until = time.monotonic() + 60
+    while _active(view) and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not _active(view)  # the job is gone, not only its caller
+    assert WB.ask(view, "SELECT 1 AS one").rows == [[1]]
+
+
+def test_a_stop_from_outside_is_not_a_deadline(view):
+    def stop():
+        for _ in range(200):
+            time.sleep(0.1)
+            if _active(view):
+                view.sparkContext.cancelAllJobs()
+                return
+
+    threading.Thread(target=stop, daemon=True).start()
+    with pytest.raises(Exception) as e:
+        WB.ask(view, ENDLESS, seconds=50.0)
+    assert "Stopped after" not in str(e.value)
 
 
 def test_scale():
     assert WB.nice_scale(0, 97) == [0, 20, 40, 60, 80, 100]
+    assert WB.nice_scale(4, 4) == [2, 3, 4, 5, 6] and WB.nice_scale(0, 0)[0] == -1
+    assert WB.nice_scale(float("inf"), 0) == [0, 1]
+
+
+def test_axes_and_charts():
+    a = WB.Answer(["day", "n"], [["mon", 3], ["tue", None], ["a very long name indeed", 5]], False, 1)
+    axes = WB.default_axes(a)
+    assert axes == WB.Axes(0, 1, "bar")
+    told = WB.chart(a, axes)
+    assert told.skipped == 1 and told.y_ticks[0] == 0 and told.x_ticks[-1][1] == "a very long nam…"
+    pair = WB.Answer(["level", "minutes"], [[3, 20.5], [1, 30.0]], False, 1)
+    assert WB.default_axes(pair) == WB.Axes(0, 1, "scatter")
+    assert [p[1] for p in WB.chart(pair, WB.default_axes(pair)).points] == [1, 3]
+    assert WB.default_axes(WB.Answer(["a"], [["x"]], False, 1)) is None
+    assert WB.recipe_axes(pair, WB.Recipe("r", "", "", "minutes", "gone")) is None
+    many = WB.Answer(["d", "n"], [[f"d{i}", i] for i in range(100)], False, 1)
+    ticks = WB.chart(many, WB.default_axes(many)).x_ticks
+    assert len(ticks) <= 13 and ticks[-1][1] == "d99"
+
+
+@pytest.mark.parametrize("recipe", RECIPES, ids=lambda r: r.name)
+def test_recipes_are_questions(spark, sf_dir, recipe):
+    register_history(spark, sf_dir)
+    answer = WB.ask(spark, recipe.sql, seconds=60)
+    assert answer.columns and answer.rows
+    if recipe.x:
+        assert WB.recipe_axes(answer, recipe)
+
+
+def test_everything_quotes(spark):
+    spark.range(60).createOrReplaceTempView("order")
+    answer = WB.ask(spark, WB.everything("order").sql, seconds=60)
+    assert len(answer.rows) == 50

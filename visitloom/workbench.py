@@ -14,6 +14,7 @@ import uuid
 from dataclasses import dataclass
 from decimal import Decimal
 
+from pyspark import SparkContext
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
@@ -22,6 +23,8 @@ ROW_CEILING = 5_000
 DEFAULT_ROWS = 500
 CELL_CHARACTERS = 2_000
 SECONDS = 10.0
+LABELS = 12
+LABEL_CHARACTERS = 16
 
 #: Plan nodes that are not questions; any of them anywhere refuses the statement.
 _WRITES = ("Command", "InsertInto", "CreateTable", "CreateView", "DropTable", "MergeInto", "UpdateTable", "DeleteFrom", "CacheTable", "SetCatalog")
@@ -81,32 +84,65 @@ def cell(value):
 
 
 def ask(spark: SparkSession, sql: str, limit: int = DEFAULT_ROWS, seconds: float = SECONDS) -> Answer:
-    """Run a question. One row beyond the limit is fetched, to see whether there are more."""
+    """Run a question. One row beyond the limit is fetched, to see whether there are more.
+
+    The question runs in a thread of its own, so that its time is up when it is up: the caller is
+    told at the deadline, and the jobs are cancelled again and again until the thread has ended,
+    since a cancel reaches only jobs that have begun. It is asked in a copy of the session, see
+    ``_asking``.
+    """
     check(spark, sql)
+    spark, context = _asking(spark), spark.sparkContext
     limit = max(1, min(limit, ROW_CEILING))
-    tag, late, began = f"ask-{uuid.uuid4().hex}", threading.Event(), time.monotonic()
+    tag, began, done = f"ask-{uuid.uuid4().hex}", time.monotonic(), threading.Event()
+    found: dict = {}
 
-    def stop():
-        late.set()
-        spark.interruptTag(tag)
+    def work() -> None:
+        context.addJobTag(tag)
+        try:
+            df = spark.sql(sql)
+            found["columns"], found["rows"] = df.columns, df.limit(limit + 1).collect()
+        except Exception as e:
+            found["error"] = e
+        finally:
+            context.removeJobTag(tag)
+            done.set()
 
-    timer = threading.Timer(seconds, stop)
-    spark.addTag(tag)
-    timer.start()
-    try:
-        df = spark.sql(sql)
-        rows = df.limit(limit + 1).collect()
-    except Exception as e:
-        if late.is_set():
-            raise Refused(f"Stopped after {seconds:g} seconds.") from None
-        if isinstance(e, PySparkException):
-            raise Refused(str(e).splitlines()[0]) from None
-        raise
-    finally:
-        timer.cancel()
-        spark.removeTag(tag)
-    shown = [[cell(v) for v in r] for r in rows[:limit]]
-    return Answer(df.columns, shown, len(rows) > limit, int((time.monotonic() - began) * 1000))
+    threading.Thread(target=work, daemon=True).start()
+    if not done.wait(seconds):
+        threading.Thread(target=_cancel, args=(context, tag, done), daemon=True).start()
+        raise Refused(f"Stopped after {seconds:g} seconds.")
+    error = found.get("error")
+    if isinstance(error, PySparkException):
+        raise Refused(str(error).splitlines()[0])
+    if error is not None:
+        raise error
+    shown = [[cell(v) for v in r] for r in found["rows"][:limit]]
+    return Answer(found["columns"], shown, len(found["rows"]) > limit, int((time.monotonic() - began) * 1000))
+
+
+def _asking(spark: SparkSession) -> SparkSession:
+    """A copy of the session, with its views, in which a running task can always be stopped.
+
+    The loop of a broadcast nested-loop join looks for a kill only between batches of its outer
+    rows, minutes apart if the inner side is large; a cartesian product looks at every row. Equal
+    keys are still broadcast by adaptive execution.
+    """
+    copy = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    small = copy.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    copy.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", small)
+    copy.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    return copy
+
+
+def _cancel(context: SparkContext, tag: str, done: threading.Event) -> None:
+    # by a job tag of the context: a session's own tags can only be interrupted from the thread that set them
+    while not done.is_set():
+        try:
+            context.cancelJobsWithTag(tag)
+        except Exception:  # the session ended before the question
+            return
+        done.wait(0.5)
 
 
 def kinds(answer: Answer) -> list[str]:
@@ -120,12 +156,103 @@ def kinds(answer: Answer) -> list[str]:
 
 
 def nice_scale(low: float, high: float, count: int = 5) -> list[float]:
-    """Round ticks that cover a range, in steps of 1, 2 or 5 times a power of ten."""
-    if not high > low:
-        high = low + 1
+    """Round ticks that cover a range, in steps of 1, 2 or 5 times a power of ten.
+
+    A single value gets half of itself as room on both sides; a range that is not finite is 0 to 1.
+    """
+    low, high = min(low, high), max(low, high)
+    if not (math.isfinite(low) and math.isfinite(high)):
+        return [0.0, 1.0]
+    if low == high:
+        room = abs(low) / 2 or 1
+        low, high = low - room, high + room
     raw = (high - low) / max(count, 1)
     power = 10.0 ** math.floor(math.log10(raw))
     step = next(m * power for m in (1, 2, 5, 10) if m * power >= raw * (1 - 1e-12))
     first = math.floor(low / step)
     last = math.ceil(high / step)
     return [float(f"{i * step:.12g}") for i in range(first, last + 1)]
+
+
+@dataclass(frozen=True)
+class Axes:
+    """Columns, by position, that a chart of an answer sets against each other."""
+
+    x: int
+    y: int
+    shape: str
+
+
+@dataclass(frozen=True)
+class Recipe:
+    """A question that comes with the workbench, and the names of the columns worth drawing."""
+
+    name: str
+    about: str
+    sql: str
+    x: str | None = None
+    y: str | None = None
+    shape: str = "bar"
+
+
+def everything(view: str) -> Recipe:
+    """All columns of a view, fifty rows deep."""
+    quoted = view.replace("`", "``")
+    return Recipe(view, f"Every column of {view}.", f"SELECT * FROM `{quoted}` LIMIT 50")
+
+
+def default_axes(answer: Answer) -> Axes | None:
+    """What rows are of against what is counted: the first column without numbers, the first with.
+
+    Numbers alone are a relationship of the first two; one column stands for its own labels.
+    """
+    told = kinds(answer)
+    numbers = [i for i, k in enumerate(told) if k == "number"]
+    if not numbers:
+        return None
+    labels = [i for i, k in enumerate(told) if k != "number"]
+    if labels:
+        return Axes(labels[0], numbers[0], "bar")
+    return Axes(numbers[0], numbers[1], "scatter") if len(numbers) > 1 else Axes(numbers[0], numbers[0], "bar")
+
+
+def recipe_axes(answer: Answer, recipe: Recipe | None) -> Axes | None:
+    """A recipe's axes by name; none where the question was edited and a name is gone."""
+    if recipe is None or recipe.x not in answer.columns or recipe.y not in answer.columns:
+        return None
+    return Axes(answer.columns.index(recipe.x), answer.columns.index(recipe.y), recipe.shape)
+
+
+@dataclass
+class Chart:
+    """What to draw: (row, x, y) points in data coordinates, ticks of both axes, rows left out."""
+
+    points: list[tuple[int, float, float]]
+    x_ticks: list[tuple[float, str]]
+    y_ticks: list[float]
+    skipped: int
+
+
+def chart(answer: Answer, axes: Axes) -> Chart | None:
+    """Plan of a chart; rows whose value is no number are counted, not drawn, and none at all is None.
+
+    Bars stand on zero and keep the answer's order. Lines and scatters against numbers are sorted
+    by them. Labels are thinned evenly to LABELS, the last always kept, and clipped.
+    """
+    value = lambda r: r[axes.y]
+    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
+    rows = [(i, r) for i, r in enumerate(answer.rows) if number(value(r))]
+    if not rows:
+        return None
+    low, high = min(value(r) for _, r in rows), max(value(r) for _, r in rows)
+    y_ticks = nice_scale(min(0, low), max(0, high)) if axes.shape == "bar" else nice_scale(low, high)
+    skipped = len(answer.rows) - len(rows)
+    if axes.shape != "bar" and all(number(r[axes.x]) for _, r in rows):
+        rows.sort(key=lambda ir: ir[1][axes.x])
+        scale = nice_scale(rows[0][1][axes.x], rows[-1][1][axes.x])
+        return Chart([(i, r[axes.x], value(r)) for i, r in rows], [(t, f"{t:g}") for t in scale], y_ticks, skipped)
+    every = math.ceil(len(rows) / LABELS)
+    label = lambda r: "—" if r[axes.x] is None else str(r[axes.x])
+    clipped = [t if len(t) <= LABEL_CHARACTERS else t[: LABEL_CHARACTERS - 1] + "…" for t in (label(r) for _, r in rows)]
+    ticks = [(k + 0.5, t) for k, t in enumerate(clipped) if k % every == 0 or k == len(rows) - 1]
+    return Chart([(i, k + 0.5, value(r)) for k, (i, r) in enumerate(rows)], ticks, y_ticks, skipped)
