@@ -6,23 +6,27 @@ end seen so far (the frontier), whoever made them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 GAP = 300
 DAY = 86_400
+SPAN_ROWS = 20_000
 
 
-def sessionize(visits: DataFrame, gap: int = GAP, by: tuple[str, ...] = (), span: int = DAY) -> DataFrame:
+def sessionize(visits: DataFrame, gap: int = GAP, by: tuple[str, ...] = (), span: int | None = None) -> DataFrame:
     """Visits with session_no (from 1, in time order within ``by``).
 
     The frontier is a running maximum over all earlier visits. To keep one global order out of
     a single task, time is cut in spans: each span's largest end and number of new sessions are
     aggregated first, their running values are taken over that small table, and the rows are
-    ordered only within their own span.
+    ordered only within their own span. Without ``span`` it is a day if ``by`` parts the visits,
+    and else such that a span has about SPAN_ROWS visits, however dense they are.
     """
     keys = list(by)
+    if span is None:
+        span = DAY if keys else _span_of(visits)
     cut = visits.withColumn("_span", F.floor(F.col("started_at") / span))
     small = W.partitionBy(*keys).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
     # two aggregates of rows, two windows over one row a span
@@ -40,6 +44,11 @@ def sessionize(visits: DataFrame, gap: int = GAP, by: tuple[str, ...] = (), span
     return out.withColumn("session_no", number).drop("_span", "_carried", "_new", "_base")
 
 
+def _span_of(visits: DataFrame) -> int:
+    ends = visits.agg(F.count("started_at").alias("n"), F.min("started_at").alias("lo"), F.max("started_at").alias("hi")).first()
+    return max(1, int((ends["hi"] - ends["lo"]) * SPAN_ROWS / ends["n"])) if ends["n"] else DAY
+
+
 def _joined(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join with null-safe keys, the side's keys dropped."""
     side = small.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in small.columns if c not in keys])
@@ -134,6 +143,29 @@ def highlights(kinds: list[tuple[str, DataFrame, str, int]], keep: int | None =
         )
         one = one.where("weight <> 0").select("session_no", F.lit(name).alias("kind"), F.lit(rank).alias("rank"), "weight", "label")
         out = one if out is None else out.unionByName(one)
+    return _ranked(out, keep)
+
+
+def highlights_of(rows: DataFrame, kinds: list[tuple[str, Column, str, int]], keep: int | None = None) -> DataFrame:
+    """The same list when all kinds come out of one table: a kind is (name, condition, style, rank).
+
+    The table is read once and grouped once; a row may count for several kinds.
+    """
+    told = F.array_compact(F.array(*[
+        F.when(when, F.struct(F.lit(name).alias("kind"), F.lit(rank).alias("rank"), (F.lit(1) if style == "count" else F.col("amount")).cast("long").alias("amount")))
+        for name, when, style, rank in kinds
+    ]))
+    one = rows.select("session_no", "label", F.explode(told).alias("k"))
+    one = one.groupBy("session_no", "k.kind", "k.rank").agg(F.sum("k.amount").alias("weight"), F.when(F.count("*") == 1, F.min("label")).alias("label"))
+    return _ranked(one.where("weight <> 0").select("session_no", "kind", "rank", "weight", "label"), keep)
+
+
+def _ranked(happenings: DataFrame, keep: int | None) -> DataFrame:
     place = F.row_number().over(W.partitionBy("session_no").orderBy("rank", F.abs("weight").desc(), "kind"))
-    out = out.withColumn("place", place)
+    out = happenings.withColumn("place", place)
     return out if keep is None else out.where(F.col("place") <= keep)
+
+
+def levels_reached(sessions: DataFrame) -> DataFrame:
+    """The highest level each actor reached in each session; who reached none is left out."""
+    return sessions.where(F.col("level").isNotNull()).groupBy("session_no", "actor").agg(F.max("level").alias("level"))

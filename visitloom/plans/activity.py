@@ -83,3 +83,11 @@ def census_verdicts(spark, d):
     c = visits(spark, d).groupBy("actor").agg(F.count("*").alias("held"))
     word, short = A.census_verdict(F.when(F.col("actor") % 3 != 0, F.col("actor") % 3 == 1), F.col("held") + F.col("actor") % 2, F.col("held"))
     return c.select("actor", word.alias("verdict"), short.alias("short"))
+
+
+@query(f"""WITH {VISITS}
+SELECT visit_id, 'levelling' AS kind, '{{"percentOfLevel":' || round(CASE WHEN visit_id % 7 = 0 THEN level / 1000.0::DOUBLE ELSE 0 END * 100, 1)::DOUBLE || ',"levelsGained":' || CASE WHEN visit_id % 11 = 0 THEN 1 ELSE 0 END || '}}' AS metadata
+FROM visits WHERE visit_id % 11 = 0 OR (visit_id % 7 = 0 AND level / 1000.0 >= 0.05)
+UNION ALL SELECT visit_id, 'prey', CASE WHEN visit_id % 13 = 0 THEN '{{"title":"' || place || '","difficulty":"Hard","huntsCompleted":1}}' ELSE '{{"title":"Wolf","huntsCompleted":1}}' END FROM visits WHERE visit_id % 13 = 0 OR visit_id % 17 = 0""")
+def activity_metadata(spark, d):
+    return A.infer(_rich(spark, d)).where("kind in ('levelling', 'prey')").select("visit_id", "kind", "metadata")

@@ -209,7 +209,7 @@ def hierarchy_path(spark, d):
     return C.paths(_tree(spark, d))
 
 
-@query(_TREE + """ SELECT root, min(p_type) AS subject, min(l.id) AS leaf FROM last l JOIN part ON p_partkey = l.id WHERE r = 1 GROUP BY root HAVING count(DISTINCT p_type) = 1""")
+@query(_TREE.replace("n < 8", "n < 12") + """ SELECT root, min(p_type) AS subject, min(l.id) AS leaf FROM last l JOIN part ON p_partkey = l.id WHERE r = 1 GROUP BY root HAVING count(DISTINCT p_type) = 1""")
 def unique_roots(spark, d):
     leaves = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_partkey").alias("leaf"), F.col("p_type").alias("subject"))
     return C.unique_roots(leaves, _tree(spark, d))
@@ -238,3 +238,21 @@ def colour_buckets(spark, d):
         (F.col("l_orderkey") % 256).cast("int").alias("b"), F.col("l_quantity").cast("long").alias("weight"),
     )
     return C.colour_buckets(px, "k")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(o_orderstatus, '') AS o_orderstatus, coalesce(c_name, '') AS c_name, coalesce(n_name, '') AS n_name, coalesce(r_name, '') AS r_name, coalesce(p_size, 0) AS p_size
+FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 > 0) c ON o_custkey = c_custkey
+LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN part ON l_partkey = p_partkey""")
+def five_hops(spark, d):
+    """Line to order to customer to nation to region, and to its part; what is missing on the way is '' or 0."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus", "o_custkey")
+    c = table(spark, d, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_nationkey")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey")
+    r = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    hops = [
+        (o, "l_orderkey", {"o_orderstatus": ""}), (c, "o_custkey", {"c_name": ""}), (n, "c_nationkey", {"n_name": ""}),
+        (r, "n_regionkey", {"r_name": ""}), (p, "l_partkey", {"p_size": 0}),
+    ]
+    return C.chain(li, hops).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "o_orderstatus", "c_name", "n_name", "r_name", "p_size")

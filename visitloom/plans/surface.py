@@ -16,13 +16,13 @@ def third_page(spark, d):
     return table(spark, d, "orders").orderBy(F.col("o_totalprice").desc(), "o_orderkey").offset(40).limit(20).select("o_orderkey", "o_totalprice")
 
 
-@query("""SELECT p_partkey, row_number() OVER (ORDER BY p_name = '' , lower(p_name), p_partkey)::INT AS place FROM part ORDER BY place LIMIT 100""")
+@query("""SELECT p_partkey, row_number() OVER (ORDER BY p_name = '' , lower(p_name), p_partkey)::INT AS place FROM part ORDER BY place""")
 def named_first(spark, d):
     parts = table(spark, d, "part").select("p_partkey", "p_name")
     return Q.placed(parts, [F.col("p_name") == "", F.lower("p_name"), F.col("p_partkey")]).drop("p_name").orderBy("place")
 
 
-@query("""SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment DESC NULLS LAST, c_custkey LIMIT 30""")
+@query("""SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment DESC NULLS LAST, c_custkey""")
 def column_sort(spark, d):
     return table(spark, d, "customer").orderBy(F.col("c_mktsegment").desc_nulls_last(), F.col("c_custkey").asc()).select("c_custkey", "c_mktsegment", "c_acctbal")
 
@@ -58,7 +58,7 @@ def sql_surface(spark, d):
 
 
 @query("""SELECT c_custkey, o_orderkey, CASE WHEN c_custkey IS NULL THEN 'order' WHEN o_orderkey IS NULL THEN 'customer' ELSE 'both' END AS side
-FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) c FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 3 = 0) o ON c_custkey = o_custkey""")
+FROM customer FULL JOIN orders ON c_custkey = o_custkey""")
 def outer_join(spark, d):
     c = table(spark, d, "customer").select("c_custkey")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")

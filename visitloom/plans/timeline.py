@@ -56,7 +56,7 @@ def compact_unanchored(spark, d):
     return kept.select("point_id", F.col("at").alias("started_at"))
 
 
-@query(f"""WITH {VISITS}, e AS (SELECT min(started_at) AS lo, max(ended_at) AS hi FROM visits WHERE place = 'purchase' AND visit_id % 50 = 0)
+@query(f"""WITH {VISITS}, e AS (SELECT min(started_at) AS lo, max(ended_at) AS hi FROM visits WHERE place = 'purchase')
 SELECT visit_id AS point_id FROM visits, e WHERE place = 'view' AND started_at BETWEEN lo AND hi""")
 def bounded_points(spark, d):
     s = visits(spark, d).where("place = 'purchase'").select(F.col("started_at").alias("lo"), F.col("ended_at").alias("hi"))
@@ -144,7 +144,9 @@ def sampled_positions(spark, d):
 
 
 @query("""WITH marks AS (SELECT user_id AS log, event_type AS kind, event_id % 3 AS encounter_id, event_id AS line_no, floor(epoch(ts))::BIGINT AS t, CASE WHEN value < 50 THEN 'START' ELSE 'END' END AS mark, value > 75 AS success FROM events),
-x AS (SELECT *, lead(mark) OVER w AS nm, lag(mark) OVER w AS pm, lead(t) OVER w AS nt, lead(success) OVER w AS ns FROM marks WINDOW w AS (PARTITION BY log, kind, encounter_id ORDER BY line_no))
+-- a START rises to a level and the END that closes it falls from there, so they alternate within a level
+l AS (SELECT *, sum(CASE mark WHEN 'START' THEN 1 ELSE -1 END) OVER (PARTITION BY log, kind, encounter_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) + (mark = 'END')::INT AS level FROM marks),
+x AS (SELECT *, lead(mark) OVER w AS nm, lag(mark) OVER w AS pm, lead(t) OVER w AS nt, lead(success) OVER w AS ns FROM l WINDOW w AS (PARTITION BY log, kind, encounter_id, level ORDER BY line_no))
 SELECT log, kind, encounter_id, line_no, t AS started_at, CASE WHEN nm = 'END' THEN nt END AS ended_at, CASE WHEN nm = 'END' THEN ns END AS success FROM x WHERE mark = 'START'
 UNION ALL SELECT log, kind, encounter_id, line_no, NULL, t, success FROM x WHERE mark = 'END' AND pm IS DISTINCT FROM 'START'""")
 def folded_fights(spark, d):

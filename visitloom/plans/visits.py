@@ -152,8 +152,18 @@ UNION ALL SELECT session_no, 'loot', 3, sum(loot)::BIGINT, CASE WHEN count(*) =
 SELECT *, row_number() OVER (PARTITION BY session_no ORDER BY rank, abs(weight) DESC, kind)::INT AS place FROM k""")
 def session_highlights(spark, d):
     rows = S.sessionize(visits(spark, d)).withColumns({"label": F.col("place"), "amount": F.col("loot")})
-    kinds = [("purchases", rows.where("place = 'purchase'"), "count", 1), ("errors", rows.where("place = 'error'"), "count", 2), ("loot", rows, "sum", 3)]
-    return S.highlights(kinds)
+    kinds = [("purchases", F.col("place") == "purchase", "count", 1), ("errors", F.col("place") == "error", "count", 2), ("loot", F.lit(True), "sum", 3)]
+    return S.highlights_of(rows, kinds)
+
+
+@query(_SESSIONS + """, k AS (
+SELECT session_no, 'buys' AS kind, 1 AS rank, count(*) AS weight, CASE WHEN count(*) = 1 THEN min(place) END AS label FROM sessions WHERE place = 'purchase' GROUP BY 1
+UNION ALL SELECT session_no, 'worth', 2, sum(loot)::BIGINT, CASE WHEN count(*) = 1 THEN min(place) END FROM sessions WHERE place = 'view' GROUP BY 1 HAVING sum(loot) <> 0)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_no ORDER BY rank, abs(weight) DESC, kind)::INT AS place FROM k) WHERE place <= 1""")
+def top_highlights(spark, d):
+    """The first of each session, from kinds that come as tables of their own."""
+    rows = S.sessionize(visits(spark, d)).withColumns({"label": F.col("place"), "amount": F.col("loot")})
+    return S.highlights([("buys", rows.where("place = 'purchase'"), "count", 1), ("worth", rows.where("place = 'view'"), "sum", 2)], keep=1)
 
 
 @query(f"""WITH {VISITS} SELECT place AS name, sum(loot - 500)::BIGINT AS amount FROM visits GROUP BY place ORDER BY abs(sum(loot - 500)) DESC, name""")
@@ -168,3 +178,8 @@ def table_totals(spark, d):
     v = visits(spark, d)
     both = v.select(F.explode(F.array(F.struct(F.lit("actor").alias("spec"), F.col("actor").cast("string").alias("name")), F.struct(F.lit("day").alias("spec"), F.col("day").alias("name")))).alias("s"), "seconds", "loot")
     return both.groupBy("s.spec", "s.name").agg(F.count("*").alias("n"), F.sum("seconds").alias("seconds"), F.sum("loot").alias("loot"))
+
+
+@query(_SESSIONS + " SELECT session_no, actor, max(level) AS level FROM sessions WHERE level IS NOT NULL GROUP BY 1, 2")
+def levels_reached(spark, d):
+    return S.levels_reached(S.sessionize(visits(spark, d)))
