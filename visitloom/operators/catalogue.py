@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 ANY = 0xFFFF
 SALTS = 64
+PARTS = 16
+MOST_COLUMNS = 10_000
 
 
 def first_few(rows: DataFrame, by: str, order: list[str], value: str, most: int) -> DataFrame:
@@ -112,9 +114,16 @@ def by_folded_name(wanted: DataFrame, tables: list[DataFrame], name: str, value:
 def grid(rows: DataFrame, columns: DataFrame, states: DataFrame, keys: list[str], default: str = "available") -> DataFrame:
     """Every row with every column and its state, ``default`` where nothing is known.
 
-    ``columns`` is a short list (one row an activity), so the product is rows times a few.
+    The product is what is asked for; ``columns`` (one row an activity) becomes one list, so that
+    each row is exploded where it lies and nothing is matched. More than MOST_COLUMNS are refused.
     """
-    return rows.crossJoin(columns).join(states.select(*keys, "state"), keys, "left").withColumn("state", F.coalesce("state", F.lit(default)))
+    listed = columns.agg(F.collect_list(F.struct(*columns.columns)).alias("_all"))
+    n = columns.limit(MOST_COLUMNS + 1).count()
+    if n > MOST_COLUMNS:
+        raise ValueError(f"more than {MOST_COLUMNS} columns in a grid")
+    every = rows.crossJoin(F.broadcast(listed))  # one row
+    every = every.select(*rows.columns, F.explode("_all").alias("_one")).select(*rows.columns, "_one.*")
+    return every.join(states.select(*keys, "state"), keys, "left").withColumn("state", F.coalesce("state", F.lit(default)))
 
 
 def siblings(rows: DataFrame, key: str, shape: str) -> DataFrame:
@@ -167,11 +176,12 @@ def near_misses(openness: DataFrame, most: int = 2) -> DataFrame:
 def fold_equal_sets(sets: DataFrame, members: DataFrame, order: list[str]) -> DataFrame:
     """Sets with the same members fold into the first by ``order``: (set_id, shown_id, folded).
 
-    The members' list is replaced by two hashes and its length before sets are compared, so
-    the exchange carries numbers. Sets without members are never folded.
+    The members' list is replaced by two independent hashes (a salt first, so that the second
+    does not go on from the first) and its length before sets are compared, so the exchange
+    carries numbers. Sets without members are never folded.
     """
     listed = members.groupBy("set_id").agg(F.array_sort(F.collect_set("member")).alias("m"))
-    marks = listed.select("set_id", F.size("m").alias("_n"), F.xxhash64("m").alias("_h"), F.xxhash64("m", F.lit(1)).alias("_g"))
+    marks = listed.select("set_id", F.size("m").alias("_n"), F.xxhash64("m").alias("_h"), F.xxhash64(F.lit(1), "m").alias("_g"))
     told = sets.join(marks, "set_id")
     first = told.groupBy("_n", "_h", "_g").agg(F.min(F.struct(*order, "set_id"))["set_id"].alias("shown_id"))
     out = told.join(first, ["_n", "_h", "_g"])
@@ -201,15 +211,19 @@ def nearest_by_bits(prints: DataFrame, asked: DataFrame, k: int = 8, cut: int |
     """Nearest fingerprints by Hamming distance within a slot: (id, rank, other, distance).
 
     Fingerprints are arrays of longs. Pairs are formed only within slots, and only for the
-    asked ids, which are a stated query set.
+    asked ids, which are a stated query set. A slot's prints are dealt to PARTS parts, each asked
+    print goes to all of them, and the k nearest of each part are ranked together.
     """
-    a = asked.select(F.col("id"), "slot", F.col("bits").alias("_a"))
-    b = prints.select(F.col("id").alias("other"), F.col("slot").alias("_s"), F.col("bits").alias("_b"))
+    a = asked.select(F.col("id"), "slot", F.col("bits").alias("_a"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
+    part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")
+    b = prints.select(F.col("id").alias("other"), F.col("slot").alias("_s"), F.col("bits").alias("_b"), part.alias("_p"))
     distance = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    met = a.join(b, (F.col("slot") == F.col("_s")) & (F.col("id") != F.col("other"))).select("id", "other", distance.alias("distance"))
+    met = a.join(b, (F.col("slot") == F.col("_s")) & (F.col("_part") == F.col("_p")) & (F.col("id") != F.col("other")))
+    met = met.select("id", "_part", "other", distance.alias("distance"))
     met = met if cut is None else met.where(F.col("distance") <= cut)
-    rank = F.row_number().over(W.partitionBy("id").orderBy("distance", "other"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "other", "distance")
+    for keys in (["id", "_part"], ["id"]):
+        met = met.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("distance", "other"))).where(F.col("rank") <= k)
+    return met.select("id", "rank", "other", "distance")
 
 
 def sign_bits(vector: Column, width: int, word: int = 62) -> Column:
