@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -63,14 +64,29 @@ def thinned(ticks: DataFrame, by: str, order: str, most: int = 12) -> DataFrame:
     return told.where((F.col("_i") % F.col("_k") == 0) | (F.col("_i") == F.col("_n") - 1)).drop("_n", "_i", "_k")
 
 
-def keep_samples(rows: list[tuple], last: tuple | None, every: int) -> tuple[list[int], tuple | None]:
-    """Indices of kept rows (at, place) and the last kept one: a gap of ``every`` since the last
-    kept row, or another place."""
+def keep_samples(at: np.ndarray, place: np.ndarray, last: tuple | None, every: int) -> tuple[list[int], tuple | None]:
+    """Indices of kept rows, in the order of ``at``, and the last kept (at, place): a gap of ``every``
+    since the last kept row, or another place.
+
+    The next kept row is the first after the gap or the first of the next place, whichever comes
+    first, so the loop steps from kept row to kept row.
+    """
+    n = len(at)
+    if not n:
+        return [], last
+    turns = np.append(np.flatnonzero(place[1:] != place[:-1]) + 1, n)
+
+    def after(i: int, since, here) -> int:
+        gap = np.searchsorted(at[i:], since + every) + i
+        turn = i if here != place[i] else turns[np.searchsorted(turns, i, side="right")]
+        return int(min(gap, turn))
+
     kept = []
-    for i, (at, place) in enumerate(rows):
-        if last is None or at - last[0] >= every or place != last[1]:
-            kept.append(i)
-            last = (at, place)
+    i = 0 if last is None else after(0, last[0], last[1])
+    while i < n:
+        kept.append(i)
+        last = (at[i], place[i])
+        i = after(i + 1, at[i], place[i]) if i + 1 < n else n
     return kept, last
 
 
@@ -87,13 +103,16 @@ def sampled(positions: DataFrame, by: str = "log", every: int = SAMPLE_MS) -> Da
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         log, last = None, None
         for pdf in batches:
+            if not len(pdf):
+                continue
+            logs, times, places = (pdf.iloc[:, c].to_numpy() for c in (key, at, place))
             keep = []
-            for i, row in enumerate(pdf.itertuples(index=False)):
-                if row[key] != log:
-                    log, last = row[key], None
-                got, last = keep_samples([(row[at], row[place])], last, every)
-                if got:
-                    keep.append(i)
+            starts = np.append(np.flatnonzero(np.append(True, logs[1:] != logs[:-1])), len(pdf))
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                if logs[lo] != log:
+                    log, last = logs[lo], None
+                got, last = keep_samples(times[lo:hi], places[lo:hi], last, every)
+                keep += [lo + i for i in got]
             yield pdf.iloc[keep]
 
     ordered = positions.repartition(by).sortWithinPartitions(by, "at_ms", *[c for c in columns if c not in (by, "at_ms")])
@@ -127,6 +146,20 @@ def folded_fights(marks: DataFrame, by: str = "log") -> DataFrame:
     return starts.unionByName(orphans)
 
 
+def close_open_fights(stored: DataFrame, marks: DataFrame, by: str = "log") -> DataFrame:
+    """Stored fights after a later read of their logs: open ones take part as the STARTs that they are.
+
+    An END of the later read closes the newest open row of its kind and encounter, stored or new;
+    closed rows stay as they are.
+    """
+    opened = F.col("ended_at").isNull()
+    again = stored.where(opened).select(
+        by, "kind", "encounter_id", "line_no", F.col("started_at").alias("at"), F.lit("START").alias("mark"), F.lit(None).cast("boolean").alias("success")
+    )
+    marked = marks.where("mark in ('START', 'END')").select(*again.columns)
+    return stored.where(~opened).unionByName(folded_fights(again.unionByName(marked), by))
+
+
 def tracked(events: DataFrame, identity: list[str], by: str = "actor", gap: int | None = None) -> DataFrame:
     """Visits folded from an event stream: a new one begins when who, where or how changes.
 
