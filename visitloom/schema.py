@@ -23,8 +23,48 @@ REFERENCES = [
     ("segments", "id", "currency_gains", "segment_id", "delete"), ("segments", "id", "keystone_runs", "segment_id", "delete"),
     ("segments", "id", "captures", "segment_id", "null"), ("combat_logs", "id", "log_positions", "log_id", "delete"), ("combat_logs", "id", "log_fights", "log_id", "delete"),
 ]
+
+
+def _with(table: str, **columns: str):
+    """A step that widens a table by columns, null in the rows that are there (or a default after ``=``)."""
+
+    def step(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        if table not in tables:
+            return tables
+        added = {}
+        for name, kind in columns.items():
+            kind, _, default = kind.partition("=")
+            added[name] = F.lit(default or None).cast(kind)
+        return {**tables, table: tables[table].withColumns({n: c for n, c in added.items() if n not in tables[table].columns})}
+
+    return step
+
+
+def _copied(table: str, key: str, fill: dict[str, str]):
+    """A step that copies a table into a wider one whose key has a further part, the same for all old rows."""
+
+    def step(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        if table not in tables or key in tables[table].columns:
+            return tables
+        old = tables[table]
+        return {**tables, table: old.select(*[F.lit(v).alias(k) for k, v in fill.items()], *old.columns)}
+
+    return step
+
+
 #: ordered, named, once-only steps from table dictionaries to table dictionaries
-MIGRATIONS: list[tuple[str, object]] = []
+MIGRATIONS: list[tuple[str, object]] = [
+    ("activities", _with("segments", expansion_tier="bigint", latest_expansion_tier="bigint", experience_gained="bigint=0", experience_percent="double=0", experience_start_level="bigint", experience_end_level="bigint")),
+    ("holdings", _with("currency_gains", total="bigint")),
+    ("standings", _with("reputation_gains", standing="string", standing_current="bigint", standing_max="bigint")),
+    ("capture_subjects", _with("captures", trigger_name="string", achievement_source_id="bigint", achievement_id="bigint")),
+    ("capture_notes", _with("captures", note="string", note_edited_at="bigint")),
+    ("account_wide_currencies", _with("character_currencies", account_wide="boolean=false")),
+    ("pet_species_first", _with("pets", species_first="boolean")),
+    ("favourites_of_kinds", _copied("transmog_favourites", "kind", {"kind": "set"})),
+    ("tags_of_kinds", _copied("transmog_tags", "kind", {"kind": "set"})),
+    ("faction_ids", _with("reputation_gains", faction_id="bigint")),
+]
 
 
 def violations(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
