@@ -13,6 +13,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One table as a stream of its files, whether it is one file or a folder of them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    one = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile()
+    reader = spark.readStream.schema(table(spark, folder, name).schema)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder) if one else reader.parquet(f"{folder}/{name}.parquet")
+
+
 def register(spark: SparkSession, folder: str) -> None:
     """All tables as temporary views."""
     for name in TABLES:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from visitloom.operators.timeline import keep_samples
-from visitloom.session import ship
+from visitloom.session import shared_dir, ship
 
 
 def sessions(visits: DataFrame, gap: int = 300, by: tuple[str, ...] = ("actor",), late: str = "10 minutes") -> DataFrame:
@@ -32,7 +35,7 @@ def sampled(positions: DataFrame, every: int, by: str = "log") -> DataFrame:
     def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else None
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["at_ms", "place"], kind="stable")
-        kept, last = keep_samples(list(zip(pdf["at_ms"], pdf["place"], strict=True)), last, every)
+        kept, last = keep_samples(pdf["at_ms"].to_numpy(), pdf["place"].to_numpy(), last, every)
         if last is not None:
             state.update((int(last[0]), str(last[1])))
         yield pdf.iloc[kept][columns]
@@ -49,6 +52,94 @@ def merging(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoi
     return writer.trigger(availableNow=True).start() if available_now else writer.start()
 
 
+def drained(stream: DataFrame, label: str) -> DataFrame:
+    """All that a stream over present files yields, written as Parquet in the shared folder and read back."""
+    spark = stream.sparkSession
+    root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    writer = stream.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").outputMode("append")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
+
+
 def deduplicated(stream: DataFrame, keys: list[str], at: str, late: str = "1 hour") -> DataFrame:
     """Each key once within the watermark."""
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
+
+
+def fights(marks: DataFrame, by: str = "log") -> DataFrame:
+    """Fights of a stream of START and END marks, by operators.timeline.folded_fights' rule.
+
+    A row is put out when a fight opens (ended_at null) and again when it closes, under the same
+    line_no; a sink that merges by (log, line_no) holds the newest. An END without a START stands by
+    its own line. The open fights of a log are its only state, so a mark may come batches later.
+    """
+    ship(marks.sparkSession)
+    schema = f"{by} string, kind string, encounter_id long, line_no long, started_at long, ended_at long, success boolean"
+
+    def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened = json.loads(state.get[0]) if state.exists else {}
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("line_no", kind="stable")
+        told: dict[int, tuple] = {}
+        for r in pdf.itertuples(index=False):  # a handful of marks a log and batch
+            encounter = None if pd.isna(r.encounter_id) else int(r.encounter_id)
+            stack = opened.setdefault(json.dumps([r.kind, encounter]), [])
+            if r.mark == "START":
+                stack.append([int(r.line_no), int(r.at)])
+                told[int(r.line_no)] = (key[0], r.kind, encounter, int(r.line_no), int(r.at), None, None)
+            else:
+                line, began = stack.pop() if stack else (int(r.line_no), None)
+                told[line] = (key[0], r.kind, encounter, line, began, int(r.at), None if pd.isna(r.success) else bool(r.success))
+        state.update((json.dumps({k: v for k, v in opened.items() if v}),))
+        out = pd.DataFrame(list(told.values()), columns=[by, "kind", "encounter_id", "line_no", "started_at", "ended_at", "success"])
+        yield out.astype({"encounter_id": "Int64", "line_no": "Int64", "started_at": "Int64", "ended_at": "Int64", "success": "boolean"})
+
+    return marks.groupBy(by).applyInPandasWithState(fold, schema, "opened string", "append", GroupStateTimeout.NoTimeout)
+
+
+def tracked(events: DataFrame, identity: list[str], by: str = "actor") -> DataFrame:
+    """Finished visits of a stream of events, by operators.timeline.tracked's rule.
+
+    A visit ends when who, where or how changes; the one going on is each actor's only state. Visits
+    in which nothing happened (weight 0) are not put out. Events of one actor come in order.
+    """
+    ship(events.sparkSession)
+    names = [c for c in identity if c != by]
+    schema = f"{by} long, " + ", ".join(f"{c} string" for c in names) + ", started_at long, ended_at long, n_events long, weight long"
+
+    def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["at", "event_id"], kind="stable")
+        told = pdf[names].astype(object).where(pdf[names].notna(), None)
+        turn = ((told != told.shift()) & ~(told.isna() & told.shift().isna())).any(axis=1)
+        turn.iloc[0] = True
+        parts = pdf.assign(_no=turn.cumsum()).groupby("_no", sort=True).agg(started_at=("at", "min"), ended_at=("at", "max"), n_events=("at", "size"), weight=("weight", "sum"))
+        who = told[turn.to_numpy()].to_numpy().tolist()
+        rows = [[w, *map(int, p)] for w, p in zip(who, parts.to_numpy(), strict=True)]
+        if state.exists:
+            before = json.loads(state.get[0])
+            if before[0] == rows[0][0]:
+                rows[0] = [before[0], min(before[1], rows[0][1]), max(before[2], rows[0][2]), before[3] + rows[0][3], before[4] + rows[0][4]]
+            else:
+                rows.insert(0, before)
+        state.update((json.dumps(rows[-1], default=str),))
+        done = [[key[0], *r[0], *r[1:]] for r in rows[:-1] if r[4] > 0]
+        yield pd.DataFrame(done, columns=[by, *names, "started_at", "ended_at", "n_events", "weight"])
+
+    return events.groupBy(by).applyInPandasWithState(fold, schema, "visit string", "append", GroupStateTimeout.NoTimeout)
+
+
+def counter_gains(readings: DataFrame, by: str, value: str = "held") -> DataFrame:
+    """What counters of a stream gained batch by batch: (by, gained, total); a sink adds up what is gained.
+
+    The first sight of a counter is its baseline; the last total is its only state.
+    """
+    ship(readings.sparkSession)
+
+    def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["at", "event_id"], kind="stable")
+        held = pdf[value].to_numpy()
+        before = state.get[0] if state.exists else held[0]
+        rises = np.diff(np.concatenate([[before], held]))
+        state.update((int(held[-1]),))
+        yield pd.DataFrame({by: [key[0]], "gained": [int(rises[rises > 0].sum())], "total": [int(held[-1])]})
+
+    return readings.groupBy(by).applyInPandasWithState(fold, f"{by} long, gained long, total long", "total long", "append", GroupStateTimeout.NoTimeout)

@@ -1,8 +1,10 @@
 """A streaming source that tails growing text files by byte offset.
 
-Offsets are {file: [bytes read, hash of the head, bytes hashed]}. A half-written last line waits
-for its end; a shorter file or a changed head means another file under the same name, read from
-its start. ``budget`` bounds the bytes a batch admits over all files, oldest files first; option
+Offsets are {file: [bytes read, hash of the head, bytes hashed, hash of the first line]}. A
+half-written last line waits for its end; another first line, or another head of equal length, means
+another file under the same name, read from its start. What a batch reads follows from its two
+offsets alone, and a replay that finds another file under the name reads nothing instead of other
+bytes. ``budget`` bounds the bytes a batch admits over all files, oldest files first; option
 ``cursor`` names a file that keeps the committed offsets, so that a restarted stream counts its
 budget from there (what was read is decided by the stream's checkpoint alone).
 Register with ``spark.dataSource.register(TailSource)`` and read format ``tail``; the folder
@@ -26,6 +28,16 @@ def head_hash(path: str, n: int) -> str:
         return hashlib.sha256(f.read(n)).hexdigest()
 
 
+def first_line_hash(path: str, n: int) -> str:
+    with open(path, "rb") as f:
+        return hashlib.sha256(f.read(n).split(b"\n", 1)[0]).hexdigest()
+
+
+def same_file(seen: list | None, now: list) -> bool:
+    """Whether two offsets speak of one file that at most grew."""
+    return seen is not None and seen[3] == now[3] and (seen[2] != now[2] or seen[1] == now[1])
+
+
 def resume_at(path: str, seen: list | None) -> int:
     """Where to go on in a file: 0 if it is new, shorter than before, or begins otherwise."""
     if not seen or os.path.getsize(path) < seen[0] or head_hash(path, seen[2]) != seen[1]:
@@ -33,26 +45,38 @@ def resume_at(path: str, seen: list | None) -> int:
     return seen[0]
 
 
+STEP = 1 << 16
+
+
 def whole_lines_end(path: str, start: int, most: int) -> int:
-    """End of the last complete line within ``most`` bytes from ``start``; at least one line if it is complete."""
+    """End of the last complete line within ``most`` bytes from ``start``; at least one line if it is complete.
+
+    Looks backwards from the end of what may be read, then forwards for the end of one long line.
+    """
+    end = min(os.path.getsize(path), start + most)
     with open(path, "rb") as f:
-        f.seek(start)
-        block = f.read(most)
-        cut = block.rfind(b"\n")
-        while cut < 0:
-            more = f.read(1 << 20)
-            if not more:
-                return start
+        hi = end
+        while hi > start:
+            lo = max(start, hi - STEP)
+            f.seek(lo)
+            cut = f.read(hi - lo).rfind(b"\n")
+            if cut >= 0:
+                return lo + cut + 1
+            hi = lo
+        f.seek(end)
+        while more := f.read(STEP):
             found = more.find(b"\n")
             if found >= 0:
-                return start + len(block) + found + 1
-            block += more
-    return start + cut + 1
+                return end + found + 1
+            end += len(more)
+    return start
 
 
 class Piece(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    """Bytes of a file that begins with a known head."""
+
+    def __init__(self, path: str, start: int, end: int, head: str, hashed: int):
+        self.path, self.start, self.end, self.head, self.hashed = path, start, end, head, hashed
 
 
 class TailReader(DataSourceStreamReader):
@@ -76,11 +100,12 @@ class TailReader(DataSourceStreamReader):
         for _, name, path in paths:
             if left <= 0:
                 break
-            start = resume_at(path, out.get(name))
+            seen = out.get(name)
+            start = resume_at(path, seen)
             end = whole_lines_end(path, start, left)
             if end > start:
                 n = min(HEAD, end)
-                out[name] = [end, head_hash(path, n), n]
+                out[name] = [end, head_hash(path, n), n, first_line_hash(path, n)]
                 left -= end - start
         self.last = out
         return out
@@ -88,13 +113,15 @@ class TailReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Piece]:
         pieces = []
         for name, now in end.items():
-            path = os.path.join(self.folder, name)
-            begin = resume_at(path, start.get(name))
-            if now[0] > begin and now != start.get(name):
-                pieces.append(Piece(path, begin, now[0]))
+            seen = start.get(name)
+            begin = seen[0] if same_file(seen, now) else 0
+            if now[0] > begin:
+                pieces.append(Piece(os.path.join(self.folder, name), begin, now[0], now[1], now[2]))
         return pieces
 
     def read(self, piece: Piece):
+        if os.path.getsize(piece.path) < piece.end or head_hash(piece.path, piece.hashed) != piece.head:
+            return  # another file by now; what the offsets name is gone
         with open(piece.path, "rb") as f:
             f.seek(piece.start)
             at = piece.start
