@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -194,8 +195,6 @@ def removed_lines(documents: DataFrame, scratch: Scratch | None = None) -> DataF
         F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("n").alias("n"), F.first("longer").alias("longer"), *[F.first(b).alias(b) for b in SIGNATURE]
     )
     classes = scratch.save(classes.select("at.doc_id", "at.line_no", "n", *SIGNATURE, "longer"), "classes")
-    places = scratch.save(lines.select("doc_id", "line_no", "n").distinct(), "places")
-    scratch.drop("lines")
 
     rows = _keys(classes.where(joins).withColumn("prefix", F.slice("longer", F.lit(1), prefix)))
     # none is null; said here, so that all that follows has the same filters and shares one exchange
@@ -228,12 +227,15 @@ def removed_lines(documents: DataFrame, scratch: Scratch | None = None) -> DataF
     scratch.drop("met", "sets", "gone", "left", "rest", "more", "wanted-1", "wanted-2")
 
     # of a class only the first line stays, unless an earlier line is similar to it
-    stays = classes.select("doc_id", "line_no").join(goes, ["doc_id", "line_no"], "left_anti").withColumn("stays", F.lit(True))
-    judged = places.join(stays, ["doc_id", "line_no"], "left")
-    out = (F.col("n") > 0) & F.col("stays").isNull()
-    return judged.groupBy("doc_id").agg(
-        F.countDistinct("line_no").alias("n_lines"), F.array_sort(F.collect_set(F.when(out, F.col("line_no")))).alias("removed")
+    stays = classes.select("doc_id", "line_no").join(goes, ["doc_id", "line_no"], "left_anti")
+    # lines of a document lie together, so all that is known of it meets in one small row before it moves
+    told = lines.select("doc_id", "line_no", (F.col("n") > 0).alias("some"), F.lit(False).alias("stays"))
+    told = told.unionByName(stays.select("doc_id", "line_no", F.lit(False).alias("some"), F.lit(True).alias("stays")))
+    per_doc = told.groupBy("doc_id").agg(
+        F.size(F.collect_set(F.when(~F.col("stays"), F.col("line_no")))).cast("long").alias("n_lines"),
+        F.collect_set(F.when(F.col("some"), F.col("line_no"))).alias("some"), F.collect_set(F.when(F.col("stays"), F.col("line_no"))).alias("stays"),
     )
+    return per_doc.select("doc_id", "n_lines", F.array_sort(F.array_except("some", "stays")).alias("removed"))
 
 
 def deduplicate_lines(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
