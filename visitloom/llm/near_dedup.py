@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitloom.llm.common import Scratch, small_side
+from visitloom.llm.common import Scratch, aside, small_side
 from visitloom.llm.components import components
 from visitloom.llm.shingles import chunks, mix, shingle_sets
 from visitloom.session import ship
@@ -347,4 +347,5 @@ def keep_one(documents: DataFrame, k: int = 5, scratch: Scratch | None = None) -
     gone = _judged(documents, k, scratch or Scratch(documents.sparkSession, "near")).where(~_kept())
     gone = gone.select(F.col("doc_id").alias("gone_doc"), F.col("text_key").alias("gone_text")).distinct()
     here = (F.col("doc_id").cast("long") == F.col("gone_doc")) & (F.xxhash64("text") == F.col("gone_text"))
-    return documents.join(gone, here, "left_anti")
+    docs, own = aside(documents, "gone_doc", "gone_text")
+    return docs.join(gone, here, "left_anti").select(*own)
