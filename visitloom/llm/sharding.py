@@ -149,7 +149,8 @@ def _offsets(placed: DataFrame, scratch: Scratch, cell_rows: int) -> DataFrame:
     """(shard, cell, parts, part, before): the cells' parts and the rows of the shard before each."""
     cells = placed.groupBy("shard", "cell").agg(F.count("*").alias("rows"))
     cells = scratch.save(cells.select("shard", "cell", F.ceil(F.col("rows") / cell_rows).cast("int").alias("parts")), "cells")
-    known = placed.join(F.broadcast(cells), ["shard", "cell"])  # at most 2**MAX_CELL_BITS + shards rows
+    # left joins: every row has its cell, and an inner join would test the keys where the texts are read
+    known = placed.join(F.broadcast(cells), ["shard", "cell"], "left")  # at most 2**MAX_CELL_BITS + shards rows
     parts = known.groupBy("shard", "cell", "parts", _part().alias("part")).agg(F.count("*").alias("rows"))
     before = W.partitionBy("shard").orderBy("cell", "part").rowsBetween(W.unboundedPreceding, -1)
     # a row for about cell_rows rows
@@ -173,7 +174,7 @@ def shard(documents: DataFrame, shards: int = 40, tolerance: float = TOLERANCE,
     scratch.drop("sizes", "cells")
     cells = offsets.select("shard", "cell", "parts").distinct()  # at most 2**MAX_CELL_BITS + shards rows
     placed = keyed.withColumns(where).withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    placed = placed.join(F.broadcast(cells), ["shard", "cell"]).withColumn("part", _part())
+    placed = placed.join(F.broadcast(cells), ["shard", "cell"], "left").withColumn("part", _part())
     inside = W.partitionBy("shard", "cell", "part").orderBy("key", F.col("doc_id").asc_nulls_first())
-    numbered = placed.withColumn("number", F.row_number().over(inside) - 1).join(offsets.drop("parts"), ["shard", "cell", "part"])
+    numbered = placed.withColumn("number", F.row_number().over(inside) - 1).join(offsets.drop("parts"), ["shard", "cell", "part"], "left")
     return numbered.select(*docs.columns, "size", "text_crc32", "shard", (F.col("number") + F.col("before")).cast("long").alias("slot"))
