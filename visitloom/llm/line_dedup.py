@@ -5,10 +5,11 @@ from a sketch over all words of all texts (SKETCH counters, so rarity costs no j
 of similarity T or more share a token within their prefixes, the |x| - ceil(T|x|) + 1 rarest
 tokens each; candidates meet there, if lengths, the positions of the shared token and the
 Hamming distance of 128-bit set signatures allow the similarity, all within the join. Survivors
-are verified on their words. Lines with equal words in one order are one class, known by two
-independent 64-bit hashes of tokens and of words, and enter the join once; equal sets in another
-order are found by the join as any similar line is. Lines of fewer than NUM / (DEN - NUM) words can
-only equal each other and do not enter the join, so their order does not count. A line goes if an earlier line (by
+are verified on their words. Lines with equal tokens that are written alike, but for case, are one
+class, known by two independent 64-bit hashes of tokens and of the line, and enter the join once;
+equal sets written otherwise are found by the join as any similar line is. Lines of fewer than NUM /
+(DEN - NUM) words can only equal each other and do not enter the join, so for them the second hash
+is of their sorted words. A line goes if an earlier line (by
 doc_id, then line number) is similar to it.
 
 A prefix token that HOT lines or more may share is not a key by itself: prefixes that are one
@@ -29,7 +30,6 @@ import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from visitloom.llm.common import Scratch, drop_clashing, small_side
@@ -78,8 +78,14 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 
 def _tokens(lines: DataFrame, ranks: Column) -> DataFrame:
-    told = lines.select("doc_id", "line_no", _words(F.col("line")).alias("words"))
-    return told.select("*", _ordered(F.col("words"), ranks).alias("tokens"), F.size("words").alias("n"))
+    told = lines.select("doc_id", "line_no", "line", _ordered(_words(F.col("line")), ranks).alias("tokens"))
+    return told.withColumn("n", F.size("tokens"))
+
+
+def _second_hash(joins: Column) -> Column:
+    """Of the line as it is written, or of its sorted words if it does not enter the join."""
+    line = F.col("line")
+    return F.when(joins, F.xxhash64(F.lit(1), F.lower(line))).otherwise(F.xxhash64(F.lit(1), F.sort_array(_words(line))))
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -185,7 +191,7 @@ def removed_lines(documents: DataFrame, scratch: Scratch | None = None) -> DataF
     joins = F.col("n") >= LEAST_WORDS
     lines = scratch.save(
         told.select(
-            "doc_id", "line_no", "n", F.xxhash64("tokens").alias("c1"), F.xxhash64(F.lit(1), F.when(joins, F.col("words")).otherwise(F.sort_array("words"))).alias("c2"),
+            "doc_id", "line_no", "n", F.xxhash64("tokens").alias("c1"), _second_hash(joins).alias("c2"),
             F.when(joins, F.slice("tokens", F.lit(1), prefix + 1)).alias("longer"), *[F.when(joins, b).alias(n) for n, b in zip(SIGNATURE, _signature(), strict=True)],
         ),
         "lines",
@@ -200,8 +206,8 @@ def removed_lines(documents: DataFrame, scratch: Scratch | None = None) -> DataF
     # none is null; said here, so that all that follows has the same filters and shares one exchange
     known = [F.col(c).isNotNull() for c in ("key", "doc_id", "line_no", "n", "i", *SIGNATURE)]
     by_key = rows.where(reduce(Column.__and__, known)).repartition("key")
-    head = F.first(F.struct("doc_id", "line_no", "n", *SIGNATURE, "i")).over(W.partitionBy("key").orderBy("doc_id", "line_no"))
-    x = by_key.withColumn("h", head).alias("x")
+    heads = by_key.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "n", *SIGNATURE, "i")).alias("h"))
+    x = by_key.join(heads, "key").select("key", "doc_id", "line_no", "n", *SIGNATURE, "i", "h").alias("x")
     first = x.where(_earlier("h", "x") & _near("x", "h")).select(
         F.lit("first").alias("kind"), _place("x").alias("later"), _place("h").alias("earlier"), "key", "n", *SIGNATURE, "i"
     )
