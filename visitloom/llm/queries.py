@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm import decontamination, language_id, line_dedup, mixing, near_dedup, sharding, token_files, topk, toxicity, url_filter
+from visitloom.llm import decontamination, language_id, line_dedup, mixing, near_dedup, sharding, suffix_tree, token_files, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,7 +81,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out.alias("held_out"), "score", "predicted", "hits")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_mixing, op4_token_files, op5_topk, op6_url_filter, op7_line_dedup, op8_sharding, op9_decontamination, op10_toxicity)}
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    told = suffix_tree.score(docs, ~held_out, keep=["doc_id"])
+    held_out = F.coalesce(held_out, F.lit(False))  # a null id has no remainder
+    return told.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_mixing, op4_token_files, op5_topk, op6_url_filter, op7_line_dedup, op8_sharding, op9_decontamination, op10_toxicity, op11_lm_scoring)}
 
 _SIZES = r"""
 sizes AS (
