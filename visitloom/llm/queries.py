@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm import decontamination, language_id, line_dedup, mixing, near_dedup, sharding, suffix_tree, token_files, topk, toxicity, url_filter
+from visitloom.llm import decontamination, impact_search, language_id, line_dedup, mixing, near_dedup, sharding, suffix_tree, token_files, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,7 +89,12 @@ def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_mixing, op4_token_files, op5_topk, op6_url_filter, op7_line_dedup, op8_sharding, op9_decontamination, op10_toxicity, op11_lm_scoring)}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = impact_search.build(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return impact_search.search(index, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_mixing, op4_token_files, op5_topk, op6_url_filter, op7_line_dedup, op8_sharding, op9_decontamination, op10_toxicity, op11_lm_scoring, op13_ranked_search)}
 
 _SIZES = r"""
 sizes AS (
@@ -247,5 +252,27 @@ per AS (
 SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        coalesce(n_items, 0)::BIGINT AS n_items, coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN per USING (doc_id)
+""",
+    "op13_ranked_search": r"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+),
+b AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+),
+q AS (SELECT item_id, term, count(*) AS repeats FROM b GROUP BY ALL),
+len_of AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM len_of),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM df, whole),
+s AS (
+  SELECT item_id, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term) JOIN len_of USING (doc_id), whole GROUP BY ALL
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20
 """,
 }
