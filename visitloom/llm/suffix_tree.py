@@ -2,17 +2,24 @@
 
 A text is lower-cased (A-Z) and cut in words between white space; it is spelled as its words,
 each followed by a blank, and an end symbol. The symbols are bytes. The tree holds contexts of
-up to ``DEPTH`` bytes. A context is retained if its next-symbol distribution diverges from that
-of its suffix: the summed log-likelihood ratio must exceed ``PENALTY`` nats for each of its
-distinct followers; suffixes of retained contexts stay too. A state's distribution is smoothed
-with its suffix's one, p(x|s) = (c(s,x) + t(s) p(x|suf s)) / (c(s) + t(s)) with t(s) distinct
-followers, down to 1/256. A symbol is scored by the longest retained suffix of what stands
-before it; a text begins after blanks. So the probabilities of all word sequences sum to one.
-
-Counting sums the distinct byte runs of each task by key. Scoring deals texts in blocks of about
-``BLOCK_BYTES``; a block asks once for each of its distinct byte runs and words, Spark joins
-these with the states and counts, and the answers meet the block again. Nothing is broadcast or
-collected; a frequent run has as many rows as there are blocks.
+up to ``DEPTH`` bytes. The empty context and single bytes are always states. A longer context is
+retained if its next-symbol distribution diverges from that of its suffix: the summed
+log-likelihood ratio must exceed ``PENALTY`` nats for each of its distinct followers; suffixes of
+retained contexts stay too. A state's distribution is smoothed with its suffix's one,
+p(x|s) = (c(s,x) + t(s) p(x|suf s)) / (c(s) + t(s)) with t(s) distinct followers, down to 1/256.
+A symbol is scored by the longest retained suffix of what stands before it; a text begins after
+blanks. A token's spelled probability, the product over its bytes, is smoothed in turn with the
+unigram one, (c+1)/(N+1*(V+1)), each weighing a half: the tree knows what words follow, the
+unigrams know whole words. Over the training words, the end and one class of all unknown words
+these probabilities sum to one at most; the score is the sum of their logarithms.
+
+Each task sends its distinct runs of ``DEPTH`` + 1 bytes and its distinct words with their training
+counts, packed in arrays. Runs with the same two bytes before their symbol meet in one group, which
+holds all contexts that end in them: it builds its part of the tree and answers each of its runs.
+Runs that occur only in texts to be scored come along with a count of 0. Texts are then dealt in
+blocks of about ``BLOCK_BYTES``; a block asks once for each of its distinct runs and words, questions
+and answers meet by ranges of hashes, and the answers go back to the block. Only the counts of
+single bytes and their followers, 65,792 numbers, pass through the driver.
 
 Defined results: a null or empty text, or one without words, is the end symbol alone; only rows
 for which ``train`` is true are learned from, a null condition counts as false; without training
@@ -29,25 +36,26 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from visitloom.llm.common import Scratch
+from visitloom.llm.perfect_hash import scrambled
 from visitloom.llm.words import Distinct, Places, Words, classes, split, steps
 from visitloom.session import ship
 
 DEPTH = 5
 PENALTY = 1.0
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 #: Entries of distinct runs or words that a counting task holds before it hands them on.
 HELD = 4_000_000
 
 SPACE = classes(b" \t\n\x0b\x0c\r")
 BLANK, END = 0x20, 0x0A
 LN10 = math.log(10)
-#: Stands for the end token, which has no run of its own among the counts.
-ENDS = -1
 
 
 def spelled_runs(words: Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,175 +77,305 @@ def spelled_runs(words: Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return runs[symbol], row[symbol]
 
 
-_COUNTS = "run long, word binary, n long"
+def _range(keys: np.ndarray, ranges: int) -> np.ndarray:
+    return ((scrambled(keys, 3) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def _counter(depth: int):
-    """Distinct runs and words of a task's texts with their counts."""
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
-    def emit(runs: Distinct, words: dict[bytes, int], docs: int):
+
+def _pieces(which: np.ndarray, *columns: np.ndarray):
+    """(range, the columns' values in it) of each range that has some; values keep their order."""
+    if not len(which):
+        return
+    order = np.argsort(which, kind="stable")
+    which = which[order]
+    first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+    for a, b in zip(first, np.append(first[1:], len(which)), strict=True):
+        yield int(which[a]), [c[order[a:b]] for c in columns]
+
+
+def _rows(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(schema.values())], names=list(schema))
+
+
+def _whole(rows: pa.Table, column: str, dtype) -> np.ndarray:
+    """The values of a column of packed arrays, one after the other."""
+    return np.frombuffer(b"".join(x for x in rows.column(column).to_pylist() if x is not None), dtype=dtype)
+
+
+def _all_words(rows: pa.Table) -> list[bytes]:
+    return [w for x in rows.column("words").to_pylist() if x for w in x.split(b"\n")]
+
+
+# --- counting
+
+#: kind 0: runs by the two bytes before the symbol; kind 1: words by a range of hashes.
+_COUNTS = {"kind": pa.int32(), "part": pa.int32(), "runs": pa.binary(), "words": pa.binary(), "counts": pa.binary()}
+_COUNTS_DDL = "kind int, part int, runs binary, words binary, counts binary"
+
+
+def _part_of(runs: np.ndarray, parts: int) -> np.ndarray:
+    return _range((runs >> 8) & 0xFFFF, parts)
+
+
+def _counter(depth: int, parts: int, ranges: int):
+    """Distinct runs and words of a task's texts with their counts in training texts."""
+
+    def emit(runs: Distinct, words: dict[bytes, int]):
         keys, n = runs.all()
-        none = pa.nulls(len(keys), pa.binary())
-        yield pa.record_batch([pa.array(keys), none, pa.array(n)], names=["run", "word", "n"])
-        held, counts = list(words), list(words.values())
-        yield pa.record_batch([pa.nulls(len(held), pa.int64()), pa.array(held, pa.binary()), pa.array(counts, pa.int64())], names=["run", "word", "n"])
-        yield pa.record_batch([pa.array([ENDS], pa.int64()), pa.nulls(1, pa.binary()), pa.array([docs], pa.int64())], names=["run", "word", "n"])
+        out = [(0, p, r.tobytes(), None, c.tobytes()) for p, (r, c) in _pieces(_part_of(keys, parts), keys, n)]
+        held, counts = np.array(list(words), dtype=object), np.array(list(words.values()), dtype=np.int64)
+        out += [(1, p, None, b"\n".join(w), c.tobytes()) for p, (w, c) in _pieces(_range(_hashes(list(words)), ranges), held, counts)]
+        yield from _rows(_COUNTS, out).to_batches()
 
     def count(batches):
-        runs, words, docs = Distinct(), {}, 0
+        runs, words = Distinct(), {}
         for batch in batches:
-            for step in steps(batch):
-                told = split(step.column("text"), SPACE)
-                runs.add(spelled_runs(told, depth)[0])
-                at, distinct = told.coded()
-                for w, n in zip(distinct.to_pylist(), np.bincount(at, minlength=len(distinct)).tolist(), strict=True):
-                    words[w] = words.get(w, 0) + n
-                docs += step.num_rows
-                if runs.held + len(words) > HELD:
-                    yield from emit(runs, words, docs)
-                    runs, words, docs = Distinct(), {}, 0
-        yield from emit(runs, words, docs)
+            for admitted in (True, False):
+                for step in steps(batch.filter(pc.equal(batch.column("train"), admitted))):
+                    told = split(step.column("text"), SPACE)
+                    keys, n = np.unique(spelled_runs(told, depth)[0], return_counts=True)
+                    runs.add(keys, n * admitted)
+                    at, distinct = told.coded()
+                    for w, n in zip(distinct.to_pylist(), (np.bincount(at, minlength=len(distinct)) * admitted).tolist(), strict=True):
+                        words[w] = words.get(w, 0) + n
+                    if runs.held + len(words) > HELD:
+                        yield from emit(runs, words)
+                        runs, words = Distinct(), {}
+        yield from emit(runs, words)
 
     return count
 
 
-def _asker(depth: int):
-    """A block's distinct runs and words."""
+def _sum_part(rows: pa.Table) -> pa.Table:
+    """One row of whole counts of a part's runs or words."""
+    kind, part = rows.column("kind")[0].as_py(), rows.column("part")[0].as_py()
+    counts = _whole(rows, "counts", np.int64)
+    if kind == 0:
+        gathered = Distinct()
+        gathered.add(_whole(rows, "runs", np.int64), counts)
+        runs, n = gathered.all()
+        return _rows(_COUNTS, [(kind, part, runs.tobytes(), None, n.tobytes())])
+    told = pa.array(_all_words(rows), pa.large_binary()).dictionary_encode()
+    n = np.zeros(len(told.dictionary), dtype=np.int64)
+    np.add.at(n, told.indices.to_numpy(), counts)
+    return _rows(_COUNTS, [(kind, part, None, b"\n".join(told.dictionary.to_pylist()), n.tobytes())])
+
+
+def _totals(batches):
+    """(edge, n): counts of a byte and its follower; under -1 and -2 all words and distinct words."""
+    sums = np.zeros(1 << 16, dtype=np.int64)
+    total = distinct = 0
+    for batch in batches:
+        for row in batch.to_pylist():
+            n = np.frombuffer(row["counts"], dtype=np.int64)
+            if row["kind"] == 0:
+                np.add.at(sums, np.frombuffer(row["runs"], dtype=np.int64) & 0xFFFF, n)
+            else:
+                total, distinct = total + int(n.sum()), distinct + int((n > 0).sum())
+    held = np.flatnonzero(sums)
+    yield pa.record_batch([pa.array(np.concatenate([[-1, -2], held])), pa.array(np.concatenate([[total, distinct], sums[held]]))], names=["edge", "n"])
+
+
+# --- the tree
+
+
+def probabilities(runs: np.ndarray, n: np.ndarray, singles: np.ndarray, depth: int, penalty: float) -> np.ndarray:
+    """Smoothed probability of each run's symbol after its longest retained suffix.
+
+    ``runs``: distinct and ascending by value, with all contexts that end in the same two bytes as
+    one of them; ``n``: their counts; ``singles``: 256 x 256 counts of a byte and its follower.
+    """
+    low = runs & 0xFFFF
+    symbol, byte = low & 0xFF, low >> 8
+    c, t, seen = singles.sum(), (singles.sum(axis=0) > 0).sum(), singles.sum(axis=0)
+    p = (seen[symbol] + t / 256) / (c + t) if c else np.full(len(runs), 1 / 256)
+    c, t = singles.sum(axis=1), (singles > 0).sum(axis=1)
+    plain = np.divide(singles[byte, symbol], np.maximum(c[byte], 1))  # unsmoothed, of the suffix
+    p = np.where(c[byte] > 0, (singles[byte, symbol] + t[byte] * p) / np.maximum(c[byte] + t[byte], 1), p)
+    levels, kept = [], []
+    for k in range(2, depth + 1):
+        edges, of_run = np.unique(runs & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        count = np.bincount(of_run, weights=n, minlength=len(edges))
+        contexts, of_edge = np.unique(edges >> 8, return_inverse=True)
+        c = np.bincount(of_edge, weights=count, minlength=len(contexts))
+        t = np.bincount(of_edge[count > 0], minlength=len(contexts))
+        parent = np.zeros(len(edges))
+        parent[of_run] = plain  # runs of one edge share their suffix's value
+        own = np.divide(count, np.maximum(c[of_edge], 1))
+        ratio = np.zeros(len(edges))
+        held = count > 0
+        ratio[held] = count[held] * np.log(own[held] / parent[held])
+        kept.append(np.bincount(of_edge, weights=ratio, minlength=len(contexts)) > penalty * np.maximum(t, 1))
+        levels.append((contexts, of_edge[of_run], count[of_run], c, t))
+        plain = own[of_run]
+    for k in range(depth - 2, 0, -1):  # suffixes of retained contexts
+        suffixes = np.unique(levels[k][0][kept[k]] & ((1 << 8 * (k + 1)) - 1))
+        kept[k - 1][np.searchsorted(levels[k - 1][0], suffixes)] = True
+    for (_, at, count, c, t), stays in zip(levels, kept, strict=True):
+        p = np.where(stays[at], (count + t[at] * p) / np.maximum(c[at] + t[at], 1), p)
+    return p
+
+
+#: What a range of hashes knows: runs with the logarithms of their probabilities, words with counts.
+_KNOWN = {"range": pa.int32(), "runs": pa.binary(), "logs": pa.binary(), "words": pa.binary(), "counts": pa.binary()}
+_KNOWN_DDL = "range int, runs binary, logs binary, words binary, counts binary"
+
+
+def _answerer(singles, depth: int, penalty: float, ranges: int):
+    def answer(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["kind"] == 1:
+                    yield from _rows(_KNOWN, [(row["part"], None, None, row["words"], row["counts"])]).to_batches()
+                    continue
+                runs, n = (np.frombuffer(row[x], dtype=np.int64) for x in ("runs", "counts"))
+                logs = np.log10(probabilities(runs, n, singles.value, depth, penalty))
+                out = [(r, k.tobytes(), v.tobytes(), None, None) for r, (k, v) in _pieces(_range(runs, ranges), runs, logs)]
+                yield from _rows(_KNOWN, out).to_batches()
 
-    def ask(block: pa.Table) -> pa.Table:
-        runs, words = Distinct(), set()
-        for step in steps(block):
+    return answer
+
+
+# --- blocks
+
+
+def _dealer(batches):
+    """A batch's rows of each block, as one compressed Arrow stream."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        out = []
+        for number, (at,) in _pieces(batch.column("block").to_numpy(), np.arange(batch.num_rows)):
+            rows = batch.drop_columns(["block"]).take(pa.array(at))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
+                writer.write_batch(rows)
+            out.append((number, sink.getvalue().to_pybytes()))
+        yield from _rows({"block": pa.int32(), "packed": pa.binary()}, out).to_batches()
+
+
+def _texts(block: pa.Table):
+    for packed in block.column("packed"):
+        yield from pa.ipc.open_stream(packed.as_buffer())
+
+
+def _questions(block: pa.Table, depth: int, ranges: int) -> tuple[np.ndarray, list[bytes], dict[int, list]]:
+    """Distinct runs and words of a block, in an order that its rows alone decide, and their places by range."""
+    runs, held = Distinct(), set()
+    for batch in _texts(block):
+        for step in steps(batch):
             told = split(step.column("text"), SPACE)
             runs.add(spelled_runs(told, depth)[0])
-            words.update(told.coded()[1].to_pylist())
-        keys, held = runs.all()[0], list(words)
+            held.update(told.coded()[1].to_pylist())
+    keys, words = runs.all()[0], list(held)
+    hashes = _hashes(words)
+    order = np.argsort(hashes)
+    if (hashes[order][1:] == hashes[order][:-1]).any():
+        order = np.array(sorted(range(len(words)), key=lambda i: (hashes[i], words[i])))
+    words, none = [words[i] for i in order], np.zeros(0, dtype=np.int64)
+    places: dict[int, list] = {}
+    for kind, which in enumerate((_range(keys, ranges), _range(hashes[order], ranges))):
+        for r, (at,) in _pieces(which, np.arange(len(which))):
+            places.setdefault(r, [none, none])[kind] = at
+    return keys, words, places
+
+
+def _asker(depth: int, ranges: int):
+    def ask(block: pa.Table) -> pa.Table:
+        runs, words, places = _questions(block, depth, ranges)
         number = block.column("block")[0].as_py()
-        return pa.table(
-            {
-                "block": pa.array(np.full(len(keys) + len(held), number, dtype=np.int32)),
-                "run": pa.concat_arrays([pa.array(keys), pa.nulls(len(held), pa.int64())]),
-                "word": pa.concat_arrays([pa.nulls(len(keys), pa.binary()), pa.array(held, pa.binary())]),
-            }
-        )
+        rows = [(number, r, runs[a].tobytes(), b"\n".join([words[i] for i in b])) for r, (a, b) in places.items()]
+        return _rows({"block": pa.int32(), "range": pa.int32(), "runs": pa.binary(), "words": pa.binary()}, rows)
 
     return ask
 
 
-def _scorer(depth: int, total: int, distinct: int, ends: int, kept: list[str]):
-    """A block's texts with the answers to its questions."""
-    least = math.log10(1 / 256)
-
-    def score(block: pa.Table, answers: pa.Table) -> pa.Table:
-        of_run = answers.filter(pc.is_valid(answers.column("run")))
-        of_word = answers.filter(pc.is_valid(answers.column("word")))
-        places = Places(of_run.column("run").to_numpy().astype(np.int64))
-        logs = np.concatenate([of_run.column("value").to_numpy(), [least]])
-        known = of_word.column("word").combine_chunks().cast(pa.large_binary())
-        counts = np.concatenate([of_word.column("value").to_numpy(), [0.0]])
-        log_of = np.log10((counts + 1) / (total + distinct + 1))
-        ended = math.log10((ends + 1) / (total + distinct + 1))
-        n_tokens, n_known, base, scores = [], [], [], []
-        for step in steps(block):
-            told = split(step.column("text"), SPACE)
-            at, words = told.coded()
-            found = pc.index_in(words, value_set=known).fill_null(len(known)).to_numpy(zero_copy_only=False)[at] if len(words) else at
-            n_tokens.append(np.bincount(told.row, minlength=told.rows) + 1)
-            n_known.append(np.bincount(told.row[found < len(known)], minlength=told.rows) + (ends > 0))
-            runs, row = spelled_runs(told, depth)
-            symbol = runs & 0xFF
-            last = np.flatnonzero((symbol == BLANK) | (symbol == END))  # of each token, words and ends in order
-            spelled = np.add.reduceat(logs[places.of(runs)], np.concatenate([[0], last[:-1] + 1]))
-            plain = np.full(len(last), ended)
-            plain[symbol[last] == BLANK] = log_of[found]
-            base.append(np.bincount(row[last], weights=plain, minlength=told.rows))
-            mixed = np.logaddexp(spelled * LN10, plain * LN10) / LN10 + math.log10(0.5)
-            scores.append(np.bincount(row[last], weights=mixed, minlength=told.rows))
-        own = {name: block.column(name) for name in kept}
-        return pa.table(own | {
-            "n_tokens": np.concatenate(n_tokens).astype(np.int64),
-            "n_known": np.concatenate(n_known).astype(np.int64),
-            "base_score": np.concatenate(base),
-            "score": np.concatenate(scores),
-        })
+_REPLY = {"block": pa.int32(), "range": pa.int32(), "logs": pa.binary(), "counts": pa.binary()}
 
-    return score
 
+def _reply(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """Answers to each block's questions of one range, in the order of the questions."""
+    places = Places(_whole(known, "runs", np.int64))
+    logs = np.append(_whole(known, "logs", np.float64), math.nan)  # every run of the texts is known
+    words = pa.array(_all_words(known), pa.large_binary())
+    counts = np.append(_whole(known, "counts", np.int64), 0)
+    out = []
+    for row in asked.to_pylist():
+        held = pa.array(row["words"].split(b"\n") if row["words"] else [], pa.large_binary())
+        at = pc.index_in(held, value_set=words).fill_null(len(words)).to_numpy(zero_copy_only=False)
+        out.append((row["block"], row["range"], logs[places.of(np.frombuffer(row["runs"], dtype=np.int64))].tobytes(), counts[at].tobytes()))
+    return _rows(_REPLY, out)
 
-def _low(col: Column, depth: Column) -> Column:
-    """The lowest ``depth`` bytes of a packed run."""
-    return col.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (depth * 8).cast("int")) - 1)
 
+def _scorer(depth: int, ranges: int, total: int, distinct: int, ends: int, kept: list[str], schema: pa.Schema):
+    """A block's texts with the answers to its questions."""
 
-def learn(texts: DataFrame, depth: int, penalty: float, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(counts, states, edges) of the training texts, saved.
+    def score(block: pa.Table, replies: pa.Table) -> pa.Table:
+        runs, words, places = _questions(block, depth, ranges)
+        logs, counts = np.zeros(len(runs)), np.zeros(len(words), dtype=np.int64)
+        for row in replies.to_pylist():
+            of_runs, of_words = places[row["range"]]
+            logs[of_runs] = np.frombuffer(row["logs"], dtype=np.float64)
+            counts[of_words] = np.frombuffer(row["counts"], dtype=np.int64)
+        place, held = Places(runs), pa.array(words, pa.large_binary())
+        log_of = np.log10((counts + 1) / (total + distinct + 1))
+        ended = math.log10((ends + 1) / (total + distinct + 1))
+        out = []
+        for batch in _texts(block):
+            for step in steps(batch):
+                told = split(step.column("text"), SPACE)
+                at, own = told.coded()
+                found = pc.index_in(own, value_set=held).to_numpy(zero_copy_only=False)[at] if len(own) else at
+                keys, row = spelled_runs(told, depth)
+                symbol = keys & 0xFF
+                last = np.flatnonzero((symbol == BLANK) | (symbol == END))  # of each token, words and ends in order
+                spelled = np.add.reduceat(logs[place.of(keys)], np.concatenate([[0], last[:-1] + 1]))
+                plain = np.full(len(last), ended)
+                plain[symbol[last] == BLANK] = log_of[found]
+                mixed = np.logaddexp(spelled * LN10, plain * LN10) / LN10 + math.log10(0.5)
+                sums = (
+                    np.bincount(told.row, minlength=told.rows) + 1,
+                    np.bincount(told.row[counts[found] > 0], minlength=told.rows) + (ends > 0),
+                    np.bincount(row[last], weights=plain, minlength=told.rows),
+                    np.bincount(row[last], weights=mixed, minlength=told.rows),
+                )
+                out.append(pa.table([*(step.column(c) for c in kept), *sums], names=schema.names).cast(schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
 
-    counts: (run, word, n). states: (k, context, c, t), retained contexts of k bytes.
-    edges: (k, edge, n), the k bytes of a retained context and a follower.
-    """
-    told = texts.mapInArrow(_counter(depth), _COUNTS).groupBy("run", "word").agg(F.sum("n").alias("n"))
-    counts = scratch.save(told, "counts")
-    levels = (
-        counts.where(F.col("run") >= 0)
-        .select("n", "run", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("k"))
-        .groupBy("k", _low(F.col("run"), F.col("k") + 1).alias("edge"))
-        .agg(F.sum("n").alias("n"))
-    )
-    all_edges = scratch.save(levels, "all_edges").withColumn("context", F.shiftright("edge", 8))
-    of_context = all_edges.groupBy("k", "context").agg(F.sum("n").alias("c"), F.count("*").alias("t"))
-    with_state = scratch.save(all_edges.join(of_context, ["k", "context"]), "with_state")
-    parent = with_state.select((F.col("k") + 1).alias("k"), F.col("edge").alias("low"), (F.col("n") / F.col("c")).alias("p_parent"))
-    longer = with_state.where("k > 0").withColumn("low", _low(F.col("edge"), F.col("k")))
-    ratio = F.sum(F.col("n") * F.log(F.col("n") / F.col("c") / F.col("p_parent")))
-    apart = longer.join(parent, ["k", "low"]).groupBy("k", "context").agg(ratio.alias("apart"), F.first("t").alias("t"))
-    own = apart.where(F.col("apart") > F.col("t") * penalty)
-    closed = own.select(F.explode(F.sequence(F.lit(0), F.col("k"))).alias("k"), "context").select("k", _low(F.col("context"), F.col("k")).alias("context"))
-    root = with_state.where("k = 0").select("k", "context")
-    kept = closed.union(root).distinct()
-    states = scratch.save(of_context.join(kept, ["k", "context"], "left_semi"), "states")
-    edges = scratch.save(all_edges.join(kept, ["k", "context"], "left_semi").select("k", "edge", "n"), "edges")
-    scratch.drop("all_edges", "with_state")
-    return counts, states, edges
-
-
-def _answers(asked: DataFrame, counts: DataFrame, states: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(block, run, word, value): log10 of each asked run's smoothed probability, each known word's count."""
-    runs = asked.where(F.col("run").isNotNull()).select("block", "run")
-    told = (
-        runs.select("run").distinct()
-        .select("run", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("k"))
-        .withColumn("edge", _low(F.col("run"), F.col("k") + 1))
-        .withColumn("context", F.shiftright("edge", 8))
-        .join(states, ["k", "context"])
-        .join(edges, ["k", "edge"], "left")
-        .groupBy("run")
-        .agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("n", F.lit(0)).alias("n"), "c", "t"))).alias("way"))
-    )  # suffixes of retained contexts are retained, so a way has no gaps
-    step = lambda p, s: (s["n"] + s["t"] * p) / (s["c"] + s["t"])
-    logs = told.select("run", F.log10(F.aggregate("way", F.lit(1 / 256), step)).alias("value"))
-    of_runs = runs.join(logs, "run").select("block", "run", F.lit(None).cast("binary").alias("word"), "value")
-    known = counts.where(F.col("word").isNotNull()).select("word", F.col("n").cast("double").alias("value"))
-    of_words = asked.where(F.col("word").isNotNull()).select("block", "word").join(known, "word")
-    return of_runs.union(of_words.select("block", F.lit(None).cast("long"), "word", "value"))
+    return score
 
 
 def score(docs: DataFrame, train: Column, keep: list[str], text: str = "text", depth: int = DEPTH, penalty: float = PENALTY, block_bytes: int = BLOCK_BYTES, scratch: Scratch | None = None) -> DataFrame:
     """The kept columns of every document with n_tokens, n_known, train_tokens, base_score and score."""
+    if not 2 <= depth <= 6:
+        raise ValueError("a run of depth + 1 bytes must fit in a long")
     spark = docs.sparkSession
     ship(spark)
     scratch = scratch or Scratch(spark, "suffix-tree")
-    raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    admitted = F.coalesce(train, F.lit(False))
-    counts, states, edges = learn(docs.where(admitted).select(raw.alias("text")), depth, penalty, scratch)
-    total, distinct, ends = (int(x or 0) for x in counts.where("word is not null or run = -1").agg(F.sum("n"), F.count(F.when(F.col("n") > 0, 1)), F.sum(F.when(F.col("run") == ENDS, F.col("n")))).first())
-    size = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    # keys of the blocks: the same rows give the same blocks again whenever a task is run again
-    block = F.pmod(F.xxhash64(*keep, text), F.lit(blocks)).cast("int")
+    raw = F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text")
+    admitted = F.coalesce(train, F.lit(False)).alias("train")
+    size, ends = docs.agg(F.sum(F.octet_length(text).cast("long")), F.count(F.when(admitted, 1))).first()
+    blocks = max(1, math.ceil((size or 0) / block_bytes))
+    parts, ranges = max(64, min(blocks, 1 << 16)), max(64, blocks // 4)
+    told = docs.select(admitted, raw).mapInArrow(_counter(depth, parts, ranges), _COUNTS_DDL)
+    counts = scratch.save(told.groupBy("kind", "part").applyInArrow(_sum_part, _COUNTS_DDL), "counts")
+    sums = {r["edge"]: r["n"] for r in counts.mapInArrow(_totals, "edge long, n long").groupBy("edge").agg(F.sum("n").alias("n")).collect()}
+    total, distinct = sums.pop(-1, 0) + ends, sums.pop(-2, 0) + (ends > 0)  # an end is a token
+    singles = np.zeros((256, 256), dtype=np.int64)
+    for edge, n in sums.items():
+        singles[edge >> 8, edge & 0xFF] = n
+    known = scratch.save(counts.mapInArrow(_answerer(spark.sparkContext.broadcast(singles), depth, penalty, ranges), _KNOWN_DDL), "known")
+    # rows alone decide on their block, so that a task that runs again asks the same
+    block = F.pmod(F.xxhash64(*keep, text), F.lit(blocks)).cast("int").alias("block")
     own = [f"_{i}" for i in range(len(keep))]
-    dealt = docs.select(block.alias("block"), *[F.col(c).alias(o) for c, o in zip(keep, own, strict=True)], raw.alias("text")).repartition(blocks, "block")
-    asked = dealt.select("block", "text").groupBy("block").applyInArrow(_asker(depth), "block int, run long, word binary")
-    answers = _answers(scratch.save(asked, "asked"), counts, states, edges, depth)
-    schema = T.StructType([*dealt.select(*own).schema, *T.StructType.fromDDL("n_tokens long, n_known long, base_score double, score double")])
-    told = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scorer(depth, total, distinct, ends, own), schema)
-    told = told.withColumnsRenamed(dict(zip(own, keep, strict=True)))
+    numbered = docs.select(block, *[F.col(c).alias(o) for c, o in zip(keep, own, strict=True)], raw)
+    dealt = numbered.mapInArrow(_dealer, "block int, packed binary").repartition(blocks, "block")
+    asked = dealt.groupBy("block").applyInArrow(_asker(depth, ranges), "block int, range int, runs binary, words binary")
+    replies = asked.groupBy("range").cogroup(known.groupBy("range")).applyInArrow(_reply, "block int, range int, logs binary, counts binary")
+    schema = T.StructType([*numbered.select(*own).schema, *T.StructType.fromDDL("n_tokens long, n_known long, base_score double, score double")])
+    scorer = _scorer(depth, ranges, total, distinct, ends, own, to_arrow_schema(schema))
+    scored = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(scorer, schema)
+    told = scored.withColumnsRenamed(dict(zip(own, keep, strict=True)))
     return told.select(*keep, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
