@@ -44,7 +44,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from visitloom.llm.common import Scratch
 from visitloom.llm.perfect_hash import scrambled
-from visitloom.llm.words import Distinct, Places, Words, classes, split, steps
+from visitloom.llm.words import Distinct, Places, Words, classes, listed, split, steps
 from visitloom.session import ship
 
 DEPTH = 5
@@ -58,8 +58,8 @@ BLANK, END = 0x20, 0x0A
 LN10 = math.log(10)
 
 
-def spelled_runs(words: Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(run, row): for each symbol of each text, the ``depth`` bytes before it and itself, packed."""
+def spelled_runs(words: Words, depth: int) -> np.ndarray:
+    """For each symbol of each text in order: the ``depth`` bytes before it and itself, packed."""
     lengths = np.bincount(words.row, weights=words.lengths + 1, minlength=words.rows).astype(np.int64) + 1
     base = np.concatenate([[0], np.cumsum(lengths + depth)])  # each text after ``depth`` blanks
     line = np.full(base[-1], BLANK, dtype=np.uint8)
@@ -70,11 +70,14 @@ def spelled_runs(words: Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
         held = np.frombuffer(words.values.buffers()[2], dtype=np.uint8)
         line[np.arange(len(held)) + np.repeat(shift, words.lengths)] = held
     runs = np.zeros(len(line), dtype=np.int64)
-    for j in range(depth + 1):
-        runs[j:] |= line[: len(line) - j].astype(np.int64) << (8 * j)
-    row = np.repeat(np.arange(words.rows), lengths + depth)
-    symbol = np.arange(len(line)) - base[row] >= depth
-    return runs[symbol], row[symbol]
+    for j in range(0, depth + 1, 2):  # two bytes at a time
+        two = line[: len(line) - j].astype(np.uint16)
+        if j < depth:
+            two[1:] |= line[: len(line) - j - 1].astype(np.uint16) << 8
+        runs[j:] |= two.astype(np.int64) << (8 * j)
+    symbol = np.ones(len(line), dtype=bool)
+    symbol[(base[:-1, None] + np.arange(depth)).reshape(-1)] = False
+    return runs[symbol]
 
 
 def _range(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -123,32 +126,42 @@ def _part_of(runs: np.ndarray, parts: int) -> np.ndarray:
 def _counter(depth: int, parts: int, ranges: int):
     """Distinct runs and words of a task's texts with their counts in training texts."""
 
-    def emit(runs: Distinct, words: dict[bytes, int]):
+    def emit(runs: Distinct, words: list[tuple[pa.Array, np.ndarray]]):
         keys, n = runs.all()
         out = [(0, p, r.tobytes(), None, c.tobytes()) for p, (r, c) in _pieces(_part_of(keys, parts), keys, n)]
-        held, counts = np.array(list(words), dtype=object), np.array(list(words.values()), dtype=np.int64)
-        out += [(1, p, None, b"\n".join(w), c.tobytes()) for p, (w, c) in _pieces(_range(_hashes(list(words)), ranges), held, counts)]
+        held, n = _added_words(words)
+        out += [(1, p, None, b"\n".join(w), c.tobytes()) for p, (w, c) in _pieces(_range(_hashes(held), ranges), np.array(held, dtype=object), n)]
         yield from _rows(_COUNTS, out).to_batches()
 
     def count(batches):
-        runs, words = Distinct(), {}
+        runs, words, held = Distinct(), [], 0
         for batch in batches:
             for admitted in (True, False):
                 for step in steps(batch.filter(pc.equal(batch.column("train"), admitted))):
                     told = split(step.column("text"), SPACE)
-                    keys, n = np.unique(spelled_runs(told, depth)[0], return_counts=True)
+                    keys, n = np.unique(spelled_runs(told, depth), return_counts=True)
                     runs.add(keys, n * admitted)
                     at, distinct = told.coded()
-                    for w, n in zip(distinct.to_pylist(), (np.bincount(at, minlength=len(distinct)) * admitted).tolist(), strict=True):
-                        words[w] = words.get(w, 0) + n
-                    if runs.held + len(words) > HELD:
+                    words.append((distinct, np.bincount(at, minlength=len(distinct)) * admitted))
+                    held += len(distinct)
+                    if runs.held + held > HELD:
                         yield from emit(runs, words)
-                        runs, words = Distinct(), {}
+                        runs, words, held = Distinct(), [], 0
         yield from emit(runs, words)
 
     return count
 
 
+def _added_words(words: list[tuple[pa.Array, np.ndarray]]) -> tuple[list[bytes], np.ndarray]:
+    """Distinct words of several lists with their summed counts."""
+    if not words:
+        return [], np.zeros(0, dtype=np.int64)
+    told = pa.concat_arrays([w for w, _ in words]).dictionary_encode()
+    n = np.zeros(len(told.dictionary), dtype=np.int64)
+    np.add.at(n, told.indices.to_numpy(), np.concatenate([c for _, c in words]))
+    return listed(told.dictionary), n
+
+
 def _sum_part(rows: pa.Table) -> pa.Table:
     """One row of whole counts of a part's runs or words."""
     kind, part = rows.column("kind")[0].as_py(), rows.column("part")[0].as_py()
@@ -158,10 +171,8 @@ def _sum_part(rows: pa.Table) -> pa.Table:
         gathered.add(_whole(rows, "runs", np.int64), counts)
         runs, n = gathered.all()
         return _rows(_COUNTS, [(kind, part, runs.tobytes(), None, n.tobytes())])
-    told = pa.array(_all_words(rows), pa.large_binary()).dictionary_encode()
-    n = np.zeros(len(told.dictionary), dtype=np.int64)
-    np.add.at(n, told.indices.to_numpy(), counts)
-    return _rows(_COUNTS, [(kind, part, None, b"\n".join(told.dictionary.to_pylist()), n.tobytes())])
+    held, n = _added_words([(pa.array(_all_words(rows), pa.large_binary()), counts)])
+    return _rows(_COUNTS, [(kind, part, None, b"\n".join(held), n.tobytes())])
 
 
 def _totals(batches):
@@ -261,86 +272,73 @@ def _texts(block: pa.Table):
         yield from pa.ipc.open_stream(packed.as_buffer())
 
 
-def _questions(block: pa.Table, depth: int, ranges: int) -> tuple[np.ndarray, list[bytes], dict[int, list]]:
-    """Distinct runs and words of a block, in an order that its rows alone decide, and their places by range."""
-    runs, held = Distinct(), set()
-    for batch in _texts(block):
-        for step in steps(batch):
-            told = split(step.column("text"), SPACE)
-            runs.add(spelled_runs(told, depth)[0])
-            held.update(told.coded()[1].to_pylist())
-    keys, words = runs.all()[0], list(held)
-    hashes = _hashes(words)
-    order = np.argsort(hashes)
-    if (hashes[order][1:] == hashes[order][:-1]).any():
-        order = np.array(sorted(range(len(words)), key=lambda i: (hashes[i], words[i])))
-    words, none = [words[i] for i in order], np.zeros(0, dtype=np.int64)
-    places: dict[int, list] = {}
-    for kind, which in enumerate((_range(keys, ranges), _range(hashes[order], ranges))):
-        for r, (at,) in _pieces(which, np.arange(len(which))):
-            places.setdefault(r, [none, none])[kind] = at
-    return keys, words, places
+_ASKED = {"block": pa.int32(), "range": pa.int32(), "runs": pa.binary(), "words": pa.binary()}
+_ASKED_DDL = "block int, range int, runs binary, words binary"
 
 
 def _asker(depth: int, ranges: int):
+    """A block's distinct runs and words, by ranges of their hashes."""
+
     def ask(block: pa.Table) -> pa.Table:
-        runs, words, places = _questions(block, depth, ranges)
+        runs, held = Distinct(), set()
+        for batch in _texts(block):
+            for step in steps(batch):
+                told = split(step.column("text"), SPACE)
+                runs.add(spelled_runs(told, depth))
+                held.update(listed(told.coded()[1]))
+        keys, words = runs.all()[0], list(held)
         number = block.column("block")[0].as_py()
-        rows = [(number, r, runs[a].tobytes(), b"\n".join([words[i] for i in b])) for r, (a, b) in places.items()]
-        return _rows({"block": pa.int32(), "range": pa.int32(), "runs": pa.binary(), "words": pa.binary()}, rows)
+        out = [(number, r, k.tobytes(), None) for r, (k,) in _pieces(_range(keys, ranges), keys)]
+        out += [(number, r, None, b"\n".join(w)) for r, (w,) in _pieces(_range(_hashes(words), ranges), np.array(words, dtype=object))]
+        return _rows(_ASKED, out)
 
     return ask
 
 
-_REPLY = {"block": pa.int32(), "range": pa.int32(), "logs": pa.binary(), "counts": pa.binary()}
+_REPLY = {"block": pa.int32(), "runs": pa.binary(), "logs": pa.binary(), "words": pa.binary(), "counts": pa.binary()}
+_REPLY_DDL = "block int, runs binary, logs binary, words binary, counts binary"
 
 
 def _reply(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """Answers to each block's questions of one range, in the order of the questions."""
+    """Each block's questions of one range with their answers; words that are not known are left out."""
     places = Places(_whole(known, "runs", np.int64))
     logs = np.append(_whole(known, "logs", np.float64), math.nan)  # every run of the texts is known
-    words = pa.array(_all_words(known), pa.large_binary())
-    counts = np.append(_whole(known, "counts", np.int64), 0)
+    counts = dict(zip(_all_words(known), _whole(known, "counts", np.int64).tolist(), strict=True))
     out = []
     for row in asked.to_pylist():
-        held = pa.array(row["words"].split(b"\n") if row["words"] else [], pa.large_binary())
-        at = pc.index_in(held, value_set=words).fill_null(len(words)).to_numpy(zero_copy_only=False)
-        out.append((row["block"], row["range"], logs[places.of(np.frombuffer(row["runs"], dtype=np.int64))].tobytes(), counts[at].tobytes()))
+        if row["runs"]:
+            told = logs[places.of(np.frombuffer(row["runs"], dtype=np.int64))]
+            out.append((row["block"], row["runs"], told.tobytes(), None, None))
+        if row["words"]:
+            held = [w for w in row["words"].split(b"\n") if counts.get(w)]
+            out.append((row["block"], None, None, b"\n".join(held), np.array([counts[w] for w in held], dtype=np.int64).tobytes()))
     return _rows(_REPLY, out)
 
 
-def _scorer(depth: int, ranges: int, total: int, distinct: int, ends: int, kept: list[str], schema: pa.Schema):
+def _scorer(depth: int, total: int, distinct: int, ends: int, kept: list[str], schema: pa.Schema):
     """A block's texts with the answers to its questions."""
 
     def score(block: pa.Table, replies: pa.Table) -> pa.Table:
-        runs, words, places = _questions(block, depth, ranges)
-        logs, counts = np.zeros(len(runs)), np.zeros(len(words), dtype=np.int64)
-        for row in replies.to_pylist():
-            of_runs, of_words = places[row["range"]]
-            logs[of_runs] = np.frombuffer(row["logs"], dtype=np.float64)
-            counts[of_words] = np.frombuffer(row["counts"], dtype=np.int64)
-        place, held = Places(runs), pa.array(words, pa.large_binary())
-        log_of = np.log10((counts + 1) / (total + distinct + 1))
+        place, logs = Places(_whole(replies, "runs", np.int64)), _whole(replies, "logs", np.float64)
+        counts = dict(zip(_all_words(replies), _whole(replies, "counts", np.int64).tolist(), strict=True))
         ended = math.log10((ends + 1) / (total + distinct + 1))
         out = []
         for batch in _texts(block):
             for step in steps(batch):
                 told = split(step.column("text"), SPACE)
                 at, own = told.coded()
-                found = pc.index_in(own, value_set=held).to_numpy(zero_copy_only=False)[at] if len(own) else at
-                keys, row = spelled_runs(told, depth)
-                symbol = keys & 0xFF
+                n = np.array([counts.get(w, 0) for w in listed(own)], dtype=np.int64)
+                keys = spelled_runs(told, depth)
+                symbol = (keys & 0xFF).astype(np.uint8)
                 last = np.flatnonzero((symbol == BLANK) | (symbol == END))  # of each token, words and ends in order
                 spelled = np.add.reduceat(logs[place.of(keys)], np.concatenate([[0], last[:-1] + 1]))
+                tokens = np.bincount(told.row, minlength=told.rows) + 1
+                row = np.repeat(np.arange(told.rows), tokens)
                 plain = np.full(len(last), ended)
-                plain[symbol[last] == BLANK] = log_of[found]
+                plain[symbol[last] == BLANK] = np.log10((n + 1) / (total + distinct + 1))[at]
                 mixed = np.logaddexp(spelled * LN10, plain * LN10) / LN10 + math.log10(0.5)
-                sums = (
-                    np.bincount(told.row, minlength=told.rows) + 1,
-                    np.bincount(told.row[counts[found] > 0], minlength=told.rows) + (ends > 0),
-                    np.bincount(row[last], weights=plain, minlength=told.rows),
-                    np.bincount(row[last], weights=mixed, minlength=told.rows),
-                )
+                known = np.bincount(told.row[(n > 0)[at]], minlength=told.rows) + (ends > 0)
+                sums = (tokens, known, np.bincount(row, weights=plain, minlength=told.rows), np.bincount(row, weights=mixed, minlength=told.rows))
                 out.append(pa.table([*(step.column(c) for c in kept), *sums], names=schema.names).cast(schema))
         return pa.concat_tables(out) if out else schema.empty_table()
 
@@ -367,15 +365,15 @@ def score(docs: DataFrame, train: Column, keep: list[str], text: str = "text", d
     for edge, n in sums.items():
         singles[edge >> 8, edge & 0xFF] = n
     known = scratch.save(counts.mapInArrow(_answerer(spark.sparkContext.broadcast(singles), depth, penalty, ranges), _KNOWN_DDL), "known")
-    # rows alone decide on their block, so that a task that runs again asks the same
+    # rows alone decide on their block, so that a task that runs again deals the same blocks
     block = F.pmod(F.xxhash64(*keep, text), F.lit(blocks)).cast("int").alias("block")
     own = [f"_{i}" for i in range(len(keep))]
     numbered = docs.select(block, *[F.col(c).alias(o) for c, o in zip(keep, own, strict=True)], raw)
-    dealt = numbered.mapInArrow(_dealer, "block int, packed binary").repartition(blocks, "block")
-    asked = dealt.groupBy("block").applyInArrow(_asker(depth, ranges), "block int, range int, runs binary, words binary")
-    replies = asked.groupBy("range").cogroup(known.groupBy("range")).applyInArrow(_reply, "block int, range int, logs binary, counts binary")
+    dealt = numbered.mapInArrow(_dealer, "block int, packed binary").repartition(2 * blocks, "block")
+    asked = dealt.groupBy("block").applyInArrow(_asker(depth, ranges), _ASKED_DDL)
+    replies = asked.groupBy("range").cogroup(known.groupBy("range")).applyInArrow(_reply, _REPLY_DDL)
     schema = T.StructType([*numbered.select(*own).schema, *T.StructType.fromDDL("n_tokens long, n_known long, base_score double, score double")])
-    scorer = _scorer(depth, ranges, total, distinct, ends, own, to_arrow_schema(schema))
+    scorer = _scorer(depth, total, distinct, ends, own, to_arrow_schema(schema))
     scored = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(scorer, schema)
     told = scored.withColumnsRenamed(dict(zip(own, keep, strict=True)))
     return told.select(*keep, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

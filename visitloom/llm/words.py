@@ -80,6 +80,16 @@ def split(texts: pa.Array, table: np.ndarray) -> Words:
     return Words(values, np.diff(ends), row, np.searchsorted(broken, start), len(texts))
 
 
+def listed(values: pa.Array) -> list[bytes]:
+    """The values of a large_binary array without nulls; much faster than ``to_pylist``."""
+    if not len(values):
+        return []
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[values.offset : values.offset + len(values) + 1].tolist()
+    held = data.to_pybytes()
+    return [held[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def steps(batch: pa.RecordBatch | pa.Table, column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``most`` bytes of text; one longer text is a run of its own."""
     for part in batch.to_batches() if isinstance(batch, pa.Table) else [batch]:
