@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitloom.llm import decontamination, impact_search, language_id, line_dedup, mixing, near_dedup, sharding, suffix_tree, token_files, topk, toxicity, url_filter
+from visitloom.llm import decontamination, impact_search, language_id, line_dedup, mixing, near_dedup, phrases, sharding, suffix_tree, token_files, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,12 +89,16 @@ def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = impact_search.build(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return impact_search.search(index, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_mixing, op4_token_files, op5_topk, op6_url_filter, op7_line_dedup, op8_sharding, op9_decontamination, op10_toxicity, op11_lm_scoring, op13_ranked_search)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_near_dedup, op3_mixing, op4_token_files, op5_topk, op6_url_filter, op7_line_dedup, op8_sharding, op9_decontamination, op10_toxicity, op11_lm_scoring, op12_phrase_mining, op13_ranked_search)}
 
 _SIZES = r"""
 sizes AS (
@@ -252,6 +256,41 @@ per AS (
 SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        coalesce(n_items, 0)::BIGINT AS n_items, coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN per USING (doc_id)
+""",
+    "op12_phrase_mining": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g
+  FROM w, (VALUES (1), (2), (3)) sizes(k)
+),
+f AS (SELECT lang, k, g, count(*)::HUGEINT AS a FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+often AS (SELECT *, string_split(g, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+parts AS (
+  SELECT lang, k, g, a, cut, array_to_string(w[1:cut], ' ') AS first_part, array_to_string(w[cut + 1:], ' ') AS rest
+  FROM often, (VALUES (1), (2)) x(cut) WHERE cut < k
+),
+cuts AS (
+  SELECT c.lang, c.k, c.g, c.a, c.cut, l.a AS l, r.a AS r, ((1000000 * c.a * c.a) // (l.a * r.a)) AS score
+  FROM parts c JOIN f l ON l.lang = c.lang AND l.g = first_part JOIN f r ON r.lang = c.lang AND r.g = rest
+),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i:i + 1], ' ') AS g, max(a) AS longest
+  FROM often, (VALUES (1), (2)) p(i) WHERE k = 3 GROUP BY ALL
+),
+kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN inside ON inside.lang = lowest.lang AND inside.g = lowest.g
+  WHERE longest IS NULL OR 100 * longest < 50 * a
+),
+ranked AS (SELECT *, g AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(g)) AS rank FROM kept)
+SELECT lang, rank::INT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """,
     "op13_ranked_search": r"""
 WITH d AS (
