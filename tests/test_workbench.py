@@ -24,6 +24,47 @@ def test_others_are_refused(view, sql):
         WB.ask(view, sql)
 
 
+OUTSIDE = [
+    "SELECT reflect('java.util.UUID', 'randomUUID')", "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT * FROM text.`/etc/hostname`", "SELECT * FROM parquet.`/root/testdata/sf0.001/part.parquet`",
+    "SELECT try_reflect('java.lang.System', 'exit', 0)", "SELECT (SELECT max(value) FROM text.`/etc/hostname`)", "SELECT id FROM t WHERE EXISTS (SELECT 1 FROM csv.`/etc/passwd`)", "SELECT id FROM t WHERE id IN (SELECT length(value) FROM text.`/etc/hostname`)",
+    "WITH q AS (SELECT reflect('java.util.UUID', 'randomUUID') AS x) SELECT x FROM q", "EXPLAIN SELECT * FROM text.`/etc/hostname`", "EXPLAIN DROP TABLE t", "SELECT transform(array(1), x -> java_method('java.lang.Math', 'abs', x))",
+    "SELECT id FROM t ORDER BY reflect('java.util.UUID', 'randomUUID')", "SELECT * FROM t LATERAL VIEW explode(array(reflect('a', 'b'))) AS x", "SELECT TRANSFORM (id) USING 'cat' AS (x) FROM t", "SELECT * FROM other.t", "SELECT spark_catalog.default.f(1)",
+    "SELECT count(*) FILTER (WHERE reflect('a', 'b') = 'x') FROM t", "SELECT id, sum(id) OVER (ORDER BY java_method('a', 'b')) FROM t", "SELECT input_file_name() FROM t", "SELECT my_own(id) FROM t", "SELECT * FROM t JOIN text.`/etc/hostname` ON true", "VALUES (reflect('a', 'b'))",
+]
+
+
+@pytest.mark.parametrize("sql", OUTSIDE)
+def test_nothing_outside_the_history_is_reached(view, sql):
+    view.udf.register("my_own", lambda x: x)
+    with pytest.raises(WB.Refused):
+        WB.ask(view, sql)
+
+
+INSIDE = [
+    "SELECT upper(note), row_number() OVER (ORDER BY id) FROM t WHERE id IN (SELECT id + 1 FROM t) AND EXISTS (SELECT 1 FROM t b WHERE b.id = t.id) LIMIT 3", "SELECT * FROM t LATERAL VIEW explode(array(1, 2)) e AS x LIMIT 2",
+    "SELECT a.id, count(*) FROM t a LEFT JOIN t b ON a.id = b.id - 1 GROUP BY ROLLUP (a.id) HAVING count(*) > 0", "SELECT id FROM t UNION ALL SELECT id FROM t INTERSECT SELECT 1", "SELECT * FROM (SELECT id % 3 AS k, half FROM t) PIVOT (sum(half) FOR k IN (0, 1))",
+    "SELECT DISTINCT id FROM range(5) ORDER BY 1 OFFSET 1", "WITH RECURSIVE n(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM n WHERE i < 9) SELECT max(i) FROM n", "SELECT transform(array(1, 2), x -> x + 1), CASE WHEN true THEN 1 END, CAST('1' AS INT), current_date()",
+    "SELECT T.id FROM T TABLESAMPLE (50 PERCENT) LIMIT 1", "SELECT percentile_approx(half, 0.5) FILTER (WHERE id > 3) FROM t", "SELECT * FROM VALUES (1, 'a'), (2, 'b') AS v(x, y)", "SELECT k, v FROM t UNPIVOT (v FOR k IN (half)) LIMIT 1",
+]
+
+
+@pytest.mark.parametrize("sql", INSIDE)
+def test_the_language_of_questions_stays_whole(view, sql):
+    assert WB.ask(view, sql, seconds=60).rows
+
+
+def test_relations_can_be_named_one_by_one(view):
+    assert WB.ask(view, "SELECT max(id) FROM t", relations={"T"}).rows == [[99]]
+    with pytest.raises(WB.Refused, match="no relation t"):
+        WB.ask(view, "SELECT max(id) FROM t", relations={"u"})
+
+
+def test_equal_keys_are_still_broadcast(view):
+    plan = view.sql("SELECT * FROM t a JOIN t b ON a.id = b.id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert len(WB.ask(view, "SELECT * FROM t a JOIN t b ON a.id = b.id", seconds=60).rows) == 100
+
+
 def test_truncation_is_observed(view):
     a = WB.ask(view, "SELECT * FROM t ORDER BY id", 10)
     assert len(a.rows) == 10 and a.truncated and WB.kinds(a) == ["number", "number", "text"]

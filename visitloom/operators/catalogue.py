@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from visitloom.operators import scan as S
+from visitloom.scratch import Rounds
+
 ANY = 0xFFFF
 SALTS = 64
 PARTS = 16
@@ -188,23 +191,33 @@ def fold_equal_sets(sets: DataFrame, members: DataFrame, order: list[str]) -> Da
     return out.select("set_id", "shown_id", (F.col("set_id") != F.col("shown_id")).alias("folded"))
 
 
+def order_statistics(rows: DataFrame, by: list[str], measure: str, places: dict[str, Column]) -> DataFrame:
+    """For each group the values at the given places (from 0) of its sorted, non-null measures.
+
+    Places are columns over ``_n``, the group's number of values. Equal values are counted first, on
+    the map side; a prefix scan over the counts finds the value that reaches past a place. No group is
+    sorted in one task. Measures are finite numbers.
+    """
+    counts = rows.where(F.col(measure).isNotNull()).groupBy(*by, measure).agg(F.count("*").alias("_c"))
+    whole = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    told, most = S.numbered(S.by_density(counts, by, measure))
+    told = S.joined(S.scan(told, most, by, [measure], [S.Carry("_upto", "sum", F.col("_c"))]), whole, by)
+    holds = lambda at: (F.col("_upto") - F.col("_c") <= at) & (at < F.col("_upto"))
+    return told.groupBy(*by).agg(*[F.max(F.when(holds(at), F.col(measure))).alias(n) for n, at in places.items()], F.max("_n").alias("_n"))
+
+
 def bands(rows: DataFrame, group: str, measure: str, names: tuple[str, ...] = ("small", "medium", "large")) -> DataFrame:
     """Rows with a band by lower-index quantile cuts of their group.
 
-    The cut at fraction f is sorted[min(int(n * f), n - 1)]: an order statistic, found as the
-    row of that rank, without collecting groups.
+    The cut at fraction f is sorted[min(int(n * f), n - 1)], an order statistic.
     """
-    by = W.partitionBy(group)
-    ranked = rows.where(F.col(measure).isNotNull()).select(
-        group, measure, (F.row_number().over(by.orderBy(measure)) - 1).alias("_i"), F.count("*").over(by).alias("_n")
-    )
     k = len(names)
-    at = [F.least((F.col("_n") * i / k).cast("long"), F.col("_n") - 1) for i in range(1, k)]
-    cuts = ranked.groupBy(group).agg(*[F.max(F.when(F.col("_i") == a, F.col(measure))).alias(f"_c{i}") for i, a in enumerate(at)])
+    at = {f"_c{i}": F.least((F.col("_n") * i / k).cast("long"), F.col("_n") - 1) for i in range(1, k)}
+    cuts = order_statistics(rows.select(group, measure), [group], measure, at).drop("_n")
     band = F.lit(names[-1])
-    for i in reversed(range(k - 1)):
-        band = F.when(F.col(measure) < F.col(f"_c{i}"), names[i]).otherwise(band)
-    return rows.join(cuts, group, "left").withColumn("band", F.when(F.col(measure).isNotNull(), band)).drop(*[f"_c{i}" for i in range(k - 1)])
+    for i in range(k - 1, 0, -1):
+        band = F.when(F.col(measure) < F.col(f"_c{i}"), names[i - 1]).otherwise(band)
+    return S.joined(rows, cuts, [group], "left").withColumn("band", F.when(F.col(measure).isNotNull(), band)).drop(*at)
 
 
 def nearest_by_bits(prints: DataFrame, asked: DataFrame, k: int = 8, cut: int | None = None) -> DataFrame:
@@ -241,15 +254,17 @@ def stranger_cut(rows: DataFrame, distance, least: int = 4, share: float = 0.005
     Strangers are each row and the row half the slot further on, in the order of ids: a
     deterministic sample of as many pairs as rows. Fewer than ``least`` pairs give null.
     """
-    w = W.partitionBy("slot")
-    numbered = rows.withColumns({"_i": F.row_number().over(w.orderBy("id")) - 1, "_n": F.count("*").over(w)})
+    counts = rows.groupBy("slot").agg(F.count("*").alias("_n"))
+    numbered, most = S.numbered(S.by_density(rows, ["slot"], "id"))
+    numbered = S.scan(numbered, most, ["slot"], ["id"], [S.Carry("_i", "sum", F.lit(1).cast("long"), upto=False)]).drop("_span")
+    numbered = Rounds(rows.sparkSession, "strangers").save(numbered)  # both sides of the join
+    numbered = S.joined(numbered, counts, ["slot"])
     other = numbered.select(F.col("slot").alias("_s"), F.col("_i").alias("_j"), F.col("bits").alias("_b"))
     step = F.greatest(F.floor(F.col("_n") / 2), F.lit(1))
     met = numbered.join(other, (F.col("slot") == F.col("_s")) & (F.col("_j") == F.pmod(F.col("_i") + step, F.col("_n"))) & (F.col("_i") != F.col("_j")))
     told = met.select("slot", distance("bits", "_b").alias("d"))
-    ranked = told.withColumns({"_r": F.row_number().over(w.orderBy("d")) - 1, "_m": F.count("*").over(w)})
-    at = F.least((F.col("_m") * share).cast("long"), F.col("_m") - 1)
-    return ranked.groupBy("slot").agg(F.max(F.when((F.col("_r") == at) & (F.col("_m") >= least), F.col("d"))).alias("cut"), F.count("*").alias("n_pairs"))
+    cut = order_statistics(told, ["slot"], "d", {"cut": F.least((F.col("_n") * share).cast("long"), F.col("_n") - 1)})
+    return cut.select("slot", F.when(F.col("_n") >= least, F.col("cut")).alias("cut"), F.col("_n").alias("n_pairs"))
 
 
 def paths(nodes: DataFrame, depth: int = 8) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from visitloom.operators import scan as S
+from visitloom.scratch import Rounds
 from visitloom.session import ship
 
 REARM = 30
@@ -22,9 +24,12 @@ def rearmed(pulls: DataFrame, by: tuple[str, ...] = ("segment_id", "encounter_id
     Each merge moves the time on, so the gap is to the last merged pull: gaps and islands. A
     pull of another difficulty in between starts a new one.
     """
-    w = W.partitionBy(*by).orderBy("at", "pull_id")
-    fresh = F.lag("at").over(w).isNull() | (F.col("at") - F.lag("at").over(w) > gap) | ~F.lag("difficulty").over(w).eqNullSafe(F.col("difficulty"))
-    told = pulls.withColumn("_f", fresh.cast("int")).withColumn("_n", F.sum("_f").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    order = ["at", "pull_id"]
+    told, most = S.numbered(S.by_density(pulls, list(by), "at"))
+    told = S.scan(told, most, list(by), order, [S.before("_b", "at", "difficulty")])
+    fresh = F.col("_b").isNull() | (F.col("at") - F.col("_b.at") > gap) | ~F.col("_b.difficulty").eqNullSafe(F.col("difficulty"))
+    told = Rounds(pulls.sparkSession, "rearmed").save(told.withColumn("_f", F.coalesce(fresh, F.lit(False)).cast("long")).drop("_b"))
+    told = S.scan(told, most, list(by), order, [S.Carry("_n", "sum", F.col("_f"))])
     return told.groupBy(*by, "_n").agg(
         F.min("pull_id").alias("pull_id"), F.min("at").alias("started_at"), F.max("at").alias("at"), F.max_by("difficulty", F.struct("at", "pull_id")).alias("difficulty"),
         F.bool_or("success").alias("success"), F.count("*").alias("n_pulls"),
@@ -43,25 +48,28 @@ def credited(pulls: DataFrame, saved: DataFrame) -> DataFrame:
 
 def with_years(lines: DataFrame, by: str, start_year: int) -> DataFrame:
     """Lines that name month and day only, with a year that moves on from December to January."""
-    w = W.partitionBy(by).orderBy("line_no")
-    turned = (F.lag("month").over(w) == 12) & (F.col("month") == 1)
-    return lines.withColumn("_t", F.coalesce(turned.cast("int"), F.lit(0))).withColumn(
-        "year", start_year + F.sum("_t").over(w.rowsBetween(W.unboundedPreceding, 0))
-    ).drop("_t")
+    told, most = S.numbered(lines.withColumn("_span", S.by_number("line_no")))
+    told = S.scan(told, most, [by], ["line_no"], [S.before("_b", "month")])
+    turned = (F.col("_b.month") == 12) & (F.col("month") == 1)
+    told = Rounds(lines.sparkSession, "years").save(told.withColumn("_t", F.coalesce(turned, F.lit(False)).cast("long")).drop("_b"))
+    told = S.scan(told, most, [by], ["line_no"], [S.Carry("year", "sum", F.col("_t"))])
+    return told.withColumn("year", start_year + F.col("year")).drop("_t", "_span")
 
 
 def latest_before(lines: DataFrame, by: str, marker: str, value: str, name: str) -> DataFrame:
     """Each line with the value of the latest marker line at or before it."""
-    w = W.partitionBy(by).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    return lines.withColumn(name, F.last(F.when(F.col(marker), F.col(value)), ignorenulls=True).over(w))
+    shown = S.Carry(name, "last", F.when(F.col(marker), F.col(value)))
+    told, most = S.numbered(lines.withColumn("_span", S.by_number("line_no")))
+    return S.scan(told, most, [by], ["line_no"], [shown]).drop("_span")
 
 
 def thinned(ticks: DataFrame, by: str, order: str, most: int = 12) -> DataFrame:
     """Every k-th tick so that at most about ``most`` remain, and always the last."""
-    n = F.count("*").over(W.partitionBy(by))
-    i = F.row_number().over(W.partitionBy(by).orderBy(order)) - 1
-    told = ticks.withColumns({"_n": n, "_i": i}).withColumn("_k", F.ceil(F.col("_n") / most))
-    return told.where((F.col("_i") % F.col("_k") == 0) | (F.col("_i") == F.col("_n") - 1)).drop("_n", "_i", "_k")
+    counts = ticks.groupBy(by).agg(F.count("*").alias("_n"))
+    told, highest = S.numbered(S.by_density(ticks, [by], order))
+    told = S.scan(told, highest, [by], [order], [S.Carry("_i", "sum", F.lit(1).cast("long"), upto=False)])
+    told = S.joined(told, counts, [by]).withColumn("_k", F.ceil(F.col("_n") / most))
+    return told.where((F.col("_i") % F.col("_k") == 0) | (F.col("_i") == F.col("_n") - 1)).drop("_n", "_i", "_k", "_span")
 
 
 def keep_samples(at: np.ndarray, place: np.ndarray, last: tuple | None, every: int) -> tuple[list[int], tuple | None]:
@@ -127,15 +135,18 @@ def folded_fights(marks: DataFrame, by: str = "log") -> DataFrame:
     running sum of START = 1 and END = -1, floored at zero by taking off its running minimum. An
     END that makes a new minimum finds nothing open; the others follow their START at one depth.
     """
-    w = W.partitionBy(by, "kind", "encounter_id").orderBy("line_no")
-    so_far = w.rowsBetween(W.unboundedPreceding, 0)
-    step = F.when(F.col("mark") == "START", 1).otherwise(-1)
-    told = marks.where("mark in ('START', 'END')").withColumn("_sum", F.sum(step).over(so_far))
-    told = told.withColumn("_low", F.least(F.min("_sum").over(so_far), F.lit(0)))
-    told = told.withColumn("_orphan", (F.col("mark") == "END") & (F.col("_low") < F.coalesce(F.lag("_low").over(w), F.lit(0))))
-    told = told.withColumn("_depth", F.col("_sum") - F.col("_low") + (F.col("mark") == "END").cast("int"))
-    pair = W.partitionBy(by, "kind", "encounter_id", "_orphan", "_depth").orderBy("line_no")
-    told = told.withColumns({"_next": F.lead("mark").over(pair), "_end": F.lead("at").over(pair), "_ok": F.lead("success").over(pair)})
+    group, rounds = [by, "kind", "encounter_id"], Rounds(marks.sparkSession, "fights")
+    told, most = S.numbered(marks.where("mark in ('START', 'END')").withColumn("_span", S.by_number("line_no")))
+    step = F.when(F.col("mark") == "START", 1).otherwise(-1).cast("long")
+    told = rounds.save(S.scan(told, most, group, ["line_no"], [S.Carry("_sum", "sum", step)]))
+    told = S.scan(told, most, group, ["line_no"], [S.Carry("_was", "min", F.col("_sum"), upto=False)])
+    was = F.least(F.col("_was"), F.lit(0))  # the lowest sum before this line
+    told = told.withColumn("_orphan", (F.col("mark") == "END") & (F.col("_sum") < was))
+    told = told.withColumn("_depth", F.col("_sum") - F.least(was, F.col("_sum")) + (F.col("mark") == "END").cast("long"))
+    pair = [*group, "_orphan", "_depth"]
+    told = rounds.save(told.drop("_sum", "_was"))
+    told = S.scan(told, most, pair, ["line_no"], [S.before("_then", "mark", "at", "success")], backward=True)
+    told = told.select("*", F.col("_then.mark").alias("_next"), F.col("_then.at").alias("_end"), F.col("_then.success").alias("_ok"))
     starts = told.where("mark = 'START'").select(
         by, "kind", "encounter_id", "line_no", F.col("at").alias("started_at"),
         F.when(F.col("_next") == "END", F.col("_end")).alias("ended_at"), F.when(F.col("_next") == "END", F.col("_ok")).alias("success"),
@@ -165,14 +176,16 @@ def tracked(events: DataFrame, identity: list[str], by: str = "actor", gap: int
 
     Only visits in which something happened (weight > 0) stay.
     """
-    w = W.partitionBy(by).orderBy("at", "event_id")
-    changed = F.lit(False)
+    order = ["at", "event_id"]
+    told, most = S.numbered(S.by_density(events, [by], "at"))
+    told = S.scan(told, most, [by], order, [S.before("_b", "at", *[c for c in identity if c != "at"])])
+    changed = F.col("_b").isNull()
     for c in identity:
-        changed = changed | ~F.lag(c).over(w).eqNullSafe(F.col(c))
+        changed = changed | ~F.col(f"_b.{c}").eqNullSafe(F.col(c))
     if gap is not None:
-        changed = changed | (F.col("at") - F.lag("at").over(w) > gap)
-    told = events.withColumn("_c", F.coalesce(changed, F.lit(True)).cast("int"))
-    told = told.withColumn("visit_no", F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0)))
+        changed = changed | (F.col("at") - F.col("_b.at") > gap)
+    told = Rounds(events.sparkSession, "tracked").save(told.withColumn("_c", F.coalesce(changed, F.lit(True)).cast("long")).drop("_b"))
+    told = S.scan(told, most, [by], order, [S.Carry("visit_no", "sum", F.col("_c"))])
     out = told.groupBy(by, "visit_no").agg(
         *[F.min(c).alias(c) for c in identity if c != by], F.min("at").alias("started_at"), F.max("at").alias("ended_at"), F.count("*").alias("n_events"), F.sum("weight").alias("weight")
     )
@@ -181,6 +194,7 @@ def tracked(events: DataFrame, identity: list[str], by: str = "actor", gap: int
 
 def counter_gains(readings: DataFrame, by: list[str], value: str = "held", at: str = "at", order: str = "event_id") -> DataFrame:
     """What counters gained: the first sight is a baseline, later rises count, falls do not."""
-    w = W.partitionBy(*by).orderBy(at, order)
-    rise = F.greatest(F.col(value) - F.lag(value).over(w), F.lit(0))
-    return readings.withColumn("_r", F.coalesce(rise, F.lit(0))).groupBy(*by).agg(F.sum("_r").alias("gained"), F.max_by(value, F.struct(at, order)).alias("total"))
+    told, most = S.numbered(S.by_density(readings, by, at))
+    told = S.scan(told, most, by, [at, order], [S.before("_b", value)])
+    rise = F.greatest(F.col(value) - F.col(f"_b.{value}"), F.lit(0))
+    return told.withColumn("_r", F.coalesce(rise, F.lit(0))).groupBy(*by).agg(F.sum("_r").alias("gained"), F.max_by(value, F.struct(at, order)).alias("total"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from visitloom.functions import scalars as X
 from visitloom.operators import nest as N
 from visitloom.operators import search as Q
+from visitloom.operators.recursion import reached
 from visitloom.plans.base import VISITS, query
 from visitloom.sources.tables import register, table, visits
 
@@ -27,9 +28,31 @@ def column_sort(spark, d):
     return table(spark, d, "customer").orderBy(F.col("c_mktsegment").desc_nulls_last(), F.col("c_custkey").asc()).select("c_custkey", "c_mktsegment", "c_acctbal")
 
 
-@query("""WITH RECURSIVE n(i) AS (SELECT 1 UNION ALL SELECT i + 1 FROM n WHERE i < 150) SELECT i::INT AS i, (i * i)::INT AS sq FROM n""")
+@query("""WITH RECURSIVE up(seed, node) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT up.seed, p.p_partkey FROM up JOIN part p ON p.p_partkey = up.node // 3)
+SELECT seed AS p_partkey, count(*) - 1 AS above, min(node) AS top FROM up GROUP BY seed""")
 def recursive_counter(spark, d):
-    return spark.sql("WITH RECURSIVE n(i) MAX RECURSION LEVEL 200 AS (SELECT 1 UNION ALL SELECT i + 1 FROM n WHERE i < 150) SELECT i, i * i AS sq FROM n")
+    """How many parts stand above each in the tree in which part k belongs to part k div 3."""
+    p = table(spark, d, "part").select("p_partkey")
+    links = p.select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 3).cast("long").alias("dst")).join(p.select(F.col("p_partkey").alias("dst")), "dst", "left_semi")
+    told = reached(links, p.select(F.col("p_partkey").alias("seed")))
+    return told.groupBy(F.col("seed").alias("p_partkey")).agg(F.max("hops").alias("above"), F.min("node").alias("top"))
+
+
+_TRADE = """WITH RECURSIVE links AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R' AND l_quantity >= 50 AND l_discount >= 0.1)"""
+
+
+@query(_TRADE + """, r(seed, node) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT r.seed, links.dst FROM r JOIN links ON links.src = r.node)
+SELECT a.n_name AS of_nation, b.n_name AS reaches FROM r JOIN nation a ON a.n_nationkey = seed JOIN nation b ON b.n_nationkey = node""")
+def trade_reach(spark, d):
+    """Which nations each reaches over returned bulk sales, from buyers' to sellers'; the links have cycles."""
+    sold = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 50 AND l_discount >= 0.1")
+    buyers = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    told = sold.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    nation = table(spark, d, "nation")
+    pairs = reached(told.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")), nation.select(F.col("n_nationkey").alias("seed")))
+    names = lambda key, name: nation.select(F.col("n_nationkey").alias(key), F.col("n_name").alias(name))
+    return pairs.join(names("seed", "of_nation"), "seed").join(names("node", "reaches"), "node").select("of_nation", "reaches")
 
 
 @query("""SELECT user_id, 'both' AS side FROM (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 90 INTERSECT SELECT user_id FROM events WHERE event_type = 'error' AND value > 90)
@@ -121,12 +144,13 @@ def size_texts(spark, d):
     return table(spark, d, "part").select("p_partkey", X.file_size(n).alias("size"), X.first_known(a, b).alias("kind"))
 
 
-@query("""SELECT p_partkey, len(list_filter([p_size, p_size % 7, p_partkey % 3], lambda x: x > 2))::INT AS n_keys FROM part""")
+@query("""SELECT p_partkey, array_to_string(list_sort(list_filter([try_cast(p_brand AS BIGINT), try_cast(split_part(p_brand, '#', 2) AS BIGINT), p_size::BIGINT], lambda x: x IS NOT NULL)), ',') AS numbers FROM part""")
 def map_keys(spark, d):
-    m = F.map_from_arrays(F.array(F.lit("x"), F.lit("7"), F.concat(F.lit("1"), F.col("p_partkey").cast("string"))), F.array(F.lit(1), F.lit(2), F.lit(3)))
-    p = table(spark, d, "part")
-    n = F.size(F.filter(F.array("p_size", F.col("p_size") % 7, F.col("p_partkey") % 3), lambda x: x > 2))
-    return p.where(F.size(X.integer_keys(m)) == 2).select("p_partkey", n.alias("n_keys"))
+    """The whole numbers among the keys of a map: a brand, the number in it, and a size."""
+    key = lambda c: c.cast("string")
+    keys = F.array(key(F.col("p_brand")), F.concat(F.lit(" "), F.element_at(F.split("p_brand", "#"), -1)), key(F.col("p_size")))
+    told = X.integer_keys(F.map_from_arrays(keys, F.array(F.lit(1), F.lit(2), F.lit(3))))
+    return table(spark, d, "part").select("p_partkey", F.array_join(told.cast("array<string>"), ",").alias("numbers"))
 
 
 @query("""SELECT l_partkey, count(*) FILTER (l_returnflag = 'N') AS shown, count(*) FILTER (l_returnflag = 'R') AS lost, count(*) FILTER (l_discount > 0) AS notes FROM lineitem GROUP BY l_partkey""")

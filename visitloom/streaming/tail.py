@@ -4,7 +4,9 @@ Offsets are {file: [bytes read, hash of the head, bytes hashed, hash of the firs
 half-written last line waits for its end; another first line, or another head of equal length, means
 another file under the same name, read from its start. What a batch reads follows from its two
 offsets alone, and a replay that finds another file under the name reads nothing instead of other
-bytes. ``budget`` bounds the bytes a batch admits over all files, oldest files first; option
+bytes. A batch's bytes of a file are cut in pieces of about ``piece`` bytes, each of which is a task: a
+piece holds the lines that begin in it (a line ends with a line feed), and is read line by line.
+``budget`` bounds the bytes a batch admits over all files, oldest files first; option
 ``cursor`` names a file that keeps the committed offsets, so that a restarted stream counts its
 budget from there (what was read is decided by the stream's checkpoint alone).
 Register with ``spark.dataSource.register(TailSource)`` and read format ``tail``; the folder
@@ -21,6 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 HEAD = 4096
 BUDGET = 64 << 20
+PIECE = 8 << 20
 
 
 def head_hash(path: str, n: int) -> str:
@@ -73,10 +76,28 @@ def whole_lines_end(path: str, start: int, most: int) -> int:
 
 
 class Piece(InputPartition):
-    """Bytes of a file that begins with a known head."""
+    """The lines that begin between two bytes of a file that begins with a known head.
 
-    def __init__(self, path: str, start: int, end: int, head: str, hashed: int):
-        self.path, self.start, self.end, self.head, self.hashed = path, start, end, head, hashed
+    ``whole``: how long the file must be at least; ``first``: where the batch's bytes begin, a line's start.
+    """
+
+    def __init__(self, path: str, start: int, end: int, first: int, whole: int, head: str, hashed: int):
+        self.path, self.start, self.end, self.first, self.whole, self.head, self.hashed = path, start, end, first, whole, head, hashed
+
+
+def lines_between(path: str, start: int, end: int, first: int):
+    """(byte, line with its end) of the lines that begin in [start, end); ``first`` begins a line."""
+    with open(path, "rb") as f:
+        if start > first:
+            f.seek(start - 1)  # a line that begins at start follows a line feed there
+            while (step := f.readline(STEP)) and not step.endswith(b"\n"):
+                pass
+        else:
+            f.seek(start)
+        at = f.tell()
+        while at < end and (raw := f.readline()):
+            yield at, raw
+            at += len(raw)
 
 
 class TailReader(DataSourceStreamReader):
@@ -84,6 +105,7 @@ class TailReader(DataSourceStreamReader):
         self.folder = options["path"]
         self.prefix = options.get("prefix", "").lower()
         self.budget = int(options.get("budget", BUDGET))
+        self.piece = max(1, int(options.get("piece", PIECE)))
         self.cursor = options.get("cursor")
         self.last: dict = {}
         if self.cursor and os.path.exists(self.cursor):
@@ -115,19 +137,16 @@ class TailReader(DataSourceStreamReader):
         for name, now in end.items():
             seen = start.get(name)
             begin = seen[0] if same_file(seen, now) else 0
-            if now[0] > begin:
-                pieces.append(Piece(os.path.join(self.folder, name), begin, now[0], now[1], now[2]))
+            for at in range(begin, now[0], self.piece):
+                pieces.append(Piece(os.path.join(self.folder, name), at, min(at + self.piece, now[0]), begin, now[0], now[1], now[2]))
         return pieces
 
     def read(self, piece: Piece):
-        if os.path.getsize(piece.path) < piece.end or head_hash(piece.path, piece.hashed) != piece.head:
+        if os.path.getsize(piece.path) < piece.whole or head_hash(piece.path, piece.hashed) != piece.head:
             return  # another file by now; what the offsets name is gone
-        with open(piece.path, "rb") as f:
-            f.seek(piece.start)
-            at = piece.start
-            for raw in f.read(piece.end - piece.start).splitlines(keepends=True):
-                yield (os.path.basename(piece.path), at, raw.decode("utf-8", "replace").rstrip("\r\n"))
-                at += len(raw)
+        log = os.path.basename(piece.path)
+        for at, raw in lines_between(piece.path, piece.start, piece.end, piece.first):
+            yield (log, at, raw.decode("utf-8", "replace").rstrip("\r\n"))
 
     def commit(self, end: dict) -> None:
         if self.cursor:

@@ -1,7 +1,9 @@
 """A read-only SQL workbench over registered views: gate, limits and a plain answer.
 
-Spark's own parser decides what a statement is; this module only refuses what is not a
-question, bounds rows, cells and time, and renders the answer.
+Spark's own parser decides what a statement is. The gate walks what it has parsed, subqueries and
+EXPLAIN included, and lets through only what three lists allow: nodes that ask, relations that are
+registered, and functions that compute from their arguments. It then bounds rows, cells and time,
+and renders the answer.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import uuid
 from dataclasses import dataclass
 from decimal import Decimal
 
+from py4j.java_gateway import is_instance_of
 from pyspark import SparkContext
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
@@ -26,8 +29,22 @@ SECONDS = 10.0
 LABELS = 12
 LABEL_CHARACTERS = 16
 
-#: Plan nodes that are not questions; any of them anywhere refuses the statement.
-_WRITES = ("Command", "InsertInto", "CreateTable", "CreateView", "DropTable", "MergeInto", "UpdateTable", "DeleteFrom", "CacheTable", "SetCatalog")
+#: Parsed nodes that questions are made of; any other refuses the statement.
+_ASKING = frozenset(
+    """Aggregate CTERelationDef CTERelationRef Deduplicate Distinct Except Expand Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit LocalRelation
+    Offset OneRowRelation OneRowRelation$ Pivot Project RepartitionByExpression Sample Sort SubqueryAlias Union Unpivot UnpivotTransformer UnresolvedHaving UnresolvedHint
+    UnresolvedInlineTable UnresolvedRelation UnresolvedSubqueryColumnAliases UnresolvedTVFAliases UnresolvedTableValuedFunction UnresolvedWith View Window WithCTE
+    WithWindowDefinition UnionLoop UnresolvedTableAliasColumns""".split()
+)
+#: Groups of built-in functions that compute from their arguments alone.
+_GROUPS = frozenset(
+    """agg_funcs array_funcs bitwise_funcs collection_funcs conditional_funcs conversion_funcs csv_funcs datetime_funcs generator_funcs hash_funcs json_funcs lambda_funcs
+    map_funcs math_funcs operator predicate_funcs string_funcs struct_funcs url_funcs window_funcs""".split()
+)
+#: Functions of other groups that do so too, and table functions that read nothing.
+_ALSO = frozenset("typeof bitmap_count named_struct range explode explode_outer inline inline_outer posexplode posexplode_outer stack json_tuple".split())
+#: Functions of those groups that look outside or wait.
+_NOT = frozenset("raise_error assert_true sleep".split())
 
 
 class Refused(ValueError):
@@ -42,17 +59,53 @@ class Answer:
     elapsed_ms: int
 
 
-def _nodes(plan):
-    yield plan
-    for group in (plan.children(), plan.innerChildren()):
-        for i in range(group.size()):
-            child = group.apply(i)
-            if hasattr(child, "children"):
-                yield from _nodes(child)
+def _items(seq):
+    return (seq.apply(i) for i in range(seq.size()))
 
 
-def check(spark: SparkSession, sql: str) -> None:
-    """Raise unless ``sql`` is one read-only statement: SELECT, WITH, VALUES or EXPLAIN."""
+def _class(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _expressions(expression):
+    yield expression
+    for child in _items(expression.children()):
+        yield from _expressions(child)
+
+
+def _walk(plan):
+    """(node, its expressions with theirs) of a parsed plan, its subqueries and its named parts."""
+    own = [e for top in _items(plan.expressions()) for e in _expressions(top)]
+    yield plan, own
+    inner = [e.plan() for e in own if is_instance_of(SparkContext._gateway, e, "org.apache.spark.sql.catalyst.expressions.PlanExpression")]
+    if _class(plan) == "UnresolvedWith":
+        inner += [named._2() for named in _items(plan.cteRelations())]
+    for below in [*_items(plan.children()), *inner]:
+        yield from _walk(below)
+
+
+_harmless: set[str] = set()
+
+
+def harmless_functions(spark: SparkSession) -> set[str]:
+    """Names of the functions that a question may use: built-in ones, by Spark's own groups."""
+    if not _harmless:
+        groups = {i.getName(): i.getGroup() for i in spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.listBuiltinFunctionInfos()}
+        _harmless.update(({n for n, g in groups.items() if g in _GROUPS} | _ALSO) - _NOT)
+    return _harmless
+
+
+def _names(parts) -> list[str]:
+    return [str(p).lower() for p in _items(parts)]
+
+
+def check(spark: SparkSession, sql: str, relations: set[str] | None = None) -> None:
+    """Raise unless ``sql`` is one question over registered relations: SELECT, WITH, VALUES or EXPLAIN.
+
+    ``relations``: what may be read, else all views and tables of the session's present schema.
+    Paths in place of names, other schemas, functions that reach the machine or the JVM, functions
+    that a session has registered, scripts and commands are refused, wherever they stand.
+    """
     if not sql or not sql.strip():
         raise Refused("There is nothing to run.")
     try:
@@ -60,11 +113,26 @@ def check(spark: SparkSession, sql: str) -> None:
     except Exception as e:
         text = str(getattr(e, "java_exception", e)).splitlines()[0]
         raise Refused(text) from None
-    root = plan.getClass().getSimpleName()
-    for node in [plan] if root == "ExplainCommand" else _nodes(plan):
-        name = node.getClass().getSimpleName()
-        if root != "ExplainCommand" and any(w in name for w in _WRITES):
+    if _class(plan) == "ExplainCommand":
+        plan = plan.logicalPlan()
+    nodes = list(_walk(plan))
+    known = {r.lower() for r in relations} if relations is not None else {t.name.lower() for t in spark.catalog.listTables()}
+    known |= {str(named._1()).lower() for node, _ in nodes if _class(node) == "UnresolvedWith" for named in _items(node.cteRelations())}
+    allowed = harmless_functions(spark)
+    for node, expressions in nodes:
+        kind = _class(node)
+        if kind not in _ASKING:
             raise Refused("Only questions can be asked here: SELECT, WITH, VALUES or EXPLAIN.")
+        if kind == "UnresolvedRelation":
+            name = _names(node.multipartIdentifier())
+            if len(name) != 1 or name[0] not in known:
+                raise Refused(f"There is no relation {'.'.join(name)} here.")
+        used = [_names(node.name())] if kind == "UnresolvedTableValuedFunction" else []
+        used += [_names(e.nameParts()) for e in expressions if _class(e) == "UnresolvedFunction"]
+        used += [[str(e.name().funcName()).lower()] for e in expressions if _class(e) == "UnresolvedGenerator"]
+        for name in used:
+            if len(name) != 1 or name[0] not in allowed:
+                raise Refused(f"The function {'.'.join(name)} can't be used here.")
 
 
 def cell(value):
@@ -83,16 +151,15 @@ def cell(value):
     return text if len(text) <= CELL_CHARACTERS else text[:CELL_CHARACTERS] + "…"
 
 
-def ask(spark: SparkSession, sql: str, limit: int = DEFAULT_ROWS, seconds: float = SECONDS) -> Answer:
+def ask(spark: SparkSession, sql: str, limit: int = DEFAULT_ROWS, seconds: float = SECONDS, relations: set[str] | None = None) -> Answer:
     """Run a question. One row beyond the limit is fetched, to see whether there are more.
 
     The question runs in a thread of its own, so that its time is up when it is up: the caller is
     told at the deadline, and the jobs are cancelled again and again until the thread has ended,
-    since a cancel reaches only jobs that have begun. It is asked in a copy of the session, see
-    ``_asking``.
+    since a cancel reaches only jobs that have begun. It is asked in a copy of the session.
     """
-    check(spark, sql)
-    spark, context = _asking(spark), spark.sparkContext
+    check(spark, sql, relations)
+    asked, context = copied(spark), spark.sparkContext
     limit = max(1, min(limit, ROW_CEILING))
     tag, began, done = f"ask-{uuid.uuid4().hex}", time.monotonic(), threading.Event()
     found: dict = {}
@@ -100,8 +167,10 @@ def ask(spark: SparkSession, sql: str, limit: int = DEFAULT_ROWS, seconds: float
     def work() -> None:
         context.addJobTag(tag)
         try:
-            df = spark.sql(sql)
-            found["columns"], found["rows"] = df.columns, df.limit(limit + 1).collect()
+            df = asked.sql(sql).limit(limit + 1)
+            if "BroadcastNestedLoopJoin" in df._jdf.queryExecution().executedPlan().toString():
+                df = _stoppable(asked).sql(sql).limit(limit + 1)
+            found["columns"], found["rows"] = df.columns, df.collect()
         except Exception as e:
             found["error"] = e
         finally:
@@ -121,14 +190,18 @@ def ask(spark: SparkSession, sql: str, limit: int = DEFAULT_ROWS, seconds: float
     return Answer(found["columns"], shown, len(found["rows"]) > limit, int((time.monotonic() - began) * 1000))
 
 
-def _asking(spark: SparkSession) -> SparkSession:
-    """A copy of the session, with its views, in which a running task can always be stopped.
+def copied(spark: SparkSession) -> SparkSession:
+    """A copy of the session with its views and settings; what it is given stays its own."""
+    return SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+
+
+def _stoppable(copy: SparkSession) -> SparkSession:
+    """The session, changed so that a running task can always be stopped.
 
     The loop of a broadcast nested-loop join looks for a kill only between batches of its outer
     rows, minutes apart if the inner side is large; a cartesian product looks at every row. Equal
     keys are still broadcast by adaptive execution.
     """
-    copy = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
     small = copy.conf.get("spark.sql.autoBroadcastJoinThreshold")
     copy.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", small)
     copy.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
