@@ -11,7 +11,7 @@ from visitloom.operators import catalogue as C
 from visitloom.operators.merge import upsert
 from visitloom.operators.timeline import close_open_fights, folded_fights
 from visitloom.sources import combat_logs as L
-from visitloom.sources.store import Store
+from visitloom.sources.store import Conflict, Store
 
 
 def _merge(batch):
@@ -43,6 +43,84 @@ def test_a_sync_is_whole_or_not_there(spark, tmp_path):
     assert len(list((tmp_path / "store" / "segments").iterdir())) == 1
 
 
+def test_a_merge_rewrites_only_touched_buckets(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    key = {"notes": ["id"]}
+    store.merge({"notes": spark.range(500).selectExpr("id", "0 AS v")}, key)
+    before = store.state()["tables"]["notes"]["buckets"]
+    batch = spark.createDataFrame([(3, 7), (3, 7), (900, 8)], "id long, v int").distinct()
+    wrote = store.merge({"notes": batch}, key)
+    after = store.state()["tables"]["notes"]["buckets"]
+    assert 1 <= len(wrote) <= 2 and sum(a != b for a, b in zip(before, after, strict=True)) == len(wrote)
+    held = {r["id"]: r["v"] for r in store.tables()["notes"].collect()}
+    assert len(held) == 501 and held[3] == 7 and held[900] == 8 and held[4] == 0
+    store.merge({"notes": batch}, key)  # again changes nothing
+    assert {r["id"]: r["v"] for r in store.tables()["notes"].collect()} == held
+    store.merge({"notes": spark.createDataFrame([(None, 1, "x")], "id long, v int, w string")}, key)
+    told = store.tables()["notes"]
+    assert told.columns == ["id", "v", "w"] and told.where("w IS NOT NULL").count() == 1 and told.count() == 502
+    store.tidy()
+    assert store.tables()["notes"].count() == 502 and len(list((tmp_path / "store" / "state").glob("[0-9]*"))) == 1
+
+
+def test_of_two_writers_one_gets_an_error(spark, tmp_path):
+    one, two = (Store(spark, f"file://{tmp_path}/store") for _ in range(2))
+    one.sync(lambda t: {"segments": spark.createDataFrame([(1, 10)], "id long, seconds long")})
+
+    def meanwhile(tables):
+        two.sync(lambda t: {"segments": t["segments"].withColumn("seconds", F.lit(20).cast("long"))})
+        return {"segments": tables["segments"].withColumn("seconds", F.lit(30).cast("long"))}
+
+    with pytest.raises(Conflict):
+        one.sync(meanwhile)
+    assert one.tables()["segments"].first()["seconds"] == 20 and one.state()["sync"] == 2
+    assert len(list((tmp_path / "store" / "segments").iterdir())) == 2  # what the loser wrote is gone
+    one.sync(lambda t: {"segments": t["segments"].withColumn("seconds", F.lit(30).cast("long"))})
+    assert two.tables()["segments"].first()["seconds"] == 30
+
+
+def test_a_state_that_was_not_finished_is_passed_over(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/store")
+    store.sync(lambda t: {"segments": spark.createDataFrame([(1,)], "id long")})
+    (tmp_path / "store" / "state" / "2").write_text('{"sync": 2, "tab')
+    assert store.state()["sync"] == 1 and store.tables()["segments"].count() == 1
+    store.sync(lambda t: {"segments": spark.createDataFrame([(1,), (2,)], "id long")})
+    assert store.state()["sync"] == 3 and store.tables()["segments"].count() == 2
+
+
+def test_an_unchanged_file_is_not_read_again(spark, tmp_path):
+    import os
+
+    folder, read = tmp_path / "accounts", []
+    folder.mkdir()
+    for name in ("a", "b"):
+        (folder / name).write_text(f"{name} 1")
+
+    def notes(files):
+        read.append(sorted(r["path"][-1] for r in files.select("path").collect()))
+        text = F.split(F.col("content").cast("string"), " ")
+        return {"notes": files.select(text[0].alias("id"), text[1].cast("int").alias("v"))}
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    go = lambda: store.merge_files(f"file://{folder}", notes, {"notes": ["id"]})
+    held = lambda: {r["id"]: r["v"] for r in store.tables()["notes"].collect()}
+    assert len(go()) == 2 and held() == {"a": 1, "b": 1}
+    seen = os.stat(folder / "a")
+    (folder / "a").write_text("a 9")  # as long, and then as old: not opened
+    os.utime(folder / "a", ns=(seen.st_atime_ns, seen.st_mtime_ns))
+    assert go() == [] and held() == {"a": 1, "b": 1} and store.state()["sync"] == 1
+    (folder / "b").write_text("b 22")
+    assert [p[-1] for p in go()] == ["b"] and held() == {"a": 1, "b": 22} and read == [["a", "b"], ["b"]]
+
+    def broken(files):
+        return {"notes": files.select(F.expr("cast(raise_error('stop') as string)").alias("id"), F.lit(1).alias("v"))}
+
+    (folder / "b").write_text("b 333")
+    with pytest.raises(Exception, match="stop"):
+        store.merge_files(f"file://{folder}", broken, {"notes": ["id"]})
+    assert [p[-1] for p in go()] == ["b"] and held()["b"] == 333  # what was not committed is read again
+
+
 def test_migrations_widen_what_is_stored_once(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store")
     old = {"pets": spark.createDataFrame([(1,)], "id long"), "transmog_tags": spark.createDataFrame([(7, "k")], "id long, key string"), "segments": spark.createDataFrame([(1,)], "id long")}
