@@ -94,3 +94,45 @@ def bounded(points: DataFrame, spans: DataFrame) -> DataFrame:
     if edge["lo"] is None:
         return points.limit(0)
     return points.where(F.col("at").between(edge["lo"], edge["hi"]))
+
+
+#: Points of the order that intervals may have, from 0; open intervals reach to the last.
+TOP = (1 << 40) - 1
+
+
+def blocks_of(lo: Column, hi: Column) -> Column:
+    """The few blocks (level, block), 2^level long and aligned to it, that make up lo to hi exactly."""
+    start = F.struct(lo.alias("l"), (hi + 1).alias("r"), F.array().cast("array<struct<level:int,block:bigint>>").alias("held"))
+
+    def step(acc, level):
+        node = lambda b: F.array(F.struct(level.cast("int").alias("level"), b.alias("block")))
+        none = F.array().cast("array<struct<level:int,block:bigint>>")
+        open_ = acc["l"] < acc["r"]
+        odd_l = open_ & (acc["l"] % 2 == 1)
+        l2 = acc["l"] + odd_l.cast("long")
+        odd_r = (l2 < acc["r"]) & (acc["r"] % 2 == 1)
+        held = F.concat(acc["held"], F.when(odd_l, node(acc["l"])).otherwise(none), F.when(odd_r, node(acc["r"] - 1)).otherwise(none))
+        return F.struct(F.shiftright(l2, 1).alias("l"), F.shiftright(acc["r"] - odd_r.cast("long"), 1).alias("r"), held.alias("held"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(40)), start, step, lambda acc: acc["held"])
+
+
+def best_enclosing(points: DataFrame, spans: DataFrame, by: list[str], at: str, lo: str, hi: str, rank: Column, values: list[str]) -> DataFrame:
+    """Points with the values of the highest-ranked span (lo to hi, null while open) that holds them; others go.
+
+    A segment-tree join: a span enters the blocks that make it up, at most two a level, and each
+    block keeps its best span, so long and open spans cost no more than short ones. A point looks
+    into its own block of each level that is in use. No pair of point and span is formed beyond that,
+    and no join is by ``by`` alone. Both are whole numbers from 0 to ``TOP``.
+    """
+    cut = spans.select(*by, rank.alias("_rank"), F.struct(*values).alias("_value"), F.explode(blocks_of(F.col(lo).cast("long"), F.least(F.coalesce(F.col(hi), F.lit(TOP)), F.lit(TOP)).cast("long"))).alias("_node"))
+    nodes = cut.groupBy(*by, "_node").agg(F.max(F.struct("_rank", "_value")).alias("_best"))
+    levels = sorted(r[0] for r in nodes.select("_node.level").distinct().collect())  # 41 at most
+    if not levels:
+        return points.where("false").select("*", *[F.lit(None).cast(spans.schema[v].dataType).alias(v) for v in values])
+    looks = F.explode(F.transform(F.array(*[F.lit(x) for x in levels]), lambda k: F.struct(k.cast("int").alias("level"), F.call_function("shiftright", F.col(at).cast("long"), k).alias("block"))))
+    nodes = nodes.select(*[F.col(b).alias(f"_by_{b}") for b in by], F.col("_node").alias("_at"), "_best")
+    asked = points.withColumn("_node", looks)
+    met = asked.join(nodes, [F.col("_node") == F.col("_at"), *[F.col(b).eqNullSafe(F.col(f"_by_{b}")) for b in by]])
+    told = met.groupBy(*points.columns).agg(F.max("_best").alias("_best"))
+    return told.select(*points.columns, *[F.col(f"_best._value.{v}").alias(v) for v in values])

@@ -121,15 +121,17 @@ def log_combatants(spark, d):
     return told.select("log", "line_no", "guid", "faction", "spec_id", "n_talents", F.size("worn").alias("n_worn"), "item_level", bonus.alias("bonus"))
 
 
-@query(f"""WITH {VISITS}, f AS (SELECT place AS log, visit_id AS line_no, CASE WHEN visit_id % 2 = 0 THEN 'encounter' ELSE 'keystone' END AS kind, visit_id + 40 AS last_line FROM visits WHERE visit_id % 9 = 0),
-c AS (SELECT place AS log, visit_id AS line_no, 'g' || actor AS guid FROM visits WHERE loot % 4 = 0)
+@query(f"""WITH {VISITS}, f AS (SELECT actor % 5 AS log, visit_id AS line_no, CASE WHEN place = 'purchase' THEN 'encounter' ELSE 'keystone' END AS kind, CASE WHEN seconds < 990 THEN visit_id + seconds // 10 END AS last_line FROM visits WHERE place IN ('purchase', 'error')),
+c AS (SELECT actor % 5 AS log, visit_id AS line_no, 'g' || actor AS guid FROM visits WHERE place IN ('view', 'click'))
 SELECT c.log, c.line_no, guid, arg_max(kind, (kind = 'encounter', f.line_no)) AS fight_kind, arg_max(f.line_no, (kind = 'encounter', f.line_no)) AS fight_line
-FROM c JOIN f ON c.log = f.log AND c.line_no BETWEEN f.line_no AND f.last_line GROUP BY ALL""")
+FROM c JOIN f ON c.log = f.log AND c.line_no >= f.line_no AND (last_line IS NULL OR c.line_no <= last_line) GROUP BY ALL""")
 def attached_combatants(spark, d):
-    v = visits(spark, d)
-    kind = F.when(F.col("visit_id") % 2 == 0, "encounter").otherwise("keystone")
-    fights = v.where("visit_id % 9 = 0").select(F.col("place").alias("log"), F.col("visit_id").alias("line_no"), kind.alias("kind"), (F.col("visit_id") + 40).alias("last_line"))
-    people = v.where("loot % 4 = 0").select(F.col("place").alias("log"), F.col("visit_id").alias("line_no"), F.concat(F.lit("g"), "actor").alias("guid"))
+    """Purchases and errors as fights, the longest of them never closed; views and clicks as who took part."""
+    v = visits(spark, d).withColumn("log", F.col("actor") % 5)
+    kind = F.when(F.col("place") == "purchase", "encounter").otherwise("keystone")
+    last = F.when(F.col("seconds") < 990, F.col("visit_id") + F.expr("seconds div 10"))
+    fights = v.where("place in ('purchase', 'error')").select("log", F.col("visit_id").alias("line_no"), kind.alias("kind"), last.alias("last_line"))
+    people = v.where("place in ('view', 'click')").select("log", F.col("visit_id").alias("line_no"), F.concat(F.lit("g"), "actor").alias("guid"))
     return L.attached(people, fights)
 
 

@@ -34,8 +34,7 @@ SELECT actor, coalesce(sum(rise), 0)::BIGINT AS gained, arg_max(held, (t, event_
 def streamed_counters(spark, d):
     readings = _events(spark, d).select(F.col("user_id").alias("actor"), "event_id", _seconds().alias("at"), F.floor("value").cast("long").alias("held"))
     told = jobs.drained(jobs.counter_gains(readings, "actor"), "counters")
-    # one row a batch: gains add up, and all files were one batch's input here, so totals are the last
-    return told.groupBy("actor").agg(F.sum("gained").alias("gained"), F.last("total").alias("total"))
+    return told.groupBy("actor").agg(F.sum("gained").alias("gained"), F.max_by("total", F.struct("at", "event_id")).alias("total"))
 
 
 @query("""WITH s AS (SELECT user_id AS actor, event_id, event_type AS place, floor(epoch(ts))::BIGINT AS t, CASE WHEN value > 60 THEN 1 ELSE 0 END AS weight FROM events),

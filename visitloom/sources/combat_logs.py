@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from visitloom.operators.ranges import best_enclosing
 from visitloom.session import ship
 
 STAMP = r"^(\d{1,2})/(\d{1,2})(?:/(\d{2,4}))? (\d{1,2}):(\d{2}):(\d{2})(?:\.(\d{1,6}))?([+-]?\d{1,4}(?::?\d{2})?)?  ([A-Z_]+)(?:,(.*))?$"
@@ -200,8 +201,6 @@ def attached(combatants: DataFrame, fights: DataFrame) -> DataFrame:
 
     ``fights`` has log, kind, line_no of its START and last_line of its END (null while open).
     """
-    f = fights.select(F.col("log").alias("_log"), F.col("line_no").alias("fight_line"), F.col("kind").alias("fight_kind"), "last_line")
-    inside = (F.col("log") == F.col("_log")) & (F.col("fight_line") <= F.col("line_no")) & (F.col("last_line").isNull() | (F.col("line_no") <= F.col("last_line")))
-    met = combatants.join(f, inside)
-    best = F.struct((F.col("fight_kind") == "encounter").alias("boss"), "fight_line")
-    return met.groupBy("log", "line_no", "guid").agg(F.max_by("fight_kind", best).alias("fight_kind"), F.max_by("fight_line", best).alias("fight_line"))
+    f = fights.select("log", F.col("line_no").alias("fight_line"), F.col("kind").alias("fight_kind"), "last_line")
+    rank = F.struct((F.col("fight_kind") == "encounter").alias("boss"), F.col("fight_line"))
+    return best_enclosing(combatants.select("log", "line_no", "guid").distinct(), f, ["log"], "line_no", "fight_line", "last_line", rank, ["fight_kind", "fight_line"])

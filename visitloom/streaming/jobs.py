@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from visitloom.operators.timeline import keep_samples
-from visitloom.session import shared_dir, ship
+from visitloom.scratch import Rounds
+from visitloom.session import ship
 
 
 def sessions(visits: DataFrame, gap: int = 300, by: tuple[str, ...] = ("actor",), late: str = "10 minutes") -> DataFrame:
@@ -55,7 +55,7 @@ def merging(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoi
 def drained(stream: DataFrame, label: str) -> DataFrame:
     """All that a stream over present files yields, written as Parquet in the shared folder and read back."""
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    root = Rounds(spark, label).root  # goes when the driver's Python ends
     writer = stream.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").outputMode("append")
     writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
@@ -128,9 +128,10 @@ def tracked(events: DataFrame, identity: list[str], by: str = "actor") -> DataFr
 
 
 def counter_gains(readings: DataFrame, by: str, value: str = "held") -> DataFrame:
-    """What counters of a stream gained batch by batch: (by, gained, total); a sink adds up what is gained.
+    """What counters of a stream gained batch by batch: (by, gained, total, at, event_id).
 
-    The first sight of a counter is its baseline; the last total is its only state.
+    A sink adds up what is gained and holds the total of the latest (at, event_id). The first sight of a
+    counter is its baseline; the last total is its only state.
     """
     ship(readings.sparkSession)
 
@@ -140,6 +141,7 @@ def counter_gains(readings: DataFrame, by: str, value: str = "held") -> DataFram
         before = state.get[0] if state.exists else held[0]
         rises = np.diff(np.concatenate([[before], held]))
         state.update((int(held[-1]),))
-        yield pd.DataFrame({by: [key[0]], "gained": [int(rises[rises > 0].sum())], "total": [int(held[-1])]})
+        last = {c: [int(pdf[c].iloc[-1])] for c in ("at", "event_id")}
+        yield pd.DataFrame({by: [key[0]], "gained": [int(rises[rises > 0].sum())], "total": [int(held[-1])], **last})
 
-    return readings.groupBy(by).applyInPandasWithState(fold, f"{by} long, gained long, total long", "total long", "append", GroupStateTimeout.NoTimeout)
+    return readings.groupBy(by).applyInPandasWithState(fold, f"{by} long, gained long, total long, at long, event_id long", "total long", "append", GroupStateTimeout.NoTimeout)
