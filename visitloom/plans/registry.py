@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from visitloom.plans import activity, catalogue, merging, recipes, records, shelves, surface, tallies, text, timeline, visits  # noqa: F401
+from visitloom.plans import activity, catalogue, merging, recipes, records, shelves, stored, surface, tallies, text, timeline, visits  # noqa: F401
 from visitloom.plans import streams  # noqa: F401, E402  (after timeline, whose SQL it reuses)
 from visitloom.plans.base import QUERIES, SQL
 
