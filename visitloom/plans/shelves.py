@@ -62,15 +62,16 @@ def family_search(spark, d):
     return S.search_families(m.select("family").distinct(), m, "1 brand:#1", F.col("p_name"), F.array(Q.facet("brand", F.col("p_brand"))), marks, favourite=True)
 
 
-@query("""WITH r AS (SELECT l_partkey % 200 AS look, l_suppkey AS item, CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE 'n' END AS name, CASE WHEN l_suppkey % 4 = 0 THEN 65535 WHEN l_suppkey % 4 = 1 THEN 0 ELSE 5 END AS mask FROM lineitem WHERE l_partkey % 200 < 150 AND l_suppkey <> 0),
+@query("""WITH r AS (SELECT l_orderkey AS look, l_suppkey AS item, CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE 'n' END AS name, CASE WHEN l_suppkey % 4 = 0 THEN 65535 WHEN l_suppkey % 4 = 1 THEN 0 ELSE 5 END AS mask FROM lineitem WHERE l_suppkey <> 0),
 l AS (SELECT look, bool_or(mask = 65535) AS o, count(*) FILTER (mask <> 0) AS k, arg_min(item, (name = '', item)) FILTER (mask = 65535) AS item FROM r GROUP BY look)
-SELECT DISTINCT o_custkey % 100 AS set_id, o_orderkey % 200 AS look, CASE WHEN o THEN 'open' WHEN coalesce(k, 0) > 0 THEN 'blocked' ELSE 'withheld' END AS state, CASE WHEN o THEN item END AS item
-FROM orders LEFT JOIN l ON look = o_orderkey % 200""")
+SELECT o_custkey AS set_id, o_orderkey AS look, CASE WHEN o THEN 'open' WHEN coalesce(k, 0) > 0 THEN 'blocked' ELSE 'withheld' END AS state, CASE WHEN o THEN item END AS item
+FROM orders LEFT JOIN l ON look = o_orderkey""")
 def set_openings(spark, d):
-    looks = table(spark, d, "orders").select((F.col("o_custkey") % 100).alias("set_id"), (F.col("o_orderkey") % 200).alias("look"))
+    """A customer's orders as looks of a set, their lines as items; of some items nothing is known."""
+    looks = table(spark, d, "orders").select(F.col("o_custkey").alias("set_id"), F.col("o_orderkey").alias("look"))
     s = F.col("l_suppkey") % 4
-    reached = table(spark, d, "lineitem").where("l_partkey % 200 < 150").select(
-        (F.col("l_partkey") % 200).alias("look"), F.col("l_suppkey").alias("item"), F.when(F.col("l_suppkey") % 3 == 0, "").otherwise("n").alias("name"),
+    reached = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("look"), F.col("l_suppkey").alias("item"), F.when(F.col("l_suppkey") % 3 == 0, "").otherwise("n").alias("name"),
         F.when(s == 0, 65535).when(s == 1, 0).otherwise(5).alias("mask"),
     )
     return S.openings(looks, reached)
