@@ -67,6 +67,107 @@ def run_lifecycle(events: DataFrame, kind: str) -> DataFrame:
     )
 
 
+def _place():
+    return F.struct("at", "seq")
+
+
+def _last_known(column: str, where=None):
+    """The latest value that is not null, of the rows that ``where`` admits."""
+    good = F.col(column).isNotNull() if where is None else F.col(column).isNotNull() & where
+    return F.max_by(column, F.when(good, _place()))
+
+
+def reputation(gains: DataFrame) -> DataFrame:
+    """What each faction gave in a visit, and the last standing that was told: (visit_id, faction, amount, standing).
+
+    ``gains`` has faction, amount and standing; lines without a faction or an amount say nothing. A
+    standing that is not told again stays.
+    """
+    good = gains.where(F.col("faction").isNotNull() & F.col("amount").isNotNull())
+    return good.groupBy(KEY, "faction").agg(F.sum("amount").alias("amount"), _last_known("standing").alias("standing"))
+
+
+def currencies(changes: DataFrame) -> DataFrame:
+    """What each currency moved by in a visit: (visit_id, currency, name, amount, total).
+
+    ``changes`` has currency, change, name and total. Spending counts against gains, and a currency that
+    nets to nothing is still told. A change of 0 or null is none. The name is the last that was
+    said, or the currency's number; the total is the last that was told.
+    """
+    good = changes.where(F.col("currency").isNotNull() & (F.coalesce("change", F.lit(0)) != 0))
+    named = _last_known("name", F.col("name") != "")
+    return good.groupBy(KEY, "currency").agg(F.coalesce(named, F.col("currency").cast("string")).alias("name"), F.sum("change").alias("amount"), _last_known("total").alias("total"))
+
+
+def item_currencies(readings: DataFrame, opening: DataFrame) -> DataFrame:
+    """Currencies that are items, out of readings of all that is owned: as ``currencies``, with item for currency.
+
+    ``readings`` has item, total and name, ``opening`` the counts (visit_id, item, held) as a visit began.
+    A change is the difference to the reading before, of the first to the opening count; an item
+    without one takes its first reading for a start. Items whose count never changed are not told.
+    """
+    known = readings.where(F.col("item").isNotNull() & F.col("total").isNotNull())
+    w = _ordered(KEY, "item")
+    lagged = known.withColumn("_lag", F.lag("total").over(w)).join(opening.select(KEY, "item", "held"), [KEY, "item"], "left")
+    change = F.col("total") - F.coalesce("_lag", "held", "total")
+    return currencies(lagged.select(KEY, "at", "seq", F.col("item").alias("currency"), change.alias("change"), "name", "total")).withColumnRenamed("currency", "item")
+
+
+def keystone(events: DataFrame) -> DataFrame:
+    """A visit's keystone run: (visit_id, level, map, started_at, completed, completed_at, duration_ms, on_time, upgrades).
+
+    ``events`` has kind start, complete or reset, level, map, duration_ms, on_time and upgrades. The last
+    start with a level opens the run; without one the first completion does, since it carries its own
+    level. Completions after that fill in level and map. The last completion or reset decides: a reset
+    takes completion, time and upgrades back.
+    """
+    start = (F.col("kind") == "start") & F.col("level").isNotNull()
+    opened = events.groupBy(KEY).agg(
+        F.max(F.when(start, _place())).alias("_start"), F.min(F.when(F.col("kind") == "complete", _place())).alias("_first")
+    ).select(KEY, F.coalesce("_start", "_first").alias("_open")).where("_open IS NOT NULL")
+    run = events.join(opened, KEY).where((_place() >= F.col("_open")) & (start | F.col("kind").isin("complete", "reset")))
+    done = F.col("kind") == "complete"
+    closing = F.when(F.col("kind") != "start", _place())
+    end = F.struct("at", "duration_ms", F.coalesce("on_time", F.lit(False)).alias("on_time"), "upgrades")
+    told = run.groupBy(KEY).agg(
+        _last_known("level").alias("level"), _last_known("map").alias("map"), F.first("_open.at").alias("started_at"),
+        F.coalesce(F.max_by(done, closing), F.lit(False)).alias("completed"), F.max_by(end, F.when(done, _place())).alias("_end"),
+    )
+    kept = lambda c: F.when(F.col("completed"), F.col(f"_end.{c}"))
+    return told.select(KEY, "level", "map", "started_at", "completed", kept("at").alias("completed_at"), *[kept(c).alias(c) for c in ("duration_ms", "on_time", "upgrades")])
+
+
+def delve(events: DataFrame) -> DataFrame:
+    """A visit's delve run: (visit_id, tier, scenario, started_at, completed, completed_at).
+
+    ``events`` has kind start or complete, tier and scenario. The first start opens the run and dates it; a
+    completion never does. What later readings know is filled in; the last completion dates the end.
+    """
+    opened = events.where("kind = 'start'").groupBy(KEY).agg(F.min(_place()).alias("_open"))
+    run = events.where("kind IN ('start', 'complete')").join(opened, KEY).where(_place() >= F.col("_open"))
+    ended = F.max(F.when(F.col("kind") == "complete", F.struct("at", "seq")))
+    told = run.groupBy(KEY).agg(_last_known("tier").alias("tier"), _last_known("scenario").alias("scenario"), F.first("_open.at").alias("started_at"), ended.alias("_end"))
+    return told.select(KEY, "tier", "scenario", "started_at", F.col("_end").isNotNull().alias("completed"), F.col("_end.at").alias("completed_at"))
+
+
+def equipset_changes(changes: DataFrame) -> DataFrame:
+    """Changes of equipment sets that say something, numbered within their visit from 0.
+
+    ``changes`` has set_id, kind and items. A set that came or went is told even when empty; an edit
+    without items is none.
+    """
+    good = F.col("set_id").isNotNull() & F.col("kind").isNotNull() & ~((F.col("kind") == "updated") & (F.coalesce(F.size("items"), F.lit(0)) <= 0))
+    return changes.where(good).withColumn("position", F.row_number().over(_ordered(KEY)) - 1)
+
+
+def has_events(visits: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """Visits of which at least one part tells something; a visit in which nothing happened is dropped."""
+    told = parts[0].select(KEY)
+    for part in parts[1:]:
+        told = told.unionByName(part.select(KEY))
+    return visits.join(told.distinct(), KEY, "left_semi")
+
+
 def counted(events: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """How many events of each kind a visit saw, one column a kind, from one pass."""
     return events.groupBy(KEY).agg(*[F.count_if(F.col("kind") == k).alias(name) for name, k in kinds.items()])

@@ -129,3 +129,65 @@ def cooled_triggers(spark, d):
     """Pictures at least a day apart: whether one is taken depends on the last one taken."""
     told = _decisions(spark, d).select("actor", F.col("at").alias("at_ms"), "seq", F.lit("all").alias("place"))
     return sampled(told, "actor", 86_400).select("actor", "seq")
+
+
+@query(_E + """ SELECT visit_id, 'f' || (k % 5) AS faction, sum(v)::BIGINT AS amount, arg_max(CASE WHEN v % 3 > 0 THEN v % 7 END, ("at", seq)) FILTER (v % 3 > 0) AS standing FROM e WHERE kind = 'view' GROUP BY ALL""")
+def reputation_of_visits(spark, d):
+    e = _events(spark, d).where("kind = 'view'")
+    return T.reputation(e.select("visit_id", "at", "seq", F.concat(F.lit("f"), F.col("k") % 5).alias("faction"), F.col("v").alias("amount"), F.when(F.col("v") % 3 > 0, F.col("v") % 7).alias("standing")))
+
+
+@query(_E + """, c AS (SELECT *, k % 6 AS currency, v % 9 - 4 AS change, CASE v % 4 WHEN 0 THEN '' WHEN 1 THEN 'gold ' || v END AS name FROM e WHERE kind IN ('click', 'purchase'))
+SELECT visit_id, currency, coalesce(arg_max(name, ("at", seq)) FILTER (name <> ''), currency::VARCHAR) AS name, sum(change)::BIGINT AS amount, arg_max(v, ("at", seq)) FILTER (v % 2 = 0) AS total
+FROM c WHERE change <> 0 GROUP BY visit_id, currency""")
+def currencies_of_visits(spark, d):
+    e, v = _events(spark, d).where("kind IN ('click', 'purchase')"), F.col("v")
+    name = F.when(v % 4 == 0, "").when(v % 4 == 1, F.concat(F.lit("gold "), v))
+    return T.currencies(e.select("visit_id", "at", "seq", (F.col("k") % 6).alias("currency"), (v % 9 - 4).alias("change"), name.alias("name"), F.when(v % 2 == 0, v).alias("total")))
+
+
+@query(_E + """, r AS (SELECT visit_id, "at", seq, k % 4 AS item, v // 10 AS total FROM e WHERE kind = 'click'),
+o AS (SELECT DISTINCT visit_id, 1 AS item, 5 AS held FROM r),
+c AS (SELECT r.*, total - coalesce(lag(total) OVER (PARTITION BY visit_id, item ORDER BY "at", seq), held, total) AS change FROM r LEFT JOIN o USING (visit_id, item))
+SELECT visit_id, item, item::VARCHAR AS name, sum(change)::BIGINT AS amount, arg_max(total, ("at", seq)) AS total FROM c WHERE change <> 0 GROUP BY visit_id, item""")
+def item_currencies_of_visits(spark, d):
+    r = _events(spark, d).where("kind = 'click'").select("visit_id", "at", "seq", (F.col("k") % 4).alias("item"), F.expr("v div 10").alias("total"), F.lit(None).cast("string").alias("name"))
+    return T.item_currencies(r, r.select("visit_id", F.lit(1).cast("long").alias("item"), F.lit(5).cast("long").alias("held")).distinct())
+
+
+_RUNS = """, k0 AS (SELECT visit_id, "at", seq, CASE kind WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'reset' END AS kind, CASE WHEN v % 5 > 0 THEN k END AS level, v FROM e)"""
+
+
+def _runs(spark, d):
+    kind = F.when(F.col("kind") == "click", "start").when(F.col("kind") == "purchase", "complete").when(F.col("kind") == "error", "reset")
+    return _events(spark, d).select("visit_id", "at", "seq", kind.alias("kind"), F.when(F.col("v") % 5 > 0, F.col("k")).alias("level"), "v")
+
+
+@query(_E + _RUNS + """, o AS (SELECT visit_id, coalesce(max(("at", seq)) FILTER (kind = 'start' AND level IS NOT NULL), min(("at", seq)) FILTER (kind = 'complete')) AS o FROM k0 GROUP BY 1),
+r AS (SELECT k0.*, o FROM k0 JOIN o USING (visit_id) WHERE (k0."at", k0.seq) >= o AND (kind IN ('complete', 'reset') OR kind = 'start' AND level IS NOT NULL)),
+g AS (SELECT visit_id, arg_max(level, ("at", seq)) FILTER (level IS NOT NULL AND kind <> 'reset') AS level, any_value(o[1]) AS started_at, coalesce(arg_max(kind, ("at", seq)) FILTER (kind <> 'start') = 'complete', false) AS completed,
+max("at") FILTER (kind = 'complete') AS e_at, arg_max(v, ("at", seq)) FILTER (kind = 'complete') AS v FROM r GROUP BY visit_id)
+SELECT visit_id, level, started_at, completed, CASE WHEN completed THEN e_at END AS completed_at, CASE WHEN completed THEN v > 50 END AS on_time FROM g""")
+def keystones_of_visits(spark, d):
+    none = F.lit(None).cast("long")
+    r = _runs(spark, d)
+    level = F.when(F.col("kind") != "reset", F.col("level"))
+    told = T.keystone(r.select("visit_id", "at", "seq", "kind", level.alias("level"), none.alias("map"), F.col("v").alias("duration_ms"), (F.col("v") > 50).alias("on_time"), none.alias("upgrades")))
+    return told.select("visit_id", "level", "started_at", "completed", "completed_at", "on_time")
+
+
+@query(_E + _RUNS + """, o AS (SELECT visit_id, min(("at", seq)) AS o FROM k0 WHERE kind = 'start' GROUP BY 1)
+SELECT visit_id, arg_max(level, ("at", seq)) FILTER (level IS NOT NULL) AS tier, any_value(o[1]) AS started_at, count(*) FILTER (kind = 'complete') > 0 AS completed, max("at") FILTER (kind = 'complete') AS completed_at
+FROM k0 JOIN o USING (visit_id) WHERE ("at", seq) >= o AND kind IN ('start', 'complete') GROUP BY visit_id""")
+def delves_of_visits(spark, d):
+    r = _runs(spark, d)
+    return T.delve(r.select("visit_id", "at", "seq", "kind", F.col("level").alias("tier"), F.lit(None).cast("string").alias("scenario"))).drop("scenario")
+
+
+@query(_E + """ SELECT visit_id, seq AS set_id, CASE k % 3 WHEN 0 THEN 'updated' WHEN 1 THEN 'added' ELSE 'removed' END AS kind, (row_number() OVER (PARTITION BY visit_id ORDER BY "at", seq) - 1)::INT AS position
+FROM e WHERE kind = 'error' AND NOT (k % 3 = 0 AND v % 2 = 0)""")
+def equipset_changes_of_visits(spark, d):
+    e = _events(spark, d).where("kind = 'error'")
+    kind = F.when(F.col("k") % 3 == 0, "updated").when(F.col("k") % 3 == 1, "added").otherwise("removed")
+    items = F.when(F.col("v") % 2 == 1, F.array("k")).otherwise(F.array().cast("array<bigint>"))
+    return T.equipset_changes(e.select("visit_id", "at", "seq", F.col("seq").alias("set_id"), kind.alias("kind"), items.alias("items"))).select("visit_id", "set_id", "kind", "position")
