@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from visitloom.operators import search as Q
 from visitloom.sources import combat_logs as C
 from visitloom.sources import folders
 from visitloom.sources import saved_records as S
+from visitloom.sources.tables import relations
 
 
 def test_fields_nest_and_quote():
@@ -64,3 +66,28 @@ def test_activity_metadata_has_no_nulls(spark):
     got = A.infer(df).collect()
     assert [(r["kind"], r["confidence"]) for r in got] == [("mythic_plus", 0.5)]
     assert json.loads(got[0]["metadata"]) == {"durationSeconds": 60}
+
+
+def test_tail_stamps_come_from_the_end_alone(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    line = "5/1/2024 22:%02d:05.000  SPELL_DAMAGE,Player-1,x\n"
+    (folder / "long.txt").write_text("no log line\n" + "".join(line % (i % 50) for i in range(6000)) + line % 59 + "5/1/2024 23:10:06.000  SWING_D")
+    (folder / "yearless name.txt").write_text("1/1 00:31:40.000  ZONE_CHANGE,1\nnot a line\n")
+    (folder / "empty.txt").write_text("")
+    (folder / "junk.txt").write_text("not a log line at all\n")
+    files = folders.listing(spark, f"file://{folder}")
+    told = {r["path"].rpartition("/")[2]: r["at_ms"] for r in folders.tail_stamps(files, 2019).collect()}
+    stamp = lambda *a: int(dt.datetime(*a, tzinfo=dt.UTC).timestamp() * 1000)
+    assert {k.replace("%20", " "): v for k, v in told.items()} == {"long.txt": stamp(2024, 5, 1, 23, 10, 6), "yearless name.txt": stamp(2019, 1, 1, 0, 31, 40)}
+    gone = spark.createDataFrame([(f"file://{folder}/nothing.txt",)], "path string")
+    assert folders.tail_stamps(gone, 2019).collect() == []
+
+
+def test_views_are_listed_and_not_counted(spark):
+    from pyspark.sql import SparkSession
+
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.range(3).selectExpr("id", "assert_true(id < 0) AS fails").createOrReplaceTempView("failing")
+    told = [r for r in relations(own, {"failing": ("id",)}).collect() if r["table_name"] == "failing"]
+    assert [(r["column_name"], r["is_view"], r["primary_key"], r["row_count"]) for r in told] == [("id", True, True, None), ("fails", True, False, None)]

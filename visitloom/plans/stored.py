@@ -9,6 +9,7 @@ from visitloom import workbench as WB
 from visitloom.plans.base import VISITS, query
 from visitloom.plans.recipes import register_history
 from visitloom.scratch import Rounds
+from visitloom.sources import folders
 from visitloom.sources.store import Store
 from visitloom.sources.tables import stream, table
 from visitloom.streaming import jobs
@@ -53,6 +54,18 @@ def tailed_log(spark, d):
     return told.select(parts[0].cast("long").alias("event_id"), parts[1].alias("event_type"))
 
 
+@query("SELECT user_id % 7 AS log, arg_max(epoch_us(ts) // 1000, event_id) AS at_ms FROM events GROUP BY 1")
+def tail_stamps(spark, d):
+    """Events as logs on disk, and when each was last written, out of its last bytes alone."""
+    root = Rounds(spark, "stamps").root
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "M/d/yyyy HH:mm:ss.SSS")
+    lines = table(spark, d, "events").select((F.col("user_id") % 7).alias("log"), "event_id", F.concat(stamp, F.lit("  EVENT,"), "event_id").alias("value"))
+    lines.repartition("log").sortWithinPartitions("log", "event_id").drop("event_id").write.partitionBy("log").text(f"{root}/logs")
+    files = folders.listing(spark, f"{root}/logs", "part-*")
+    told = folders.tail_stamps(files, 2024)
+    return told.select(F.regexp_extract("path", r"log=(\d+)", 1).cast("long").alias("log"), "at_ms")
+
+
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def merged_stream(spark, d):
     """A stream merged into a store batch by batch, each batch twice as a replay would: the same rows."""

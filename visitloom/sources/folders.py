@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from visitloom.sources import combat_logs
+
+#: Bytes at a file's end in which its last stamped line is looked for, a fixed value.
+TAIL_BYTES = 64 * 1024
+
 
 def listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """(name, path, modified_at, bytes) of files; contents are not read."""
@@ -17,6 +26,36 @@ def logs(files: DataFrame, prefix: str = "combatlog") -> DataFrame:
     return files.where(F.lower("name").startswith(prefix)).orderBy(F.col("modified_at").asc_nulls_first(), "name")
 
 
+def _tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The last bytes of each file; files that can't be opened have none."""
+    from pyarrow import fs
+
+    for files in batches:
+        out = []
+        for path in files["path"]:
+            try:
+                store, at = fs.FileSystem.from_uri(quote(path, safe=":/"))
+                with store.open_input_file(at) as f:
+                    size = f.size()
+                    f.seek(max(0, size - TAIL_BYTES))
+                    out.append(f.read().decode("utf-8", "replace"))
+            except (OSError, ValueError):
+                out.append(None)
+        yield pd.DataFrame({"path": files["path"], "tail": out})
+
+
+def tail_stamps(files: DataFrame, year: int, offset: int = 0) -> DataFrame:
+    """(path, at_ms) of the last stamped line of each file, out of its last 64 KiB alone.
+
+    That line may be half written: its stamp stands at its front. Stamps without a year get ``year``.
+    Files without a stamped line, and those that can't be opened, have none and are left out.
+    """
+    tails = files.select("path").mapInPandas(_tails, "path string, tail string").where("tail IS NOT NULL")
+    lines = tails.select(F.col("path").alias("log"), F.posexplode(F.split("tail", r"\r?\n")).alias("line_no", "line"))
+    stamped = combat_logs.parse(lines, year, offset)
+    return stamped.groupBy(F.col("log").alias("path")).agg(F.max_by("at_ms", "line_no").alias("at_ms"))
+
+
 def shots(files: DataFrame) -> DataFrame:
     """Screenshots whose names carry ``MMDDYY_HHMMSS``."""
     digits = F.regexp_extract("name", r"_(\d{6}_\d{6})\.\w+$", 1)

@@ -63,3 +63,21 @@ def catalog(spark: SparkSession, folder: str, keys: dict[str, tuple[str, ...]] |
         one = one.crossJoin(df.agg(F.count("*").alias("row_count")))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def relations(spark: SparkSession, keys: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """One row a column of every relation that a session can ask: tables with their rows, views without.
+
+    A view is listed, since a question may name it, but not counted, since that would run it.
+    """
+    keys = keys or {}
+    kind = "table_name string, is_view boolean, position int, column_name string, kind string, primary_key boolean"
+    out = spark.createDataFrame([], kind).withColumn("row_count", F.lit(None).cast("long"))
+    for t in sorted(spark.catalog.listTables(), key=lambda t: t.name):
+        view = t.isTemporary or t.tableType == "VIEW"
+        df = spark.table(f"`{t.name}`")
+        cols = [(t.name, view, i, f.name, f.dataType.simpleString(), f.name in keys.get(t.name, ())) for i, f in enumerate(df.schema)]
+        one = spark.createDataFrame(cols, kind)
+        one = one.withColumn("row_count", F.lit(None).cast("long")) if view else one.crossJoin(df.agg(F.count("*").alias("row_count")))
+        out = out.unionByName(one)
+    return out
