@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as
 Parquet and read again as the next stage's docs. All but the last return the columns of
 documents.
+
+Defined results: a text that is null, empty or without a letter goes in the first stage; an empty table
+passes every stage and gives no rows, an empty benchmark removes nothing; columns that bear the name
+of one that a stage computes are set aside within the stage; texts are taken whole at any length.
+What null ids and sources, ties and repeated rows mean to a stage is said in its operator's module.
 """
 
 from __future__ import annotations
