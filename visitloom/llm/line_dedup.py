@@ -18,6 +18,9 @@ token of the longer prefix. Hot tokens are found by a sketch of counters, which
 pair read alike. Texts are read again by a side that is broadcast within a checked size, and else
 by a shuffled hash join.
 
+Tokens of equal rarity stand in the order of their hashes, so every line orders them alike; which
+order it is decides on candidates only, never on what is removed.
+
 Defined results: null texts have no lines; lines without words never match; of equal lines the
 first stays; equal rows of one doc_id count once, different rows of one doc_id share their line
 numbers; rows without doc_id are left as they are; an empty table gives an empty result;
