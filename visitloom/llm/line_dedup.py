@@ -4,7 +4,8 @@ A line is the set of its words. Tokens of a line are ordered by rarity, the coun
 from a sketch over all words of all texts (SKETCH counters, so rarity costs no join). Two lines
 of similarity T or more share a token within their prefixes, the |x| - ceil(T|x|) + 1 rarest
 tokens each; candidates meet there, if lengths, the positions of the shared token and the
-Hamming distance of 128-bit set signatures allow the similarity, all within the join. Survivors
+Hamming distance of 64-bit set signatures (parities, so that long lines do not fill them) allow the
+similarity, all within the join. Survivors
 are verified on their words. Lines with equal tokens that are written alike, but for case, are one
 class, known by two independent 64-bit hashes of tokens and of the line, and enter the join once;
 equal sets written otherwise are found by the join as any similar line is. Lines of fewer than NUM /
@@ -43,52 +44,58 @@ NUM, DEN = 9, 10
 #: Shorter lines are similar to no line but their equals.
 LEAST_WORDS = NUM // (DEN - NUM)
 HASH_BITS = 50
-#: Columns of the 128-bit signature: a token sets one bit in one of them.
-SIGNATURE = ("even", "odd")
+#: Other white space that separates words of a line.
+BLANKS = "\x09\x0b\x0c\r"
 #: A token of so many lines' prefixes is joined in pairs with other tokens.
 HOT = 50_000
 
 
+def _folded(text: Column) -> Column:
+    """Lower case, and one space for other white space: split by a single character needs no pattern."""
+    lower = F.lower(text)
+    other = reduce(Column.__or__, [text.contains(c) for c in BLANKS])
+    return F.when(other, F.translate(lower, BLANKS, " " * len(BLANKS))).otherwise(lower)
+
+
 def _words(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.lower(line), r"[\x20\x09\x0B-\x0D]"), ""))
+    """Words of a folded line."""
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _rarity(documents: DataFrame) -> Column:
-    """Array literal: rank of each sketch counter, small for rare words."""
-    words = documents.select(F.explode_outer(F.split(F.lower(F.col("text")), r"[\x20\x09-\x0D]")).alias("w"))
+    """Array literal: rank of each sketch counter, small for rare words, above the bits of a hash."""
+    words = documents.select(F.explode_outer(F.split(F.replace(_folded(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(SKETCH - 1).alias("at")).count().collect()  # SKETCH rows at most
     ranks = ["0"] * SKETCH
     for r in counts:
-        ranks[r["at"]] = str(min(1023, int(16 * math.log2(r["count"]))))
+        ranks[r["at"]] = str(min(1023, int(16 * math.log2(r["count"]))) << HASH_BITS)
     # one foldable literal; an array of literals would be SKETCH expressions
-    return F.split(F.lit(",".join(ranks)), ",").cast("array<int>")
+    return F.split(F.lit(",".join(ranks)), ",").cast("array<bigint>")
 
 
-def _ordered(words: Column, ranks: Column) -> Column:
+def _ordered(hashes: Column, ranks: Column) -> Column:
     """Tokens as longs, rarest first: rank above, hash below."""
 
-    def token(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rank = F.get(ranks, h.bitwiseAND(SKETCH - 1).cast("int"))
-        return F.shiftleft(rank.cast("long"), HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
+    def token(h: Column) -> Column:
+        return F.get(ranks, h.bitwiseAND(SKETCH - 1)).bitwiseOR(F.shiftrightunsigned(h, 64 - HASH_BITS))
 
-    return F.sort_array(F.transform(words, token))
+    return F.sort_array(F.transform(hashes, token))
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    split = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return split
+    """Lines, folded as whole texts."""
+    return documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split(_folded(F.col("text")), "\n")).alias("line_no", "line"))
 
 
 def _tokens(lines: DataFrame, ranks: Column) -> DataFrame:
-    told = lines.select("doc_id", "line_no", "line", _ordered(_words(F.col("line")), ranks).alias("tokens"))
-    return told.withColumn("n", F.size("tokens"))
+    """Words are told apart by their 64-bit hashes here, by themselves when pairs are verified."""
+    told = lines.select("doc_id", "line_no", "line", F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))).alias("hashes"))
+    return told.select("doc_id", "line_no", "line", F.size("hashes").alias("n"), _ordered(F.col("hashes"), ranks).alias("tokens"))
 
 
 def _second_hash(joins: Column) -> Column:
     """Of the line as it is written, or of its sorted words if it does not enter the join."""
-    line = F.col("line")
-    return F.when(joins, F.xxhash64(F.lit(1), F.lower(line))).otherwise(F.xxhash64(F.lit(1), F.sort_array(_words(line))))
+    return F.when(joins, F.xxhash64(F.lit(1), "line")).otherwise(F.xxhash64(F.lit(1), F.sort_array(F.array_distinct(_words(F.col("line"))))))
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -98,17 +105,13 @@ def _earlier(a: str, b: str) -> Column:
     )
 
 
-def _signature() -> list[Column]:
-    """Bits of a line's tokens: the distance of two signatures is at most that of the sets."""
-
-    def part(k: int) -> Column:
-        def add(acc: Column, t: Column) -> Column:
-            bit = F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
-            return F.when(t.bitwiseAND(64) == 64 * k, acc.bitwiseOR(bit)).otherwise(acc)
+def _signature() -> Column:
+    """Parities of a line's tokens by 64 classes: two of them differ in no more bits than the sets in tokens."""
 
-        return F.aggregate("tokens", F.lit(0).cast("long"), add)
+    def flip(acc: Column, t: Column) -> Column:
+        return acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int")))
 
-    return [part(k) for k in range(len(SIGNATURE))]
+    return F.aggregate("tokens", F.lit(0).cast("long"), flip)
 
 
 def _near(x: str, y: str) -> Column:
@@ -116,11 +119,11 @@ def _near(x: str, y: str) -> Column:
     xn, yn = F.col(f"{x}.n"), F.col(f"{y}.n")
     total = xn + yn
     rest = F.least(xn - F.col(f"{x}.i"), yn - F.col(f"{y}.i"))
-    apart = sum(F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in SIGNATURE)
+    apart = F.bit_count(F.col(f"{x}.signature").bitwiseXOR(F.col(f"{y}.signature")))
     return (
-        (F.least(xn, yn) * DEN >= F.greatest(xn, yn) * NUM)
+        (apart * (NUM + DEN) <= total * (DEN - NUM))
+        & (F.least(xn, yn) * DEN >= F.greatest(xn, yn) * NUM)
         & (rest * (NUM + DEN) >= total * NUM)
-        & (apart * (NUM + DEN) <= total * (DEN - NUM))
     )
 
 
@@ -140,7 +143,7 @@ def _keys(classes: DataFrame) -> DataFrame:
     ``i`` is the token's position, of a pair that of its later token less one, so that in both
     cases n - i bounds what a line shares if nothing rarer is shared.
     """
-    line = ["doc_id", "line_no", "n", *SIGNATURE]
+    line = ["doc_id", "line_no", "n", "signature"]
     hot = _hot_counters(classes)
     if not hot:
         return classes.select(*line, F.posexplode("prefix").alias("i", "key"))
@@ -168,7 +171,7 @@ def _word_sets(docs: DataFrame, places: DataFrame, scratch: Scratch, name: str)
     # only the wanted lines of a text become rows
     lines = texts.select("doc_id", F.split("text", "\n").alias("all"), F.explode("wanted").alias("line_no"))
     lines = lines.select("doc_id", "line_no", F.get("all", F.col("line_no")).alias("line")).where("line is not null")
-    told = lines.select(F.struct("doc_id", "line_no").alias("at"), _words(F.col("line")).alias("words"))
+    told = lines.select(F.struct("doc_id", "line_no").alias("at"), F.array_distinct(_words(_folded(F.col("line")))).alias("words"))
     return told.withColumn("n", F.size("words"))
 
 
@@ -195,30 +198,30 @@ def removed_lines(documents: DataFrame, scratch: Scratch | None = None) -> DataF
     lines = scratch.save(
         told.select(
             "doc_id", "line_no", "n", F.xxhash64("tokens").alias("c1"), _second_hash(joins).alias("c2"),
-            F.when(joins, F.slice("tokens", F.lit(1), prefix + 1)).alias("longer"), *[F.when(joins, b).alias(n) for n, b in zip(SIGNATURE, _signature(), strict=True)],
+            F.when(joins, F.slice("tokens", F.lit(1), prefix + 1)).alias("longer"), F.when(joins, _signature()).alias("signature"),
         ),
         "lines",
     )
     # a class of equal lines stands for all of them by its first line
     classes = lines.where("n > 0").groupBy("c1", "c2").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("n").alias("n"), F.first("longer").alias("longer"), *[F.first(b).alias(b) for b in SIGNATURE]
+        F.min(F.struct("doc_id", "line_no")).alias("at"), F.first("n").alias("n"), F.first("longer").alias("longer"), F.first("signature").alias("signature")
     )
-    classes = scratch.save(classes.select("at.doc_id", "at.line_no", "n", *SIGNATURE, "longer"), "classes")
+    classes = scratch.save(classes.select("at.doc_id", "at.line_no", "n", "signature", "longer"), "classes")
 
     rows = _keys(classes.where(joins).withColumn("prefix", F.slice("longer", F.lit(1), prefix)))
     # none is null; said here, so that all that follows has the same filters and shares one exchange
-    known = [F.col(c).isNotNull() for c in ("key", "doc_id", "line_no", "n", "i", *SIGNATURE)]
+    known = [F.col(c).isNotNull() for c in ("key", "doc_id", "line_no", "n", "i", "signature")]
     by_key = rows.where(reduce(Column.__and__, known)).repartition("key")
-    heads = by_key.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "n", *SIGNATURE, "i")).alias("h"))
-    x = by_key.join(heads, "key").select("key", "doc_id", "line_no", "n", *SIGNATURE, "i", "h").alias("x")
+    heads = by_key.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "n", "signature", "i")).alias("h"))
+    x = by_key.join(heads, "key").select("key", "doc_id", "line_no", "n", "signature", "i", "h").alias("x")
     first = x.where(_earlier("h", "x") & _near("x", "h")).select(
-        F.lit("first").alias("kind"), _place("x").alias("later"), _place("h").alias("earlier"), "key", "n", *SIGNATURE, "i"
+        F.lit("first").alias("kind"), _place("x").alias("later"), _place("h").alias("earlier"), "key", "n", "signature", "i"
     )
     further = x.join(
         by_key.alias("y"),
         (F.col("x.key") == F.col("y.key")) & _earlier("y", "x") & _near("x", "y") & (_place("y") != _place("h")),
         "left_semi",
-    ).select(F.lit("further").alias("kind"), _place("x").alias("later"), F.lit(None).cast("struct<doc_id: bigint, line_no: int>").alias("earlier"), "key", "n", *SIGNATURE, "i")
+    ).select(F.lit("further").alias("kind"), _place("x").alias("later"), F.lit(None).cast("struct<doc_id: bigint, line_no: int>").alias("earlier"), "key", "n", "signature", "i")
     met = scratch.save(first.unionByName(further), "met")
 
     pairs = met.where("kind = 'first'").select("later", "earlier").distinct()
@@ -226,7 +229,7 @@ def removed_lines(documents: DataFrame, scratch: Scratch | None = None) -> DataF
     gone = scratch.save(_similar(pairs, sets), "gone")
 
     left = met.where("kind = 'further'").join(gone.withColumnRenamed("at", "later"), "later", "left_anti")
-    left = scratch.save(left.select("later.doc_id", "later.line_no", "key", "n", *SIGNATURE, "i"), "left")
+    left = scratch.save(left.select("later.doc_id", "later.line_no", "key", "n", "signature", "i"), "left")
     y = rows.alias("y")
     rest = small_side(left, 80).alias("x").join(y, (F.col("x.key") == F.col("y.key")) & _earlier("y", "x") & _near("x", "y"))
     rest = rest.select(_place("x").alias("later"), _place("y").alias("earlier")).distinct()
