@@ -33,7 +33,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitloom.llm.common import Scratch, drop_clashing, small_side
@@ -212,12 +212,14 @@ def removed_lines(documents: DataFrame, scratch: Scratch | None = None) -> DataF
     # none is null; said here, so that all that follows has the same filters and shares one exchange
     known = [F.col(c).isNotNull() for c in ("key", "doc_id", "line_no", "n", "i", "signature")]
     by_key = rows.where(reduce(Column.__and__, known)).repartition("key")
-    heads = by_key.groupBy("key").agg(F.min(F.struct("doc_id", "line_no", "n", "signature", "i")).alias("h"))
-    x = by_key.join(heads, "key").select("key", "doc_id", "line_no", "n", "signature", "i", "h").alias("x")
+    # a window keeps the order of the keys for the join that follows; keys of one line end here
+    same = Window.partitionBy("key")
+    head = F.min(F.struct("doc_id", "line_no", "n", "signature", "i")).over(same)
+    x = by_key.select("*", head.alias("h"), F.count("*").over(same).alias("many")).where("many > 1").alias("x")
     first = x.where(_earlier("h", "x") & _near("x", "h")).select(
         F.lit("first").alias("kind"), _place("x").alias("later"), _place("h").alias("earlier"), "key", "n", "signature", "i"
     )
-    further = x.join(
+    further = x.where("many > 2").join(
         by_key.alias("y"),
         (F.col("x.key") == F.col("y.key")) & _earlier("y", "x") & _near("x", "y") & (_place("y") != _place("h")),
         "left_semi",
