@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,6 +15,9 @@ from visitloom.scratch import Rounds
 ANY = 0xFFFF
 SALTS = 64
 PARTS = 16
+#: Bits of a fingerprint's pieces, and the most of them that a lookup flips.
+CHUNK = 16
+WIDEST = 2
 MOST_COLUMNS = 10_000
 
 
@@ -220,23 +224,75 @@ def bands(rows: DataFrame, group: str, measure: str, names: tuple[str, ...] = ("
     return S.joined(rows, cuts, [group], "left").withColumn("band", F.when(F.col(measure).isNotNull(), band)).drop(*at)
 
 
-def nearest_by_bits(prints: DataFrame, asked: DataFrame, k: int = 8, cut: int | None = None) -> DataFrame:
+def _apart(words: int) -> Column:
+    """Hamming distance of ``_a`` and ``_b``."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.get("_a", F.lit(i)).bitwiseXOR(F.get("_b", F.lit(i)))) for i in range(words)])
+
+
+def _chunks(bits: str, words: int, word: int) -> Column:
+    """The CHUNK-bit pieces of a fingerprint, in order."""
+    mask = (1 << CHUNK) - 1
+    return F.array(*[F.shiftright(F.get(bits, F.lit(i)), lo).bitwiseAND(mask).cast("int") for i in range(words) for lo in range(0, word, CHUNK)])
+
+
+def _flips(weight: int) -> list[int]:
+    """All CHUNK-bit patterns of so many ones."""
+    return [sum(1 << i for i in at) for at in combinations(range(CHUNK), weight)]
+
+
+def _best(met: DataFrame, k: int, keys: list[str]) -> DataFrame:
+    return met.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("distance", "other"))).where(F.col("rank") <= k)
+
+
+def _nearest_of_all(prints: DataFrame, asked: DataFrame, k: int, words: int) -> DataFrame:
+    """(id, other, distance) of the k nearest within the slot; PARTS parts of a slot are ranked first."""
+    a = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
+    b = prints.select("*", F.pmod(F.xxhash64("other"), F.lit(PARTS)).cast("int").alias("_part"))
+    met = a.join(b, ["slot", "_part"]).where("id <> other").select("id", "_part", "other", _apart(words).alias("distance"))
+    return _best(met, k, ["id", "_part"]).select("id", "other", "distance")
+
+
+def nearest_by_bits(prints: DataFrame, asked: DataFrame, width: int, k: int = 8, cut: int | None = None, word: int = 32) -> DataFrame:
     """Nearest fingerprints by Hamming distance within a slot: (id, rank, other, distance).
 
-    Fingerprints are arrays of longs. Pairs are formed only within slots, and only for the
-    asked ids, which are a stated query set. A slot's prints are dealt to PARTS parts, each asked
-    print goes to all of them, and the k nearest of each part are ranked together.
+    Fingerprints are arrays of longs with ``word`` bits each, ``width`` in all. Multi-index hashing: a
+    print is cut in m pieces of CHUNK bits, and prints that are at most m * (s + 1) - 1 bits apart agree
+    in a piece but for s bits. So round s looks up the pieces with s bits flipped, by a join on (slot,
+    piece, value), and settles the questions whose k-th find lies within that distance; the rest go on to
+    the next round, and after WIDEST to all prints of their slot, in parts. Of equal prints the first
+    k + 1 by id stand for all, since no more of them can be asked for. Exact; ties go to the smaller id.
+    Rows without a slot or a fingerprint take no part.
     """
-    a = asked.select(F.col("id"), "slot", F.col("bits").alias("_a"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
-    part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")
-    b = prints.select(F.col("id").alias("other"), F.col("slot").alias("_s"), F.col("bits").alias("_b"), part.alias("_p"))
-    distance = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    met = a.join(b, (F.col("slot") == F.col("_s")) & (F.col("_part") == F.col("_p")) & (F.col("id") != F.col("other")))
-    met = met.select("id", "_part", "other", distance.alias("distance"))
+    if word % CHUNK or width % word:
+        raise ValueError(f"width must be a multiple of word, and word of {CHUNK}")
+    rounds = Rounds(prints.sparkSession, "prints")
+    words, m = width // word, width // CHUNK
+    whole = F.col("slot").isNotNull() & F.col("bits").isNotNull()
+    b = prints.where(whole).select(F.col("id").alias("other"), "slot", F.col("bits").alias("_b"))
+    first = W.partitionBy("slot", "_b").orderBy("other")
+    b = rounds.save(b.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1).drop("_r"))
+    left = rounds.save(asked.where(whole).select("id", "slot", F.col("bits").alias("_a")))
+    pieces = b.select("*", F.posexplode(_chunks("_b", words, word)).alias("_at", "_v"))
+    found = settled = None
+    for s in range(WIDEST + 1):
+        flipped = F.explode(F.array(*[F.lit(x) for x in _flips(s)]))
+        probes = left.select("*", F.posexplode(_chunks("_a", words, word)).alias("_at", "_w")).select("*", flipped.alias("_x"))
+        probes = probes.select("id", "slot", "_a", "_at", F.col("_w").bitwiseXOR(F.col("_x")).alias("_v"))
+        met = probes.join(pieces, ["slot", "_at", "_v"]).where("id <> other").select("id", "other", _apart(words).alias("distance"))
+        met = met if found is None else met.unionByName(found.join(left.select("id"), "id", "left_semi"))
+        found = rounds.save(_best(met.distinct(), k, ["id"]).drop("rank"))
+        sure = m * (s + 1) - 1
+        told = found.where(F.col("distance") <= sure).groupBy("id").agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select("id")
+        if cut is not None and cut <= sure:
+            told = left.select("id")
+        done = found.join(told, "id", "left_semi")
+        settled = done if settled is None else settled.unionByName(done)
+        left = rounds.save(left.join(told, "id", "left_anti"))
+        if left.isEmpty():
+            break
+    met = settled.unionByName(_nearest_of_all(b, left, k, words))
     met = met if cut is None else met.where(F.col("distance") <= cut)
-    for keys in (["id", "_part"], ["id"]):
-        met = met.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy("distance", "other"))).where(F.col("rank") <= k)
-    return met.select("id", "rank", "other", "distance")
+    return _best(met, k, ["id"]).select("id", "rank", "other", "distance")
 
 
 def sign_bits(vector: Column, width: int, word: int = 62) -> Column:

@@ -167,7 +167,7 @@ def size_bands(spark, d):
 
 def _prints(spark, d):
     e = table(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.col("label").alias("slot"), C.sign_bits(F.col("embedding"), 64).alias("bits"))
+    return e.select(F.col("vec_id").alias("id"), F.col("label").alias("slot"), C.sign_bits(F.col("embedding"), 64, 32).alias("bits"))
 
 
 _BITS = "SELECT vec_id AS id, label AS slot, list_transform(embedding, lambda x: (x > 0)::INT) AS bits FROM embeddings"
@@ -178,7 +178,7 @@ _HAMMING = "list_sum(list_transform(range(1, 65), lambda i: (a.bits[i] <> b.bits
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, other)::INT AS rank FROM m) SELECT id, rank, other, distance FROM r WHERE rank <= 8""")
 def hamming_knn(spark, d):
     p = _prints(spark, d)
-    return C.nearest_by_bits(p, p.where("id % 100 = 0"))
+    return C.nearest_by_bits(p, p.where("id % 100 = 0"), 64)
 
 
 @query(f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY id) - 1 AS i, count(*) OVER (PARTITION BY slot) AS n FROM ({_BITS})),
