@@ -76,3 +76,29 @@ def test_only_what_says_something_is_told(spark):
     assert [tuple(r) for r in rep.collect()] == [(1, "a", 12, "friendly")]
     visits = spark.createDataFrame([(1,), (2,), (3,)], "visit_id int")
     assert [r[0] for r in T.has_events(visits, [rep, told.select("visit_id")]).collect()] == [1]
+
+
+def test_collected_equal_a_fold(spark, monkeypatch):
+    monkeypatch.setattr(T.S, "ROWS", 16)  # many spans a visit
+    events = _events(random.Random(8), ["mount", "quest", "other"], 300)
+    names = [None, "", "Ash"]
+    told, lists = [], {}
+    for visit, at, seq, kind, x, first in _in_order(events):
+        name = names[seq % 3]
+        told.append((visit % 3, at, seq, kind, x, name, first))
+    for visit, at, _seq, kind, x, name, first in _in_order(told):
+        if x is None or kind == "other":
+            continue
+        met = lists.setdefault((visit, kind), [])
+        met.append((len(met), x, (str(x) if name is None else name) if kind == "mount" else name or None, first, at))
+    df = spark.createDataFrame(told, "visit_id int, at int, seq int, kind string, id int, name string, first boolean")
+    got = sorted(((r["visit_id"], r["kind"], r["position"]), r["id"], r["name"], r["first"], r["at"]) for r in T.collected(df, ("mount",), ("quest",)).collect())
+    want = sorted((((*key, m[0]), *m[1:]) for key, met in lists.items() for m in met), key=lambda r: r[0])
+    assert [tuple(r) for r in got] == want
+
+
+def test_sums_and_empty_visits(spark):
+    df = spark.createDataFrame([(1, "xp", 5), (1, "xp", None), (1, "note", 3), (2, "note", 1)], "visit_id int, kind string, n int")
+    told = {r["visit_id"]: r["xp"] for r in T.added(df, {"xp": "xp"}, "n").collect()}
+    assert told == {1: 5, 2: 0}
+    assert T.collected(spark.createDataFrame([], "visit_id int, at int, seq int, kind string, id int, name string"), ("mount",)).count() == 0

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from visitloom.functions.derive import experience_step
+from visitloom.operators import scan as S
 
 KEY = "visit_id"
 
@@ -160,6 +161,28 @@ def equipset_changes(changes: DataFrame) -> DataFrame:
     return changes.where(good).withColumn("position", F.row_number().over(_ordered(KEY)) - 1)
 
 
+def collected(events: DataFrame, named: tuple[str, ...], told: tuple[str, ...] = ()) -> DataFrame:
+    """What a visit met, one row each, with its position from 0 among the visit's events of that kind.
+
+    Kinds in ``named`` always have a name, at worst their id; kinds in ``told`` have one only if one was
+    said. An event without an id is none. Flags and other columns stay as they are: null is "nobody
+    asked", which is not "no". Positions come from a prefix scan, so a long visit is not one task.
+    """
+    kind = F.col("kind")
+    good = events.where(F.col("id").isNotNull() & kind.isin(*named, *told))
+    name = F.when(kind.isin(*named), F.coalesce("name", F.col("id").cast("string"))).when(F.col("name") != "", F.col("name"))
+    by = [KEY, "kind"]
+    spanned, most = S.numbered(S.by_density(good.withColumn("name", name), by, "at"))
+    place = S.Carry("position", "sum", F.lit(1).cast("long"), upto=False)
+    return S.scan(spanned, most, by, ["at", "seq"], [place]).drop("_span", "seq")
+
+
+def added(events: DataFrame, kinds: dict[str, str], amount: str) -> DataFrame:
+    """The sum of an amount by kind, one column a kind; a kind that a visit did not see adds 0."""
+    sums = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col(amount))), F.lit(0)).alias(name) for name, k in kinds.items()]
+    return events.groupBy(KEY).agg(*sums)
+
+
 def has_events(visits: DataFrame, parts: list[DataFrame]) -> DataFrame:
     """Visits of which at least one part tells something; a visit in which nothing happened is dropped."""
     told = parts[0].select(KEY)

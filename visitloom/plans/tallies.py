@@ -191,3 +191,31 @@ def equipset_changes_of_visits(spark, d):
     kind = F.when(F.col("k") % 3 == 0, "updated").when(F.col("k") % 3 == 1, "added").otherwise("removed")
     items = F.when(F.col("v") % 2 == 1, F.array("k")).otherwise(F.array().cast("array<bigint>"))
     return T.equipset_changes(e.select("visit_id", "at", "seq", F.col("seq").alias("set_id"), kind.alias("kind"), items.alias("items"))).select("visit_id", "set_id", "kind", "position")
+
+
+_MET = """, m AS (SELECT visit_id, "at", seq, CASE kind WHEN 'view' THEN 'achievement' WHEN 'click' THEN 'quest' WHEN 'error' THEN 'housing_xp' ELSE kind END AS kind,
+CASE WHEN v % 7 > 0 THEN k END AS id, CASE k % 3 WHEN 0 THEN 'name ' || k WHEN 1 THEN '' END AS name, CASE v % 3 WHEN 0 THEN true WHEN 1 THEN false END AS first FROM e)"""
+
+
+def _met(spark, d):
+    kind = F.when(F.col("kind") == "view", "achievement").when(F.col("kind") == "click", "quest").when(F.col("kind") == "error", "housing_xp").otherwise(F.col("kind"))
+    name = F.when(F.col("k") % 3 == 0, F.concat(F.lit("name "), F.col("k"))).when(F.col("k") % 3 == 1, "")
+    first = F.when(F.col("v") % 3 == 0, True).when(F.col("v") % 3 == 1, False)
+    return _events(spark, d).select("visit_id", "at", "seq", kind.alias("kind"), F.when(F.col("v") % 7 > 0, F.col("k")).alias("id"), name.alias("name"), first.alias("first"))
+
+
+@query(_E + _MET + """ SELECT visit_id, kind, (row_number() OVER (PARTITION BY visit_id, kind ORDER BY "at", seq) - 1)::BIGINT AS position, id,
+CASE WHEN kind = 'achievement' THEN coalesce(name, id::VARCHAR) ELSE nullif(name, '') END AS name, first, "at" FROM m WHERE id IS NOT NULL AND kind IN ('achievement', 'quest')""")
+def collected_in_visits(spark, d):
+    return T.collected(_met(spark, d), ("achievement",), ("quest",))
+
+
+@query(_E + _MET + """ SELECT visit_id, coalesce(sum(id) FILTER (kind = 'housing_xp'), 0)::BIGINT AS housing_xp, count(*) FILTER (kind = 'quest' AND id IS NOT NULL) AS quests,
+count(*) FILTER (kind = 'achievement' AND id IS NOT NULL) AS achievements FROM m GROUP BY visit_id HAVING housing_xp <> 0 OR quests + achievements > 0""")
+def visits_worth_keeping(spark, d):
+    """A visit's counts and sums, without the visits in which nothing happened."""
+    met = _met(spark, d)
+    sums = T.added(met, {"housing_xp": "housing_xp"}, "id")
+    counts = T.counted(met.where("id is not null"), {"quests": "quest", "achievements": "achievement"})
+    told = T.summary(met.select("visit_id").distinct(), [sums, counts]).na.fill(0)
+    return T.has_events(told, [sums.where("housing_xp <> 0"), counts.where("quests + achievements > 0")])
