@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from visitloom.scratch import Rounds
+
 _TOKEN = re.compile(r'(?:"[^"]*"?|[^\s"])+')
 
 
@@ -69,18 +71,16 @@ def tag_choices(tags: DataFrame) -> DataFrame:
     )
 
 
-def placed(rows: DataFrame, order: list[Column], parts: int = 64) -> DataFrame:
+def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
     """Rows with their place in one order over the whole table, from 1.
 
-    To keep the order out of a single task, it is cut at ``parts`` keys taken in hash order. Each
-    span between two cuts is counted, and a row's place is its number in its span after the
-    rows of the earlier spans. ``order`` should tell rows apart, or equal ones share a task.
+    The rows are dealt to ranges of the order, as many as the session has shuffle partitions, and
+    written; each range is counted, and a row's place is its number in its range after the rows of
+    the earlier ranges. ``order`` should tell rows apart, or equal ones share a task.
     """
-    keyed = rows.withColumn("_key", F.struct(*order))
-    cuts = keyed.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(parts).agg(F.array_sort(F.collect_list("_key")).alias("_cuts"))
-    # one row of at most ``parts`` keys
-    cut = keyed.crossJoin(F.broadcast(cuts)).withColumn("_span", F.size(F.filter("_cuts", lambda c: c < F.col("_key")))).drop("_cuts")
-    small = W.orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    dealt = rows.withColumn("_key", F.struct(*order)).repartitionByRange("_key").withColumn("_span", F.spark_partition_id())
+    cut = Rounds(rows.sparkSession, "placed").save(dealt)  # ranges are sampled, so both readers need the same ones
+    small = W.orderBy("_span").rowsBetween(W.unboundedPreceding, -1)  # one row a range
     starts = cut.groupBy("_span").agg(F.count("*").alias("_n")).select("_span", F.coalesce(F.sum("_n").over(small), F.lit(0)).alias("_start"))
     number = F.row_number().over(W.partitionBy("_span").orderBy("_key"))
     return cut.join(F.broadcast(starts), "_span").withColumn("place", (F.col("_start") + number).cast("int")).drop("_key", "_span", "_start")
