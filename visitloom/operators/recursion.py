@@ -17,7 +17,9 @@ def reached(links: DataFrame, seeds: DataFrame, rounds: Rounds | None = None) ->
     Semi-naive: each round joins only the pairs found in the round before with the links, takes off
     those known already, and writes what is new; the first round that finds nothing is the last. So
     cycles end, no depth has to be known, and ``hops`` is the fewest. A round's pairs are a table in
-    the shared folder: lineage does not grow, and a lost executor repeats its part of one round.
+    the shared folder: lineage does not grow, and a lost executor repeats its part of one round. Its
+    joins are told to shuffle and merge: files of few bytes may hold many pairs, and a plan that
+    broadcast every known table would hold them all in the driver at once.
     Seeds and links with a null end reach nothing by it; repeated seeds and links count once.
     """
     spark = links.sparkSession
@@ -29,9 +31,8 @@ def reached(links: DataFrame, seeds: DataFrame, rounds: Rounds | None = None) ->
     found, merged, k = [fresh], 0, 0
     while not fresh.isEmpty():
         k += 1
-        step = fresh.join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-        for known in found:
-            step = step.join(known.select("seed", "node"), ["seed", "node"], "left_anti")
+        step = fresh.join(edges.hint("merge"), F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
+        step = step.join(_union(found).select("seed", "node").hint("merge"), ["seed", "node"], "left_anti")
         fresh = rounds.save(step.withColumn("hops", F.lit(k).cast("long")), f"round_{k}")
         found.append(fresh)
         if len(found) > MERGE_EVERY:
