@@ -25,6 +25,6 @@ def test_rounds_of_a_recursion_broadcast_nothing(spark, monkeypatch):
 def test_sizes_stop_at_the_last_unit(spark, tmp_path):
     spark.createDataFrame([(k, "b", "t", 1) for k in (0, 1100, 1076384, 5000000)], "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     told = registry.queries()["size_texts"](spark, str(tmp_path))
-    assert rows(told, "p_partkey", "size") == [(0, "1.0 KB"), (1100, "1.0 MB"), (1076384, "1026.5 MB"), (5000000, "4768.4 MB")]
+    assert rows(told, "p_partkey", "size") == [(0, "1.0 KB"), (1100, "1.1 MB"), (1076384, "1026.5 MB"), (5000000, "4768.4 MB")]
     sizes = spark.createDataFrame([(n,) for n in (1023, 1024, 1 << 20, 1 << 30, 1 << 41)], "n long")
     assert [r[0] for r in sizes.select(X.file_size(F.col("n"))).collect()] == ["1023 B", "1.0 KB", "1.0 MB", "1.0 GB", "2048.0 GB"]

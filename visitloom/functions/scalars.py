@@ -60,9 +60,12 @@ def gold(copper: Column) -> Column:
     return F.concat(sign, F.format_string("%dg %ds %dc", F.floor(a / 10_000), F.floor(a % 10_000 / 100), a % 100))
 
 
-def file_size(n: Column) -> Column:
-    kb, mb, gb = 1024, 1024**2, 1024**3
-    return F.when(n < kb, F.format_string("%d B", n)).when(n < mb, F.format_string("%.1f KB", n / kb)).when(n < gb, F.format_string("%.1f MB", n / mb)).otherwise(F.format_string("%.1f GB", n / gb))
+def file_size(n: Column, units: tuple[str, ...] = ("KB", "MB", "GB")) -> Column:
+    """Bytes below 1024, else the size in the first of the units that it does not fill 1024 times, or in the last."""
+    told = F.format_string(f"%.1f {units[-1]}", n / 1024 ** len(units))
+    for k in range(len(units) - 1, 0, -1):
+        told = F.when(n < 1024 ** (k + 1), F.format_string(f"%.1f {units[k - 1]}", n / 1024**k)).otherwise(told)
+    return F.when(n < 1024, F.format_string("%d B", n)).otherwise(told)
 
 
 def normalised(world_x: Column, world_y: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> tuple[Column, Column]:
