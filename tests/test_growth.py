@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from visitloom.functions import scalars as X
 from visitloom.operators import recursion as R
 from visitloom.plans import registry
+from visitloom.plans.records import _saved
 from visitloom.scratch import Rounds
+from visitloom.sources import saved_records as S
 
 
 def test_rounds_of_a_recursion_broadcast_nothing(spark, monkeypatch):
@@ -28,3 +30,23 @@ def test_sizes_stop_at_the_last_unit(spark, tmp_path):
     assert rows(told, "p_partkey", "size") == [(0, "1.0 KB"), (1100, "1.1 MB"), (1076384, "1026.5 MB"), (5000000, "4768.4 MB")]
     sizes = spark.createDataFrame([(n,) for n in (1023, 1024, 1 << 20, 1 << 30, 1 << 41)], "n long")
     assert [r[0] for r in sizes.select(X.file_size(F.col("n"))).collect()] == ["1023 B", "1.0 KB", "1.0 MB", "1.0 GB", "2048.0 GB"]
+
+
+def test_each_saved_text_is_parsed_once(spark, monkeypatch):
+    monkeypatch.setattr(Rounds, "save", (lambda save: lambda self, df, name=None: told.append(self.root) or save(self, df, name))(Rounds.save))
+    told = []
+    count = spark.sparkContext.accumulator(0)
+    text = F.udf(lambda t: count.add(1) or t, "string").asNondeterministic()
+    texts = spark.createDataFrame([(k, f'S = {{ characters = {{ a = {{ gold = {{ total = {k} }}, currencies = {{ ["7"] = {{ total = 2 }} }} }} }} }}') for k in range(9)], "k long, t string")
+    read = S.parsed(texts.select("k", text("t").alias("t")), "t", "S", S.HOLDINGS)
+    assert rows(S.wallets(read, "k").unionByName(S.held_currencies(read, "k"), allowMissingColumns=True).groupBy().count()) == [(18,)]
+    assert count.value == 9 and len(told) == 1
+
+
+def test_customers_are_dealt_to_all_cores(spark, sf_dir):
+    assert _saved(spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_odd_tables_of_a_saved_text():
+    assert S.to_value('S = { [1] = "a", [2] = "b", x = { 1, nil, }, ["["] = 3, y = [[z]] --c\n} @', "S") == {"1": "a", "2": "b", "x": [1, None], "[": 3, "y": "z"}
+    assert S.to_value("S = { 1, @ }", "S") is None and S.to_value("S = 5", "S") == 5 and S.to_value('S = { "open }', "S") is None

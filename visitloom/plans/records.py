@@ -12,9 +12,14 @@ from visitloom.sources import saved_records as R
 from visitloom.sources.tables import table, visits
 
 
+def _customers(spark, d):
+    """Customers dealt to all cores: a text is parsed for much longer than its row takes to move, and few bytes hold many."""
+    return table(spark, d, "customer").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey")
+
+
 def _saved(spark, d):
     """One saved-variable text for each customer, with a segment, markers, holdings and a census."""
-    c = table(spark, d, "customer")
+    c = _customers(spark, d)
     body = F.format_string(
         'Saved = {\n  -- written by hand\n  ["segments"] = {\n    { ["id"] = "%d", ["character"] = "%s", ["level"] = %d, ["instance"] = %s, ["endedAt"] = %d,\n'
         '      ["quests"] = { { ["id"] = %d, ["name"] = "a \\"quoted\\" name" }, }, },\n    { ["id"] = "no end" },\n  },\n'
@@ -57,7 +62,7 @@ def saved_holdings(spark, d):
 
 def _census(spark, d):
     """A census text for each customer: mounts of the account, titles of a character, titles without owner."""
-    c = table(spark, d, "customer")
+    c = _customers(spark, d)
     body = F.format_string(
         'Census = { ["account"] = { ["mounts"] = { ["complete"] = %s, ["held"] = 1, ["counted"] = %d, ["entries"] = { ["%d"] = { ["name"] = "m" }, ["x"] = {} } },\n'
         '  ["titles"] = { ["complete"] = true, ["entries"] = { ["5"] = {} } }, ["toys"] = { ["held"] = 2 } },\n'

@@ -15,35 +15,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from visitloom.scratch import Rounds
 from visitloom.session import ship
 
+#: White space and comments, then one token; any other character is unreadable.
 _LEX = re.compile(
-    r"""\s+|--\[\[.*?\]\]|--[^\n]*|(?P<long>\[\[.*?\]\])|(?P<str>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|(?P<num>-?0[xX][0-9a-fA-F]+|-?\d+\.?\d*(?:[eE][+-]?\d+)?)|(?P<word>[A-Za-z_]\w*)|(?P<sign>[{}\[\]=,;])""",
+    r"""(?:\s+|--\[\[.*?\]\]|--[^\n]*)*(\[\[.*?\]\]|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|-?0[xX][0-9a-fA-F]+|-?\d+\.?\d*(?:[eE][+-]?\d+)?|[A-Za-z_]\w*|[{}\[\]=,;]|.|\Z)""",
     re.S,
 )
 _WORDS = {"true": True, "false": False, "nil": None}
+_ESCAPED = re.compile(r"\\(\d{1,3}|.)", re.S)
+#: A key that is being read: between its brackets.
+_KEY = object()
 
 
-def _tokens(text: str):
-    at = 0
-    while at < len(text):
-        m = _LEX.match(text, at)
-        if not m:
-            raise ValueError(f"unreadable at {at}")
-        at = m.end()
-        if m.lastgroup:
-            yield m.lastgroup, m[0]
-    yield "end", ""
+def _unescaped(m: re.Match) -> str:
+    return {"n": "\n", "t": "\t", "r": "\r"}.get(m[1], chr(int(m[1])) if m[1].isdigit() else m[1])
 
 
-def _scalar(kind: str, raw: str):
-    if kind == "str":
-        return re.sub(r"\\(\d{1,3}|.)", lambda m: {"n": "\n", "t": "\t", "r": "\r"}.get(m[1], chr(int(m[1])) if m[1].isdigit() else m[1]), raw[1:-1], flags=re.S)
-    if kind == "long":
+def _scalar(raw: str):
+    first = raw[0]
+    if first in "\"'":
+        if len(raw) < 2:
+            raise ValueError("an open quote")
+        return _ESCAPED.sub(_unescaped, raw[1:-1]) if "\\" in raw else raw[1:-1]
+    if first == "[":
         return raw[2:-2]
-    if kind == "num":
-        return int(raw, 16) if "x" in raw.lower() else int(raw) if re.fullmatch(r"-?\d+", raw) else float(raw)
-    return _WORDS.get(raw, raw)
+    if raw.isdecimal():
+        return int(raw)
+    if first == "-" or first.isdecimal():
+        return int(raw, 16) if "x" in raw.lower() else float(raw) if any(c in raw for c in ".eE") else int(raw)
+    if first == "_" or first.isalpha():
+        return _WORDS.get(raw, raw)
+    raise ValueError(f"unreadable: {raw}")
+
+
+def _closed(table: dict):
+    if 1 in table and list(table) == list(range(1, len(table) + 1)):
+        return list(table.values())
+    return {str(k): v for k, v in table.items()}
 
 
 def to_value(text: str, name: str):
@@ -54,38 +64,49 @@ def to_value(text: str, name: str):
     found = re.search(rf"(?m)^\s*{re.escape(name)}\s*=", text or "")
     if not found:
         return None
-    tokens = _tokens(text[found.end() :])
-    stack: list[tuple[dict, list]] = []  # table, pending key
+    above: list[tuple] = []  # of the tables around: table, its key to come, its highest number
+    table = key = top = None
+    inside = False  # between the brackets of a key
     try:
-        for kind, raw in tokens:
-            if raw == "{" and kind == "sign":
-                stack.append(({}, []))
+        for m in _LEX.finditer(text, found.end()):
+            raw = m[1]
+            if raw == "{":
+                above.append((table, key, top, inside))
+                table, key, top, inside = {}, None, None, False
+                continue
+            if raw in ("=", ",", ";"):
                 continue
-            if raw == "}" and kind == "sign":
-                table, _ = stack.pop()
-                value = list(table.values()) if table and list(table) == list(range(1, len(table) + 1)) else {str(k): v for k, v in table.items()}
-            elif kind == "sign":
-                if raw == "]" and len(stack[-1][1]) == 2:  # [ key ]
-                    stack[-1] = (stack[-1][0], [stack[-1][1][1]])
-                elif raw == "[":
-                    stack[-1] = (stack[-1][0], ["["])
+            if raw == "[" or raw == "]":
+                if table is None:
+                    return None
+                if raw == "[":
+                    key, inside = (_KEY,), True
+                else:
+                    inside = False
                 continue
-            elif kind == "end":
+            if raw == "}":
+                if table is None:
+                    return None
+                value = _closed(table)
+                table, key, top, inside = above.pop()
+            elif not raw:
                 return None
             else:
-                value = _scalar(kind, raw)
-                if stack and kind == "word" and raw not in _WORDS:
-                    stack[-1] = (stack[-1][0], [value])
+                value = _scalar(raw)
+                if table is not None and raw not in _WORDS and (raw[0] == "_" or raw[0].isalpha()):
+                    key, inside = (value,), False
                     continue
-            if not stack:
+            if table is None:
                 return value
-            table, key = stack[-1]
-            if key == ["["]:
-                stack[-1] = (table, ["[", value])
+            if inside:
+                key = (value,)
                 continue
-            table[key[0] if key else 1 + max((k for k in table if isinstance(k, int)), default=0)] = value
-            stack[-1] = (table, [])
-    except (ValueError, IndexError):
+            at = (1 if top is None else top + 1) if key is None else key[0]
+            if isinstance(at, int) and (top is None or at > top):
+                top = at
+            table[at] = value
+            key = None
+    except (ValueError, TypeError):
         return None
     return None
 
@@ -97,7 +118,12 @@ def read(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
 
 
 def parsed(texts: DataFrame, column: str, name: str, schema: str) -> DataFrame:
-    """Rows with ``record``: the named table out of a text or binary column, under a DDL schema."""
+    """Rows with ``record`` in place of a text or binary column: its named table, under a DDL schema.
+
+    Operators read records several times over; so that each text is parsed once, records are
+    written to the shared folder. Rows come by the partitions of ``texts``, which decide how many
+    tasks parse.
+    """
     ship(texts.sparkSession)
 
     @F.pandas_udf(T.StringType())
@@ -105,7 +131,8 @@ def parsed(texts: DataFrame, column: str, name: str, schema: str) -> DataFrame:
         told = contents.map(lambda b: to_value(b if isinstance(b, str) else bytes(b).decode("utf-8", "replace"), name))
         return told.map(lambda v: None if v is None else json.dumps(v))
 
-    return texts.withColumn("record", F.from_json(as_json(column), schema, {"mode": "PERMISSIVE"}))
+    told = texts.withColumn("record", F.from_json(as_json(column), schema, {"mode": "PERMISSIVE"})).drop(column)
+    return Rounds(texts.sparkSession, "records").save(told)
 
 
 def changed(listing: DataFrame, manifest: DataFrame) -> DataFrame:
