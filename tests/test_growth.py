@@ -1,5 +1,6 @@
 """What held on small tables only: growth of plans, and values that small tables do not reach."""
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -50,3 +51,10 @@ def test_customers_are_dealt_to_all_cores(spark, sf_dir):
 def test_odd_tables_of_a_saved_text():
     assert S.to_value('S = { [1] = "a", [2] = "b", x = { 1, nil, }, ["["] = 3, y = [[z]] --c\n} @', "S") == {"1": "a", "2": "b", "x": [1, None], "[": 3, "y": "z"}
     assert S.to_value("S = { 1, @ }", "S") is None and S.to_value("S = 5", "S") == 5 and S.to_value('S = { "open }', "S") is None
+
+
+@pytest.mark.parametrize("name", ["log_positions", "log_combatants"])
+def test_lines_of_a_log_are_split_once(spark, sf_dir, name):
+    plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    steps = [line for line in plan.splitlines() if "ArrowEvalPython [" in line]
+    assert sum("fields(" in line.split("], [")[0] for line in steps) == 1

@@ -85,7 +85,7 @@ def saved_census(spark, d):
     return R.census_entries(_census(spark, d), "c_custkey")
 
 
-def _log(spark, d):
+def _log(spark, d, events=None):
     """A combat-log line for each event: stamps with and without year, glued offsets, quotes, groups."""
     e = table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
     local = F.date_format(F.col("t") + F.expr("make_dt_interval(0, 2, 0, 0)"), "M/d/yyyy HH:mm:ss.SSS")
@@ -100,7 +100,7 @@ def _log(spark, d):
     text = F.when(F.col("event_type") == "view", swing).when(F.col("event_type") == "click", cast).when(F.col("event_type") == "purchase", info).otherwise("junk without a comma")
     line = F.when(F.col("event_type") == "error", "no stamp at all").otherwise(F.concat(stamp, F.lit("  "), text))
     lines = e.select(F.format_string("log%d", F.col("user_id") % 7).alias("log"), F.col("event_id").alias("line_no"), line.alias("line"))
-    return L.parse(lines, 2024)
+    return L.parse(lines, 2024, events=events)
 
 
 _LINES = """WITH e AS (SELECT *, 'log' || (user_id % 7) AS log, epoch_us(ts) // 1000 AS at_ms FROM events)"""
@@ -115,13 +115,13 @@ def log_lines(spark, d):
 @query(_LINES + """ SELECT log, event_id AS line_no, at_ms, 'Player-' || user_id AS guid, 'A, name-Realm' AS actor, printf('%.2f', value)::DOUBLE AS x, -3.5::DOUBLE AS y, event_id % 50 AS map_id, 1.25::DOUBLE AS facing
 FROM e WHERE event_type IN ('view', 'click') AND event_id % 3 = 0""")
 def log_positions(spark, d):
-    return L.positions(_log(spark, d))
+    return L.positions(_log(spark, d, tuple(L.ADVANCED)))
 
 
 @query(_LINES + """ SELECT log, event_id AS line_no, 'Player-' || user_id AS guid, 1 AS faction, event_id % 70 AS spec_id, 2 AS n_talents, 2 AS n_worn,
 CASE WHEN event_id % 400 > 0 THEN (event_id % 400)::DOUBLE END AS item_level, '11,12' AS bonus FROM e WHERE event_type = 'purchase'""")
 def log_combatants(spark, d):
-    told = L.combatants(_log(spark, d))
+    told = L.combatants(_log(spark, d, ("COMBATANT_INFO",)))
     bonus = F.array_join(F.transform(F.get("worn", F.lit(0))["bonus"], lambda b: b.cast("string")), ",")
     return told.select("log", "line_no", "guid", "faction", "spec_id", "n_talents", F.size("worn").alias("n_worn"), "item_level", bonus.alias("bonus"))
 

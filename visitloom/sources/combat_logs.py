@@ -55,6 +55,10 @@ def fields(texts: pd.Series) -> pd.Series:
     return texts.map(split_fields)
 
 
+# else each later filter on fields would split the lines again, in a Python worker of its own
+fields = fields.asNondeterministic()
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def group(texts: pd.Series) -> pd.Series:
     """Fields of a bracketed field."""
@@ -77,11 +81,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("log"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
 
 
-def parse(lines: DataFrame, year: int, offset: int = 0) -> DataFrame:
+def parse(lines: DataFrame, year: int, offset: int = 0, events: tuple[str, ...] | None = None) -> DataFrame:
     """Readable lines with month, day, event, fields and at_ms; others are left out.
 
     Lines without a year get ``year``; use operators.timeline.with_years on month to follow
-    logs past December. ``offset`` is in minutes, for lines that name none.
+    logs past December. ``offset`` is in minutes, for lines that name none. With ``events`` only
+    lines of these are split and returned.
     """
     ship(lines.sparkSession)
     part = lambda i: F.regexp_extract("line", STAMP, i)
@@ -95,7 +100,8 @@ def parse(lines: DataFrame, year: int, offset: int = 0) -> DataFrame:
     out = told.select(
         "log", "line_no", part(1).cast("int").alias("month"), part(2).cast("int").alias("day"), at.alias("at_ms"), part(9).alias("event"), part(10).alias("_rest")
     )
-    return out.where("at_ms is not null").withColumn("fields", fields("_rest")).drop("_rest")
+    wanted = F.lit(True) if events is None else F.col("event").isin(*events)
+    return out.where(F.col("at_ms").isNotNull() & wanted).withColumn("fields", fields("_rest")).drop("_rest")
 
 
 def number(field: Column) -> Column:
