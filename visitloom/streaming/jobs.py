@@ -107,13 +107,16 @@ def tracked(events: DataFrame, identity: list[str], by: str = "actor") -> DataFr
     schema = f"{by} long, " + ", ".join(f"{c} string" for c in names) + ", started_at long, ended_at long, n_events long, weight long"
 
     def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["at", "event_id"], kind="stable")
-        told = pdf[names].astype(object).where(pdf[names].notna(), None)
-        turn = ((told != told.shift()) & ~(told.isna() & told.shift().isna())).any(axis=1)
-        turn.iloc[0] = True
-        parts = pdf.assign(_no=turn.cumsum()).groupby("_no", sort=True).agg(started_at=("at", "min"), ended_at=("at", "max"), n_events=("at", "size"), weight=("weight", "sum"))
-        who = told[turn.to_numpy()].to_numpy().tolist()
-        rows = [[w, *map(int, p)] for w, p in zip(who, parts.to_numpy(), strict=True)]
+        # arrays, not frames: most keys have a few rows a batch, and a frame's operations cost a millisecond each
+        pdf = pd.concat(list(pdfs), ignore_index=True)
+        order = np.lexsort((pdf["event_id"].to_numpy(), pdf["at"].to_numpy()))
+        at, weight = pdf["at"].to_numpy()[order], pdf["weight"].fillna(0).to_numpy()[order]
+        told = [[None if pd.isna(v) else v for v in pdf[c].to_numpy(dtype=object)[order]] for c in names]
+        keys = list(zip(*told, strict=True)) if names else [()] * len(at)
+        starts = np.array([i for i, k in enumerate(keys) if i == 0 or k != keys[i - 1]])
+        ends = np.append(starts[1:], len(at))
+        parts = zip(at[starts], at[ends - 1], ends - starts, np.add.reduceat(weight, starts), strict=True)
+        rows = [[list(keys[i]), *map(int, p)] for i, p in zip(starts, parts, strict=True)]
         if state.exists:
             before = json.loads(state.get[0])
             if before[0] == rows[0][0]:
