@@ -5,6 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from visitloom.functions import scalars as X
+from visitloom.operators import catalogue as C
 from visitloom.operators import recursion as R
 from visitloom.plans import registry
 from visitloom.plans.records import _saved
@@ -58,3 +59,12 @@ def test_lines_of_a_log_are_split_once(spark, sf_dir, name):
     plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     steps = [line for line in plan.splitlines() if "ArrowEvalPython [" in line]
     assert sum("fields(" in line.split("], [")[0] for line in steps) == 1
+
+
+def test_walks_that_ended_are_not_joined_by_their_root(spark):
+    nodes = spark.range(50).selectExpr("id", "id div 3 AS parent", "string(id) AS name")
+    told = C.paths(nodes, 4)
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    on = [line for line in plan.splitlines() if "Join LeftOuter" in line]
+    assert len(on) == 4 and all("_key#" in line and "next#" not in line for line in on)
+    assert told.where("root = 0").count() == 50 and told.where("id = 27").first()["path"] == "0/1/3/9/27"

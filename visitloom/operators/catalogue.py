@@ -324,11 +324,17 @@ def stranger_cut(rows: DataFrame, distance, least: int = 4, share: float = 0.005
 
 
 def paths(nodes: DataFrame, depth: int = 8) -> DataFrame:
-    """(id, root, path) by walking parents at most ``depth`` times; stops at missing or own parents."""
-    up = nodes.select(F.col("id").alias("_id"), F.col("parent").alias("_p"), F.col("name").alias("_name"))
+    """(id, root, path) by walking parents at most ``depth`` times; stops at missing or own parents.
+
+    Rows at their end join by their own id, under a flag that no node bears: by the parent, all that
+    ended at one root, or at none, would meet in one task in every round that follows.
+    """
+    up = nodes.select(F.col("id").alias("_id"), F.col("parent").alias("_p"), F.col("name").alias("_name"), F.lit(True).alias("_on"))
     out = nodes.select("id", F.col("id").alias("root"), F.col("parent").alias("next"), F.array("name").alias("path"))
     for _ in range(depth):
-        step = out.join(up, (F.col("next") == F.col("_id")) & (F.col("next") != F.col("root")), "left")
+        going = F.coalesce(F.col("next") != F.col("root"), F.lit(False))
+        asked = out.withColumns({"_going": going, "_key": F.when(going, F.col("next")).otherwise(F.col("id"))})
+        step = asked.join(up, (F.col("_key") == F.col("_id")) & (F.col("_going") == F.col("_on")), "left")
         out = step.select(
             "id", F.coalesce("_id", "root").alias("root"), F.when(F.col("_id").isNotNull(), F.col("_p")).alias("next"),
             F.when(F.col("_id").isNotNull(), F.concat(F.array("_name"), "path")).otherwise(F.col("path")).alias("path"),
