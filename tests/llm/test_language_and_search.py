@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -212,6 +213,38 @@ def test_phrases_do_not_change_when_every_key_passes_the_bitmaps(spark, monkeypa
     assert sorted(tuple(r) for r in phrases.collocations(docs, least=4).collect()) == plain_phrases(rows, least=4)
 
 
+def test_texts_are_read_three_times_however_many_slices(spark, tmp_path):
+    def noted(batches):
+        (tmp_path / uuid.uuid4().hex).touch()
+        yield from batches
+
+    rows = PHRASED * 3
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(1).mapInArrow(noted, "lang string, text string")
+    told = sorted(tuple(r) for r in phrases.collocations(docs, least=1, slice_size=1).collect())
+    assert told == plain_phrases(rows, least=1)
+    assert len(list(tmp_path.iterdir())) == 3  # words, pairs, and all that passed
+
+
+def test_phrases_counted_beyond_a_byte_and_sent_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "HELD", 5)
+    monkeypatch.setattr(phrases, "STEP", 200)
+    rows = PHRASED * 300
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    assert sorted(tuple(r) for r in phrases.collocations(docs, least=255, most=7).collect()) == plain_phrases(rows, least=255, most=7)
+
+
+def test_scores_beyond_64_bits():
+    a = np.array([1, 10, 3_000_000, 3_000_001, 5 * 10**9, 10**12, 12])
+    left, right = np.array([1, 20, 3_000_000, 10**9, 6 * 10**9, 10**12 + 1, 4 * 10**9]), np.array([3, 40, 10**10, 3_000_001, 5 * 10**9, 3 * 10**12, 4 * 10**9])
+    assert phrases._scores(a, left, right).tolist() == [10**6 * x * x // (y * z) for x, y, z in zip(a.tolist(), left.tolist(), right.tolist(), strict=True)]
+
+
+def test_the_best_of_a_language_keep_their_ties():
+    code, score, a = np.array([7, 7, 7, 7, 9, 9]), np.array([5, 9, 5, 5, 1, 2]), np.array([3, 1, 3, 2, 8, 8])
+    assert sorted(phrases._best(code, score, a, 2).tolist()) == [0, 1, 2, 4, 5]
+    assert phrases._best(code[:0], score[:0], a[:0], 2).tolist() == []
+
+
 def test_phrases_of_nothing(spark):
     assert phrases.collocations(spark.createDataFrame([], "lang string, text string")).collect() == []
     assert phrases.collocations(spark.createDataFrame([("en", "one two three")], "lang string, text string")).collect() == []

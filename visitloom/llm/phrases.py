@@ -1,27 +1,29 @@
-"""Phrase collocations: exact counts of candidate phrases by a minimal perfect hash.
+"""Phrase collocations: exact counts of candidate phrases, read by slots of minimal perfect hashes.
 
 Words are known by a 64-bit hash of language and word. Counting all words is one shuffle of each
-task's distinct words; that no frequent word shares its hash is checked on the whole vocabulary, else
-all starts again with another salt. Then come three passes over the texts:
-
-* pairs are screened: each task sends the keys of its pairs of frequent words with counts cut off at
-  ``least``, packed by ranges of keys; what sums to less than ``least`` goes. This keeps every
-  frequent pair, for its true count is at most the sum, and some that share a key;
-* triples are taken only where both of their pairs passed (a bit for each key, set in a bitmap of
-  bounded size: too small a bitmap lets more pass, never fewer), and screened likewise;
-* candidates, words and pairs and triples, get slots of a minimal perfect hash; mappers look up each
-  phrase, compare the key stored in its slot, and bincount into an array of slots; the arrays are
-  summed as a tree. Candidates beyond ``SLICE`` are hashed slice by slice, a pass for each, so that
-  what is broadcast stays below about 100 MB.
-
-Cuts are then read by slot: each part of a candidate is looked up in the hash, and joined to its count.
+task's distinct words; that no words share a hash is checked on the whole vocabulary, else all starts
+again with another salt. Then come two passes over the texts, however many candidates there are:
+
+* pairs are screened: each task sends the keys of its pairs of frequent words with counts, packed by
+  ranges of keys; what sums to less than ``least`` goes. This keeps every frequent pair, for its true
+  count is at most the sum, and some that share a key;
+* the pairs that passed, and triples of which both pairs did (a bit for each key, set in a bitmap of
+  bounded size: too small a bitmap lets more pass, never fewer), are counted by their words' hashes.
+  Words in the candidates are frequent, so that these sums are exact.
+
+Parts of a candidate are phrases that are candidates or frequent words themselves. Ranges of keys make
+up slices of about ``SLICE`` candidates. A slice's words and pairs get slots of a minimal perfect hash,
+which arrays of counts go by; the other slices ask it for the parts that they hold, each part once a
+range, and are answered. A pair learns in the same way the highest count of a triple that holds it.
+Each slice then keeps its best phrases of a language and those that tie with the last, and only
+these are spelled and ranked.
 
 Defined results: a null text is empty, a null language is ``und`` (one language with rows that say
 so); languages differ if their texts do; repeated documents count each time; equal scores go to the
 higher count, then to the phrase whose UTF-8 bytes come first; columns but lang and text are not read,
 so names cannot clash; no texts or no candidates give no rows. Steps take about 8 MiB of text, one
-longer text is a step of its own with memory in proportion. Scores are computed in decimals of 38
-digits, exact for counts up to 10^12.
+longer text is a step of its own with memory in proportion. Scores are exact: where 64 bits
+might not do, they are computed in integers of any size.
 """
 
 from __future__ import annotations
@@ -41,12 +43,16 @@ from visitloom.llm.perfect_hash import PerfectHash, scrambled
 from visitloom.llm.words import classes, listed, split, steps
 from visitloom.session import ship
 
-SLICE = 2_000_000
+SLICE = 500_000
 STEP = 8 << 20
-#: Bits of a bitmap: SPARE for each key it holds, between these bounds (2 MB at most).
+#: Tuples that a task of a screen holds before it sends them.
+HELD = 4_000_000
+#: Bits of a bitmap: SPARE for each key it holds, between these bounds (16 MB at most).
 SPARE, FEWEST_BITS, MOST_BITS = 32, 1 << 16, 1 << 27
-#: Slots of one row of a sum of arrays.
-CHUNK = 1 << 12
+#: Slices, and ranges, that there are at least.
+FEWEST_SLICES = 64
+#: Counts of a phrase, and thousands of its parts, up to which scores are computed in 64 bits.
+NARROW = 3_000_000
 
 PIECES = classes(b" \t", b".,;:!?\n\x0b\x0c\r")
 
@@ -117,6 +123,10 @@ def bitmap_of(keys: DataFrame, column: str) -> Bitmap:
 _WORDS = "lang string, word binary, h long, n long"
 
 
+def _code(salt: int) -> Column:
+    return F.xxhash64(F.lit(salt), "lang").alias("code")
+
+
 def _word_counter(salt: int, held: int = 2_000_000):
     def emit(counts):
         for lang, of_lang in counts.items():
@@ -144,31 +154,54 @@ def _word_counter(salt: int, held: int = 2_000_000):
     return count
 
 
-def _vocabulary(texts: DataFrame, least: int, scratch: Scratch, salts: int = 8) -> tuple[DataFrame, int]:
-    """All words with hashes and counts, and the salt under which no frequent word shares its hash."""
+def _vocabulary(texts: DataFrame, scratch: Scratch, salts: int = 8) -> tuple[DataFrame, int]:
+    """All words with hashes and counts, and the salt under which no words share a hash, nor languages a code."""
     for salt in range(salts):
         told = texts.mapInArrow(_word_counter(salt), _WORDS).groupBy("lang", "word", "h").agg(F.sum("n").alias("n"))
         words = scratch.save(told, f"words_{salt}")
-        shared = words.groupBy("h").agg(F.count("*").alias("m"), F.max("n").alias("n")).where((F.col("m") > 1) & (F.col("n") >= least))
-        if shared.isEmpty():
+        shared = words.groupBy("h").agg(F.count("*").alias("m")).where((F.col("m") > 1) | (F.col("h") == 0))  # 0 stands for no word
+        langs = words.select("lang").distinct().groupBy(_code(salt)).count().where("count > 1")
+        if shared.isEmpty() and langs.isEmpty():
             return words, salt
         scratch.drop(f"words_{salt}")
-    raise RuntimeError("frequent words share hashes under every salt")
+    raise RuntimeError("words or languages share hashes under every salt")
 
 
-# --- screens: sums of cut-off counts by key, packed by ranges of keys
+# --- sums of counts by key, packed by ranges of keys
 
 
-def _packed(kind: int, parts: int, columns: list[np.ndarray], counts: np.ndarray, width: int):
-    """A row for each range of keys: the columns' values one after the other, and the counts."""
-    ranges = ((_joined(columns) if len(columns) > 1 else columns[0]) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+def _range(columns: list[np.ndarray], parts: int) -> np.ndarray:
+    """The range of keys of each tuple."""
+    key = _joined(columns) if len(columns) > 1 else columns[0]
+    return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _dealt(ranges: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[list[bytes]]]:
+    """The ranges that have values, ascending, and each column's values of each of them."""
     order = np.argsort(ranges, kind="stable")
-    ends = np.searchsorted(ranges[order], np.arange(parts + 1, dtype=np.uint64))
-    columns = [c[order] for c in columns] + [np.zeros(0, dtype=np.uint64)] * (width - len(columns))
-    counts = counts[order].astype(np.uint8)
-    full = np.flatnonzero(np.diff(ends))
-    blobs = [[c[ends[p] : ends[p + 1]].tobytes() for p in full] for c in (*columns, counts)]
-    names = [*(f"c{i}" for i in range(width)), "counts"]
+    full, first = np.unique(ranges[order], return_index=True)
+    ends = np.append(first, len(order))
+    columns = [c[order] for c in columns]
+    return full, [[c[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)] for c in columns]
+
+
+def _read(rows: pa.Table, column: str, kind=np.uint64) -> np.ndarray:
+    """The packed values of all rows, one after the other."""
+    return np.frombuffer(b"".join(rows.column(column).to_pylist()), dtype=kind)
+
+
+def _of_kind(rows: pa.Table, kind: int) -> pa.Table:
+    return rows.filter(pc.equal(rows.column("kind"), kind))
+
+
+def _packed(kind: int, parts: int, columns: list[np.ndarray], counts: np.ndarray, width: int):
+    """A row for each range of keys: the columns' values one after the other, counts in a byte, and those that need more."""
+    ranges, large = _range(columns, parts), counts >= 255
+    full, blobs = _dealt(ranges, [*columns, np.minimum(counts, 255).astype(np.uint8)])
+    of_large, (more,) = _dealt(ranges[large], [counts[large]])
+    more = dict(zip(of_large.tolist(), more, strict=True))
+    blobs = [*blobs[:-1], *[[b""] * len(full)] * (width - len(columns)), blobs[-1], [more.get(p, b"") for p in full.tolist()]]
+    names = [*(f"c{i}" for i in range(width)), "counts", "more"]
     return pa.record_batch([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), kind, dtype=np.int32)), *(pa.array(b, pa.binary()) for b in blobs)], names=["part", "kind", *names])
 
 
@@ -181,25 +214,25 @@ def _grouped(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return first, group.reshape(-1)
 
 
-def _summed(columns: list[np.ndarray], counts: np.ndarray, least: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct tuples with their counts, cut off at ``least``."""
+def _summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct tuples with their counts."""
     if not len(counts):
         return columns, counts
     if len(columns) == 1 and (counts == 1).all():  # bare keys need a sort only
         key, n = np.unique(columns[0], return_counts=True)
-        return [key], np.minimum(n, least)
+        return [key], n
     first, group = _grouped(columns)
-    return [c[first] for c in columns], np.minimum(np.bincount(group, weights=counts), least).astype(np.int64)
+    return [c[first] for c in columns], np.bincount(group, weights=counts).astype(np.int64)
 
 
 class _Gathered:
-    """Tuples of a task with cut-off counts, merged as they grow."""
+    """Tuples of a task with counts, merged as they grow."""
 
-    def __init__(self, width: int, least: int):
-        self.runs, self.width, self.least, self.held, self.merged = [], width, least, 0, 0
+    def __init__(self, width: int):
+        self.runs, self.width, self.held, self.merged = [], width, 0, 0
 
     def add(self, columns: list[np.ndarray]) -> None:
-        self.runs.append(_summed(columns, np.ones(len(columns[0]), dtype=np.int64), self.least))
+        self.runs.append(_summed(columns, np.ones(len(columns[0]), dtype=np.int64)))
         self.held += len(self.runs[-1][1])
         if self.held > 2 * self.merged + (1 << 21):
             self.runs = [self.all()]
@@ -209,25 +242,28 @@ class _Gathered:
         if not self.runs:
             return [np.zeros(0, dtype=np.uint64)] * self.width, np.zeros(0, dtype=np.int64)
         columns = [np.concatenate([r[0][i] for r in self.runs]) for i in range(self.width)]
-        return _summed(columns, np.concatenate([r[1] for r in self.runs]), self.least)
+        return _summed(columns, np.concatenate([r[1] for r in self.runs]))
 
 
-def _pair_screen(salt: int, frequent, parts: int, least: int):
+def _pair_screen(salt: int, frequent, parts: int, most: int):
     def screen(batches):
-        held = _Gathered(1, least)
+        held = _Gathered(1)
         for _, step in _by_language(batches, salt):
             ok = frequent.value.has(step.known)[step.at] if len(step.at) else None
             held.add([_joined(step.phrases(2, ok))])
+            if held.held > most:
+                yield _packed(2, parts, *held.all(), 1)
+                held = _Gathered(1)
         yield _packed(2, parts, *held.all(), 1)
 
     return screen
 
 
-def _triple_screen(salt: int, frequent, passed, parts: int, least: int):
-    """Triples of pairs that passed, with counts; and those pairs themselves."""
+def _phrase_counter(salt: int, frequent, passed, parts: int, most: int):
+    """Pairs that passed, and triples of such pairs, with counts."""
 
-    def screen(batches):
-        pairs, triples = _Gathered(2, least), _Gathered(3, least)
+    def count(batches):
+        pairs, triples = _Gathered(2), _Gathered(3)
         for _, step in _by_language(batches, salt):
             ok = frequent.value.has(step.known)[step.at] if len(step.at) else None
             two = step.phrases(2, ok)
@@ -236,175 +272,225 @@ def _triple_screen(salt: int, frequent, passed, parts: int, least: int):
             three = step.phrases(3, ok)
             good = passed.value.has(_joined(three[:2])) & passed.value.has(_joined(three[1:]))
             triples.add([h[good] for h in three])
+            if max(pairs.held, triples.held) > most:
+                yield _packed(2, parts, *pairs.all(), 3)
+                yield _packed(3, parts, *triples.all(), 3)
+                pairs, triples = _Gathered(2), _Gathered(3)
         yield _packed(2, parts, *pairs.all(), 3)
         yield _packed(3, parts, *triples.all(), 3)
 
-    return screen
+    return count
+
+
+def _often(rows: pa.Table, width: int, least: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Tuples of the rows of a range whose summed counts reach ``least``, and the sums."""
+    columns = [_read(rows, f"c{i}") for i in range(width)]
+    counts = _read(rows, "counts", np.uint8).astype(np.int64)
+    counts[counts == 255] = _read(rows, "more", np.int64)
+    columns, counts = _summed(columns, counts)
+    enough = counts >= least
+    return [c[enough] for c in columns], counts[enough]
+
+
+def _keys_of_range(least: int):
+    def add_up(rows: pa.Table) -> pa.Table:
+        columns, _ = _often(rows, 1, least)
+        return pa.table([columns[0].view(np.int64)], names=["c0"])
+
+    return add_up
 
 
-def _summing(width: int, least: int):
-    """Tuples of a range of keys whose summed counts reach ``least``."""
-    names = [f"c{i}" for i in range(width)]
+_HELD = "part int, kind int, c0 binary, c1 binary, c2 binary, n binary"
+
+
+def _held_of_range(least: int):
+    """A row of packed candidates of a range for each length."""
 
     def add_up(rows: pa.Table) -> pa.Table:
         out = []
-        for kind in sorted(set(rows.column("kind").to_pylist())):
-            own = rows.filter(pc.equal(rows.column("kind"), kind))
-            used = names if width == 1 else names[:kind]
-            columns = [np.frombuffer(b"".join(own.column(c).to_pylist()), dtype=np.uint64) for c in used]
-            counts = np.frombuffer(b"".join(own.column("counts").to_pylist()), dtype=np.uint8).astype(np.int64)
-            first, group = _grouped(columns)
-            enough = np.bincount(group, weights=counts) >= least
-            columns = [c[first][enough].view(np.int64) for c in columns]
-            zeros = np.zeros(int(enough.sum()), dtype=np.int64)
-            out.append(pa.table([*columns, *[zeros] * (width - len(columns)), zeros.astype(np.int32) + kind], names=[*names, "kind"]))
-        return pa.concat_tables(out)
+        for kind in (2, 3):
+            columns, counts = _often(_of_kind(rows, kind), kind, least)
+            if len(counts):
+                out.append([rows.column("part")[0].as_py(), kind, *(c.tobytes() for c in columns), *[b""] * (3 - kind), counts.tobytes()])
+        types = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["part", "kind", "c0", "c1", "c2", "n"])
 
     return add_up
 
 
-def _screened(texts: DataFrame, screen, width: int, least: int) -> DataFrame:
-    names = [f"c{i}" for i in range(width)]
-    sent = texts.mapInArrow(screen, ", ".join(["part int", "kind int", *(f"{c} binary" for c in names), "counts binary"]))
-    return sent.groupBy("part").applyInArrow(_summing(width, least), ", ".join([*(f"{c} long" for c in names), "kind int"]))
+def _sent(texts: DataFrame, counter, width: int):
+    return texts.mapInArrow(counter, ", ".join(["part int, kind int", *(f"c{i} binary" for i in range(width)), "counts binary, more binary"])).groupBy("part")
 
 
-# --- exact counts
+# --- parts of candidates
 
 
 class Table:
-    """Candidates of one slice: a minimal perfect hash and the key stored in each slot."""
+    """Distinct phrases: a minimal perfect hash and the key stored in each slot."""
 
     def __init__(self, columns: list[np.ndarray]):
-        key = self.key(columns)
+        key = _joined(columns)
         self.hash = PerfectHash(key)
         slot = self.hash.slots(key)
         self.stored = [np.zeros(len(key), dtype=np.uint64) for _ in columns]
         for held, c in zip(self.stored, columns, strict=True):
             held[slot] = c
 
-    @staticmethod
-    def key(columns: list[np.ndarray]) -> np.ndarray:
-        """Words of no phrase are zeros, so that phrases of one to three words have three columns."""
-        return _joined(columns)
-
     def slots(self, columns: list[np.ndarray]) -> np.ndarray:
-        """The slot of each phrase, -1 for those that are not candidates."""
-        slot = self.hash.slots(self.key(columns))
-        for held, c in zip(self.stored, columns, strict=True):
+        """The slot of each phrase, -1 for those that it does not hold."""
+        slot = self.hash.slots(_joined(columns))
+        for held, c in zip(self.stored, columns, strict=True) if self.hash.size else ():
             slot[(slot >= 0) & (held[slot] != c)] = -1
         return slot
 
-
-_SUMS = "chunk int, branch int, slots binary, counts binary"
+    def by_slot(self, columns: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+        """The values of its phrases, in the order of slots."""
+        out = np.zeros(self.hash.size, dtype=values.dtype)
+        out[self.slots(columns)] = values
+        return out
 
 
-def _sum_rows(chunks, branch: int, slots: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """Counts above 0 of ascending slots, a row for each chunk of slots."""
-    which = slots // CHUNK
-    ends = np.searchsorted(which, np.append(chunks, np.iinfo(np.int64).max))
-    parts = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return pa.record_batch(
-        [pa.array(np.asarray(chunks, dtype=np.int32)), pa.array(np.full(len(parts), branch, dtype=np.int32)), pa.array([slots[p].astype(np.int32).tobytes() for p in parts], pa.binary()), pa.array([counts[p].astype(np.int64).tobytes() for p in parts], pa.binary())],
-        names=["chunk", "branch", "slots", "counts"],
-    )
+_PARTS = "slice int, asker int, kind int, c0 binary, c1 binary, n binary, code binary"
+#: Words, pairs, and pairs that a triple drops.
+_WORD, _PAIR, _DROPPED = 1, 2, 3
 
 
-def _slot_counter(salt: int, frequent, table, branches: int):
-    """A task's counts by slot: bincounts of the phrases found in the table."""
+def _parts_of(kind: int, slices: np.ndarray, columns: list[np.ndarray], asker: np.ndarray | int) -> pa.RecordBatch:
+    """Rows of packed parts: hashes of their words (zeros where there is no second), counts, codes of languages."""
+    full, blobs = _dealt(slices, columns)
+    blobs += [[b""] * len(full)] * (4 - len(blobs))
+    askers = asker if isinstance(asker, np.ndarray) else np.full(len(full), asker)
+    return pa.record_batch([pa.array(x.astype(np.int32)) for x in (full, askers, np.full(len(full), kind))] + [pa.array(b, pa.binary()) for b in blobs], names=["slice", "asker", "kind", "c0", "c1", "n", "code"])
 
-    def count(batches):
-        from pyspark import TaskContext
 
-        held = table.value
-        sums = np.zeros(held.hash.size, dtype=np.int64)
-        for _, step in _by_language(batches, salt):
-            if not len(step.at):
-                continue
-            ok = frequent.value.has(step.known)[step.at]
-            for n in (1, 2, 3):
-                told = step.phrases(n, ok)
-                told += [np.zeros(len(told[0]), dtype=np.uint64)] * (3 - n)
-                slot = held.slots(told)
-                sums += np.bincount(slot[slot >= 0], minlength=len(sums))
-        slots = np.flatnonzero(sums)
-        branch = TaskContext.get().partitionId() % branches
-        yield _sum_rows(np.unique(slots // CHUNK), branch, slots, sums[slots])
+def _words_held(slices: int):
+    """Frequent words, dealt to slices."""
 
-    return count
-
-
-def _added(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(slot, count) summed over the rows of a chunk, ascending."""
-    slots = np.frombuffer(b"".join(rows.column("slots").to_pylist()), dtype=np.int32).astype(np.int64)
-    counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), dtype=np.int64)
-    base = slots.min() // CHUNK * CHUNK
-    sums = np.zeros(CHUNK, dtype=np.int64)
-    np.add.at(sums, slots - base, counts)
-    held = np.flatnonzero(sums)
-    return held + base, sums[held]
-
-
-def _branch_sum(rows: pa.Table) -> pa.Table:
-    slots, counts = _added(rows)
-    return pa.Table.from_batches([_sum_rows([slots[0] // CHUNK], rows.column("branch")[0].as_py(), slots, counts)])
-
-
-def _root_sum(table, offset: int):
-    """(slot, h0, h1, h2, n): whole counts with the stored keys."""
-
-    def whole(rows: pa.Table) -> pa.Table:
-        slots, counts = _added(rows)
-        keys = [c[slots].view(np.int64) for c in table.value.stored]
-        return pa.table([slots + offset, *keys, counts], names=["slot", "h0", "h1", "h2", "n"])
+    def deal(batches):
+        for batch in batches:
+            h = batch.column("h").to_numpy().view(np.uint64)
+            n, code = (batch.column(c).to_numpy() for c in ("n", "code"))
+            yield _parts_of(_WORD, _range([h], slices), [h, np.zeros_like(h), n, code], -1)
 
-    return whole
+    return deal
 
 
-def _locate(table, offset: int):
-    """Slots of the parts that this slice holds."""
+def _ask(parts: int, wide: int, slices: int):
+    """What a range of candidates asks of the slices: each of its words and pairs once, pairs with the highest count of a triple."""
 
-    def locate(batches):
+    def ask(batches):
         for batch in batches:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("p0", "p1", "p2")]
-            slot = table.value.slots(columns)
-            held = pa.array(np.flatnonzero(slot >= 0))
-            yield pa.record_batch([*(batch.column(c).take(held) for c in ("h0", "h1", "h2", "cut", "side")), pa.array(slot[slot >= 0] + offset)], names=["h0", "h1", "h2", "cut", "side", "slot"])
-
-    return locate
-
-
-def _parts(candidates: DataFrame) -> DataFrame:
-    """The first words and the rest of each cut of phrases of two and three words."""
-    zero = F.lit(0).cast("long")
-    h = [F.col(f"h{i}") for i in range(3)]
-    part = lambda cut, side, *words: F.struct(F.lit(cut).alias("cut"), F.lit(side).alias("side"), *[(words[i] if i < len(words) else zero).alias(f"p{i}") for i in range(3)])
-    two = F.array(part(1, 0, h[0]), part(1, 1, h[1]))
-    three = F.array(part(1, 0, h[0]), part(1, 1, h[1], h[2]), part(2, 0, h[0], h[1]), part(2, 1, h[2]))
-    return candidates.where("words > 1").select("h0", "h1", "h2", F.explode(F.when(F.col("words") == 2, two).otherwise(three)).alias("p")).select("h0", "h1", "h2", "p.*")
-
-
-def _counted(texts: DataFrame, candidates: DataFrame, salt: int, frequent, slice_size: int, tasks: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(slot, h0, h1, h2, n) of all candidates, and (h0, h1, h2, cut, side, slot) of their parts."""
-    spark = texts.sparkSession
-    slices = max(1, math.ceil(candidates.count() / slice_size))
-    which = F.pmod(F.xxhash64("h0", "h1", "h2"), F.lit(slices))
-    parts, branches = _parts(candidates), max(1, math.isqrt(tasks))
-    counts = places = None
-    offset = 0
-    for s in range(slices):
-        held = candidates.where(which == s).select("h0", "h1", "h2").toArrow()  # about slice_size rows
-        if not held.num_rows:
-            continue
-        table = spark.sparkContext.broadcast(Table([held.column(f"h{i}").to_numpy().view(np.uint64) for i in range(3)]))
-        sent = texts.mapInArrow(_slot_counter(salt, frequent, table, branches), _SUMS)
-        summed = sent.groupBy("chunk", "branch").applyInArrow(_branch_sum, _SUMS).groupBy("chunk").applyInArrow(_root_sum(table, offset), "slot long, h0 long, h1 long, h2 long, n long")
-        own = scratch.save(summed, f"counts_{s}")
-        at = scratch.save(parts.mapInArrow(_locate(table, offset), "h0 long, h1 long, h2 long, cut int, side int, slot long"), f"places_{s}")
-        counts, places = (own, at) if counts is None else (counts.union(own), places.union(at))
-        offset += held.num_rows
-        table.unpersist()
-    return counts, places
+            for part, kind, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                h0, h1, h2 = (np.frombuffer(b, dtype=np.uint64) for b in blobs[:3])
+                n = np.frombuffer(blobs[3], dtype=np.int64)
+                words = np.unique(np.concatenate([h0, h1] if kind == 2 else [h0, h2]))
+                yield _parts_of(_WORD, _range([words], slices), [words, np.zeros_like(words)], part // wide)
+                if kind == 3:
+                    pairs = [np.concatenate([h0, h1]), np.concatenate([h1, h2])]
+                    first, group = _grouped(pairs)
+                    longest = np.zeros(len(first), dtype=np.int64)
+                    np.maximum.at(longest, group, np.concatenate([n, n]))
+                    pairs = [c[first] for c in pairs]
+                    yield _parts_of(_PAIR, _range(pairs, parts) // wide, [*pairs, longest], part // wide)
+
+    return ask
+
+
+def _answer(share: int):
+    """Counts of the parts that were asked for, and the pairs of the slice that a triple drops."""
+
+    def answer(held: pa.Table, asked: pa.Table) -> pa.Table:
+        columns, n = [_read(held, "c0"), _read(held, "c1")], _read(held, "n", np.int64)
+        code = np.frombuffer(b"".join(c or bytes(len(h)) for c, h in zip(*(held.column(x).to_pylist() for x in ("code", "c0")), strict=True)), dtype=np.int64)  # pairs have none
+        table = Table(columns)
+        n, code = table.by_slot(columns, n), table.by_slot(columns, code)
+        longest = np.zeros(len(n), dtype=np.int64)
+        out = []
+        for row in asked.to_batches():
+            for asker, kind, c0, c1, highest in zip(*(row.column(c).to_pylist() for c in ("asker", "kind", "c0", "c1", "n")), strict=True):
+                slot = table.slots([np.frombuffer(c, dtype=np.uint64) for c in (c0, c1)])
+                if (slot < 0).any():
+                    raise RuntimeError("a part of a candidate has no count")
+                if kind == _PAIR:
+                    np.maximum.at(longest, slot, np.frombuffer(highest, dtype=np.int64))
+                out.append([asker, kind, c0, c1, n[slot].tobytes(), code[slot].tobytes()])
+        gone = np.flatnonzero((longest > 0) & (100 * longest >= share * n))
+        if len(gone):
+            out.append([held.column("slice")[0].as_py(), _DROPPED, *(c[gone].tobytes() for c in table.stored), b"", b""])
+        types = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+        return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["slice", "kind", "c0", "c1", "n", "code"])
+
+    return answer
+
+
+def _scores(a: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """floor(1000000 a a / (l r)), exact; l and r are a at least, so no score is above 1000000."""
+    wide = (a > NARROW) | (np.maximum(left, right) > 1000 * NARROW)
+    out = 1_000_000 * a * a // np.where(wide, 1, left * right)
+    for i in np.flatnonzero(wide).tolist():
+        out[i] = 1_000_000 * int(a[i]) ** 2 // (int(left[i]) * int(right[i]))
+    return out
+
+
+def _best(code: np.ndarray, score: np.ndarray, a: np.ndarray, most: int) -> np.ndarray:
+    """Places of each language's ``most`` best and of those that tie with the last."""
+    order = np.lexsort((-a, -score, code))
+    out = [order[:0]]
+    for x in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+        last = x[:most][-1:]
+        out.append(x[(score[x] > score[last]) | (score[x] == score[last]) & (a[x] >= a[last])])
+    return np.concatenate(out)
+
+
+_SCORED = "h0 long, h1 long, h2 long, a long, l long, r long, score long"
+
+
+def _score(most: int):
+    """The best phrases of a slice, by the answers that it got."""
+
+    def score(held: pa.Table, told: pa.Table) -> pa.Table:
+        asked = told.filter(pc.less(told.column("kind"), _DROPPED))
+        columns, n, code = [_read(asked, "c0"), _read(asked, "c1")], _read(asked, "n", np.int64), _read(asked, "code", np.int64)
+        first, _ = _grouped(columns)
+        columns = [c[first] for c in columns]
+        table, dropped = Table(columns), Table([_read(_of_kind(told, _DROPPED), c) for c in ("c0", "c1")])
+        n, code = table.by_slot(columns, n[first]), table.by_slot(columns, code[first])
+        at = lambda *h: table.slots([h[0], h[1] if len(h) > 1 else np.zeros_like(h[0])])
+        found = []
+        for kind in (2, 3):
+            own = _of_kind(held, kind)
+            h = [_read(own, f"c{i}") for i in range(kind)]
+            a = _read(own, "n", np.int64)
+            if kind == 2:
+                kept = dropped.slots(h) < 0
+                h, a = [c[kept] for c in h], a[kept]
+            word = at(h[0])
+            cuts = [(n[word], n[at(*h[1:])])] + ([(n[at(*h[:2])], n[at(h[2])])] if kind == 3 else [])
+            scores = np.stack([_scores(a, *x) for x in cuts])
+            low = np.argmin(scores, axis=0)  # the first of equal ones
+            pick = lambda x, low=low: x[low, np.arange(len(low))]
+            h += [np.zeros_like(h[0])] * (3 - kind)
+            found.append([*h, a, pick(np.stack([x[0] for x in cuts])), pick(np.stack([x[1] for x in cuts])), pick(scores), code[word]])
+        found = [np.concatenate(x) for x in zip(*found, strict=True)]
+        best = _best(found[7], found[6], found[3], most)
+        return pa.table([x[best].astype(np.int64, copy=False) if x.dtype != np.uint64 else x[best].view(np.int64) for x in found[:7]], names=["h0", "h1", "h2", "a", "l", "r", "score"])
+
+    return score
+
+
+def _scored(held: DataFrame, common: DataFrame, parts: int, slice_size: int, most: int, share: int, scratch: Scratch) -> DataFrame:
+    """(h0, h1, h2, a, l, r, score) of all phrases that may be among the best ``most`` of their language."""
+    candidates = int(held.agg(F.sum(F.octet_length("n")) / 8).first()[0] or 0)
+    wide = parts // min(parts, max(FEWEST_SLICES, math.ceil(candidates / slice_size)))  # ranges of a slice
+    slices = math.ceil(parts / wide)
+    held = held.withColumn("slice", F.floor(F.col("part") / wide).cast("int"))
+    none = F.lit(b"")
+    pairs = held.where(F.col("kind") == 2).select("slice", F.lit(-1).alias("asker"), F.lit(_PAIR).alias("kind"), "c0", "c1", "n", none.alias("code"))
+    own = pairs.union(common.select("h", "n", "code").mapInArrow(_words_held(slices), _PARTS))
+    asked = held.drop("slice").mapInArrow(_ask(parts, wide, slices), _PARTS)
+    answers = own.groupBy("slice").cogroup(asked.groupBy("slice")).applyInArrow(_answer(share), "slice int, kind int, c0 binary, c1 binary, n binary, code binary")
+    told = held.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(_score(most), _SCORED)
+    return scratch.save(told, "scored")
 
 
 def collocations(docs: DataFrame, least: int = 10, most: int = 2000, share: int = 50, slice_size: int = SLICE, scratch: Scratch | None = None) -> DataFrame:
@@ -418,44 +504,26 @@ def collocations(docs: DataFrame, least: int = 10, most: int = 2000, share: int
     ship(spark)
     scratch = scratch or Scratch(spark, "phrases")
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    words, salt = _vocabulary(texts, least, scratch)
+    words, salt = _vocabulary(texts, scratch)
     of_lang = words.groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    common = scratch.save(words.where(F.col("n") >= least).select("lang", "word", "h"), "common")
+    common = scratch.save(words.where(F.col("n") >= least).select("lang", "word", "h", "n", _code(salt)), "common")
     total = int(of_lang.agg(F.sum("n_lang")).first()[0] or 0)
-    parts = max(64, total // 1_000_000)  # ranges of keys
+    parts = max(FEWEST_SLICES, total // 1_000_000)  # ranges of keys
     frequent = spark.sparkContext.broadcast(bitmap_of(common, "h"))
-    pair_keys = scratch.save(_screened(texts, _pair_screen(salt, frequent, parts, least), 1, least), "pair_keys")
+    pair_keys = scratch.save(_sent(texts, _pair_screen(salt, frequent, parts, HELD), 1).applyInArrow(_keys_of_range(least), "c0 long"), "pair_keys")
     passed = spark.sparkContext.broadcast(bitmap_of(pair_keys, "c0"))
-    longer = scratch.save(_screened(texts, _triple_screen(salt, frequent, passed, parts, least), 3, least), "longer")
-    single = common.select(F.col("h").alias("h0"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), F.lit(1).alias("words"))
-    candidates = scratch.save(single.union(longer.selectExpr("c0", "c1", "c2", "kind")), "candidates")
-    tasks = texts.select("lang").rdd.getNumPartitions()
-    counts, places = _counted(texts, candidates, salt, frequent, slice_size, tasks, scratch)
-    if counts is None:
-        return spark.createDataFrame([], "lang string, rank int, phrase string, a long, l long, r long, n long, score long")
-    return _ranked(counts, places, common, of_lang, least, most, share)
-
-
-def _ranked(counts: DataFrame, places: DataFrame, common: DataFrame, of_lang: DataFrame, least: int, most: int, share: int) -> DataFrame:
-    key = ["h0", "h1", "h2"]
-    found = counts.where((F.col("h1") != 0) & (F.col("n") >= least)).select(*key, F.col("n").alias("a"))
-    read = places.join(counts.select("slot", "n"), "slot")
-    side = lambda s: F.max(F.when(F.col("side") == s, F.col("n")))
-    cuts = read.groupBy(*key, "cut").agg(side(0).alias("l"), side(1).alias("r"))
-    wide = "CAST({} AS DECIMAL(13,0))".format
-    exact = F.expr(f"(CAST(1000000 AS DECIMAL(7,0)) * {wide('a')} * {wide('a')}) div ({wide('l')} * {wide('r')})")
-    scored = found.join(cuts, key).withColumn("score", exact.cast("long"))
-    lowest = scored.groupBy(*key, "a").agg(F.min(F.struct("score", "cut", "l", "r")).alias("low"))
-    of_three = found.where(F.col("h2") != 0)
-    holds = of_three.select("h0", "h1", "a").union(of_three.select("h1", "h2", "a")).toDF("h0", "h1", "longest")
-    holds = holds.groupBy("h0", "h1").agg(F.max("longest").alias("longest"), F.lit(0).cast("long").alias("h2"))
-    left = lowest.join(holds, key, "left").where(F.col("longest").isNull() | (100 * F.col("longest") < share * F.col("a")))
-    told = left.join(common.select(F.col("h").alias("h0"), "lang", F.col("word").alias("w0")), "h0")
+    held = scratch.save(_sent(texts, _phrase_counter(salt, frequent, passed, parts, HELD), 3).applyInArrow(_held_of_range(least), _HELD), "held")
+    scratch.drop("pair_keys")
+    return _ranked(_scored(held, common, parts, slice_size, most, share, scratch), common, of_lang, most)
+
+
+def _ranked(scored: DataFrame, common: DataFrame, of_lang: DataFrame, most: int) -> DataFrame:
+    told = scored.join(common.select(F.col("h").alias("h0"), "lang", F.col("word").alias("w0")), "h0")
     told = told.join(common.select(F.col("h").alias("h1"), F.col("word").alias("w1")), "h1")
     told = told.join(common.select(F.col("h").alias("h2"), F.col("word").alias("w2")), "h2", "left")
     text = lambda c: F.col(c).cast("string")
     told = told.join(of_lang, "lang").select(
-        "lang", F.concat_ws(" ", text("w0"), text("w1"), text("w2")).alias("phrase"), "a", "low.l", "low.r", F.col("n_lang").alias("n"), "low.score"
+        "lang", F.concat_ws(" ", text("w0"), text("w1"), text("w2")).alias("phrase"), "a", "l", "r", F.col("n_lang").alias("n"), "score"
     )
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
     first = W.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(256))).orderBy(*order)
